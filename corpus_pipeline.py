@@ -1,7 +1,55 @@
-"""A training corpus from raw documents: language, toxicity, near-duplicates, packing."""
-STAGES = []
+"""A training corpus from raw documents: language ID, toxicity, near-duplicates, packing.
+
+Each stage takes all that its predecessor kept and returns the columns of documents, but for the last, which returns the
+pieces of packed sequences. Stages learn only from the documents they are given and the labels beside them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leadframe.llm import langid, packing, simhash, toxicity
+from leadframe.llm.queries import tokenizer
+from leadframe.llm.shared import durable, table
+
+#: A document whose best language has less than this mean probability is in no language that was learned.
+LEAST_LANGUAGE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some learned language; those without letters, and those in none, go. `lang` stays as it came."""
+    model = langid.train(docs, F.lit(True))
+    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id",)]
+    judged = langid.identify(docs.withColumn("_whole", F.col("text")), model, text_col="_whole", carry=others)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id",)]
+    return toxicity.score(docs.withColumn("_whole", F.col("text")), model, text_col="_whole", carry=others).where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: that with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 tokens."""
+    return packing.pack_texts(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("packing", pack)]
+
+#: Trained networks and tokenizers can't be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

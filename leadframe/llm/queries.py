@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
-from .shared import table
+from . import bpe, langid, packing, quality, simhash, toxicity
+from .shared import remainder, table
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +18,29 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _held_out(df: DataFrame, of: int, at: int) -> DataFrame:
+    """`held_out` after the id; an id that is null is not held out (and never learned from)."""
+    rest = [c for c in df.columns if c != "doc_id"]
+    return df.select("doc_id", F.coalesce(remainder("doc_id", of) == at, F.lit(False)).alias("held_out"), *rest)
+
+
+def op1_toxicity_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return _held_out(toxicity.score(docs, model), 5, 0)
+
+
+def op4_langid_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _held_out(langid.identify(docs, langid.train(docs, remainder("doc_id", 4) != 2)), 4, 2)
+
+
+def op6_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return _held_out(quality.score(docs, model), 3, 1)
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -30,7 +54,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_vector_packing, op8_byte_bpe, op10_simhash_golay)
+    f.__name__: f for f in (op1_toxicity_convnet, op2_vector_packing, op4_langid_convnet, op6_quality_compression, op8_byte_bpe, op10_simhash_golay)
 }
 
 ORACLES: dict[str, str] = {}

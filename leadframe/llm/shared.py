@@ -74,3 +74,16 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     lengths = ends - starts
     edge = np.concatenate([[0], np.cumsum(lengths)])
     return data[np.repeat(starts - edge[:-1], lengths) + np.arange(edge[-1])], edge
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, text_bytes: int, seed: int) -> pa.Table:
+    """Bounded sample for fitting on the driver: (doc_id, text, lang, label), at most `rows` ids for each label 0 and 1.
+
+    `learn` tells which ids may be learned from. Ids are taken in hash order; texts over `text_bytes` and null texts
+    are left to the scoring. Of contradicting labels of an id the larger counts. The sample of ids is bounded, so it
+    can be broadcast and the documents are not shuffled."""
+    clean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(learn).groupBy("doc_id").agg(F.max(label).alias(label))
+    chosen = bounded_labels(clean, label, 0, rows, seed).unionByName(bounded_labels(clean, label, 1, rows, seed))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.where(F.octet_length("text") <= text_bytes).select("doc_id", "text", lang.alias("lang"))
+    return texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "text").limit(4 * rows).toArrow()
