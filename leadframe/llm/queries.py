@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash, toxicity
+from . import ann, bpe, langid, packing, quality, simhash, topk, toxicity
 from .shared import remainder, table
 
 
@@ -30,6 +30,10 @@ def op1_toxicity_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs, model), 5, 0)
 
 
+def op3_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op4_langid_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _held_out(langid.identify(docs, langid.train(docs, remainder("doc_id", 4) != 2)), 4, 2)
@@ -45,6 +49,10 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -54,7 +62,34 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity_convnet, op2_vector_packing, op4_langid_convnet, op6_quality_compression, op8_byte_bpe, op10_simhash_golay)
+    f.__name__: f
+    for f in (
+        op1_toxicity_convnet,
+        op2_vector_packing,
+        op3_multiprobe_ann,
+        op4_langid_convnet,
+        op6_quality_compression,
+        op7_exact_topk,
+        op8_byte_bpe,
+        op10_simhash_golay,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_topk": """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as w
+    from embeddings
+    where vec_id is not null and embedding is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, c.vec_id,
+           cast(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) as bigint) as score
+    from v q join v c on c.vec_id <> q.vec_id and len(c.w) = len(q.w)
+    where q.vec_id % 100 = 0
+)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) t
+where rank <= 10
+""",
+}
