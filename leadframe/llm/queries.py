@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, packing, quality, simhash, topk, toxicity
+from . import ann, bpe, langid, linkgraph, packing, quality, simhash, toolcalls, topk, toxicity
 from .shared import remainder, table
 
 
+#: (host, path prefix, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
 def tokenizer(name: str) -> str:
     """Place of a public vocabulary file, the same on every worker."""
     import public_tokenizers
@@ -39,6 +43,10 @@ def op4_langid_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(langid.identify(docs, langid.train(docs, remainder("doc_id", 4) != 2)), 4, 2)
 
 
+def op5_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
@@ -57,6 +65,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents")).withColumnRenamed("fp", "fingerprint")
 
@@ -68,14 +80,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_vector_packing,
         op3_multiprobe_ann,
         op4_langid_convnet,
+        op5_link_graph,
         op6_quality_compression,
         op7_exact_topk,
         op8_byte_bpe,
+        op9_tool_calls,
         op10_simhash_golay,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op5_link_graph": linkgraph.oracle(URL_RULES),
+    "op9_tool_calls": toolcalls.ORACLE,
     "op7_exact_topk": """
 with v as (
     select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as w
