@@ -45,14 +45,14 @@ class ConvNet:
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled + self.weights["bias"], 0) @ self.weights["out"] + self.weights["prior"]
 
-    def fit(self, ids: np.ndarray, edge: np.ndarray, labels: np.ndarray, weight: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 0) -> ConvNet:
-        """Adam on the weighted cross entropy; weight is of each class."""
+    def fit(self, ids: np.ndarray, edge: np.ndarray, labels: np.ndarray, weight: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 0, use: np.ndarray | None = None) -> ConvNet:
+        """Adam on the weighted cross entropy of the segments in `use`, or all; weight is of each class."""
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
         square = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
         for epoch in range(epochs):
-            order = rng.permutation(len(labels))
+            order = rng.permutation(len(labels) if use is None else use)
             for at in range(0, len(order), batch):
                 step += 1
                 grads = self._gradients(ids, edge, labels, weight, order[at : at + batch])
