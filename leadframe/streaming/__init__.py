@@ -1 +1 @@
-
+"""Documents as they arrive."""
