@@ -16,8 +16,6 @@ result. Of rules of equal length, block wins, then the smaller text. Other colum
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ from .shared import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s<>]+)"
-DAMPING, ROUNDS, DIGITS = 0.85, 10, 12
+DAMPING, ROUNDS, DIGITS, SALTS = 0.85, 10, 12, 32
 
 Rule = tuple[str, str, str]  # host, path prefix, "allow" or "block"
 
@@ -95,7 +93,10 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     of = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)), DIGITS)
     suspects = reached.groupBy("host").agg((of("distrust") > of("trust")).alias("suspect")).where("suspect")
 
-    judged = marked.join(suspects, "host", "left")
+    # A host may hold a third of all pages: its pages are dealt over SALTS partitions, and each host copied to all of them.
+    dealt = marked.withColumn("salt", F.pmod(F.xxhash64("_id", "path"), F.lit(SALTS)))
+    copies = suspects.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    judged = dealt.join(copies, ["host", "salt"], "left")
     return judged.select(
         F.col("_id").alias(id_col),
         "host",
