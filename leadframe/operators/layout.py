@@ -154,9 +154,11 @@ def builder_pins(pins: DataFrame) -> DataFrame:
     return pins.select("comp_id", F.col("number").cast("string").alias("pin_number"), "name")
 
 
-def placed_pins(pins: DataFrame, places: DataFrame) -> DataFrame:
-    """Inner join of pins with positions by number; repeated pins stay, pins without a position go."""
-    return builder_pins(pins).join(last_positions(places), ["comp_id", "pin_number"])
+def placed_pins(pins: DataFrame, places: DataFrame, repeated: bool = False) -> DataFrame:
+    """Inner join of pins with positions by number; repeated pins stay, pins without a position go.
+
+    Positions of packages have each number once. Custom sections may repeat one: `repeated` then keeps the last."""
+    return builder_pins(pins).join(last_positions(places) if repeated else places, ["comp_id", "pin_number"])
 
 
 def unplaced_pins(pins: DataFrame, places: DataFrame) -> DataFrame:

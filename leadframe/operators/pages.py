@@ -46,8 +46,8 @@ def in_position(page: Column, total: Column) -> Column:
 
 
 def score(pages: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, verify_from: int = 3) -> DataFrame:
-    """Every page with its parts, score, reasons and verification mark. Only the small sides are shuffled by id; text
-    stays in the row it came in until the join."""
+    """Every page with its parts, score, reasons and verification mark. What depends on the
+    text is computed before the joins, so the text itself is shuffled only if the caller selects it."""
     text = T.text_or_empty(F.col("text"))
     base = pages.withColumn("text", text)
     parts = base.withColumns(
@@ -57,6 +57,7 @@ def score(pages: DataFrame, tables: DataFrame, images: DataFrame, min_score: int
             "keywords": keyword_count(F.col("text")),
             "words": T.word_count(F.col("text")),
             "positioned": in_position(F.col("page_number"), F.col("total_pages")),
+            "short": F.length(T.strip(F.col("text"))) < 100,
         }
     )
     joined = parts.join(table_scores(tables), KEY, "left").join(image_areas(images), KEY, "left")
@@ -78,7 +79,7 @@ def score(pages: DataFrame, tables: DataFrame, images: DataFrame, min_score: int
         F.when(F.col("keyword_score") > 0, F.concat(F.lit("keywords: "), F.col("keywords").cast("string"), F.lit(" in "), F.col("words").cast("string"))),
         F.when(F.col("position_score") > 0, F.lit("position")),
     ]
-    unusual = ((F.col("score") >= 2) & ~F.col("has_table") & ~F.col("has_diagram")) | ((F.length(T.strip(F.col("text"))) < 100) & F.col("has_diagram"))
+    unusual = ((F.col("score") >= 2) & ~F.col("has_table") & ~F.col("has_diagram")) | (F.col("short") & F.col("has_diagram"))
     return scored.withColumns({"reasons": F.filter(F.array(*reasons), lambda r: r.isNotNull()), "unusual": unusual}).withColumn(
         "needs_verification", F.col("unusual") | F.col("score").between(verify_from, min_score - 1)
     )

@@ -100,8 +100,10 @@ def parsed_pins(responses: DataFrame, response: str = "response") -> DataFrame:
         _at(p, "thickness", "double").alias("thickness"),
     )
     named = lambda key: ok(missing(_at(d, key), _at(d, key, "string"), F.lit("Unknown")))
-    out = data.withColumns({"component_name": named("component_name"), "package": ok(package), "pins": ok(F.col("_list")), "extraction_method": named("extraction_method")})
-    return out.drop("_d", "_p", "_pins", "_w", "_h", "_list")
+    record = {"component_name": named("component_name"), "package": ok(package), "pins": ok(F.col("_list")), "extraction_method": named("extraction_method"), "error": F.col("error")}
+    # Exploding one record keeps the optimizer from copying the parser into every use of a field.
+    once = F.explode(F.array(F.struct(*(c.alias(k) for k, c in record.items())))).alias("_r")
+    return data.select(*(F.col(f"`{c}`") for c in responses.columns if c not in record), once).select("*", "_r.*").drop("_r")
 
 
 def _json_in(text: Column) -> Column:

@@ -28,7 +28,7 @@ def drawing_flow(answers: DataFrame, sections: DataFrame | None = None) -> DataF
     sized = layout.parameters(parsed, "package_name", "pin_count")
     places = layout.positions(sized) if sections is None else layout.laid_out(sized.join(sections, "comp_id", "left"))
     pins = parsed.select("comp_id", F.explode("pins").alias("p")).select("comp_id", "p.*")
-    return render.assembly(sized, layout.placed_pins(pins, places))
+    return render.assembly(sized, layout.placed_pins(pins, places, repeated=sections is not None))
 
 
 def vision_flow(answers: DataFrame, by: str = "doc", order: str = "ord") -> DataFrame:

@@ -1,6 +1,7 @@
 """Logical tables laid over plain ones, each one SQL text that Spark and DuckDB both run.
 
-The texts name their inputs in braces. `frame` gives a DataFrame, `ctes` the same as common table expressions.
+Where the common text joins by an inequality, Spark has a text of its own that generates the rows instead, so it plans no
+nested loop. The texts name their inputs in braces. `frame` gives a DataFrame, `ctes` the same as common table expressions.
 """
 
 from __future__ import annotations
@@ -112,6 +113,27 @@ join (select cast(0 as int) as sec_pos, 'Left_Side' as section, cast(1 as int) a
       union all select 4, 'middle', 11, 1) s on s.sec_pos <= c.comp_id % 6""",
 }
 
+SPARK_VIEWS: dict[str, str] = {
+    "v_page_images": """select d.doc_id, d.source as doc, image_index,
+       cast(60 + (d.doc_id * 37) % 500 as double) as width,
+       cast(80 + (d.doc_id * 53 + image_index * 11) % 600 as double) as height
+from {documents} d lateral view explode(slice(array(0, 1, 2), 1, cast(d.doc_id % 4 as int))) x as image_index""",
+    "v_numbers": "select distinct cast(l_quantity as int) + 50 * k as n from {lineitem} lateral view explode(array(0, 1, 2)) x as k",
+    # 150 numbers at every scale
+    "v_pins": """select /*+ broadcast(x) */ c.comp_id, cast(c.n as bigint) as number,
+       case when c.n % 17 = 0 then '' else concat('P', cast(c.n as string)) end as name,
+       case c.n % 4 when 0 then 'power' when 1 then 'ground' when 2 then 'input' end as function
+from (select comp_id, explode(sequence(1, pin_count + 1)) as n from {v_components}) c left semi join {v_numbers} x on x.n = c.n
+where c.n % 11 <> 0
+union all
+select comp_id, cast(1 as bigint), 'DUP', cast(null as string) from {v_components} where comp_id % 5 = 0""",
+    "v_custom_layout": """select comp_id, component_name, pkg_raw, pin_count, s.sec_pos, s.section, s.first_pin, s.pins
+from {v_components} lateral view explode(slice(array(
+    named_struct('sec_pos', 0, 'section', 'Left_Side', 'first_pin', 1, 'pins', 3), named_struct('sec_pos', 1, 'section', 'bottom edge', 'first_pin', 4, 'pins', 2),
+    named_struct('sec_pos', 2, 'section', 'RIGHT column', 'first_pin', 6, 'pins', 3), named_struct('sec_pos', 3, 'section', 'Top_edge', 'first_pin', 9, 'pins', 2),
+    named_struct('sec_pos', 4, 'section', 'middle', 'first_pin', 11, 'pins', 1)), 1, cast(comp_id % 6 + 1 as int))) x as s""",
+}
+
 
 def inputs(text: str) -> list[str]:
     return list(dict.fromkeys(name for _, name, _, _ in Formatter().parse(text) if name))
@@ -120,7 +142,8 @@ def inputs(text: str) -> list[str]:
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(VIEWS[name], **{x: frame(spark, sf_dir, x) for x in inputs(VIEWS[name])})
+    text = SPARK_VIEWS.get(name, VIEWS[name])
+    return spark.sql(text, **{x: frame(spark, sf_dir, x) for x in inputs(text)})
 
 
 def ctes(*names: str) -> str:
