@@ -16,13 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 
+from .shared import prefix_sums
+
 CHUNK = 1 << 21
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: Words beyond this many characters are told apart by a cryptographic digest, shorter ones by a polynomial.
 POLYNOMIAL_UPTO = 64
-BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Fixed value: the inverse of BASE modulo 2**64.
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @lru_cache(1)
@@ -42,14 +41,6 @@ def classes() -> np.ndarray:
     return out
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, BASE), np.full(n, INVERSE)
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
-
-
 def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of (row, start, end) arrays of about `limit` bytes; a row may be in several, in order."""
     rows, heads, tails, held = [], [], [], 0
@@ -152,11 +143,9 @@ class Lexicon:
         return ids, bounds
 
     def _keys(self, points, begin, end, data, byte) -> np.ndarray:
-        up, down = _powers(1 << max(16, int(len(points) + 1).bit_length()))
+        sums, scale = prefix_sums(points)
         with np.errstate(over="ignore"):
-            total = np.zeros(len(points) + 1, np.uint64)
-            np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
-            keys = (total[end] - total[begin]) * down[begin]
+            keys = (sums[end] - sums[begin]) * scale[begin]
             keys ^= keys >> np.uint64(29)
             keys *= np.uint64(0xBF58476D1CE4E5B9)
             keys ^= keys >> np.uint64(32)

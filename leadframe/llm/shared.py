@@ -18,7 +18,7 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint.
 
     The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary one is made. Survives lost executors, which localCheckpoint would not.
+    machine) a temporary one is made. All executors share it, so what is kept there survives the loss of any of them.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
@@ -87,3 +87,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.where(F.octet_length("text") <= text_bytes).select("doc_id", "text", lang.alias("lang"))
     return texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "text").limit(4 * rows).toArrow()
+
+
+# --- keys of byte or character ranges: a polynomial in BASE, so prefix sums give that of any range ---------------------
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Fixed value: the inverse of BASE modulo 2**64.
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse. One pair of arrays is kept, as long as any call so far needed."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        with np.errstate(over="ignore"):
+            for k, x in enumerate((BASE, INVERSE)):
+                _powers[k] = np.full(size, x)
+                _powers[k][0] = 1
+                np.cumprod(_powers[k], out=_powers[k])
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, scale): (sums[end] - sums[start]) * scale[start] is a range's polynomial, wherever the range lies."""
+    up, down = powers(len(values))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        terms = values.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= up
+        np.cumsum(terms, out=sums[1:])
+    return sums, down
