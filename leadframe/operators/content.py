@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 
+# The wording of content as prompt text.
+PAGES_LINE, INFORMATION_LINE, TABLES_LINE, NOTE_LINE = "Relevant pages: ", "--- Pinout Information ---\n", "--- Pinout Tables ---\n", "--- Note ---\n"
+TABLE_TITLE, TRUNCATED = "\nTable from page ", "| ... (truncated)"
+IMAGES_BEFORE, IMAGES_AFTER = "This content includes ", " diagram image(s). Use these for visual reference of pinout diagrams."
+
 TABLE_TYPE = "array<struct<page:int,table_index:int,cells:array<array<string>>>>"
 IMAGE_TYPE = "array<struct<page:int,image_index:int>>"
 
@@ -130,7 +135,7 @@ def _when(condition: Column, *lines: Column | str) -> Column:
 
 
 def _page_list(pages: Column) -> Column:
-    return F.array(F.concat(F.lit("Relevant pages: "), F.array_join(F.transform(pages, lambda p: p.cast("string")), ", "), F.lit("\n")))
+    return F.array(F.concat(F.lit(PAGES_LINE), F.array_join(F.transform(pages, lambda p: p.cast("string")), ", "), F.lit("\n")))
 
 
 def prompt_full(pages: Column, text: Column, tables: Column, images: Column) -> Column:
@@ -139,16 +144,16 @@ def prompt_full(pages: Column, text: Column, tables: Column, images: Column) ->
 
     def table(t: Column) -> Column:
         rows = F.transform(F.slice(t["cells"], 1, 15), _row_text)
-        more = F.when(F.size(t["cells"]) > 15, F.array(F.lit("| ... (truncated)"))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(F.concat(F.lit("\nTable from page "), t["page"].cast("string"), F.lit(":")), _row_text(t["cells"][0])), rows, more)
+        more = F.when(F.size(t["cells"]) > 15, F.array(F.lit(TRUNCATED))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(F.concat(F.lit(TABLE_TITLE), t["page"].cast("string"), F.lit(":")), _row_text(t["cells"][0])), rows, more)
 
-    note = F.concat(F.lit("This content includes "), F.size(images).cast("string"), F.lit(" diagram image(s). Use these for visual reference of pinout diagrams."))
+    note = F.concat(F.lit(IMAGES_BEFORE), F.size(images).cast("string"), F.lit(IMAGES_AFTER))
     return _lines(
         _page_list(pages),
-        _when(text != "", "--- Pinout Information ---\n", text, ""),
-        _when(F.size(tables) > 0, "\n--- Pinout Tables ---\n"),
+        _when(text != "", INFORMATION_LINE, text, ""),
+        _when(F.size(tables) > 0, "\n" + TABLES_LINE),
         F.flatten(F.transform(tables, table)),
-        _when(F.size(images) > 0, "\n--- Note ---\n", note),
+        _when(F.size(images) > 0, "\n" + NOTE_LINE, note),
     )
 
 
@@ -157,6 +162,6 @@ def prompt_short(pages: Column, text: Column, tables: Column) -> Column:
 
     def table(t: Column) -> Column:
         rows = F.transform(F.slice(t["cells"], 2, 11), _row_text)
-        return F.concat(F.array(F.concat(F.lit("\nTable from page "), t["page"].cast("string"), F.lit(":")), _row_text(t["cells"][0])), rows, F.array(F.lit("")))
+        return F.concat(F.array(F.concat(F.lit(TABLE_TITLE), t["page"].cast("string"), F.lit(":")), _row_text(t["cells"][0])), rows, F.array(F.lit("")))
 
-    return _lines(_page_list(pages), _when(text != "", "--- Pinout Information ---\n", text, ""), _when(F.size(tables) > 0, "--- Pinout Tables ---\n"), F.flatten(F.transform(tables, table)))
+    return _lines(_page_list(pages), _when(text != "", INFORMATION_LINE, text, ""), _when(F.size(tables) > 0, TABLES_LINE), F.flatten(F.transform(tables, table)))
