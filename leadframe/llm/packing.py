@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .pretokens import Lexicon, pieces
 from .shared import gather, spans
 
-CAPACITY, SEGMENTS, WINDOW = 1024, 128, 1024
+CAPACITY, SEGMENTS, WINDOW, WORDS = 1024, 128, 1024, 8192
 
 
 class Packer:
@@ -159,9 +159,13 @@ def lexicon(path: str) -> Lexicon:
 
     def encode(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw, cuts = data.tobytes(), edge.tolist()
-        found = tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        return np.fromiter((x for word in ids for x in word), np.uint32), np.append(0, np.cumsum([len(word) for word in ids]))
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for at in range(0, len(cuts) - 1, WORDS):  # the library's results are large objects
+            here = cuts[at : at + WORDS + 1]
+            found = [e.ids for e in tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(here, here[1:])], add_special_tokens=False)]
+            ids.append(np.fromiter((x for word in found for x in word), np.uint32))
+            sizes.append(np.array([len(word) for word in found]))
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
 
     return Lexicon(encode)
 
