@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadframe.llm import langid, packing, simhash, toxicity
+from leadframe.llm import langid, neardup, packing, toxicity
 from leadframe.llm.queries import tokenizer
 from leadframe.llm.shared import durable, table
 
@@ -33,8 +33,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each component of texts that share 0.8 or more of their 5-word shingles: that with the smallest id."""
+    return neardup.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

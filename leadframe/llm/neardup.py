@@ -1,0 +1,296 @@
+"""Near copies of texts: sets of five-word shingles with a Jaccard similarity of 0.8 or more, found exactly.
+
+At that similarity SimHash fingerprints differ in 10 of 64 bits on average and often in 15 or more, so no radius of
+the Golay keys is both whole and selective. The candidates here come from prefixes instead. Put all shingles in one
+order, the same for every text. A set of n shingles shares at least 0.8 n of them with any partner, so the first
+n - ceil(0.8 n) + 1 shingles of both sets have one in common. Any order is exact; the one used puts shingles last that
+are frequent in a sample of about 4,096 documents, so that common passages seldom become keys.
+
+Texts with the same set are one node, so exact copies cost nothing. Rows that share a key are first compared with the
+first and with the foregoing row of that key, then with eight more, which links most of a group of near copies without
+all its pairs. Only pairs that are then still in different components are compared one by one, in blocks of bounded size; that part grows with
+the square of the number of such rows under a key. Every link is checked on the whole sets.
+
+Defined cases: words are as in `simhash` (lower-cased in A-Z, cut at ASCII white space); a text of fewer than five words
+is one shingle; null and empty texts, and texts of white space only, have the empty set and are copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import durable, gather, slices, spans
+from .simhash import CHUNK, SEED, stars, word_stream
+from .xxh64 import hash_ranges
+
+SHINGLE = 5
+#: Two sets are near copies if 5 x their common shingles is 4 x their union or more.
+PART, WHOLE = 4, 5
+SAMPLE = 4096
+HEAVY = 1 << 16
+BLOCK = 4096
+BITS = 1 << 23
+PIVOTS = 8
+KEY_ROW = "key long, node long, n int, at int"
+
+
+# --- sets of shingles ---------------------------------------------------------------------------------------------
+
+
+def sets_of(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the distinct shingle hashes of row i, ascending, are hashes[bounds[i]:bounds[i+1]]."""
+    text, starts, ends, words = word_stream(data, edge)
+    counts = np.where(words >= SHINGLE, words - SHINGLE + 1, (words > 0).astype(np.int64))
+    row = np.repeat(np.arange(len(words)), counts)
+    left = (np.cumsum(words) - words)[row] + np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+    right = left + np.minimum(words[row], SHINGLE) - 1
+    h = np.zeros(len(row), np.uint64)
+    for at in range(0, len(row), 1 << 15):
+        a, b = left[at : at + (1 << 15)], right[at : at + (1 << 15)]
+        h[at : at + (1 << 15)] = hash_ranges(text, starts[a], ends[b] - starts[a], SEED)
+    order = np.lexsort((h, row))
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(words)))])
+
+
+def nodes_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One hash for each set; 0 for the empty one."""
+    size = np.diff(bounds)
+    node = np.zeros(len(size), np.int64)
+    some = np.flatnonzero(size)
+    node[some] = hash_ranges(h.view(np.uint8), 8 * bounds[some], 8 * size[some], SEED).view(np.int64)
+    return node
+
+
+def heavy_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending, and counts) of shingles in several documents of a bounded sample. They only set the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts, ends = spans(batch.column(0))
+            for a, b in slices(starts, ends, CHUNK):
+                h, _ = sets_of(*gather(data, starts[a:b], ends[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["key"])
+
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    chosen = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(text_col)
+    counted = chosen.mapInArrow(run, "key long").groupBy("key").count().where("count > 1")
+    top = counted.orderBy(F.desc("count"), "key").limit(HEAVY).toArrow()
+    key = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], top.column("count").to_numpy()[order]
+
+
+def _lists(size: np.ndarray, h: np.ndarray, valid: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)), mask=pa.array(~valid))
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, print, node, n, prefix): `print` is a hash of the text; a task writes the prefix with the first of its rows
+    that has a node, and null with the others."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    heavy, often = heavy_shingles(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            data, starts, ends = spans(batch.column(2))
+            for a, b in slices(starts, ends, CHUNK):
+                h, bounds = sets_of(*gather(data, starts[a:b], ends[a:b]))
+                node, size = nodes_of(h, bounds), np.diff(bounds)
+                fresh = np.zeros(b - a, bool)
+                for i, x in enumerate(node.tolist()):
+                    if x not in seen:
+                        fresh[i] = True
+                        seen.add(x)
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                rank = np.zeros(len(h), np.int64)
+                if len(heavy):
+                    place = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                    rank = np.where(heavy[place] == h, often[place], 0)
+                row = np.repeat(np.arange(b - a), size)
+                length = np.where(fresh, size + (size > 0) - (PART * size + WHOLE - 1) // WHOLE, 0)
+                order = np.lexsort((h, rank, row))
+                order = order[np.arange(len(h)) - bounds[row] < length[row]]
+                lists = _lists(length, h[order], fresh)
+                own = batch.slice(a, b - a)
+                columns = [own.column(0), own.column(1), pa.array(node), pa.array(size.astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "print", "node", "n", "prefix"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, print long, node long, n int, prefix array<long>")
+
+
+def sets_for(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of these nodes (node, distinct). A bitmap of 1 MB holds back nearly all other sets before the
+    shuffle, and the join the rest of them."""
+    slot = F.pmod("node", F.lit(BITS))
+    words = nodes.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).toArrow()
+    bitmap = np.zeros(BITS // 64, np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            data, starts, ends = spans(batch.column(0))
+            for a, b in slices(starts, ends, CHUNK):
+                h, bounds = sets_of(*gather(data, starts[a:b], ends[a:b]))
+                node, size = nodes_of(h, bounds), np.diff(bounds)
+                at = node % BITS
+                wanted = (bitmap[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
+                for i in np.flatnonzero(wanted).tolist():
+                    if node[i] in seen:
+                        wanted[i] = False
+                    seen.add(int(node[i]))
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                h = h[np.repeat(wanted, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[wanted]), _lists(size[wanted], h, wanted[wanted])], names=["node", "shingles"])
+
+    found = docs.select(text_col).mapInArrow(run, "node long, shingles array<long>")
+    return found.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+# --- candidates and links -----------------------------------------------------------------------------------------
+
+
+def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles can be near copies if their first common shingle is at these places."""
+    return (WHOLE * np.minimum(n, m) >= PART * np.maximum(n, m)) & ((PART + WHOLE) * np.minimum(n - at, m - to) >= PART * (n + m))
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and node: those of keys with several nodes, with the first and the foregoing node if possible."""
+    names = ["key", "node", "n", "at"]
+    kept = [np.zeros(0, np.int64)] * 4  # the first row of the last key, then its last row
+    for batch in batches:
+        rows = [np.concatenate([k, batch.column(c).to_numpy().astype(np.int64)]) for k, c in zip(kept, names)]
+        key, node, n, at = rows
+        carried = len(kept[0])
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
+        take = np.flatnonzero(~same | (np.arange(len(key)) < carried))
+        key, node, n, at = (x[take] for x in rows)
+        head = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        first = np.repeat(head, np.diff(np.append(head, len(key))))
+        here = np.arange(len(key))
+        fresh = here >= carried
+        # A first row is given out with the second of its key, and only once.
+        late = first[fresh & (here > first)]
+        late = np.unique(late)
+        if carried == 2 and node[0] != node[1]:
+            late = late[late != 0]
+        i = np.flatnonzero(fresh & (here > first))
+        one, two = first[i], i - 1
+        star = _possible(n[i], at[i], n[one], at[one])
+        chain = _possible(n[i], at[i], n[two], at[two])
+        out = np.concatenate([late, i])
+        none = np.zeros(len(late), bool)
+        columns = [pa.array(key[out]), pa.array(node[out]), pa.array(n[out].astype(np.int32)), pa.array(at[out].astype(np.int32))]
+        for hit, other in ((star, one), (chain, two)):
+            columns.append(pa.array(np.concatenate([node[late], node[other]]), mask=~np.concatenate([none, hit])))
+        yield pa.RecordBatch.from_arrays(columns, names=[*names, "first", "foregoing"])
+        if len(key):
+            ends = [first[-1], len(key) - 1]
+            kept = [x[ends] for x in (key, node, n, at)]
+
+
+def _rest_pairs(rows: pa.Table, pivots: int | None) -> pa.Table:
+    """The possible pairs of rows in different components, in one pair of blocks of a key; only those with one of some
+    `pivots` rows, or all if that is None."""
+    node, n, at, root, mine = (rows.column(c).to_numpy() for c in ("node", "n", "at", "root", "mine"))
+    order = np.argsort(n, kind="stable")
+    node, n, at, root, mine = (x[order].astype(np.int64) for x in (node, n, at, root, mine))
+    crossing = len(np.unique(mine)) > 1
+    pivot = np.full(len(node), pivots is None)
+    pivot[np.argsort(node)[:pivots]] = True  # nodes are hashes, so this is a choice at random
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    upto = np.searchsorted(n, n * WHOLE // PART, "right")
+    for i in range(len(node)):
+        j = np.arange(i + 1, upto[i])
+        hit = (pivot[i] | pivot[j]) & (root[j] != root[i]) & _possible(n[i], at[i], n[j], at[j])
+        if crossing:
+            hit &= mine[j] != mine[i]
+        left.append(np.full(int(hit.sum()), node[i]))
+        right.append(node[j[hit]])
+    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sides = []
+        for name in ("left", "right"):
+            column = batch.column(name)
+            sides.append((column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])))
+        (x, xs), (y, ys) = sides
+        ok = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            both = np.sort(np.concatenate([x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]]))
+            common = int((both[1:] == both[:-1]).sum())
+            ok[i] = WHOLE * common >= PART * (len(both) - common)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
+
+
+def _judged(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+    """(a, b, ok): whether the sets of the nodes a and b are near copies. `pairs` is durable."""
+    sets = durable(sets_for(docs, text_col, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    return durable(both.select("a", "b", "left", "right").mapInArrow(_agreeing, "a long, b long, ok boolean"))
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _apart(met: DataFrame, tree: DataFrame, block: int, pivots: int | None) -> DataFrame:
+    """(a, b): possible pairs of nodes that share a key but not a component."""
+    rooted = met.select("key", "node", "n", "at").join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    rooted = durable(rooted.withColumn("root", F.coalesce("root", "node")))
+    mixed = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("rows > 3 and low < high")
+    dealt = rooted.join(mixed.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "key")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "at", "root", "mine")
+
+    def run(rows: pa.Table) -> pa.Table:
+        return _rest_pairs(rows, pivots)
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").select(*_ordered("a", "b")).distinct()
+
+
+def clusters(docs: DataFrame, marks: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(u, v): every node u that has near copies with the smallest node v of its component, v itself left out."""
+    rows = marks.where("n > 0 and prefix is not null").select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "n", "at")
+    met = durable(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_first_pairs, f"{KEY_ROW}, first long, foregoing long"))
+
+    pairs = met.select("node", F.explode(F.array("first", "foregoing")).alias("other")).where("other is not null").select(*_ordered("node", "other")).distinct()
+    judged = _judged(docs, text_col, durable(pairs))
+    tree = stars(judged.where("ok").select("a", "b"))
+    for pivots in (PIVOTS, None):
+        pairs = durable(_apart(met, tree, block, pivots).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            judged = judged.union(_judged(docs, text_col, pairs))
+            tree = stars(judged.where("ok").select("a", "b"))
+    return tree
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the row of each component that has its smallest id; of rows that repeat that id, one stays.
+
+    A row without an id can't be named as anyone's copy, so it stays."""
+    named = docs.where(F.col(id_col).isNotNull())
+    marks = durable(marked(named, id_col, text_col))
+    roots = clusters(named, marks, text_col).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rooted = marks.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left")
+    least = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias(id_col))
+    kept = named.join(least.select(id_col).hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
