@@ -284,13 +284,16 @@ def clusters(docs: DataFrame, marks: DataFrame, text_col: str = "text", block: i
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the row of each component that has its smallest id; of rows that repeat that id, one stays.
-
-    A row without an id can't be named as anyone's copy, so it stays."""
-    named = docs.where(F.col(id_col).isNotNull())
-    marks = durable(marked(named, id_col, text_col))
-    roots = clusters(named, marks, text_col).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = marks.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left")
-    least = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias(id_col))
-    kept = named.join(least.select(id_col).hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """All columns of one row of each component: that with its smallest id, nulls last, and then the smallest hash of the text.
+
+    Rows are told apart by id and text, so repeated ids and null ids are rows like any other. Rows that repeat both are
+    exact copies, of which any one stays."""
+    marks = durable(marked(docs, id_col, text_col))
+    roots = clusters(docs, marks, text_col).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "print")
+    rooted = marks.groupBy("node").agg(F.min(row).alias("least")).join(roots, "node", "left")
+    least = rooted.groupBy(F.coalesce("root", "node").alias("_root")).agg(F.min("least").alias("_least"))
+    least = least.select(F.col("_least.id").alias("_id"), F.col("_least.print").alias("_print")).hint("shuffle_hash")
+    with_print = docs.withColumn("_print_of_text", F.xxhash64(text_col))
+    kept = with_print.join(least, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_print_of_text") == F.col("_print")), "left_semi")
+    return kept.dropDuplicates([id_col, "_print_of_text"]).select(*(f"`{c}`" for c in docs.columns))

@@ -74,3 +74,11 @@ def test_stage_keeps_the_smallest_id_of_each_component(spark):
 
 def test_stage_on_an_empty_table(spark):
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_stage_tells_rows_apart_by_id_and_text(spark):
+    a, b, c, d = ("one two three four five six", "all of these words are others", "a text of its own here", "and yet another text than those")
+    rows = [(3, a), (7, a), (7, b), (9, b), (5, c), (5, d), (None, a), (None, "only without an id at all"), (None, "only without an id at all"), (None, None)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(3, a), (7, b), (5, c), (5, d), (None, "only without an id at all"), (None, None)]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
