@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary one is made. All executors share it, so what is kept there survives the loss of any of them.
+    The folder is the one the cluster names in spark.checkpoint.dir. All executors share it, so what is kept there
+    survives the loss of any of them. Where it is unset, one on this machine's disk is made if Spark runs in this
+    process alone; on a cluster that would lose data silently, so it is an error there.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leadframe-"))
     return df.checkpoint()
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what is run (not only planned) within: for wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remainder(doc_id: str, of: int) -> Column:
     """crc32 of the id written as text, modulo `of`; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % of

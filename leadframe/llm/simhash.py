@@ -12,12 +12,18 @@ keys, about 84 for each distinct fingerprint. Rows that share a key are compared
 
 Only distinct fingerprints are compared, so exact copies cost nothing. Within a key only a spanning forest of the
 links is emitted, never all pairs. A key with more than `block` fingerprints goes another exact way: its rows are
-dealt to pairs of blocks, each of bounded size. Components are found by alternating large-star and small-star steps,
-with all edges staying in Spark.
-
-Defined cases: null and empty texts, and texts of white space only, have fingerprint 0 and link like any other. Every
-input row gives one output row, repeated ids too. Null ids are allowed and never become a component's id unless all
-its ids are null. An empty table gives an empty result. Other columns are ignored, whatever their names.
+dealt to pairs of blocks, each of bounded size. Components are found by `components.components`.
+
+`components` gives every row its fingerprint and component. `keep_one` keeps one row of each group of near copies: texts
+that share 0.8 or more of their five-word shingles. At that similarity fingerprints differ in 10 of 64 bits on average and
+often in 15 or more, so no radius of the Golay keys is both whole and selective. The Golay links there lead to candidates,
+which are verified on the whole sets of shingles, and pairs that they don't reach are found by the exact search in
+`shingles`: first with neighbours and a few pivots under each key, then one by one where they are still apart.
+
+Defined cases: null and empty texts, and texts of white space only, have fingerprint 0 and link like any other; as sets of
+shingles they are copies of each other. Texts of any length are hashed whole, in pieces. Every input row gives one output
+row of `components`, repeated ids too. Null ids are allowed and never become a component's id unless all its ids are null.
+An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,16 +34,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable, gather, slices, spans
-from .xxh64 import hash_ranges
+from . import shingles
+from .components import components as connected
+from .components import spanning
+from .shared import durable
 
-SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-CHUNK = 1 << 19
 BLOCK = 1 << 16
 #: Fixed value: the generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the binary Golay code.
 GENERATOR = 0b110001110101
@@ -46,63 +52,14 @@ GENERATOR = 0b110001110101
 # --- fingerprints -----------------------------------------------------------------------------------------------
 
 
-def word_stream(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the rows data[edge[i]:edge[i+1]], lower-cased in A-Z, with one space after each.
-
-    Returns the normalised bytes, each word's start and end in them, and the number of words in each row."""
-    low = np.arange(256, dtype=np.uint8)
-    low[65:91] += 32
-    data = low[data]
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    first = ~blank
-    begins = first.copy()
-    begins[1:] &= blank[:-1]
-    heads = edge[:-1][edge[:-1] < edge[1:]]
-    begins[heads] = first[heads]
-    solid = np.flatnonzero(first)
-    word = np.cumsum(begins)[solid] - 1
-    place = np.arange(len(solid)) + word
-    n_words = int(word[-1]) + 1 if len(word) else 0
-    out = np.full(len(solid) + n_words, 32, np.uint8)
-    out[place] = data[solid]
-    starts = place[np.flatnonzero(begins[solid])]
-    ends = np.concatenate([starts[1:] - 1, [len(out) - 1]]) if n_words else starts
-    upto = np.concatenate([[0], np.cumsum(begins)])[edge]
-    return out, starts, ends, np.diff(upto)
-
-
-def fingerprints_of(data: np.ndarray, edge: np.ndarray, shingle: int) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of the rows. Long rows are hashed in pieces, so memory stays bounded."""
-    text, starts, ends, words = word_stream(data, edge)
-    rows = len(words)
-    counts = np.where(words >= shingle, words - shingle + 1, (words > 0).astype(np.int64))
-    ones = np.zeros((rows, 64), np.int64)
-    first_word = np.cumsum(words) - words
-    row_end = np.cumsum(counts)
-    total = int(row_end[-1]) if rows else 0
-    for at in range(0, total, 1 << 15):
-        i = np.arange(at, min(total, at + (1 << 15)))
-        row = np.searchsorted(row_end, i, "right")
-        left = first_word[row] + i - (row_end - counts)[row]
-        right = left + np.minimum(words[row], shingle) - 1
-        h = hash_ranges(text, starts[left], ends[right] - starts[left], SEED)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        new = np.flatnonzero(np.diff(row, prepend=-1))
-        ones[row[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp): the fingerprint as a signed long with the same bits."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts, ends = spans(batch.column(1))
-            fps = [np.zeros(0, np.int64)]
-            for a, b in slices(starts, ends, CHUNK):
-                fps.append(fingerprints_of(*gather(data, starts[a:b], ends[a:b]), shingle).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps))], names=["id", "fp"])
+            fps = [np.zeros(0, np.uint64)] + [shingles.fingerprint_bits(h, counts) for _, _, h, counts in shingles.hashed(batch.column(1), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64))], names=["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
@@ -152,6 +109,8 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(distinct: DataFrame) -> DataFrame:
+    """(key, fp). The fingerprints are few bytes and few partitions; they are dealt anew, as each gives dozens of keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy()
@@ -160,7 +119,8 @@ def keyed(distinct: DataFrame) -> DataFrame:
                 keys, owner = keys_of(part)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[owner])], names=["key", "fp"])
 
-    return distinct.select("fp").mapInArrow(run, "key int, fp long")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return distinct.select("fp").repartition(tasks, "fp").mapInArrow(run, "key int, fp long")
 
 
 # --- links --------------------------------------------------------------------------------------------------------
@@ -170,36 +130,20 @@ def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
     return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= max_bits
 
 
-def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[x]
-        if (up == x).all():
-            return x
-        x = up
-
-
-def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    while len(a):
-        a, b = _roots(parent, a), _roots(parent, b)
-        apart = a != b
-        a, b = a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-
-
 def forest(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key: edges (fp, root) that span the links between rows of equal key."""
     n = len(key)
-    parent = np.arange(n)
     head = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(head, n))
-    small = np.repeat((size > 1) & (size <= 64), size)
-    live = np.flatnonzero(small)
+    live = np.flatnonzero(np.repeat((size > 1) & (size <= 64), size))
     stop = np.repeat(head + size, size)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     lag = 1
     while len(live):
         live = live[live + lag < stop[live]]
         hit = live[_near(fp[live], fp[live + lag], max_bits)]
-        _unite(parent, hit, hit + lag)
+        left.append(hit)
+        right.append(hit + lag)
         lag += 1
     for at, many in zip(head[size > 64].tolist(), size[size > 64].tolist()):
         rest = np.arange(at, at + many)
@@ -208,12 +152,12 @@ def forest(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray,
             while frontier and len(rest):
                 near = _near(fp[rest], fp[frontier.pop()], max_bits)
                 found = rest[near]
-                parent[found] = root
+                left.append(found)
+                right.append(np.full(len(found), root))
                 frontier += found.tolist()
                 rest = rest[~near]
-    root = _roots(parent, np.arange(n))
-    child = np.flatnonzero(root != np.arange(n))
-    return fp[child], fp[root[child]]
+    child, root = spanning(np.concatenate(left), np.concatenate(right))
+    return fp[child], fp[root]
 
 
 def _edges(a, b, kind) -> pa.RecordBatch:
@@ -221,7 +165,7 @@ def _edges(a, b, kind) -> pa.RecordBatch:
 
 
 def links(distinct: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): edges between fingerprints that have the same components as all links within max_bits."""
+    """(a, b): edges between fingerprints that have the same components as all links within max_bits; some may repeat."""
     if not 0 <= max_bits <= 4:
         raise ValueError("the pigeonhole argument holds for 4 differing bits at most")
 
@@ -253,7 +197,7 @@ def links(distinct: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFra
 
     rows = keyed(distinct)
     found = durable(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, kind byte"))
-    edges = found.where("kind = 0").select("a", "b").distinct()
+    edges = found.where("kind = 0").select("a", "b")
     if found.where("kind = 1").isEmpty():
         return edges
 
@@ -272,56 +216,70 @@ def links(distinct: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFra
         .groupBy("key", "i", "j")
         .applyInArrow(pair, "a long, b long")
     )
-    return edges.unionByName(more).distinct()
+    return edges.unionByName(more)
 
 
 # --- components ----------------------------------------------------------------------------------------------------
 
 
-def _facing(u: Column, v: Column) -> list[Column]:
-    return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
-
-
-def stars(edges: DataFrame) -> DataFrame:
-    """(u, v): every node u of the edge list with the smallest node v of its component, v itself left out.
-
-    Alternates large-star and small-star until nothing changes; a round takes four shuffles of the edges, and the
-    number of rounds grows with the logarithm of the longest chain."""
-    u, v = F.col("u"), F.col("v")
-    now = durable(edges.select(*_facing(F.col("a"), F.col("b"))).where(u != v).distinct())
-    seen = None
-    while True:
-        # The sum may be of any size, so it is taken as a decimal.
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now
-        seen = mark
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least(u, v)).alias("m"))
-        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        now = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-
-
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
-    """(id_col, fp, component_id): fp as 16 hex digits; component_id is the smallest id reachable over links."""
-    marked = durable(fingerprints(docs, id_col, text_col, shingle))
-    distinct = durable(marked.groupBy("fp").agg(F.min("id").alias("least_id")))
-    tree = stars(links(distinct, max_bits, block))
-    rooted = distinct.join(tree.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the row of each component that has its smallest id; of rows that repeat that id, one stays.
-
-    A row without an id can't be named as anyone's copy, so it stays."""
-    named = docs.where(F.col(id_col).isNotNull())
-    groups = durable(components(named, id_col, text_col).groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("rows")))
-    kept = named.join(groups.where(F.col(id_col) == F.col("least")).select(id_col).hint("shuffle_hash"), id_col, "left_semi")
-    if not groups.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """(id_col, fp, component_id): fp as 16 hex digits; component_id is the smallest id reachable over links.
+
+    A fingerprint may be that of a third of all rows, and a component may hold a third of all fingerprints. Both sides of
+    the joins on them are written down before, so that AQE can split such a key; sums by key are partial before shuffles."""
+    rows = durable(fingerprints(docs, id_col, text_col, shingle))
+    distinct = durable(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
+    tree = connected(links(distinct, max_bits, block))
+    linked = tree.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(tree.select("v", "v").distinct())
+    linked = durable(linked.join(distinct, "fp"))
+    least = durable(linked.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    named = linked.join(least, "root").select("fp", "component_id")
+    named = durable(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "component_id")
+
+
+def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shingle: int = 5, block: int = shingles.BLOCK) -> DataFrame:
+    """(u, v): every node u of `marks` that has near copies, with the smallest node v of its component, v itself left out.
+
+    Components are those of all pairs of sets that share 0.8 of their union. `marks` is durable and from `shingles.marked`."""
+    fps = durable(marks.where("n > 0 and prefix is not null").groupBy("node").agg(F.min("fp").alias("fp")))
+    first = durable(fps.groupBy("fp").agg(F.min("node").alias("node")))
+    near = links(first)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+    alike = fps.withColumnRenamed("node", "x").join(first.withColumnRenamed("node", "y"), "fp").where("x <> y").select("x", "y")
+    candidates = durable(near.union(alike).select(*shingles.ordered("x", "y")).distinct())
+
+    meeting = durable(shingles.met(marks))
+    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).union(meeting.select("node")).distinct()
+    sets = durable(shingles.sets_for(docs, text_col, durable(wanted), shingle))
+
+    judged = shingles.judged(sets, candidates)
+    tree = connected(judged.where("ok").select("a", "b"))
+    steps = (lambda: shingles.neighbours(meeting), lambda: shingles.apart(meeting, tree, block, shingles.PIVOTS), lambda: shingles.apart(meeting, tree, block, None))
+    for step in steps:
+        pairs = durable(shingles.between(step(), tree).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            judged = judged.union(shingles.judged(sets, pairs))
+            tree = connected(judged.where("ok").select("a", "b"))
+    return tree
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """All columns of one row of each component of near copies: that with its smallest id, nulls last, and then the
+    smallest hash of the text.
+
+    Rows are told apart by id and text, so repeated ids and null ids are rows like any other. Rows that repeat both are
+    exact copies, of which any one stays."""
+    marks = durable(shingles.marked(docs, id_col, text_col, shingle))
+    roots = near_copies(docs, marks, text_col, shingle).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "print")
+    rooted = marks.groupBy("node").agg(F.min(row).alias("least")).join(roots, "node", "left")
+    least = rooted.groupBy(F.coalesce("root", "node").alias("_root")).agg(F.min("least").alias("_least"))
+    least = least.select(F.col("_least.id").alias("_id"), F.col("_least.print").alias("_print")).hint("shuffle_hash")
+    mark = "_print"
+    while mark in (*docs.columns, "_print"):
+        mark += "_"
+    kept = docs.withColumn(mark, F.xxhash64(text_col)).join(least, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_print")), "left_semi")
+    if not marks.groupBy("id", "print").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, mark])
+    return kept.select(*(f"`{c}`" for c in docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 # Fixed values of the published XXH64 definition.
 P1 = np.uint64(11400714785074694791)
@@ -20,13 +21,28 @@ def _mix(lane: np.ndarray) -> np.ndarray:
     return _rotate(lane * P2, 31) * P1
 
 
+#: Ranges beyond this many bytes are few; the library hashes them one by one.
+LONG = 1 << 12
+#: Bytes that a buffer needs after its last range; one that has them isn't copied.
+SPARE = 8
+
+
 def hash_ranges(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
     """Unsigned XXH64 of buffer[start:start+length] for every range. Ranges may overlap."""
     n = len(starts)
     if n == 0:
         return np.zeros(0, np.uint64)
-    padded = np.zeros(len(buffer) + 8, np.uint8)
-    padded[: len(buffer)] = buffer
+    if int(lengths.max()) > LONG:
+        out = np.zeros(n, np.uint64)
+        short = lengths <= LONG
+        out[short] = hash_ranges(buffer, starts[short], lengths[short], seed)
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = xxhash.xxh64_intdigest(buffer[starts[i] : starts[i] + lengths[i]].tobytes(), seed)
+        return out
+    padded = buffer
+    if int((starts + lengths).max()) + SPARE > len(buffer):
+        padded = np.zeros(len(buffer) + SPARE, np.uint8)
+        padded[: len(buffer)] = buffer
     eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
     four = np.ndarray((len(padded) - 3,), "<u4", padded, 0, (1,))
     seed64, at, left = np.uint64(seed), starts.astype(np.int64), lengths.astype(np.int64)

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadframe.llm import neardup
+from leadframe.llm import shingles, simhash
 
 
-def shingles(text):
+def shingles_of(text):
     words = [w for w in re.split("[ \t\n\v\f\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
@@ -51,17 +51,17 @@ def corpus(seed=1):
     return texts
 
 
-@pytest.mark.parametrize("seed,block", [(1, neardup.BLOCK), (2, 5)])
+@pytest.mark.parametrize("seed,block", [(1, shingles.BLOCK), (2, 5)])
 def test_components_are_those_of_all_pairs(spark, seed, block):
     texts = corpus(seed)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    marks = neardup.durable(neardup.marked(frame, "doc_id", "text"))
-    roots = neardup.clusters(frame, marks, "text", block).toDF("node", "root")
+    marks = simhash.durable(shingles.marked(frame, "doc_id", "text", 5))
+    roots = simhash.near_copies(frame, marks, "text", 5, block).toDF("node", "root")
     got = marks.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")).collect()
     least = {}
     for row in sorted(got):
         least.setdefault(row.root, row.id)
-    assert [least[row.root] for row in sorted(got)] == components([shingles(t) for t in texts])
+    assert [least[row.root] for row in sorted(got)] == components([shingles_of(t) for t in texts])
 
 
 def test_stage_keeps_the_smallest_id_of_each_component(spark):
@@ -69,7 +69,7 @@ def test_stage_keeps_the_smallest_id_of_each_component(spark):
     frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
     kept = corpus_pipeline.near_duplicates(spark, frame, "")
     assert kept.columns == frame.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components([shingles(t) for t in texts])))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components([shingles_of(t) for t in texts])))
 
 
 def test_stage_on_an_empty_table(spark):

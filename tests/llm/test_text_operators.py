@@ -14,7 +14,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leadframe.llm import bpe, packing, pretokens, simhash
+from leadframe.llm import bpe, packing, pretokens, shingles, simhash
+from leadframe.llm import components as connected
 from leadframe.llm.shared import gather, spans
 from leadframe.llm.xxh64 import hash_ranges
 
@@ -266,4 +267,59 @@ def test_components_of_nothing_and_of_null_ids(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.components(rows).collect())
     assert got == [(-1, -1), (-1, 7), (7, 7), (7, 7)]
     kept = simhash.keep_one(rows.withColumn("rows", rows.text)).collect()
-    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "other words over there"), (-1, "same words here now"), (7, "same words here now")]
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "other words over there"), (7, "same words here now")]
+
+
+@pytest.mark.parametrize("few", [1 << 20, 10])
+def test_components_of_edges_both_ways(spark, few):
+    """Long chains, a star, a cycle, loops and repeats: united by one task, or by star steps in Spark."""
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in range(100, 260)]
+    star = [(1000, x) for x in range(1001, 1060)]
+    edges = chain + star + [(7, 8), (8, 9), (9, 7), (5, 5), (7, 8), (-4, 1 << 60)]
+    edges = [edges[i] for i in rng.permutation(len(edges))]
+    got = connected.components(spark.createDataFrame(edges, "u long, v long").repartition(5), few=few).collect()
+    want = {(x, 100) for x in range(101, 261)} | {(x, 1000) for x in range(1001, 1060)} | {(8, 7), (9, 7), (1 << 60, -4)}
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert connected.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=80), st.integers(2, 60))
+def test_forest_in_bounded_memory_keeps_components(edges, limit):
+    a, b = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+    forest, sent = connected.Forest(limit), []
+    for i in range(0, len(edges), 3):
+        full = forest.add(a[i : i + 3], b[i : i + 3])
+        assert forest.size < limit
+        sent += [] if full is None else [full]
+    sent.append(forest.take())
+    u, v = (np.concatenate([s[k] for s in sent]) for k in (0, 1))
+    assert list(map(sorted, zip(*map(np.ndarray.tolist, connected.spanning(u, v))))) == list(map(sorted, zip(*map(np.ndarray.tolist, connected.spanning(a, b)))))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB\t\n é", max_size=40), max_size=12), st.integers(1, 6), st.integers(1, 30))
+def test_long_rows_are_hashed_in_pieces_without_a_trace(parts, shingle, limit):
+    data = np.frombuffer(" ".join(parts).encode(), np.uint8)
+    whole, counts = shingles.hashes(data, np.array([0, len(data)]), shingle)
+    assert shingles.hashes_of_long(data, shingle, limit).tolist() == whole.tolist() and counts.sum() == len(whole)
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    """64 MB of words: besides the text only its hashes are held, in a process of its own."""
+    code = """
+import resource
+import numpy as np
+from leadframe.llm import shingles
+data = np.frombuffer(b"some words of a very long document " * (64 * 1024 * 1024 // 35), np.uint8)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+h = shingles.hashes_of_long(data, 4)
+shingles.fingerprint_bits(h, np.array([len(h)]))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    import subprocess
+    import sys
+
+    used = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert used < 600  # 13 million words: 107 MB of hashes, twice while they are put together, and the rows they belong to
