@@ -3,7 +3,9 @@
 Texts are folded to lower case (A-Z and Latin-1 letters) and cut, whole, into windows of WINDOW bytes that overlap by the
 widest filter less one, so every byte sequence a filter can see lies in exactly one window. Each window gives class
 probabilities; a document's are their mean, weighted by the letters in each window. Training takes, of a bounded number
-of rows for each language, up to WINDOWS windows spread evenly over the row.
+of rows for each language (about ROWS, never over twice as many, of texts up to TEXT_BYTES long; longer ones aren't learned
+from), up to WINDOWS windows spread evenly over the row. Every language that occurs is learned: the sample and the table of
+their counts grow with the number of languages.
 
 Filters are applied through tables: the response of all filters to a pair of bytes is looked up, not computed.
 
@@ -13,19 +15,17 @@ Defined cases: a null text and one without any letter are `und` with score 0. Wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .convnet import ConvNet
-from .shared import gather, slices, spans
+from .shared import gather, map_texts, spans
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 STRIDE = WINDOW - max(WIDTHS) + 1
-ROWS, TEXT_BYTES, WINDOWS, LANGUAGES = 400, 1 << 16, 4, 256
+ROWS, TEXT_BYTES, WINDOWS = 400, 1 << 16, 4
 UNKNOWN = "und"
 
 
@@ -75,6 +75,12 @@ class LanguageModel:
         self.third, self.last = at[3][2], pair(at[4][2], at[4][3])
         self.net = net
 
+    def least(self, margin: float) -> float:
+        """The score over which a text counts as being in some language: this part of the way from a blind guess to certainty.
+        It means the same for any number of languages; with one language a text has nothing to be told apart from."""
+        blind = 1 / max(1, len(self.languages))
+        return blind + margin * (1 - blind)
+
     def probabilities(self, cut: np.ndarray) -> np.ndarray:
         """Class probabilities of each window."""
         if len(self.languages) == 1:
@@ -108,11 +114,11 @@ class LanguageModel:
 def sample(docs: DataFrame, learn: Column, rows: int, text_bytes: int) -> pa.Table:
     """(text, lang): about `rows` of each language and never over twice as many; chosen by a hash of the id."""
     fit = docs.where(learn & F.col("lang").isNotNull() & (F.octet_length("text") <= text_bytes))
-    counts = fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = fit.groupBy("lang").count().collect()
     if not counts:
         return pa.table({"text": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
     # A hash below the language's share: one pass, no shuffle, however unequal the languages are.
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.5 * rows / r["count"]))) for r in counts))
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * rows / r["count"])))))[F.col("lang")]
     uniform = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003)
     return fit.where(uniform < share).orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id", "text").limit(2 * rows * len(counts)).select("text", "lang").toArrow()
 
@@ -141,29 +147,19 @@ def train(docs: DataFrame, learn: Column, rows: int = ROWS, text_bytes: int = TE
     return LanguageModel(languages, net)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(id_col, carried columns, lang_pred, score) for each row."""
-    carry = carry or []
-    fields = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carry)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema if f.name != "_text") + ", lang_pred string, score double"
-    names = [f.name for f in fields.schema if f.name != "_text"] + ["lang_pred", "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, starts, ends = spans(batch.column(1))
-            best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for a, b in slices(starts, ends, 1 << 20):
-                own, edge = gather(data, starts[a:b], ends[a:b])
-                p = model.rows(own, edge) if model.languages else np.zeros((b - a, 1))
-                ascii_letter = ((own | 32) >= 97) & ((own | 32) <= 122)
-                seen = np.diff(np.append(0, np.cumsum(ascii_letter))[edge]) > 0
-                for i in np.flatnonzero(~seen & (np.diff(edge) > 0)).tolist():
-                    seen[i] = any(map(str.isalpha, own[edge[i] : edge[i + 1]].tobytes().decode()))
-                known = seen & bool(model.languages)
-                best.append(np.where(known, p.argmax(1), -1))
-                score.append(np.where(known, p.max(1), 0.0))
-            best, score = np.concatenate(best), np.clip(np.concatenate(score), 0, 1)
-            label = pa.array([UNKNOWN if i < 0 else model.languages[i] for i in best.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([c for k, c in enumerate(batch.columns) if k != 1] + [label, pa.array(score)], names=names)
-
-    return fields.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+    """(id_col, text_col if kept, carried columns, lang_pred, score) for each row."""
+
+    def judge(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        own, edge = gather(data, starts, ends)
+        p = model.rows(own, edge) if model.languages else np.zeros((len(starts), 1))
+        ascii_letter = ((own | 32) >= 97) & ((own | 32) <= 122)
+        seen = np.diff(np.append(0, np.cumsum(ascii_letter))[edge]) > 0
+        for i in np.flatnonzero(~seen & (np.diff(edge) > 0)).tolist():
+            seen[i] = any(map(str.isalpha, own[edge[i] : edge[i + 1]].tobytes().decode()))
+        known = seen & bool(model.languages)
+        best = np.where(known, p.argmax(1), -1)
+        label = pa.array([UNKNOWN if i < 0 else model.languages[i] for i in best.tolist()], pa.string())
+        return [label, pa.array(np.clip(np.where(known, p.max(1), 0.0), 0, 1).astype(float))]
+
+    return map_texts(docs, judge, "lang_pred string, score double", id_col, text_col, carry, keep_text)

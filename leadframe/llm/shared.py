@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -94,6 +94,34 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return data[np.repeat(starts - edge[:-1], lengths) + np.arange(edge[-1])], edge
 
 
+def map_texts(
+    docs: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], list[pa.Array]], added: str, id_col: str, text_col: str, carry: list[str] | None = None, keep_text: bool = False, chunk: int = 1 << 20
+) -> DataFrame:
+    """(id_col, text_col if kept, carried columns, added columns) of each row. `judge(bytes, starts, ends)` gives the added
+    columns for some rows whose texts add up to about `chunk` bytes. The text goes through Python once, kept or not, and
+    comes back in small batches, so what a task holds follows the batch and not the number of columns."""
+    names, inner = list(docs.columns), []
+    for name in ("_id", "_text"):
+        while name in names:
+            name += "_"
+        names.append(name)
+        inner.append(name)
+    fields = docs.select(F.col(id_col).alias(inner[0]), F.col(text_col).alias(inner[1]), *(carry or []))
+    kept = [k for k in range(len(fields.columns)) if k != 1 or keep_text]
+    schema = ", ".join([f"`{fields.schema[k].name}` {fields.schema[k].dataType.simpleString()}" for k in kept] + [added])
+    labels = [fields.columns[k] for k in kept] + [x.split()[0] for x in added.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts, ends = spans(batch.column(1))
+            for a, b in slices(starts, ends, chunk):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + judge(data, starts[a:b], ends[a:b]), names=labels)
+
+    out = fields.mapInArrow(run, schema)
+    return out.withColumnsRenamed({inner[0]: id_col} | ({inner[1]: text_col} if keep_text else {}))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, text_bytes: int, seed: int) -> pa.Table:
     """Bounded sample for fitting on the driver: (doc_id, text, lang, label), at most `rows` ids for each label 0 and 1.
 

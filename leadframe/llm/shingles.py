@@ -8,12 +8,20 @@ text itself only its hashes are held, 8 bytes for a word.
 
 Similar sets are those of which PART of WHOLE of the union is common. Candidates that no fingerprint leads to come from
 prefixes: put all shingles in one order, the same for every text. A set of n shingles shares at least 0.8 n of them with any
-partner, so the first n - ceil(0.8 n) + 1 shingles of both sets have one in common. Any order is exact; the one used puts
-shingles last that are frequent in a sample of about SAMPLE documents, so that common passages seldom become keys.
+partner, so the first n - ceil(0.8 n) + 1 shingles, its prefix, and that of the partner have one in common; more than one,
+in fact, and how many follows from the two sizes (`needed`). Pairs that share fewer keys are not similar and need no look at
+their sets. Any order is exact; the one used puts shingles last that are frequent in a sample of about SAMPLE documents, so
+that common passages seldom become keys.
+
+Under a key of up to three nodes all pairs are given out. Under a larger one nodes are paired with the first and the
+foregoing one, then with some pivots, which links most of a group of similar texts without all its pairs; only pairs that
+are then still in different components are given out one by one, in blocks of bounded size. That last part is what makes
+the search whole, and it grows with the square of the number of such nodes under a key.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +43,9 @@ BITS = 1 << 23
 PIVOTS = 8
 #: Pairs of sets in one Arrow batch.
 PAIRS_AT_ONCE = 512
-KEY_ROW = "key long, node long, n int, at int"
+#: Keys of up to this many nodes give all their pairs at once.
+FEW = 3
+MET = "key long, node long, n int, a long, b long, need int, small boolean"
 
 
 # --- words and hashes ---------------------------------------------------------------------------------------------
@@ -216,7 +226,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
                     place = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
                     rank = np.where(heavy[place] == h, often[place], 0)
                 row = np.repeat(np.arange(b - a), size)
-                length = np.where(fresh, size + (size > 0) - (PART * size + WHOLE - 1) // WHOLE, 0)
+                length = np.where(fresh & (size > 0), size + 1 - -(-PART * size // WHOLE), 0)
                 order = np.lexsort((h, rank, row))
                 order = order[np.arange(len(h)) - bounds[row] < length[row]]
                 own = batch.slice(a, b - a)
@@ -228,8 +238,8 @@ def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
 
 def sets_for(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of these nodes (node, distinct). A bitmap of 1 MB holds back nearly all other sets before the
-    shuffle, and the join the rest of them."""
+    """(node, shingles) of these nodes (node, distinct), and of a few others: a bitmap of 1 MB holds back nearly all of them
+    before the shuffle."""
     slot = F.pmod("node", F.lit(BITS))
     words = nodes.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits")).toArrow()
     bitmap = np.zeros(BITS // 64, np.uint64)
@@ -247,7 +257,7 @@ def sets_for(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(node[wanted]), _lists(size[wanted], h, wanted[wanted])], names=["node", "shingles"])
 
     found = docs.select(text_col).mapInArrow(run, "node long, shingles array<long>")
-    return found.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 # --- pairs of sets ------------------------------------------------------------------------------------------------
@@ -272,71 +282,94 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
 
-def judged(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, ok): whether the sets of the nodes a and b are similar. Both inputs are durable."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+def judged(docs: DataFrame, text_col: str, shingle: int, pairs: DataFrame) -> DataFrame:
+    """(a, b, ok): whether the sets of the nodes a and b are similar. `pairs` is durable."""
+    sets = durable(sets_for(docs, text_col, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), shingle))
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     with arrow_rows(pairs.sparkSession, PAIRS_AT_ONCE):
         return durable(both.select("a", "b", "left", "right").mapInArrow(_agreeing, "a long, b long, ok boolean"))
 
 
-def _possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m shingles can be similar if their first common shingle is at these places."""
-    return (WHOLE * np.minimum(n, m) >= PART * np.maximum(n, m)) & ((PART + WHOLE) * np.minimum(n - at, m - to) >= PART * (n + m))
+def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many prefix shingles similar sets of n and m have in common at least.
 
+    Common shingles that aren't in both prefixes lie behind that prefix which ends first, so there are no more of them than
+    the larger of what the sets have behind their prefixes."""
+    common = -(-PART * (n + m) // (PART + WHOLE))
+    behind = np.maximum(-(-PART * n // WHOLE), -(-PART * m // WHOLE)) - 1
+    return np.maximum(1, common - behind)
 
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node: those of keys with several nodes, with the first and the foregoing node if possible."""
-    names = ["key", "node", "n", "at"]
-    kept = [np.zeros(0, np.int64)] * 4  # the first row of the last key, then its last row
-    for batch in batches:
-        rows = [np.concatenate([k, batch.column(c).to_numpy().astype(np.int64)]) for k, c in zip(kept, names)]
-        key, node, n, at = rows
-        carried = len(kept[0])
-        same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
-        take = np.flatnonzero(~same | (np.arange(len(key)) < carried))
-        key, node, n, at = (x[take] for x in rows)
+
+def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return WHOLE * np.minimum(n, m) >= PART * np.maximum(n, m)
+
+
+def _met_batch(key=None, node=None, n=None, a=None, b=None, need=None, small=None) -> pa.RecordBatch:
+    """Rows of large keys (key, node, n), or pairs of nodes (a, b, need, small)."""
+    rows = len(node) if node is not None else len(a)
+    null = lambda x, kind: pa.nulls(rows, kind) if x is None else pa.array(x, kind)
+    columns = [null(key, pa.int64()), null(node, pa.int64()), null(n, pa.int32()), null(a, pa.int64()), null(b, pa.int64()), null(need, pa.int32()), null(small, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "a", "b", "need", "small"])
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n) sorted by key and node: the pairs of small keys, and of large ones the rows and the pairs of each
+    with the first and the foregoing."""
+    held = [np.zeros(0, np.int64)] * 3  # rows of the last key: all if there are few, else the first and the last one
+    large = False  # whether those held have been given out
+    for batch in itertools.chain(batches, [None]):
+        new = [np.zeros(0, np.int64)] * 3 if batch is None else [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "n")]
+        key, node, n = (np.concatenate(x) for x in zip(held, new))
+        done = len(held[0]) if large else 0
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
+        again[:done] = False
+        key, node, n = key[~again], node[~again], n[~again]
+        if not len(key):
+            continue
         head = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-        first = np.repeat(head, np.diff(np.append(head, len(key))))
+        size = np.diff(np.append(head, len(key)))
+        many = size > FEW
+        many[0] |= large
+        cut = len(key) if batch is None or many[-1] else int(head[-1])
+        if batch is not None:
+            large = bool(many[-1])
+            ends = [head[-1], len(key) - 1] if large else slice(cut, None)
+            held = [x[ends] for x in (key, node, n)]
         here = np.arange(len(key))
-        fresh = here >= carried
-        # A first row is given out with the second of its key, and only once.
-        late = first[fresh & (here > first)]
-        late = np.unique(late)
-        if carried == 2 and node[0] != node[1]:
-            late = late[late != 0]
-        i = np.flatnonzero(fresh & (here > first))
-        one, two = first[i], i - 1
-        star = _possible(n[i], at[i], n[one], at[one])
-        chain = _possible(n[i], at[i], n[two], at[two])
-        out = np.concatenate([late, i])
-        none = np.zeros(len(late), bool)
-        columns = [pa.array(key[out]), pa.array(node[out]), pa.array(n[out].astype(np.int32)), pa.array(at[out].astype(np.int32))]
-        for hit, other in ((star, one), (chain, two)):
-            columns.append(pa.array(np.concatenate([node[late], node[other]]), mask=~np.concatenate([none, hit])))
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, "first", "foregoing"])
-        if len(key):
-            ends = [first[-1], len(key) - 1]
-            kept = [x[ends] for x in (key, node, n, at)]
+        first, of_many = np.repeat(head, size), np.repeat(many, size)
+        rows = np.flatnonzero(of_many & (here >= done) & (here < cut))
+        yield _met_batch(key=key[rows], node=node[rows], n=n[rows])
+        second = np.flatnonzero((here > first) & (here >= done) & (here < cut))
+        far = second[second - 1 != first[second]]
+        x, y = np.concatenate([second, far]), np.concatenate([first[second], far - 1])
+        fit = _sizes_fit(n[x], n[y])
+        x, y = x[fit], y[fit]
+        yield _met_batch(a=np.minimum(node[x], node[y]), b=np.maximum(node[x], node[y]), need=needed(n[x], n[y]), small=~of_many[x])
 
 
 def met(marks: DataFrame) -> DataFrame:
-    """(key, node, n, at, first, foregoing): the nodes that share a prefix shingle with another one."""
-    rows = marks.where("n > 0 and prefix is not null").select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "n", "at")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_first_pairs, f"{KEY_ROW}, first long, foregoing long")
+    """What the nodes that share a prefix shingle have to do with each other, as MET: nodes of large keys, and pairs."""
+    rows = marks.where("n > 0 and prefix is not null").select(F.explode("prefix").alias("key"), "node", "n")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meetings, MET)
+
+
+def _often_enough(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, need, c) that share as many keys as they need."""
+    return pairs.groupBy("a", "b", "need").agg(F.sum("c").alias("c")).where("c >= need").select("a", "b")
 
 
 def neighbours(meeting: DataFrame) -> DataFrame:
-    """(a, b): every node with the first and the foregoing one under each of its keys, where they can be similar."""
-    return meeting.select("node", F.explode(F.array("first", "foregoing")).alias("other")).where("other is not null").select(*ordered("node", "other")).distinct()
+    """(a, b): the pairs that were given out together often enough."""
+    return _often_enough(meeting.where("a is not null").select("a", "b", "need", F.lit(1).alias("c")))
 
 
 def _rest_pairs(rows: dict[str, np.ndarray], pivots: int | None) -> pa.RecordBatch:
-    """The possible pairs of rows of one group (key, i, j) in different components; only those with one of some `pivots`
-    rows of the group, or all if that is None. Where a group is of two blocks, only pairs of both."""
+    """The pairs of rows of one group (key, i, j) in different components whose sizes fit; only those with one of some
+    `pivots` rows of the group, or all if that is None. Where a group is of two blocks, only pairs of both."""
     order = np.lexsort((rows["n"], rows["j"], rows["i"], rows["key"]))
-    key, i, j, node, n, at, root, mine = (rows[c][order] for c in ("key", "i", "j", "node", "n", "at", "root", "mine"))
+    key, i, j, node, n, root, mine = (rows[c][order] for c in ("key", "i", "j", "node", "n", "root", "mine"))
     here = np.arange(len(key))
     head = np.flatnonzero((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0))
     size = np.diff(np.append(head, len(key)))
@@ -350,13 +383,15 @@ def _rest_pairs(rows: dict[str, np.ndarray], pivots: int | None) -> pa.RecordBat
     live, lag = here, 1
     while len(live):
         live = live[live + lag < stop[live]]
-        live = live[WHOLE * n[live] >= PART * n[live + lag]]  # sizes ascend, so what is too large now stays so
+        live = live[_sizes_fit(n[live], n[live + lag])]  # sizes ascend, so what is too large now stays so
         a, b = live, live + lag
-        hit = (pivot[a] | pivot[b]) & (root[a] != root[b]) & ((i[a] == j[a]) | (mine[a] != mine[b])) & _possible(n[a], at[a], n[b], at[b])
+        hit = (pivot[a] | pivot[b]) & (root[a] != root[b]) & ((i[a] == j[a]) | (mine[a] != mine[b]))
         left.append(a[hit])
         right.append(b[hit])
         lag += 1
-    return pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]) for x in (left, right)], names=["a", "b"])
+    x, y = np.concatenate(left), np.concatenate(right)
+    columns = [pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(needed(n[x], n[y]).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "need"])
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], pivots: int | None) -> Iterator[pa.RecordBatch]:
@@ -377,20 +412,21 @@ def _by_group(batches: Iterator[pa.RecordBatch], pivots: int | None) -> Iterator
 
 
 def apart(meeting: DataFrame, tree: DataFrame, block: int, pivots: int | None) -> DataFrame:
-    """(a, b): possible pairs of nodes that share a key but not a component, in blocks of bounded size. The neighbours are all
-    pairs of a key with three rows."""
-    rooted = meeting.select("key", "node", "n", "at").join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-    rooted = durable(rooted.withColumn("root", F.coalesce("root", "node")))
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("rows > 3 and low < high")
+    """(a, b): pairs of nodes in different components that share as many keys as they need, as far as their keys' pairs are
+    given out: those of small keys, and of large ones all or those with pivots, in blocks of bounded size."""
+    rooted = meeting.where("key is not null").select("key", "node", "n").join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     dealt = rooted.join(durable(mixed.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))), "key")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "at", "root", "mine")
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "root", "mine")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_group(batches, pivots)
 
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
-    return found.select(*ordered("a", "b")).distinct()
+    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, need int")
+    small = meeting.where("small").select("a", "b", "need")
+    return between(_often_enough(found.union(small).withColumn("c", F.lit(1))), tree)
 
 
 def between(pairs: DataFrame, tree: DataFrame) -> DataFrame:

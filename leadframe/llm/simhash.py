@@ -250,16 +250,18 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
     candidates = durable(near.union(alike).select(*shingles.ordered("x", "y")).distinct())
 
     meeting = durable(shingles.met(marks))
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).union(meeting.select("node")).distinct()
-    sets = durable(shingles.sets_for(docs, text_col, durable(wanted), shingle))
-
-    judged = shingles.judged(sets, candidates)
-    tree = connected(judged.where("ok").select("a", "b"))
-    steps = (lambda: shingles.neighbours(meeting), lambda: shingles.apart(meeting, tree, block, shingles.PIVOTS), lambda: shingles.apart(meeting, tree, block, None))
+    judged, tree = None, None
+    steps = (
+        lambda: candidates.union(shingles.neighbours(meeting)).distinct(),
+        lambda: shingles.apart(meeting, tree, block, shingles.PIVOTS),
+        lambda: shingles.apart(meeting, tree, block, None),
+    )
     for step in steps:
-        pairs = durable(shingles.between(step(), tree).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            judged = judged.union(shingles.judged(sets, pairs))
+        pairs = step() if judged is None else step().join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = durable(pairs)
+        if judged is None or not pairs.isEmpty():
+            now = shingles.judged(docs, text_col, shingle, pairs)
+            judged = now if judged is None else judged.union(now)
             tree = connected(judged.where("ok").select("a", "b"))
     return tree
 
@@ -275,11 +277,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     row = F.struct(F.col("id").isNull().alias("last"), "id", "print")
     rooted = marks.groupBy("node").agg(F.min(row).alias("least")).join(roots, "node", "left")
     least = rooted.groupBy(F.coalesce("root", "node").alias("_root")).agg(F.min("least").alias("_least"))
-    least = least.select(F.col("_least.id").alias("_id"), F.col("_least.print").alias("_print")).hint("shuffle_hash")
-    mark = "_print"
-    while mark in (*docs.columns, "_print"):
-        mark += "_"
-    kept = docs.withColumn(mark, F.xxhash64(text_col)).join(least, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_print")), "left_semi")
-    if not marks.groupBy("id", "print").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, mark])
-    return kept.select(*(f"`{c}`" for c in docs.columns))
+    least = durable(least.select(F.col("_least.id").alias("_id"), F.col("_least.print").alias("_print")))
+    own = lambda d, i, p: d[i].eqNullSafe(F.col("_id")) & (d[p] == F.col("_print"))
+
+    # Rows that go, and rows that repeat id and text, mark a bitmap of 1 MB. Rows whose place in it is empty stay as they are;
+    # the others, few more than those that go, are compared exactly.
+    going = marks.select("id", "print").join(least, own(marks, "id", "print"), "left_anti")
+    repeated = durable(marks.groupBy("id", "print").count().where("count > 1").select("id", "print"))
+    place = lambda i, p: F.pmod(F.xxhash64(i, p), F.lit(shingles.BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))
+    slots = going.union(repeated).select(place("id", "print").alias("slot"))
+    bitmap = durable(slots.groupBy(F.floor(F.col("slot") / 64).alias("_word")).agg(F.bit_or(bit(F.col("slot"))).alias("_bits")))
+
+    names = {"print": "_print_of_text", "slot": "_slot_of_row"}
+    for name in names:
+        while names[name] in docs.columns:
+            names[name] += "_"
+    seen = docs.withColumn(names["print"], F.xxhash64(text_col)).withColumn(names["slot"], place(id_col, names["print"]))
+    seen = seen.join(F.broadcast(bitmap), F.floor(seen[names["slot"]] / 64) == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col(names["slot"]))) != 0, F.lit(False))
+    columns = [f"`{c}`" for c in docs.columns]
+    open_ = seen.where(hit).select(*columns, names["print"])
+    open_ = open_.join(least.hint("shuffle_hash"), own(open_, id_col, names["print"]), "left_semi")
+    if not repeated.isEmpty():
+        open_ = open_.dropDuplicates([id_col, names["print"]])
+    return seen.where(~hit).select(*columns).union(open_.select(*columns))

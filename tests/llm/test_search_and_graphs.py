@@ -136,7 +136,7 @@ def test_propagation_equals_power_iteration(spark):
     for kind, edges, start in (("trust", links, {"a": 1.0}), ("distrust", [(b, a, n) for a, b, n in links], {"c": 0.5})):
         out = {s: sum(n for a, _, n in edges if a == s) for s, _, _ in edges}
         now = dict(start)
-        for _ in range(linkgraph.ROUNDS):
+        for _ in range(linkgraph.rounds_for(linkgraph.DAMPING, linkgraph.RESIDUAL)):
             new = {h: (1 - linkgraph.DAMPING) * s for h, s in start.items()}
             for a, b, n in edges:
                 new[b] = new.get(b, 0) + linkgraph.DAMPING * n / out[a] * now.get(a, 0)
@@ -182,6 +182,47 @@ def test_tool_calls(spark):
     assert toolcalls.link(calls.where("false"), results, SCHEMAS).count() == 0
 
 
+def test_levels_of_long_chains_cycles_and_several_needs(spark):
+    """Against plain recursion: a chain of 1,000 calls, a cycle with a tail, fan-in over chains, a call that needs itself."""
+    needs = {i: [i - 1] if i else [] for i in range(1000)}
+    needs |= {2000: [2002], 2001: [2000], 2002: [2001], 2003: [2000], 2004: [2003, 5]}
+    needs |= {3000: [999, 10, 20], 3001: [3000, 7], 3002: [3001], 3003: [3002, 3000], 3004: [3004], 3005: [3004, 1]}
+    edges = [(1, f"c{k}", f"c{n}") for k, v in needs.items() for n in v]
+    calls = spark.createDataFrame([(1, f"c{k}") for k in needs], "conv_id long, call_id string")
+    got = {r.call_id: r.level for r in toolcalls.levels(calls, spark.createDataFrame(edges, "conv_id long, call_id string, needs string")).collect()}
+    want, waiting = {}, dict(needs)
+    while free := [k for k, v in waiting.items() if all(n in want for n in v)]:
+        want |= {k: max((want[n] + 1 for n in waiting[k]), default=0) for k in free}
+        waiting = {k: v for k, v in waiting.items() if k not in want}
+    assert got == {f"c{k}": v for k, v in want.items()}
+    assert got["c999"] == 999 and "c2004" not in got and "c3005" not in got
+
+
+def test_numbers_of_arguments(spark):
+    """Whole values are integers however they are written; the text loses zeros that say nothing, but not in strings."""
+    cases = [
+        ('{"a":99999999999999999999}', True, '{"a":99999999999999999999}'),
+        ('{"a":1e2}', True, '{"a":100}'),
+        ('{"a":5.0}', True, '{"a":5}'),
+        ('{"a": -5.00, "b": 2.50}', True, '{"a":-5,"b":2.5}'),
+        ('{"a":1.5}', False, '{"a":1.5}'),
+        ('{"a":"1.0"}', False, '{"a":"1.0"}'),
+        ('{"a":7,"b":1e-7}', True, '{"a":7,"b":1.0E-7}'),
+        ('{"b":[1.0,{"c":"x:1.0,\\\\\\"2.0,"}],"a":0.0}', True, None),
+    ]
+    calls = spark.createDataFrame([(1, f"c{i}", i, "any", text, None) for i, (text, _, _) in enumerate(cases)], "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    rows = sorted(toolcalls.link(calls, results, {"any": {"a": ("integer", True), "b": ("number", False)}}).collect(), key=lambda r: r.turn)
+    for row, (text, whole, json_text) in zip(rows, cases):
+        assert ("a is not integer" not in row.errors) == whole, (text, row.errors)
+        if json_text:
+            assert row.json.startswith('{"arguments":' + json_text + ',"id"'), (text, row.json)
+        assert json.loads(row.json)["arguments"] == json.loads(text)
+    long = '{"a":1,"b":"' + "\\n\\\"x" * 30_000 + '1.0,"}'
+    call = spark.createDataFrame([(1, "c", 0, "any", long, None)], calls.schema)
+    assert json.loads(toolcalls.link(call, results, {"any": {}}).first().json)["arguments"] == json.loads(long)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     from tests.harness import same
