@@ -13,23 +13,29 @@ from leadframe.llm import langid, packing, simhash, toxicity
 from leadframe.llm.queries import tokenizer
 from leadframe.llm.shared import durable, table
 
-#: A document whose best language has less than this mean probability is in no language that was learned.
-LEAST_LANGUAGE = 0.3
+#: A document is in some learned language if its best mean probability is this part of the way from a blind guess to 1.
+MARGIN = 0.1
+
+
+def _all(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def _others(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some learned language; those without letters, and those in none, go. `lang` stays as it came."""
     model = langid.train(docs, F.lit(True))
-    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id",)]
-    judged = langid.identify(docs.withColumn("_whole", F.col("text")), model, text_col="_whole", carry=others)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    judged = langid.identify(docs, model, carry=_others(docs), keep_text=True)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= model.least(MARGIN))).select(*_all(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id",)]
-    return toxicity.score(docs.withColumn("_whole", F.col("text")), model, text_col="_whole", carry=others).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, carry=_others(docs), keep_text=True).where("predicted = 0").select(*_all(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
