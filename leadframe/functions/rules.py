@@ -1,5 +1,9 @@
 """Ordered rule tables. The order matters wherever the first match wins; all of these are fixed values."""
 
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
 # Headings that announce pin information, first match wins.
 HEADING_PATTERNS = [
     r"pin\s*(?:configuration|out|description|mapping|definition)s?\b",
@@ -128,3 +132,16 @@ KNOWN_PINOUTS = [
     ("NE555", 8, ["VCC", "GND", "TRIGGER", "OUTPUT", "RESET", "CONTROL VOLTAGE", "THRESHOLD", "DISCHARGE"]),
 ]
 ERROR_STATUSES = ["error", "extraction_error", "llm_error"]
+
+
+@dataclass(frozen=True)
+class PageRules:
+    """What pages are scored by; a caller may bring other lists. Patterns are for lower-cased text, and their order counts."""
+
+    headings: list[str] = field(default_factory=lambda: HEADING_PATTERNS)
+    tables: list[str] = field(default_factory=lambda: TABLE_PATTERNS)
+    captions: list[str] = field(default_factory=lambda: CAPTION_PATTERNS)
+    keywords: list[str] = field(default_factory=lambda: DENSITY_KEYWORDS)
+
+
+PAGE_RULES = PageRules()

@@ -42,14 +42,23 @@ def extracted(candidates: DataFrame, tables: DataFrame, images: DataFrame) -> Da
     pages = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "page_number"))), lambda p: p["page_number"])
     content = candidates.groupBy("doc").agg(pages.alias("pages"), text.alias("text_content"))
 
+    own_tables, own_images = _gated(candidates, tables, images)
+    return _complete(content.join(own_tables, "doc", "left").join(own_images, "doc", "left"))
+
+
+def _gated(candidates: DataFrame, tables: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, tables) and (doc, images) of the candidates with the flags for them."""
+
     def of(side: DataFrame, flag: str, entry: Column, name: str) -> DataFrame:
         flagged = candidates.where(flag).select("doc", "doc_id", "page_number")
         return side.drop("doc", "page_number").join(flagged, "doc_id").groupBy("doc").agg(F.array_sort(F.collect_list(entry)).alias(name))
 
     own_tables = of(kept_tables(tables), "has_table", F.struct(F.col("page_number").alias("page"), "table_index", "cells"), "tables")
-    own_images = of(images, "has_diagram", F.struct(F.col("page_number").alias("page"), "image_index"), "images")
-    joined = content.join(own_tables, "doc", "left").join(own_images, "doc", "left")
-    return joined.withColumns({"tables": F.coalesce("tables", F.array().cast(TABLE_TYPE)), "images": F.coalesce("images", F.array().cast(IMAGE_TYPE))})
+    return own_tables, of(images, "has_diagram", F.struct(F.col("page_number").alias("page"), "image_index"), "images")
+
+
+def _complete(content: DataFrame) -> DataFrame:
+    return content.withColumns({"tables": F.coalesce("tables", F.array().cast(TABLE_TYPE)), "images": F.coalesce("images", F.array().cast(IMAGE_TYPE))})
 
 
 def is_pin_table(cells: Column) -> Column:
@@ -113,6 +122,35 @@ def filtered(content: DataFrame) -> DataFrame:
     return tables.withColumn("text_content", reassembled(kept_blocks(blocks(F.col("text_content")), pages)))
 
 
+def page_blocks(candidates: DataFrame) -> DataFrame:
+    """(doc, page_number, pos, page, text, last): the blocks of each candidate page, cut where the page lies.
+
+    A block is the same as if the pages' texts were joined before; only the very last line break of a document is missing
+    from its last page's last block, which `filtered_pages` adds."""
+    cut = F.posexplode(blocks(F.concat(marked(F.col("page_number"), F.col("text")), F.lit("\n")))).alias("pos", "b")
+    lines = candidates.select("doc", "doc_id", "page_number", F.size(blocks(F.concat(marked(F.col("page_number"), F.col("text")), F.lit("\n")))).alias("n"), cut)
+    return lines.select("doc", "page_number", "pos", F.col("b.page").alias("page"), F.col("b.text").alias("text"), (F.col("pos") == F.col("n") - 1).alias("last"))
+
+
+def filtered_pages(candidates: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """`filtered(extracted(...))`, but blocks are judged page by page, and only those that are kept are gathered.
+
+    What a document's row holds is then what its result holds: text without pins never leaves its page."""
+    pages = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "page_number"))), lambda p: p["page_number"])
+    heads = candidates.groupBy("doc").agg(pages.alias("pages"), F.max("page_number").alias("last_page"))
+    own_tables, own_images = _gated(candidates, tables.where(is_pin_table(F.col("cells"))), images)
+
+    table_pages = own_tables.select("doc", F.explode(F.array_distinct(F.transform("tables", lambda t: t["page"]))).alias("page"), F.lit(True).alias("has_pins"))
+    cut = page_blocks(candidates)
+    judged = cut.withColumn("keep", is_pin_section(F.col("text")) | has_strong_heading(F.col("text"))).join(table_pages, ["doc", "page"], "left")
+    kept = judged.where(F.col("keep") | F.coalesce("has_pins", F.lit(False))).join(heads.select("doc", "last_page"), "doc")
+    text = F.when(F.col("last") & (F.col("page_number") == F.col("last_page")), F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+    parts = kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_number", "pos", "page", text.alias("text")))).alias("kept"))
+    texts = parts.select("doc", reassembled(F.col("kept")).alias("text_content"))
+    joined = heads.drop("last_page").join(texts, "doc", "left").join(own_tables, "doc", "left").join(own_images, "doc", "left")
+    return _complete(joined).withColumn("text_content", F.coalesce("text_content", F.lit("")))
+
+
 def filtered_or_all(content: DataFrame) -> DataFrame:
     """Filtered content; where the filter leaves no text but there was some, everything unfiltered."""
     named = content.withColumns({"_text": F.col("text_content"), "_tables": F.col("tables")})

@@ -17,19 +17,24 @@ def measured(images: DataFrame, pages: DataFrame) -> DataFrame:
     return images.join(size, "doc_id").withColumn("area", area).withColumn("ratio", ratio).withColumn("is_large", F.col("ratio") > 0.2)
 
 
-def found_keywords(text: Column) -> Column:
-    return F.array_join(T.contained(F.lower(text), rules.IMAGE_KEYWORDS), ", ")
+def found_keywords(text: Column, keywords: list[str] = rules.IMAGE_KEYWORDS) -> Column:
+    return F.array_join(T.contained(F.lower(text), keywords), ", ")
 
 
-def analyzed(images: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages with images, their images in order, confidence and reasons. Points are added in one fixed order, as doubles."""
-    per_page = measured(images, pages).groupBy("doc_id").agg(
+def analyzed(images: DataFrame, pages: DataFrame, numbers: DataFrame | None = None, keywords: list[str] = rules.IMAGE_KEYWORDS) -> DataFrame:
+    """Pages with images, their images in order, confidence and reasons. Points are added in one fixed order, as doubles.
+
+    Text is read where it lies; `numbers` (doc_id, page_number, width, height) are those of pages that come without them."""
+    low = F.lower(T.text_or_empty(F.col("text")))
+    worded = pages.withColumns({"keywords": found_keywords(T.text_or_empty(F.col("text")), keywords), "figure": low.rlike(rules.FIGURE_PATTERN)}).drop("text")
+    if numbers is not None:
+        worded = worded.join(numbers.select("doc_id", "page_number", "width", "height"), "doc_id")
+    per_page = measured(images, numbers if numbers is not None else pages).groupBy("doc_id").agg(
         F.count("*").cast("int").alias("n_images"),
         F.max("is_large").alias("any_large"),
         F.array_sort(F.collect_list(F.struct("image_index", "width", "height", "area", "is_large"))).alias("images"),
     )
-    low = F.lower(T.text_or_empty(F.col("text")))
-    joined = per_page.join(pages.select("doc_id", "doc", "page_number", "text"), "doc_id").withColumns({"keywords": found_keywords(T.text_or_empty(F.col("text"))), "figure": low.rlike(rules.FIGURE_PATTERN)})
+    joined = per_page.join(worded.select("doc_id", "doc", "page_number", "keywords", "figure"), "doc_id")
     many = F.col("n_images") > 1
     points = F.when(F.col("any_large"), 0.5).otherwise(0.0)
     points = F.when(many, points + F.lit(0.2) * (F.col("n_images") - 1)).otherwise(points)
@@ -44,7 +49,7 @@ def analyzed(images: DataFrame, pages: DataFrame) -> DataFrame:
         ),
         lambda r: r.isNotNull(),
     )
-    return joined.withColumns({"confidence": points, "reasons": reasons}).drop("text")
+    return joined.withColumns({"confidence": points, "reasons": reasons})
 
 
 def image_pages(analysis: DataFrame, min_confidence: float = 0.3, require_large: bool = True) -> DataFrame:

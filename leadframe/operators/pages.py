@@ -16,18 +16,18 @@ KEY = "doc_id"
 LOW, HIGH = 0.2, 0.7
 
 
-def heading_pattern(text: Column) -> Column:
+def heading_pattern(text: Column, patterns: list[str] = rules.HEADING_PATTERNS) -> Column:
     """The first heading pattern found in one of the first ten lines, or null."""
-    return T.first_match(T.first_lines(F.lower(text), 10), rules.HEADING_PATTERNS)
+    return T.first_match(T.first_lines(F.lower(text), 10), patterns)
 
 
 def header_text(cells: Column) -> Column:
     return F.lower(T.cells_text(cells[0], ""))
 
 
-def table_scores(tables: DataFrame) -> DataFrame:
+def table_scores(tables: DataFrame, patterns: list[str] = rules.TABLE_PATTERNS) -> DataFrame:
     """(doc_id, table_matches): the matches in the header of the page's first table with two or more of them."""
-    fit = tables.where(F.size("cells") >= 2).select(KEY, "table_index", T.count_matches(header_text(F.col("cells")), rules.TABLE_PATTERNS).alias("matches"))
+    fit = tables.where(F.size("cells") >= 2).select(KEY, "table_index", T.count_matches(header_text(F.col("cells")), patterns).alias("matches"))
     return fit.where("matches >= 2").groupBy(KEY).agg(F.min(F.struct("table_index", "matches")).alias("first")).select(KEY, F.col("first.matches").alias("table_matches"))
 
 
@@ -36,31 +36,39 @@ def image_areas(images: DataFrame) -> DataFrame:
     return images.groupBy(KEY).agg(F.sum(area).alias("image_area"))
 
 
-def keyword_count(text: Column) -> Column:
+def keyword_count(text: Column, keywords: list[str] = rules.DENSITY_KEYWORDS) -> Column:
     low = F.lower(text)
-    return sum((T.occurrences(low, k) for k in rules.DENSITY_KEYWORDS), F.lit(0))
+    return sum((T.occurrences(low, k) for k in keywords), F.lit(0))
 
 
 def in_position(page: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(page.cast("double"), total.cast("double")).between(LOW, HIGH), F.lit(False))
 
 
-def score(pages: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, verify_from: int = 3) -> DataFrame:
-    """Every page with its parts, score, reasons and verification mark. What depends on the
-    text is computed before the joins, so the text itself is shuffled only if the caller selects it."""
+def features(pages: DataFrame, rule_set: rules.PageRules = rules.PAGE_RULES) -> DataFrame:
+    """Pages without their text, with what the scores need of it. This is a projection: the text is read where it lies."""
     text = T.text_or_empty(F.col("text"))
-    base = pages.withColumn("text", text)
-    parts = base.withColumns(
-        {
-            "heading": heading_pattern(F.col("text")),
-            "caption": T.first_match(F.lower("text"), rules.CAPTION_PATTERNS),
-            "keywords": keyword_count(F.col("text")),
-            "words": T.word_count(F.col("text")),
-            "positioned": in_position(F.col("page_number"), F.col("total_pages")),
-            "short": F.length(T.strip(F.col("text"))) < 100,
-        }
-    )
-    joined = parts.join(table_scores(tables), KEY, "left").join(image_areas(images), KEY, "left")
+    found = {
+        "heading": heading_pattern(text, rule_set.headings),
+        "caption": T.first_match(F.lower(text), rule_set.captions),
+        "keywords": keyword_count(text, rule_set.keywords),
+        "words": T.word_count(text),
+        "short": F.length(T.strip(text)) < 100,
+    }
+    return pages.select(*(c for c in pages.columns if c != "text"), *(c.alias(k) for k, c in found.items()))
+
+
+def score(pages: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, verify_from: int = 3, numbers: DataFrame | None = None, rule_set: rules.PageRules = rules.PAGE_RULES) -> DataFrame:
+    """Every page with its parts, score, reasons and verification mark, and without its text; join the pages on doc_id for
+    that. Only what was found in the text goes into joins.
+
+    `numbers` (doc_id, page_number, total_pages, width, height) gives the numbers of pages that come without them;
+    `rule_set` holds patterns and keywords of the caller."""
+    parts = features(pages, rule_set)
+    if numbers is not None:
+        parts = parts.join(numbers.select(KEY, "page_number", "total_pages", "width", "height"), KEY)
+    parts = parts.withColumn("positioned", in_position(F.col("page_number"), F.col("total_pages")))
+    joined = parts.join(table_scores(tables, rule_set.tables), KEY, "left").join(image_areas(images), KEY, "left")
     covered = F.coalesce(F.try_divide(F.col("image_area"), F.col("width") * F.col("height")), F.lit(0.0))
     flags = joined.withColumns(
         {

@@ -97,9 +97,9 @@ IMAGES = f"""measured as (
 )"""
 
 # --- scans, sources, sinks
-add("s2_rescan", "select doc, doc_id, page_number, cast(length(coalesce(text, '')) as int) as n_chars from v_pages", "v_pages")
+add("s2_rescan", "select doc, doc_id, page_number, cast(length(coalesce(text, '')) as int) as n_chars, md5(coalesce(text, '')) as text_md5 from v_pages", "v_pages")
 add("s4_page_numbers", "select doc, doc_id, page_number from v_pages", "v_pages")
-add("s5_text", "select doc_id, md5(case when doc_id % 9 <> 0 then text else '' end) as text_md5 from v_pages", "v_pages")
+add("s5_text_ninth_null", "select doc_id, md5(case when doc_id % 9 <> 0 then text else '' end) as text_md5 from v_pages", "v_pages")
 add("s6_single_page", "select doc, page_number, md5(text) as text_md5 from v_pages where page_number = 3", "v_pages")
 add("s7_tables", "select doc_id, table_index, n_rows from v_page_tables where n_rows >= 2", "v_page_tables")
 STORED = "stored as (select i.*, p.page_number, case when (i.doc_id + i.image_index) % 7 <> 0 then i.doc || '-' || i.image_index end as data from v_page_images i join v_pages p using (doc_id))"

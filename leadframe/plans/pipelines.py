@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from ..operators import content, layout, pages, packages, render, responses
 
 
-def text_flow(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5) -> DataFrame:
+def candidate_pages(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, numbers: DataFrame | None = None) -> DataFrame:
+    """The pages that score enough, with their text, which is fetched once it is known which those are."""
+    scored = pages.score(page_rows, tables, images, numbers=numbers).where(F.col("score") >= min_score)
+    return scored.join(page_rows.select("doc_id", "text"), "doc_id")
+
+
+def text_flow(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, numbers: DataFrame | None = None) -> DataFrame:
     """Content of each document's relevant pages, filtered, with the prompt for a model."""
-    candidates = pages.score(page_rows, tables, images).where(F.col("score") >= min_score)
+    candidates = candidate_pages(page_rows, tables, images, min_score, numbers)
     kept = content.filtered_or_all(content.extracted(candidates, tables, images))
     return kept.withColumn("prompt", responses.pin_prompt(F.col("text_content")))
 

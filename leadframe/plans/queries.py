@@ -34,19 +34,27 @@ class Data:
 
     @property
     def scored(self) -> DataFrame:
-        return pages.score(self.v_pages, self.tables, self.v_page_images)
+        return pages.score(self.v_page_text, self.tables, self.v_page_images, numbers=self.v_page_numbers)
 
     @property
     def candidates(self) -> DataFrame:
-        return self.scored.where("score >= 5")
+        return pipelines.candidate_pages(self.v_page_text, self.tables, self.v_page_images, numbers=self.v_page_numbers)
+
+    def numbered(self, *columns) -> DataFrame:
+        """The pages' numbers with columns that are computed where the text lies."""
+        return self.v_page_numbers.join(self.v_page_text.select("doc_id", *columns), "doc_id")
 
     @property
     def content(self) -> DataFrame:
         return content.extracted(self.candidates, self.tables, self.v_page_images)
 
+    @property
+    def filtered_pages(self) -> DataFrame:
+        return content.filtered_pages(self.candidates, self.tables, self.v_page_images)
+
     @property
     def analysis(self) -> DataFrame:
-        return images.analyzed(self.v_page_images, self.v_pages)
+        return images.analyzed(self.v_page_images, self.v_page_text, self.v_page_numbers)
 
     @property
     def sized(self) -> DataFrame:
@@ -76,16 +84,17 @@ md5 = lambda c: F.md5(c.cast("binary"))
 
 # Scans, sources, sinks
 simple("s1_page_scan", lambda d: providers.decoded(d.pages.select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content")), providers.PlainTextSource()).select("doc", "page_number", "total_pages", F.length("text").alias("n")))
-simple("s2_rescan", lambda d: d.v_pages.select("doc", "doc_id", "page_number", F.length(T.text_or_empty(F.col("text"))).alias("n_chars")))
+simple("s2_rescan", lambda d: d.numbered(F.length(T.text_or_empty(F.col("text"))).alias("n_chars"), md5(T.text_or_empty(F.col("text"))).alias("text_md5")).select("doc", "doc_id", "page_number", "n_chars", "text_md5"))
 simple("s3_image_scan", lambda d: providers.page_images(d.pages.select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content")), providers.PlainTextSource()).select("doc", "page_number", "image_index", F.length("data").alias("n")))
-simple("s4_page_numbers", lambda d: d.v_pages.select("doc", "doc_id", "page_number"))
-simple("s5_text", lambda d: d.v_pages.select("doc_id", md5(T.text_or_empty(F.when(F.col("doc_id") % 9 != 0, F.col("text")))).alias("text_md5")))
+simple("s4_page_numbers", lambda d: d.v_page_numbers.select("doc", "doc_id", "page_number"))
+# The documents have no null texts, so each ninth text counts as null here; the name says so.
+simple("s5_text_ninth_null", lambda d: d.v_page_text.select("doc_id", md5(T.text_or_empty(F.when(F.col("doc_id") % 9 != 0, F.col("text")))).alias("text_md5")))
 simple("s6_single_page", lambda d: content.single_page(d.v_pages, 3).select("doc", "page_number", md5(F.col("text")).alias("text_md5")))
 simple("s7_tables", lambda d: content.kept_tables(d.tables).select("doc_id", "table_index", F.size("cells").alias("n_rows")))
-stored = lambda d: d.v_page_images.join(d.v_pages.select("doc_id", "page_number"), "doc_id").withColumn("data", F.when((F.col("doc_id") + F.col("image_index")) % 7 != 0, F.encode(F.concat_ws("-", "doc", "image_index"), "UTF-8")))
+stored = lambda d: d.v_page_images.join(d.v_page_numbers.select("doc_id", "page_number"), "doc_id").withColumn("data", F.when((F.col("doc_id") + F.col("image_index")) % 7 != 0, F.encode(F.concat_ws("-", "doc", "image_index"), "UTF-8")))
 simple("s8_content_images", lambda d: stored(d).where("data is not null").select("doc_id", "image_index", F.base64("data").alias("data")))
 simple("s9_detector_images", lambda d: stored(d).select("doc_id", "image_index", F.base64("data").alias("data")))
-simple("s10_bulk_images", lambda d: images.of_pages(stored(d), d.v_pages.select("doc", F.explode(F.array(F.lit(2), F.lit(5), F.lit(100000))).alias("page_number")).distinct()).select("doc", "page_number", "image_index"))
+simple("s10_bulk_images", lambda d: images.of_pages(stored(d), d.v_page_numbers.select("doc", F.explode(F.array(F.lit(2), F.lit(5), F.lit(100000))).alias("page_number")).distinct()).select("doc", "page_number", "image_index"))
 simple("s11_image_files", lambda d: stored(d).where("data is not null").select("doc", "doc_id", images.file_names().alias("file_name")))
 simple("s12_chat_answers", lambda d: providers.answered(d.v_components.select("comp_id", F.to_json(responses.pin_prompt(F.col("component_name"))).alias("request")), providers.FixedAnswers()).select("comp_id", "response"))
 simple("s13_vision_answers", lambda d: providers.answered(stored(d).select("doc_id", "image_index", responses.vision_prompt(F.col("doc")).alias("request"), "data"), providers.FixedAnswers('{"status": 1}'), image="data").select("doc_id", "image_index", "response"))
@@ -93,11 +102,11 @@ simple("s14_layout_fences", lambda d: d.v_llm_responses.select("comp_id", T.unfe
 simple("s15_draw_rows", lambda d: pipelines.drawing_flow(d.v_llm_responses).groupBy("comp_id").agg(F.count("*").alias("n_rows")))
 simple("s17_valid_inputs", lambda d: providers.valid_inputs(d.v_files).select("file_id", "path"))
 simple("s18_listing", lambda d: providers.valid_inputs(d.v_files).orderBy("path").select("path"))
-simple("s19_base64", lambda d: d.v_pages.select("doc_id", md5(images.base64(F.encode("text", "UTF-8"))).alias("encoded_md5")))
+simple("s19_base64", lambda d: d.v_page_text.select("doc_id", md5(images.base64(F.encode("text", "UTF-8"))).alias("encoded_md5")))
 
 # Page scores
 simple("p1_heading_score", lambda d: d.scored.select("doc_id", "heading", "heading_score"))
-simple("p2_heading_line", lambda d: d.v_pages.select("doc_id", pages.heading_pattern(F.col("text")).isNotNull().alias("is_heading")))
+simple("p2_heading_line", lambda d: d.v_page_text.select("doc_id", pages.heading_pattern(F.col("text")).isNotNull().alias("is_heading")))
 simple("p3_table_score", lambda d: d.scored.select("doc_id", "table_matches", "table_score", "has_table"))
 simple("p4_header_text", lambda d: d.tables.select("doc_id", "table_index", pages.header_text(F.col("cells")).alias("header_text")))
 simple("p5_diagram_score", lambda d: d.scored.select("doc_id", "has_diagram", "diagram_score"))
@@ -111,9 +120,9 @@ simple("p12_low_confidence", lambda d: pages.low_confidence(d.scored).select("do
 simple("p13_retry_lower", lambda d: pages.relevant_or_lower(d.scored).select("doc", "page_number", "score"))
 
 # Image pages
-simple("i1_image_area", lambda d: images.measured(d.v_page_images, d.v_pages).select("doc_id", "image_index", "area", "ratio", "is_large"))
+simple("i1_image_area", lambda d: images.measured(d.v_page_images, d.v_page_numbers).select("doc_id", "image_index", "area", "ratio", "is_large"))
 simple("i2_image_confidence", lambda d: d.analysis.select("doc_id", "n_images", "any_large", "confidence"))
-simple("i3_found_keywords", lambda d: d.v_pages.select("doc_id", images.found_keywords(F.col("text")).alias("keywords")))
+simple("i3_found_keywords", lambda d: d.v_page_text.select("doc_id", images.found_keywords(F.col("text")).alias("keywords")))
 simple("i4_image_pages", lambda d: images.image_pages(d.analysis).select("doc", "page_number", "confidence", "rank"))
 simple("i5_page_analysis", lambda d: d.analysis.select("doc_id", joined(F.transform("images", lambda i: F.concat_ws(":", i["image_index"], i["is_large"])), " ").alias("images"), joined(F.col("reasons"), "; ").alias("reasons")))
 
@@ -124,15 +133,15 @@ simple("c1_gated_extract", lambda d: d.content.select("doc", pages_text("pages")
 simple("c2_page_marker", lambda d: d.v_pages.select("doc_id", md5(content.marked(F.col("page_number"), F.col("text"))).alias("marked_md5")))
 simple("c3_filter_fallback", lambda d: content.filtered_or_all(d.content.withColumn("text_content", F.when(F.substring("doc", -1, 1) == "1", F.lit("no marker here")).otherwise(F.col("text_content")))).select("doc", md5(F.col("text_content")).alias("text_md5"), tables_text("tables").alias("tables")))
 simple("c4_pin_tables", lambda d: d.tables.select("doc_id", "table_index", content.is_pin_table(F.col("cells")).alias("is_pin_table")))
-simple("c5_pin_sections", lambda d: d.v_pages.select("doc_id", content.is_pin_section(F.col("text")).alias("is_section")))
+simple("c5_pin_sections", lambda d: d.v_page_text.select("doc_id", content.is_pin_section(F.col("text")).alias("is_section")))
 simple("c6_filter_tables", lambda d: d.tables.where(content.is_pin_table(F.col("cells"))).select("doc_id", "table_index"))
 cut = lambda d: d.v_marked_text.select("id", content.blocks(F.col("text")).alias("blocks"))
 simple("c7_segments", lambda d: cut(d).select("id", F.posexplode("blocks").alias("pos", "b")).select("id", "pos", F.col("b.page").alias("page"), md5(F.col("b.text")).alias("text_md5")))
 kept = lambda d: cut(d).withColumn("kept", content.kept_blocks(F.col("blocks"), F.array((F.col("id") % 3).cast("int"))))
 simple("c8_block_filter", lambda d: kept(d).select("id", joined(F.transform("kept", lambda b: b["page"].cast("string"))).alias("pages")))
 simple("c9_reassemble", lambda d: kept(d).select("id", md5(content.reassembled(F.col("kept"))).alias("text_md5")))
-simple("c10_pages_kept", lambda d: content.filtered(d.content).select("doc", pages_text("pages").alias("pages")))
-simple("c11_filter_content", lambda d: content.filtered(d.content).select("doc", md5(F.col("text_content")).alias("text_md5"), tables_text("tables").alias("tables"), F.size("images").alias("n_images")))
+simple("c10_pages_kept", lambda d: d.filtered_pages.select("doc", pages_text("pages").alias("pages")))
+simple("c11_filter_content", lambda d: d.filtered_pages.select("doc", md5(F.col("text_content")).alias("text_md5"), tables_text("tables").alias("tables"), F.size("images").alias("n_images")))
 simple("c12_prompt_full", lambda d: d.content.select("doc", md5(content.prompt_full(*(F.col(c) for c in ("pages", "text_content", "tables", "images")))).alias("prompt_md5")))
 simple("c13_prompt_short", lambda d: d.content.select("doc", md5(content.prompt_short(*(F.col(c) for c in ("pages", "text_content", "tables")))).alias("prompt_md5")))
 simple("c14_candidate_tables", lambda d: d.tables.select("doc_id", "table_index", content.is_candidate_table(F.col("cells")).alias("is_candidate")))
@@ -144,12 +153,12 @@ simple("d2_extract_pins", lambda d: responses.parsed_pins(providers.answered(d.c
 simple("d3_parse_pins", lambda d: d.parsed.select("comp_id", "component_name", F.col("package.type").alias("type"), F.col("package.pin_count").alias("pin_count"), F.col("package.width").alias("width"), F.col("package.height").alias("height"), F.col("package.pitch").alias("pitch"), "extraction_method", F.size("pins").alias("n_pins"), F.col("error").isNotNull().alias("failed")))
 simple("d4_pin_numbers", lambda d: d.parsed.select("comp_id", F.posexplode("pins").alias("pos", "p")).select("comp_id", "pos", F.col("p.number").alias("number"), F.col("p.name").alias("name"), F.col("p.function").alias("function")))
 simple("d5_missing_or_null", lambda d: d.parsed.select("comp_id", "error", F.col("extraction_method").alias("method")))
-page_answers = lambda d: d.v_pages.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "YES it does").when(F.col("doc_id") % 4 == 1, " no, it doesn't").when(F.col("doc_id") % 4 == 2, "hard to say").alias("answer"))
+page_answers = lambda d: d.v_page_numbers.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "YES it does").when(F.col("doc_id") % 4 == 1, " no, it doesn't").when(F.col("doc_id") % 4 == 2, "hard to say").alias("answer"))
 simple("d6_verify_pages", lambda d: pages.verified(d.scored, page_answers(d)).select("doc_id", "score", F.size("reasons").alias("n_reasons")))
 simple("d7_says_yes", lambda d: d.v_verifications.select("conv_id", "turn", responses.says_yes(F.col("answer")).alias("yes")))
 simple("d7b_verify_one_page", lambda d: page_answers(d).select("doc_id", responses.says_yes(F.col("answer")).alias("yes")))
 simple("d7c_verification_prompt", lambda d: d.v_pages.select("doc_id", *shape(responses.verification_prompt(F.col("text"))), F.endswith(responses.verification_prompt(F.col("text"))[1]["content"], F.col("text")).alias("has_content")))
-samples = lambda d: d.v_pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p")).select("doc", F.slice(F.transform("p", lambda p: p["page_number"]), 1, 3).alias("numbers"), F.slice(F.transform("p", lambda p: p["text"]), 1, 2).alias("texts"))
+samples = lambda d: d.v_pages.where("page_number <= 3").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p")).select("doc", F.slice(F.transform("p", lambda p: p["page_number"]), 1, 3).alias("numbers"), F.slice(F.transform("p", lambda p: p["text"]), 1, 2).alias("texts"))
 simple("d7d_sample_prompt", lambda d: samples(d).select("doc", md5(F.substring_index(responses.sample_prompt(F.col("numbers"), F.col("texts"))[1]["content"], "Sample pages:\n", -1)).alias("samples_md5"), responses.sample_analysis(F.lit("ok"))["recommendation"].alias("recommendation")))
 simple("d8_vision_parse", lambda d: responses.vision_results(d.v_vision_raw).select("id", "component_name", "package_type", "pin_count", F.json_array_length("pins").alias("n_pins"), "confidence", (F.col("notes") != "").alias("has_note")))
 simple("d9_best_of_images", lambda d: responses.best_of(d.v_vision_results).select("doc", "ord", "confidence", "component_name"))
@@ -202,15 +211,15 @@ simple("a1_status_counts", lambda d: d.v_runs.groupBy("status").agg(F.count("*")
 simple("a2_run_summary", lambda d: pipelines.run_summary(d.v_runs))
 simple("a3_image_area_sum", lambda d: pages.image_areas(d.v_page_images))
 simple("a4_predicate_hits", lambda d: d.tables.select("doc_id", T.count_matches(pages.header_text(F.col("cells")), pages.rules.TABLE_PATTERNS).alias("hits")))
-simple("a5_any_large", lambda d: images.measured(d.v_page_images, d.v_pages).groupBy("doc_id").agg(F.bool_or("is_large").alias("any_large")))
-simple("a6_ordered_text", lambda d: d.v_pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_number", F.length("text").alias("n")))).alias("p")).select("doc", joined(F.transform("p", lambda p: F.concat_ws(":", p["page_number"], p["n"]))).alias("lengths")))
+simple("a5_any_large", lambda d: images.measured(d.v_page_images, d.v_page_numbers).groupBy("doc_id").agg(F.bool_or("is_large").alias("any_large")))
+simple("a6_ordered_text", lambda d: d.numbered(F.length("text").alias("n")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_number", "n"))).alias("p")).select("doc", joined(F.transform("p", lambda p: F.concat_ws(":", p["page_number"], p["n"]))).alias("lengths")))
 simple("a7_first_maximum", lambda d: responses.best_of(d.v_vision_results).select("doc", "ord"))
 simple("a8_distinct_pages", lambda d: d.tables.where(content.is_pin_table(F.col("cells"))).select("doc", "doc_id").distinct())
 simple("a9_ordered_distinct", lambda d: d.v_layout_text.select("id", joined(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))), lambda x: x)).alias("numbers")))
 simple("a10_group_lists", lambda d: d.v_custom_layout.withColumn("side", layout.section_side(F.col("section"))).groupBy("comp_id", "side").agg(F.array_sort(F.collect_list(F.struct("sec_pos", "section"))).alias("s")).select("comp_id", "side", joined(F.transform("s", lambda s: s["section"])).alias("sections")))
 simple("o1_sort_score", lambda d: pages.relevant(d.scored).select("doc", "rank", "page_number").orderBy("doc", "rank"))
-simple("o2_sort_page", lambda d: d.candidates.select("doc", "page_number").orderBy("doc", "page_number"))
-simple("o3_first_lines", lambda d: d.v_pages.select("doc_id", F.size(F.slice(F.split("text", "\n"), 1, 10)).alias("n_lines"), md5(F.substring("text", 1, 30)).alias("head_md5")))
+simple("o2_sort_page", lambda d: d.scored.where("score >= 5").select("doc", "page_number").orderBy("doc", "page_number"))
+simple("o3_first_lines", lambda d: d.v_page_text.select("doc_id", F.size(F.slice(F.split("text", "\n"), 1, 10)).alias("n_lines"), md5(F.substring("text", 1, 30)).alias("head_md5")))
 simple("o4_best_page", lambda d: pages.relevant(d.scored).where("rank = 1").select("doc", "page_number", "score"))
 simple("o5_first_ten", lambda d: d.v_pins.groupBy("comp_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("number", "name"))), 1, 10).alias("p")).select("comp_id", joined(F.transform("p", lambda p: F.concat_ws(":", p["number"], p["name"]))).alias("pins")))
 simple("u1_union", lambda d: d.v_page_tables.select("doc_id", F.lit("table").alias("kind")).unionByName(d.v_page_images.select("doc_id", F.lit("image").alias("kind"))).groupBy("doc_id", "kind").agg(F.count("*").alias("n")))
@@ -218,7 +227,7 @@ simple("f7_report", lambda d: d.parsed.where("error is null").select("comp_id",
 simple("s16_console_report", lambda d: d.parsed.where("error is null").select("comp_id", F.size(F.split(render.report(F.col("component_name"), F.col("package"), F.col("pins")), "\n")).alias("n_lines")))
 
 # Whole flows
-simple("flow_a_text", lambda d: pipelines.text_flow(d.v_pages, d.tables, d.v_page_images).select("doc", md5(F.col("text_content")).alias("text_md5"), F.size("prompt").alias("n_messages")))
+simple("flow_a_text", lambda d: pipelines.text_flow(d.v_page_text, d.tables, d.v_page_images, numbers=d.v_page_numbers).select("doc", md5(F.col("text_content")).alias("text_md5"), F.size("prompt").alias("n_messages")))
 simple("flow_a_drawing", lambda d: pipelines.drawing_flow(d.v_llm_responses).groupBy("comp_id", "part").agg(F.count("*").alias("n")))
 simple("flow_b_custom", lambda d: pipelines.drawing_flow(d.v_llm_responses, d.custom.select("comp_id", "sections")).groupBy("comp_id", "part").agg(F.count("*").alias("n")))
 simple("flow_c_vision", lambda d: pipelines.vision_flow(d.v_vision_raw.select((F.col("id") % 50).alias("doc"), F.col("id").alias("ord"), "response")).select("doc", "ord", "confidence", "component_name"))

@@ -13,6 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {
+    # Pages without their numbers, and the numbers: the engine looks at text where it lies, and numbers narrow rows.
+    "v_page_text": """select source as doc, doc_id,
+       case doc_id % 10
+         when 0 then concat('Pin Configuration', chr(10), text)
+         when 3 then concat('Package drawing', chr(10), text)
+         when 5 then concat('Figure 1-1. Pinout', chr(10), text)
+         when 7 then concat(text, chr(10), 'ordering information')
+         else text end as text
+from {documents}""",
+    "v_page_numbers": """select source as doc, doc_id,
+       cast(row_number() over (partition by source order by doc_id) as int) as page_number,
+       count(*) over (partition by source) as total_pages,
+       cast(612 as double) as width, cast(792 as double) as height
+from {documents}""",
     "v_pages": """select source as doc, doc_id,
        cast(row_number() over (partition by source order by doc_id) as int) as page_number,
        count(*) over (partition by source) as total_pages,
@@ -38,7 +52,7 @@ join (select cast(0 as int) as image_index union all select 1 union all select 2
     "v_components": """select p_partkey as comp_id, concat(p_name, ' ', p_brand) as component_name,
        case p_partkey % 12 when 0 then 'PDIP-40' when 1 then 'soic-16' when 2 then 'TSSOP-20'
             when 3 then 'LQFP64' when 4 then 'TQFP-44' when 5 then 'VQFN' when 6 then 'LFBGA'
-            when 7 then 'Unknown' when 8 then 'DIL' when 9 then 'LGA' when 10 then 'dip 8'
+            when 7 then 'Unknown' when 8 then 'DIL' when 9 then 'LGA' when 10 then case when p_partkey % 24 = 10 then 'dip 8' else concat('QFN-', cast(16 + 4 * (p_partkey % 9) as varchar(10))) end
             else 'SOT-23' end as pkg_raw,
        cast(4 + (p_partkey * 7 + p_size) % 97 as int) as pin_count,
        cast(3 + p_partkey % 15 as double) as width,
@@ -114,6 +128,7 @@ join (select cast(0 as int) as sec_pos, 'Left_Side' as section, cast(1 as int) a
 }
 
 SPARK_VIEWS: dict[str, str] = {
+    "v_pages": "select t.doc, t.doc_id, n.page_number, n.total_pages, n.width, n.height, t.text from {v_page_text} t join {v_page_numbers} n on n.doc_id = t.doc_id",
     "v_page_images": """select d.doc_id, d.source as doc, image_index,
        cast(60 + (d.doc_id * 37) % 500 as double) as width,
        cast(80 + (d.doc_id * 53 + image_index * 11) % 600 as double) as height
