@@ -9,7 +9,11 @@ Packing runs within each input partition, with a window of waiting examples: no
 last few sequences of a partition are short. A sequence id holds the partition's number, so ids are unique and a task
 that runs again on the same rows gives the same ids.
 
-Defined cases: null and empty texts are one token, the closing id 0. An example that can't be cut and exceeds a limit by
+`pack_examples` packs whole examples under all three limits, with loss-bearing tokens counted apart. `pack_texts` cuts texts
+whose every token bears loss, so there the limit on loss is that on tokens, and tokens and segments are what binds.
+
+Defined cases: null and empty texts are one token, the closing id 0. Texts of any length are encoded whole, in chunks, and
+cut; their ids (4 bytes each) are held until they are placed. An empty table gives an empty result. An example that can't be cut and exceeds a limit by
 itself gets a sequence of its own, marked oversize. Repeated rows are packed each. Other columns are ignored.
 """
 
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Lexicon, pieces
+from .pretokens import CHUNK, Lexicon, pieces
 from .shared import gather, spans
 
 CAPACITY, SEGMENTS, WINDOW, WORDS = 1024, 128, 1024, 8192
@@ -149,25 +153,56 @@ def pack_examples(
     return rows.mapInArrow(run, f"id {kind}, tokens long, sequence_id long, offset long, oversize boolean").withColumnRenamed("id", id_col)
 
 
-@lru_cache(2)
-def lexicon(path: str) -> Lexicon:
-    """Words are encoded by the tokenizers library, each distinct word once: its pre-tokenizer makes words independent."""
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts by the tokenizers library, each distinct word once: its pre-tokenizer makes words independent.
+
+    Texts that spell one of the vocabulary's added tokens are given to the library whole, as it cuts them there first."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # the special tokens' strings are ordinary text
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # in words, which can't hold a whole added token
+        self.words = Lexicon(self._words)
 
-    def encode(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw, cuts = data.tobytes(), edge.tolist()
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
         for at in range(0, len(cuts) - 1, WORDS):  # the library's results are large objects
             here = cuts[at : at + WORDS + 1]
-            found = [e.ids for e in tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(here, here[1:])], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(here, here[1:])], add_special_tokens=False)]
             ids.append(np.fromiter((x for word in found for x in word), np.uint32))
             sizes.append(np.array([len(word) for word in found]))
         return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
 
-    return Lexicon(encode)
+    def _whole(self, text: bytes) -> np.ndarray:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
+    def ids(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows one after another, row boundaries in them) for rows data[edge[i]:edge[i+1]] of UTF-8."""
+        raw = data.tobytes()
+        if not any(token in raw for token in self.added):
+            return self.words.lookup(data, edge)
+        rows = []
+        for a, b in zip(edge.tolist(), edge[1:].tolist()):
+            special = any(token in raw[a:b] for token in self.added)
+            rows.append(self._whole(raw[a:b]) if special else self.words.lookup(data[a:b], np.array([0, b - a]))[0])
+        return np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+
+    @property
+    def limit(self) -> int:
+        """Bytes of text at a time. Long rows are cut before a space; an added token with a space in it forbids that."""
+        return 1 << 62 if any(b" " in token for token in self.added) else CHUNK
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, segments: int = SEGMENTS, window: int = WINDOW, closing: int = 0) -> DataFrame:
@@ -179,7 +214,7 @@ def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon(path)
+        known = encoder(path)
         packer = Packer(capacity, segments, None, True, window, _first_sequence())
 
         def out(kind) -> pa.RecordBatch:
@@ -199,8 +234,8 @@ def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             def add() -> None:
                 packer.add((handles[last], np.concatenate([*parts, np.array([closing], "<u4")], dtype="<u4")), sum(map(len, parts)) + 1, 0)
 
-            for rows, a, b in pieces(data, starts, ends):
-                ids, bounds = known.lookup(*gather(data, a, b))
+            for rows, a, b in pieces(data, starts, ends, known.limit):
+                ids, bounds = known.ids(*gather(data, a, b))
                 for i, row in enumerate(rows.tolist()):
                     if last is not None and row != last:
                         add()

@@ -108,7 +108,10 @@ def _contraction(points: np.ndarray, tail: np.ndarray, at: np.ndarray) -> np.nda
 
 class Lexicon:
     """Ids of words by a 64-bit key of the word. At most `capacity` words are remembered; what is forgotten is
-    encoded again, so the bound costs time and never changes a result."""
+    encoded again, so the bound costs time and never changes a result.
+
+    The bytes of remembered words are kept, and all of a block's text is compared with them. A block in which two words
+    share a key, by accident or made so on purpose, is looked up by the words themselves."""
 
     def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], capacity: int = 2_000_000):
         self.encode, self.capacity = encode, capacity
@@ -117,6 +120,7 @@ class Lexicon:
     def forget(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def lookup(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, row boundaries in them) for rows data[edge[i]:edge[i+1]] of UTF-8."""
@@ -136,9 +140,14 @@ class Lexicon:
         which = np.empty(len(keys), np.int64)
         which[order] = np.cumsum(fresh) - 1
         slot = self._slots(words, first, data, byte[begin], byte[end])
-        at, size = self.at[slot][which], self.size[slot][which]
+        slot = slot[which]
+        if self._spelled(slot, data, byte[end] - byte[begin]):
+            at, size, found = self.at[slot], self.size[slot], self.ids
+        else:
+            self.forget()
+            at, size, found = self._word_by_word(data, byte[begin], byte[end])
         stop = np.cumsum(size)
-        ids = self.ids[np.repeat(at - stop + size, size) + np.arange(stop[-1])]
+        ids = found[np.repeat(at - stop + size, size) + np.arange(stop[-1])]
         bounds = np.append(0, stop)[np.searchsorted(begin, row)]
         return ids, bounds
 
@@ -155,6 +164,23 @@ class Lexicon:
             keys[i] = int.from_bytes(blake2b(data[byte[begin[i]] : byte[end[i]]].tobytes(), digest_size=8).digest(), "little")
         return keys
 
+    def _spelled(self, slot: np.ndarray, data: np.ndarray, size: np.ndarray) -> bool:
+        """Whether the remembered words in these slots, one after another, are the data; `size` is of the data's words."""
+        if not (self.text_size[slot] == size).all():
+            return False
+        stop = np.cumsum(size)
+        return bool((self.text[np.repeat(self.text_at[slot] - stop + size, size) + np.arange(len(data))] == data).all())
+
+    def _word_by_word(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place and number of each word's ids, ids), without keys."""
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        place = {word: i for i, word in enumerate(dict.fromkeys(words))}
+        edge = np.append(0, np.cumsum([len(word) for word in place]))
+        ids, bounds = self.encode(np.frombuffer(b"".join(place), np.uint8), edge)
+        which = np.array([place[word] for word in words])
+        return bounds[:-1][which], np.diff(bounds)[which], ids.astype(np.uint32)
+
     def _slots(self, words, first, data, starts, ends) -> np.ndarray:
         at = np.searchsorted(self.keys, words)
         known = self.keys[np.minimum(at, max(0, len(self.keys) - 1))] == words if len(self.keys) else np.zeros(len(words), bool)
@@ -167,8 +193,12 @@ class Lexicon:
         a, b = starts[new], ends[new]
         size = b - a
         edge = np.append(0, np.cumsum(size))
-        ids, bounds = self.encode(data[np.repeat(a - edge[:-1], size) + np.arange(edge[-1])], edge)
+        spelled = data[np.repeat(a - edge[:-1], size) + np.arange(edge[-1])]
+        ids, bounds = self.encode(spelled, edge)
         put = at[~known]
+        self.text_at = np.insert(self.text_at, put, edge[:-1] + len(self.text))
+        self.text_size = np.insert(self.text_size, put, size)
+        self.text = np.concatenate([self.text, spelled])
         self.keys = np.insert(self.keys, put, words[~known])
         self.at = np.insert(self.at, put, bounds[:-1] + len(self.ids))
         self.size = np.insert(self.size, put, np.diff(bounds))

@@ -80,6 +80,29 @@ def test_forgetting_words_changes_nothing(encoder):
         assert ids.tolist() == encoder.encode_ordinary(text)
 
 
+def test_words_with_the_same_key_are_told_apart(encoder, monkeypatch):
+    text = "one two three  ones it's one" * 3
+    data = np.frombuffer(text.encode(), np.uint8)
+    lexicon = pretokens.Lexicon(bpe.ranks(RANKS).replay)
+    real = pretokens.Lexicon._keys
+    for mask in (0, 1, 3):  # all words share a few keys
+        monkeypatch.setattr(pretokens.Lexicon, "_keys", lambda self, *a, mask=mask: real(self, *a) & np.uint64(mask))
+        assert lexicon.lookup(data, np.array([0, len(data)]))[0].tolist() == encoder.encode_ordinary(text)
+    monkeypatch.setattr(pretokens.Lexicon, "_keys", real)
+    assert lexicon.lookup(data, np.array([0, len(data)]))[0].tolist() == encoder.encode_ordinary(text)
+
+
+def test_added_tokens_are_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    texts = ["<|endoftext|> a", "a<|endoftext|><|endoftext|>", "plain", "", " <|endoftext|", "é<|endoftext|>é <|endoftext|> "]
+    data, starts, ends = spans(pa.array(texts))
+    ids, bounds = packing.encoder(JSON).ids(*gather(data, starts, ends))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert library.encode("<|endoftext|> a", add_special_tokens=False).ids == [50256, 257]
+
+
 def test_digests_of_awkward_rows(spark, encoder):
     got = {r.doc_id: r for r in bpe.digests(docs(spark), RANKS).collect()}
     assert len(got) == len(AWKWARD)
@@ -124,7 +147,10 @@ def packed_rows_are_sound(rows, ids_of, capacity=1024, segments=packing.SEGMENTS
 def test_packing_places_every_token_once(spark, encoder):
     rows = packing.pack_texts(docs(spark), JSON).collect()
     assert {r.doc_id for r in rows} == set(range(len(AWKWARD)))
-    padding = packed_rows_are_sound(rows, [[*encoder.encode_ordinary(t or ""), 0] for t in AWKWARD])
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    padding = packed_rows_are_sound(rows, [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in AWKWARD])
     assert padding == 0
     assert packing.pack_texts(docs(spark).where("false"), JSON).count() == 0
 
