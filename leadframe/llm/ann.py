@@ -6,53 +6,81 @@ of their estimated success: the sum of squared distances to the bucket borders t
 worth trying comes from a template ordered by expected cost; each query puts the template in order by its own distances.
 What the tables find is merged and ranked exactly by cosine in double precision on the original vectors.
 
-Every row is indexed: each block of candidates has its tables. The number of probes is fitted on a bounded sample of SAMPLE
-vectors so that recall against brute force there reaches TARGET. A sample is sparser than the corpus, so its neighbours are
-farther and the fit errs to the safe side. Vectors without structure need many probes: half of the rows may be looked at.
+Every row is indexed. A table has more functions the more rows there are, so that buckets stay small, as long as that
+leaves them selective. The number of probes is fitted: the true neighbours of SAMPLE_QUERIES rows are looked up among all
+rows, and the fewest probes are taken that find TARGET of them; the share of rows that those lead to is measured on SAMPLE
+rows. If no number of probes reaches the target, every row is ranked.
 
-Defined cases: those of blocks.py; zero vectors take no part. Fewer candidates than k give fewer rows. If a query's buckets
-hold fewer than k candidates of a block, the whole block is ranked, so no query comes back short.
+Two ways lead to the same candidates. Where the buckets are selective, an index is joined: rows lie under (table, slot of
+the code), queries go to the slots of their probes only, and large slots are split over parts, queries too. Where they are
+not, as with vectors without structure, whose neighbours are hardly nearer than any row, a join would copy most rows many
+times; then blocks of rows, each hashed once, meet the blocks of queries, and probes choose rows within.
+
+Defined cases: those of blocks.py; zero vectors take no part. Fewer candidates than k give fewer rows. A query whose buckets
+hold fewer than k rows is ranked against all rows (or, in blocks, against all of such a block), so none comes back short.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
+from .shared import as_array, durable
 
-TABLES, HASHES, WIDTH = 12, 8, 1.5
-SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 128, 0.96
+TABLES, HASHES, MOST_HASHES, WIDTH = 12, 8, 24, 1.5
+SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 128, 0.94
+#: Up to this share of all rows for a query, found by the fit, the index is joined.
+SELECTIVE = 0.05
+#: Rows of a table in one slot on average, and rows or queries of a slot in one part at most, about.
+PER_SLOT, PER_PART = 2048, 8192
 PROBES = (1, 2, 4, 8, 16, 32, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 
 
-@lru_cache(1)
-def template() -> np.ndarray:
-    """Sets of crossed borders as rows of 0 and 1 over the 2 * HASHES borders from near to far, in order of expected cost.
+@lru_cache(4)
+def template(m: int = HASHES) -> np.ndarray:
+    """Sets of crossed borders as rows of 0 and 1 over the 2 m borders from near to far, in order of expected cost.
 
-    Border j and border 2 * HASHES - 1 - j are the two of one hash, as their distances add up to the width."""
-    m = HASHES
+    Border j and border 2 m - 1 - j are the two of one hash, as their distances add up to the width. Sets are made in order
+    of cost: from one by moving its last border outwards, or by taking in the next one too."""
     cost = np.array([j * (j + 1) / (4 * (m + 1) * (m + 2)) if j <= m else 1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(1, 2 * m + 1)])
-    sets = [c for r in range(m + 1) for c in combinations(range(2 * m), r) if not any(2 * m - 1 - x in c for x in c)]
-    sets.sort(key=lambda c: (cost[list(c)].sum(), c))
-    out = np.zeros((min(len(sets), 2 * PROBES[-1]), 2 * m), np.int64)
+    sets, heap = [()], [(cost[0], (0,))]
+    while heap and len(sets) < 2 * PROBES[-1]:
+        spent, last = heapq.heappop(heap)
+        if not any(2 * m - 1 - x in last for x in last):
+            sets.append(last)
+        far = last[-1] + 1
+        if far < 2 * m:
+            heapq.heappush(heap, (spent - cost[far - 1] + cost[far], (*last[:-1], far)))
+            heapq.heappush(heap, (spent + cost[far], (*last, far)))
+    out = np.zeros((len(sets), 2 * m), np.int64)
     for row, chosen in zip(out, sets):
         row[list(chosen)] = 1
     return out
 
 
+def hashes_for(rows: int) -> int:
+    """Functions of a table for so many rows: a bucket should not fill up as rows are added, and a function parts the rows
+    by about one and a half bits."""
+    return int(np.clip(HASHES + math.ceil(math.log2(max(1, rows / SAMPLE)) / 1.5), HASHES, MOST_HASHES))
+
+
 class Tables:
     """The hash functions, the same on every worker, for vectors of one dimension."""
 
-    def __init__(self, dim: int, seed: int = 0):
+    def __init__(self, dim: int, hashes: int = HASHES, seed: int = 0):
         rng = np.random.default_rng((seed, dim))
-        self.a = rng.normal(size=(TABLES, dim, HASHES))
-        self.b = rng.uniform(0, WIDTH, (TABLES, HASHES))
-        self.mix = rng.integers(1, 1 << 62, (TABLES, HASHES)) | 1
+        self.hashes = hashes
+        self.a = rng.normal(size=(TABLES, MOST_HASHES, dim))[:, :hashes].transpose(0, 2, 1)
+        self.b = rng.uniform(0, WIDTH, (TABLES, MOST_HASHES))[:, :hashes]
+        self.mix = (rng.integers(1, 1 << 62, (TABLES, MOST_HASHES)) | 1)[:, :hashes]
 
     def place(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """(bucket coordinates, distance above the lower border in widths)."""
@@ -68,10 +96,14 @@ class Tables:
         cell, above = self.place(unit, table)
         distance = np.concatenate([above, 1 - above], axis=1) ** 2
         near = np.argsort(distance, axis=1)
-        sets = template()[: max(2 * probes, 64)]
+        sets = template(self.hashes)[: max(2 * probes, 64)]
         cost = np.take_along_axis(distance, near, axis=1) @ sets.T
-        first = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-        step = np.where(near < HASHES, -1, 1) * self.mix[table][near % HASHES]
+        if probes < cost.shape[1]:
+            first = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
+            first = np.take_along_axis(first, np.argsort(np.take_along_axis(cost, first, axis=1), axis=1, kind="stable"), axis=1)
+        else:
+            first = np.argsort(cost, axis=1, kind="stable")
+        step = np.where(near < self.hashes, -1, 1) * self.mix[table][near % self.hashes]
         return self.code(cell, table)[:, None] + np.take_along_axis(step @ sets.T, first, axis=1)
 
 
@@ -80,20 +112,33 @@ def unit(vecs: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def candidates(tables: Tables, queries: np.ndarray, index: np.ndarray, probes: int) -> np.ndarray:
-    """(queries x index) which rows some probe of some table finds."""
-    seen = np.zeros((len(queries), len(index)), bool)
-    for t in range(TABLES):
-        code = tables.code(tables.place(index, t)[0], t)
-        order = np.argsort(code)
-        code = code[order]
-        wanted = tables.probes(queries, t, probes)
-        lo, hi = np.searchsorted(code, wanted), np.searchsorted(code, wanted, "right")
-        size = (hi - lo).ravel()
-        stop = np.cumsum(size)
-        row = np.repeat(np.repeat(np.arange(len(queries)), wanted.shape[1]), size)
-        seen[row, order[np.repeat(lo.ravel() - stop + size, size) + np.arange(stop[-1])]] = True
-    return seen
+class Block:
+    """Some rows with their codes in every table, sorted."""
+
+    def __init__(self, tables: Tables, rows: np.ndarray):
+        self.tables, self.size, self.codes = tables, len(rows), []
+        for t in range(TABLES):
+            code = tables.code(tables.place(rows, t)[0], t)
+            order = np.argsort(code)
+            self.codes.append((code[order], order))
+
+    def candidates(self, queries: np.ndarray, probes: int | None) -> np.ndarray:
+        """(queries x rows) which rows some probe of some table finds; all if `probes` is None."""
+        seen = np.full((len(queries), self.size), probes is None)
+        for t in range(TABLES if probes else 0):
+            code, order = self.codes[t]
+            row, place = _found(code, self.tables.probes(queries, t, probes))
+            seen[row, order[place]] = True
+        return seen
+
+
+def _found(code: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of every place of the sorted codes that holds one of the query's wanted codes."""
+    lo, hi = np.searchsorted(code, wanted), np.searchsorted(code, wanted, "right")
+    size = (hi - lo).ravel()
+    stop = np.cumsum(size)
+    row = np.repeat(np.repeat(np.arange(len(wanted)), wanted.shape[1]), size)
+    return row, np.repeat(lo.ravel() - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
 
 
 def cosine(query: np.ndarray, vecs: np.ndarray) -> np.ndarray:
@@ -105,56 +150,185 @@ def cosine(query: np.ndarray, vecs: np.ndarray) -> np.ndarray:
     return (v * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(1)))
 
 
-def best(k: int, probes: int) -> blocks.Best:
+def nearest_of(query: np.ndarray, query_unit: np.ndarray, near: np.ndarray, vecs: np.ndarray, units: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the k of the rows `near` with the largest cosine, ties to the smaller id, best first.
+
+    A product of unit vectors sets aside what is clearly farther; what is left is scored exactly."""
+    if not len(near):
+        return near, np.zeros(0)
+    if len(near) > 4 * k:
+        rough = units[near] @ query_unit
+        near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+    score = cosine(query, vecs[near])
+    keep = blocks.k_largest(score, ids[near], k)
+    return near[keep], score[keep]
+
+
+def best(k: int, probes: int | None) -> blocks.Best:
     def select(q_ids, q_vecs, c_ids, c_vecs):
-        tables = Tables(c_vecs.shape[1])
-        q_unit, c_unit = unit(q_vecs), unit(c_vecs)
+        block = Block(Tables(c_vecs.shape[1]), c_unit := unit(c_vecs))
+        q_unit = unit(q_vecs)
         queries, found, values = [], [], []
         for at in range(0, len(q_ids), 64):
-            seen = candidates(tables, q_unit[at : at + 64], c_unit, probes)
+            seen = block.candidates(q_unit[at : at + 64], probes)
             for i, row in enumerate(seen):
                 row &= c_ids != q_ids[at + i]
                 if row.sum() < k:
                     row = c_ids != q_ids[at + i]
-                near = np.flatnonzero(row)
-                if not len(near):
-                    continue
-                score = cosine(q_vecs[at + i], c_vecs[near])
-                keep = blocks.k_largest(score, c_ids[near], k)
+                keep, score = nearest_of(q_vecs[at + i], q_unit[at + i], np.flatnonzero(row), c_vecs, c_unit, c_ids, k)
                 queries.append(np.full(len(keep), at + i))
-                found.append(near[keep])
-                values.append(score[keep])
+                found.append(keep)
+                values.append(score)
         empty = np.zeros(0, np.int64)
         return np.concatenate([empty, *queries]), np.concatenate([empty, *found]), np.concatenate([np.zeros(0), *values])
 
     return select
 
 
-def fit_probes(sample: np.ndarray, k: int, target: float = TARGET) -> int:
-    """The fewest probes that reach the target recall on the sample, or all of them."""
-    if len(sample) <= k + 1:
-        return PROBES[-1]
-    z = unit(sample)
-    asked = z[:SAMPLE_QUERIES]
-    score = asked @ z.T
-    score[np.arange(len(asked)), np.arange(len(asked))] = -2
-    true = np.argsort(-score, axis=1)[:, :k]
-    tables = Tables(sample.shape[1])
+def by_buckets(rows: DataFrame, is_query: Column, k: int, probes: int, hashes: int = HASHES) -> DataFrame:
+    """(query_id, vec_id, score): for every query, the k best of each slot that its probes lead to, by joining the index.
+
+    Slots are parts of a table's codes by remainder. A slot with many rows is dealt over parts by a hash of the id, and so
+    are its queries; every part of rows meets every part of queries."""
+    slots = max(1, -(-rows.count() // PER_SLOT))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, mine, vecs in _by_dim(batch):
+                tables, units = Tables(dim, hashes), unit(vecs)
+                for t in range(TABLES):
+                    code = tables.code(tables.place(units, t)[0], t)
+                    yield _keyed(mine, dim, t, code % slots, pa.array(code), "code")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, mine, vecs in _by_dim(batch):
+                tables, units = Tables(dim, hashes), unit(vecs)
+                for t in range(TABLES):
+                    code = tables.probes(units, t, probes)
+                    query = np.repeat(np.arange(len(code)), code.shape[1])
+                    order = np.lexsort((code.ravel(), (code % slots).ravel(), query))
+                    query, code = query[order], code.ravel()[order]
+                    head = np.flatnonzero((np.diff(query, prepend=-1) != 0) | (np.diff(code % slots, prepend=-1) != 0))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(code)), pa.int32()), pa.array(code))
+                    yield _keyed(mine.take(pa.array(query[head])), dim, t, code[head] % slots, lists, "codes")
+
+    key = ["dim", "tab", "slot"]
+    fields = "dim int, tab int, slot long, id long, vec array<double>"
+    held = rows.mapInArrow(index, f"{fields}, code long")
+    wanted = rows.where(is_query).mapInArrow(asked, f"{fields}, codes array<long>")
+    parts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / PER_PART).alias(name))
+    split = durable(parts(held, "rows_in").join(parts(wanted, "queries_in"), key))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = held.join(split, key).withColumn("i", part("rows_in")).withColumn("j", each("queries_in")).select(*key, "i", "j", "id", "vec", "code")
+    right = wanted.join(split, key).withColumn("j", part("queries_in")).withColumn("i", each("rows_in")).select(*key, "i", "j", "id", "vec", "codes")
+
+    def meet(here: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, code = here.column("id").to_numpy(), here.column("code").to_numpy()
+        out = [[], [], []]
+        if len(ids) and queries.num_rows:
+            order = np.argsort(code, kind="stable")
+            ids, code, vecs = ids[order], code[order], _matrix(here.column("vec"))[order]
+            units, asked_vecs = unit(vecs), _matrix(queries.column("vec"))
+            asked_units = unit(asked_vecs)
+            for q, (query, codes) in enumerate(zip(queries.column("id").to_pylist(), as_array(queries.column("codes")))):
+                near = _found(code, codes.values.to_numpy()[None, :])[1]
+                near = near[ids[near] != query]
+                place, score = nearest_of(asked_vecs[q], asked_units[q], near, vecs, units, ids, k)
+                for whole, more in zip(out, (np.full(len(place), query), ids[place], score)):
+                    whole.append(more)
+        columns = [np.concatenate([np.zeros(0), *x]) if n == 2 else np.concatenate([np.zeros(0, np.int64), *x]) for n, x in enumerate(out)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
+
+    grouped = [*key, "i", "j"]
+    return left.groupBy(*grouped).cogroup(right.groupBy(*grouped)).applyInArrow(meet, "query_id long, vec_id long, score double").distinct()
+
+
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        mine = batch.filter(pa.array(dims == dim))
+        yield dim, mine, _matrix(mine.column("vec"))
+
+
+def _matrix(column) -> np.ndarray:
+    column = as_array(column)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _keyed(mine: pa.RecordBatch, dim: int, table: int, slot: np.ndarray, last: pa.Array, name: str) -> pa.RecordBatch:
+    n = mine.num_rows
+    columns = [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, table, np.int32)), pa.array(slot), mine.column("id"), mine.column("vec"), last]
+    return pa.RecordBatch.from_arrays(columns, names=["dim", "tab", "slot", "id", "vec", name])
+
+
+def fit_probes(asked: np.ndarray, true: np.ndarray, sample: np.ndarray, hashes: int, target: float = TARGET) -> tuple[int | None, float]:
+    """(the fewest probes that find `target` of the true neighbours, the share of rows they lead to); None if none do.
+
+    asked: queries; true: (queries x k x dim) their neighbours; sample: rows that the share is measured on. All are unit
+    vectors."""
+    tables = Tables(sample.shape[1], hashes)
+    needed = np.full(true.shape[:2], PROBES[-1])
+    for t in range(TABLES):
+        wanted = tables.probes(asked, t, PROBES[-1])
+        own = tables.code(tables.place(true.reshape(-1, true.shape[2]), t)[0], t).reshape(needed.shape)
+        same = wanted[:, None, :] == own[:, :, None]
+        needed = np.minimum(needed, np.where(same.any(2), same.argmax(2), PROBES[-1]))
     for probes in PROBES:
-        if np.take_along_axis(candidates(tables, asked, z, probes), true, axis=1).mean() >= target:
-            return probes
-    return PROBES[-1]
+        if (needed < probes).mean() >= target:
+            return probes, float(Block(tables, sample).candidates(asked, probes).mean())
+    return None, 1.0
+
+
+def fitted(rows: DataFrame, k: int) -> tuple[int | None, float, int]:
+    """(probes, share of rows, hashes) for these rows: the true neighbours of SAMPLE_QUERIES rows are looked up among all."""
+    drawn = rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(SAMPLE).select("dim", "id", "vec").toArrow()
+    dims = drawn.column("dim").to_numpy()
+    if not len(dims):
+        return None, 1.0, HASHES
+    common = int(np.bincount(dims).argmax())
+    sample = drawn.filter(pa.array(dims == common))
+    ids = sample.column("id").to_pylist()[:SAMPLE_QUERIES]
+    near = blocks.search(rows.where(F.col("dim") == common), F.col("id").isin(ids), best(k, None), k, "double").select("query_id", F.col("vec_id").alias("id"), "rank")
+    near = near.join(rows.select("id", "vec"), "id").dropDuplicates(["query_id", "rank"]).orderBy("query_id", "rank").select("query_id", "vec").toArrow()
+    vecs = unit(_matrix(near.column("vec"))) if near.num_rows else np.zeros((0, common))
+    queries, first, many = np.unique(near.column("query_id").to_numpy(), return_index=True, return_counts=True)
+    full = many == k
+    if not full.any():
+        return None, 1.0, HASHES
+    z = unit(_matrix(sample.column("vec")))
+    place = {x: i for i, x in enumerate(ids)}
+    asked = z[[place[q] for q in queries[full].tolist()]]
+    true = np.stack([vecs[at : at + k] for at in first[full].tolist()])
+    hashes = hashes_for(rows.count())
+    probes, share = fit_probes(asked, true, z, hashes)
+    if hashes > HASHES and (probes is None or share > SELECTIVE):
+        hashes = HASHES
+        probes, share = fit_probes(asked, true, z, hashes)
+    return probes, share, hashes
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None, joined: bool | None = None
+) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where `is_query`, an expression of `id`, holds.
 
-    Unless `probes` is given it is fitted on at most SAMPLE vectors, chosen by a hash of their ids."""
+    Unless `probes` is given it is fitted, with SAMPLE_QUERIES rows chosen by a hash of their ids, and so is, unless `joined`
+    is given, whether the index is joined or blocks meet."""
     rows = blocks.usable(vectors, id_col, vec_col, True)
+    share, hashes = 1.0, HASHES
     if probes is None:
-        drawn = rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(SAMPLE).select("dim", "vec").toArrow()
-        dims = drawn.column("dim").to_numpy()
-        common = np.bincount(dims).argmax() if len(dims) else 0
-        sample = np.array([v for v, d in zip(drawn.column("vec").to_pylist(), dims) if d == common])
-        probes = fit_probes(sample, k) if len(sample) else 1
-    return blocks.search(rows, is_query, best(k, probes), k, "double")
+        probes, share, hashes = fitted(rows, k)
+    if not (share <= SELECTIVE if joined is None else joined) or probes is None:
+        return blocks.search(rows, is_query, best(k, probes), k, "double")
+    found = durable(by_buckets(rows, is_query, k, probes, hashes))
+    # Queries that found fewer than k rows: against all rows.
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = rows.where(is_query).select("id").distinct().join(enough, "id", "left_anti")
+    if not short.isEmpty():
+        lone = rows.join(short.withColumn("lone", F.lit(True)), "id", "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
+        whole = blocks.search(lone, F.col("lone"), best(k, None), k, "double").select("query_id", "vec_id", "score")
+        found = found.union(whole).distinct()
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

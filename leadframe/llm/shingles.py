@@ -14,9 +14,11 @@ their sets. Any order is exact; the one used puts shingles last that are frequen
 that common passages seldom become keys.
 
 Under a key of up to three nodes all pairs are given out. Under a larger one nodes are paired with the first and the
-foregoing one, then with some pivots, which links most of a group of similar texts without all its pairs; only pairs that
-are then still in different components are given out one by one, in blocks of bounded size. That last part is what makes
-the search whole, and it grows with the square of the number of such nodes under a key.
+foregoing one, then with some pivots, which links most of a group of similar texts without all its pairs. Pairs that are then
+still in different components are compared where they lie, in blocks of bounded size, by bitmaps of their sets: two sets
+have no more in common than their bitmaps, and what places in them are shared by several shingles of a set. Only pairs that
+may be similar by that are given out. This last part is what makes the search whole; its work, not its output, grows with
+the square of the number of such nodes under a key.
 """
 
 from __future__ import annotations
@@ -41,11 +43,13 @@ HEAVY = 1 << 16
 BLOCK = 4096
 BITS = 1 << 23
 PIVOTS = 8
+#: Places in the bitmap of a set.
+PLACES = 1024
 #: Pairs of sets in one Arrow batch.
 PAIRS_AT_ONCE = 512
 #: Keys of up to this many nodes give all their pairs at once.
 FEW = 3
-MET = "key long, node long, n int, a long, b long, need int, small boolean"
+MET = "key long, node long, n int, a long, b long, need int"
 
 
 # --- words and hashes ---------------------------------------------------------------------------------------------
@@ -165,6 +169,18 @@ def nodes_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return node
 
 
+def bitmaps(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(sets x PLACES / 64) the bitmap of each set of hashes."""
+    out = np.zeros((len(size), PLACES // 8), np.uint8)
+    for at in range(0, len(size), 4096):
+        part = size[at : at + 4096]
+        begin = int(size[:at].sum())
+        places = np.zeros((len(part), PLACES), bool)
+        places[np.repeat(np.arange(len(part)), part), h[begin : begin + int(part.sum())] % np.uint64(PLACES)] = True
+        out[at : at + 4096] = np.packbits(places, axis=1)
+    return out.view(np.uint64)
+
+
 class Seen:
     """The nodes that a task has met lately: a bounded memory that saves repetitions and never changes a result."""
 
@@ -208,8 +224,8 @@ def heavy_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, print, node, fp, n, prefix) of every row: a hash of its text, that of its set, its fingerprint, the size of its
-    set; `prefix` only with the first of a task's rows that has a node, and null with the others."""
+    """(id, print, node, fp, n, bits, prefix) of every row: a hash of its text, that of its set, its fingerprint, the size of
+    its set; `bits`, the set's bitmap, and `prefix` only with the first of a task's rows that has a node, else null."""
     kind = docs.schema[id_col].dataType.simpleString()
     heavy, often = heavy_shingles(docs, id_col, text_col, shingle)
 
@@ -230,11 +246,13 @@ def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
                 order = np.lexsort((h, rank, row))
                 order = order[np.arange(len(h)) - bounds[row] < length[row]]
                 own = batch.slice(a, b - a)
-                columns = [own.column(0), own.column(1), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), _lists(length, h[order], fresh)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "print", "node", "fp", "n", "prefix"])
+                bits = iter(bitmaps(h[fresh[row]], np.where(fresh, size, 0)[fresh]))
+                bits = pa.array([next(bits).tobytes() if f else None for f in fresh], pa.binary())
+                columns = [own.column(0), own.column(1), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), bits, _lists(length, h[order], fresh)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "print", "node", "fp", "n", "bits", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, print long, node long, fp long, n int, prefix array<long>")
+    return rows.mapInArrow(run, f"id {kind}, print long, node long, fp long, n int, bits binary, prefix array<long>")
 
 
 def sets_for(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -305,12 +323,12 @@ def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return WHOLE * np.minimum(n, m) >= PART * np.maximum(n, m)
 
 
-def _met_batch(key=None, node=None, n=None, a=None, b=None, need=None, small=None) -> pa.RecordBatch:
-    """Rows of large keys (key, node, n), or pairs of nodes (a, b, need, small)."""
+def _met_batch(key=None, node=None, n=None, a=None, b=None, need=None) -> pa.RecordBatch:
+    """Rows of large keys (key, node, n), or pairs of nodes (a, b, need)."""
     rows = len(node) if node is not None else len(a)
     null = lambda x, kind: pa.nulls(rows, kind) if x is None else pa.array(x, kind)
-    columns = [null(key, pa.int64()), null(node, pa.int64()), null(n, pa.int32()), null(a, pa.int64()), null(b, pa.int64()), null(need, pa.int32()), null(small, pa.bool_())]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "a", "b", "need", "small"])
+    columns = [null(key, pa.int64()), null(node, pa.int64()), null(n, pa.int32()), null(a, pa.int64()), null(b, pa.int64()), null(need, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "a", "b", "need"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +364,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = np.concatenate([second, far]), np.concatenate([first[second], far - 1])
         fit = _sizes_fit(n[x], n[y])
         x, y = x[fit], y[fit]
-        yield _met_batch(a=np.minimum(node[x], node[y]), b=np.maximum(node[x], node[y]), need=needed(n[x], n[y]), small=~of_many[x])
+        yield _met_batch(a=np.minimum(node[x], node[y]), b=np.maximum(node[x], node[y]), need=needed(n[x], n[y]))
 
 
 def met(marks: DataFrame) -> DataFrame:
@@ -355,21 +373,19 @@ def met(marks: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meetings, MET)
 
 
-def _often_enough(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (a, b, need, c) that share as many keys as they need."""
-    return pairs.groupBy("a", "b", "need").agg(F.sum("c").alias("c")).where("c >= need").select("a", "b")
-
-
 def neighbours(meeting: DataFrame) -> DataFrame:
-    """(a, b): the pairs that were given out together often enough."""
-    return _often_enough(meeting.where("a is not null").select("a", "b", "need", F.lit(1).alias("c")))
+    """(a, b): the pairs that were given out under as many keys as they need. Of pairs that share small keys only, none is
+    missing; those that share a large one are left to `apart`, if need be."""
+    counted = meeting.where("a is not null").groupBy("a", "b", "need").agg(F.count("*").alias("c"))
+    return counted.where("c >= need").select("a", "b")
 
 
 def _rest_pairs(rows: dict[str, np.ndarray], pivots: int | None) -> pa.RecordBatch:
-    """The pairs of rows of one group (key, i, j) in different components whose sizes fit; only those with one of some
-    `pivots` rows of the group, or all if that is None. Where a group is of two blocks, only pairs of both."""
+    """The pairs of rows of one group (key, i, j) in different components that may be similar by their sizes and bitmaps;
+    only those with one of some `pivots` rows of the group, or all if that is None. Where a group is of two blocks, only
+    pairs of both."""
     order = np.lexsort((rows["n"], rows["j"], rows["i"], rows["key"]))
-    key, i, j, node, n, root, mine = (rows[c][order] for c in ("key", "i", "j", "node", "n", "root", "mine"))
+    key, i, j, node, n, root, mine, bits = (rows[c][order] for c in ("key", "i", "j", "node", "n", "root", "mine", "bits"))
     here = np.arange(len(key))
     head = np.flatnonzero((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0))
     size = np.diff(np.append(head, len(key)))
@@ -379,6 +395,7 @@ def _rest_pairs(rows: dict[str, np.ndarray], pivots: int | None) -> pa.RecordBat
         group = np.repeat(np.arange(len(head)), size)
         by_node = np.lexsort((node, group))  # nodes are hashes, so the first ones are a choice at random
         pivot[by_node] = here - head[group] < pivots
+    hidden = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)  # shingles that share a place with another
     left, right = [here[:0]], [here[:0]]
     live, lag = here, 1
     while len(live):
@@ -386,19 +403,23 @@ def _rest_pairs(rows: dict[str, np.ndarray], pivots: int | None) -> pa.RecordBat
         live = live[_sizes_fit(n[live], n[live + lag])]  # sizes ascend, so what is too large now stays so
         a, b = live, live + lag
         hit = (pivot[a] | pivot[b]) & (root[a] != root[b]) & ((i[a] == j[a]) | (mine[a] != mine[b]))
-        left.append(a[hit])
-        right.append(b[hit])
+        a, b = a[hit], b[hit]
+        common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[a], hidden[b])
+        fit = (PART + WHOLE) * common >= PART * (n[a] + n[b])
+        left.append(a[fit])
+        right.append(b[fit])
         lag += 1
     x, y = np.concatenate(left), np.concatenate(right)
-    columns = [pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(needed(n[x], n[y]).astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "need"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], pivots: int | None) -> Iterator[pa.RecordBatch]:
     """`_rest_pairs` of rows sorted by group; the last group of a batch waits for the next one."""
     held = None
     for batch in batches:
-        rows = {c: batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names}
+        rows = {c: batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names if c != "bits"}
+        data, starts, ends = spans(batch.column("bits"))
+        rows["bits"] = gather(data, starts, ends)[0].reshape(-1, PLACES // 8).copy().view(np.uint64)
         if held is not None:
             rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
         if not len(rows["key"]):
@@ -411,26 +432,17 @@ def _by_group(batches: Iterator[pa.RecordBatch], pivots: int | None) -> Iterator
         yield _rest_pairs(held, pivots)
 
 
-def apart(meeting: DataFrame, tree: DataFrame, block: int, pivots: int | None) -> DataFrame:
-    """(a, b): pairs of nodes in different components that share as many keys as they need, as far as their keys' pairs are
-    given out: those of small keys, and of large ones all or those with pivots, in blocks of bounded size."""
+def apart(meeting: DataFrame, nodes: DataFrame, tree: DataFrame, block: int, pivots: int | None) -> DataFrame:
+    """(a, b): pairs of nodes in different components that share a large key and may be similar, all or those with pivots.
+    `nodes` (node, bits) is durable."""
     rooted = meeting.where("key is not null").select("key", "node", "n").join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    dealt = rooted.join(durable(mixed.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))), "key")
+    dealt = rooted.join(durable(mixed.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))), "key").join(nodes.select("node", "bits"), "node")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "root", "mine")
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "root", "mine", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_group(batches, pivots)
 
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, need int")
-    small = meeting.where("small").select("a", "b", "need")
-    return between(_often_enough(found.union(small).withColumn("c", F.lit(1))), tree)
-
-
-def between(pairs: DataFrame, tree: DataFrame) -> DataFrame:
-    """Those pairs whose nodes are in different components."""
-    of = lambda side: tree.select(F.col("u").alias(side), F.col("v").alias(f"root_{side}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()

@@ -242,7 +242,8 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
     """(u, v): every node u of `marks` that has near copies, with the smallest node v of its component, v itself left out.
 
     Components are those of all pairs of sets that share 0.8 of their union. `marks` is durable and from `shingles.marked`."""
-    fps = durable(marks.where("n > 0 and prefix is not null").groupBy("node").agg(F.min("fp").alias("fp")))
+    nodes = durable(marks.where("n > 0 and prefix is not null").groupBy("node").agg(F.min("fp").alias("fp"), F.min("bits").alias("bits")))
+    fps = nodes.select("node", "fp")
     first = durable(fps.groupBy("fp").agg(F.min("node").alias("node")))
     near = links(first)
     near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
@@ -253,8 +254,8 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
     judged, tree = None, None
     steps = (
         lambda: candidates.union(shingles.neighbours(meeting)).distinct(),
-        lambda: shingles.apart(meeting, tree, block, shingles.PIVOTS),
-        lambda: shingles.apart(meeting, tree, block, None),
+        lambda: shingles.apart(meeting, nodes, tree, block, shingles.PIVOTS),
+        lambda: shingles.apart(meeting, nodes, tree, block, None),
     )
     for step in steps:
         pairs = step() if judged is None else step().join(judged.select("a", "b"), ["a", "b"], "left_anti")

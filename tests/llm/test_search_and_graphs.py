@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadframe.llm import ann, linkgraph, toolcalls, topk
+from leadframe.llm import ann, blocks, linkgraph, toolcalls, topk
 from leadframe.llm.queries import ORACLES, QUERIES
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -81,6 +81,79 @@ def test_recall_against_brute_force(spark, scale):
     assert all(len([1 for r in rows if r.query_id == q]) == 5 for q in {r.query_id for r in rows})
 
 
+def clustered(n, dim=32, per=25, seed=4):
+    """n vectors in clusters of about `per`, whose members are much nearer to each other than to others."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(max(1, n // per), dim))
+    return centres[rng.integers(0, len(centres), n)] + 0.15 * rng.normal(size=(n, dim))
+
+
+def recall(rows, vectors, asked, k=5):
+    z = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    score = z[asked] @ z.T
+    score[np.arange(len(asked)), asked] = -2
+    want = {(int(a), int(b)) for a, row in zip(asked, np.argsort(-score, axis=1)[:, :k]) for b in row}
+    return len({(r.query_id, r.vec_id) for r in rows} & want) / len(want)
+
+
+def neighbours_of(z, asked, k=5):
+    score = z[asked] @ z.T
+    score[np.arange(len(asked)), asked] = -2
+    return np.argsort(-score, axis=1)[:, :k]
+
+
+def test_the_joined_index_finds_near_neighbours_in_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_SLOT", 300)
+    monkeypatch.setattr(ann, "PER_PART", 100)  # so that slots are split, those of rows and those of queries
+    vectors = clustered(4000)
+    vectors[:150] = vectors[0] + 0.001 * np.arange(150)[:, None]  # a hot bucket
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    probes, share, _ = ann.fitted(blocks.usable(frame, "vec_id", "embedding", True), 5)
+    assert probes is not None and share < ann.SELECTIVE
+    rows = ann.nearest(frame, F.col("id") % 20 == 0, 5).collect()
+    asked = np.arange(0, 4000, 20)
+    assert len(rows) == 5 * len(asked) and recall(rows, vectors, asked) >= 0.9
+    assert all(abs(r.score - cosine(vectors[r.query_id], vectors[r.vec_id])) < 1e-12 for r in rows)
+
+
+def test_both_ways_rank_the_same_candidates(spark):
+    vectors = clustered(600, per=60)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000, None), (1001, [0.0] * 32), (1002, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    one, two = (sorted(map(tuple, ann.nearest(frame, F.col("id") % 10 == 0, 5, probes=64, joined=way).collect())) for way in (True, False))
+    # In blocks a query without enough candidates of a block is ranked against that block; here all have enough.
+    assert one == two and {r[0] for r in one} == set(range(0, 600, 10))
+
+
+def test_candidates_per_query_grow_far_less_than_rows():
+    """On clusters of one size, eight times the rows bring little more than the same rows to look at."""
+    looked = []
+    for n in (4000, 32000):
+        z = ann.unit(clustered(n))
+        hashes, asked = ann.hashes_for(n), np.arange(100)
+        true = neighbours_of(z, asked)
+        probes, _ = ann.fit_probes(z[asked], z[true], z[:4096], hashes)
+        seen = ann.Block(ann.Tables(32, hashes), z).candidates(z[asked], probes)
+        assert np.take_along_axis(seen, true, axis=1).mean() >= ann.TARGET
+        looked.append(seen.sum(1).mean())
+    assert looked[1] < 2.5 * looked[0], looked
+
+
+def test_a_target_that_no_probes_reach_means_all_rows(spark):
+    vectors = np.random.default_rng(1).normal(size=(300, 16))
+    z = ann.unit(vectors)
+    assert ann.fit_probes(z[:9], z[neighbours_of(z, np.arange(9))], z, ann.HASHES, target=1.1) == (None, 1.0)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = blocks.search(blocks.usable(frame, "vec_id", "embedding", True), F.col("id") % 10 == 0, ann.best(5, None), 5, "double").collect()
+    assert recall(rows, vectors, np.arange(0, 300, 10)) == 1
+
+
+def test_template_is_in_order_of_cost_without_both_borders_of_a_hash():
+    for m in (3, 8, 16):
+        rows = ann.template(m)
+        assert not rows[0].any() and len(np.unique(rows, axis=0)) == len(rows) and (rows + rows[:, ::-1] <= 1).all()
+    assert len(ann.template(3)) == 27  # each of three hashes crosses its lower border, its upper one, or none
+
+
 def test_probes_begin_at_home_and_get_dearer():
     tables = ann.Tables(8)
     rng = np.random.default_rng(0)
