@@ -1,8 +1,8 @@
 """Connected components of a list of edges of any size.
 
-Every partition first replaces its edges by a spanning forest of them, in bounded memory and without a shuffle. If at most
-FEW edges are left in all, one task unites them, and that is the result. If more are left, alternating large-star and
-small-star steps go on with them, which spread any component over all tasks. Both ways give the same rows.
+Tasks of up to FEW edges first replace them by a spanning forest, in bounded memory and without a shuffle. If there is one
+such task, or at most FEW edges are left in all, which one task unites, that is the result. If more are left, alternating
+large-star and small-star steps go on with them, which spread any component over all tasks. All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable
+from .shared import durable, gathered
 
 #: Edges that one task unites: 16 MB of them, and about six times that while it works.
 FEW = 1 << 20
@@ -116,8 +116,10 @@ def stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(u, v): every node u of the edges (two columns of longs) with the smallest node v of its component, v itself left out.
 
-    An edge from a node to itself is ignored; no edges give an empty result."""
-    now = durable(forests(edges))
-    if now.count() > few:
-        return stars(now)
-    return durable(forests(now.coalesce(1)))
+    `edges` is durable. An edge from a node to itself is ignored; no edges give an empty result."""
+    rows = edges.count()
+    now = durable(forests(gathered(edges, rows, few)))
+    if rows <= few:
+        return now
+    rows = now.count()
+    return durable(forests(gathered(now, rows, few))) if rows <= few else stars(now)

@@ -1,8 +1,8 @@
 """A small convolutional classifier in numpy: summed embeddings, filters of several widths, max pooling, softmax.
 
-A position has one or more ids whose embeddings are added. Segments (windows or documents) lie one after another, each
-followed by `max(widths) - 1` positions of id 0, whose embedding is zero and isn't trained, so that no filter reaches
-from one segment into the next."""
+A position has one or more ids whose embeddings are added. Segments (windows or documents) lie one after another, each with
+a tail of `max(widths) - 1` positions, of id 0 as a rule, whose embedding is zero and isn't trained. Filters begin at the
+positions before the tail, so none reaches from one segment into the next; a segment of a tail alone responds with 0."""
 
 from __future__ import annotations
 
@@ -38,9 +38,18 @@ class ConvNet:
                 block[: n - k] += embedded[k:] @ self.weights[f"conv{w}"][k]
         return embedded, out
 
+    def _inside(self, response: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Responses (changed in place) that can't win at the positions of tails."""
+        if self.padding:
+            bare = np.diff(edge) <= self.padding
+            tail = (edge[1:] - self.padding)[:, None] + np.arange(self.padding)
+            response[tail[~bare]] = -np.inf
+            response[tail[bare]] = 0
+        return response
+
     def pooled(self, ids: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """Largest response of each filter in each segment ids[edge[i]:edge[i+1]]; segments aren't empty."""
-        return np.maximum.reduceat(self.responses(ids)[1], edge[:-1], axis=0)
+        """Largest response of each filter in each segment ids[edge[i]:edge[i+1]], which ends with its tail."""
+        return np.maximum.reduceat(self._inside(self.responses(ids)[1], edge), edge[:-1], axis=0)
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled + self.weights["bias"], 0) @ self.weights["out"] + self.weights["prior"]
@@ -72,6 +81,7 @@ class ConvNet:
         own = np.append(0, np.cumsum(size))
         ids = ids[np.repeat(edge[:-1][chosen] - own[:-1], size) + np.arange(own[-1])]
         embedded, response = self.responses(ids)
+        response = self._inside(response, own)
         top = np.maximum.reduceat(response, own[:-1], axis=0)
         row, column = np.nonzero(response == np.repeat(top, size, axis=0))
         segment = np.searchsorted(own, row, "right") - 1
@@ -92,7 +102,7 @@ class ConvNet:
             at, g = place[:, mine], back[:, mine].astype(np.float32)
             conv = np.zeros_like(self.weights[f"conv{w}"])
             for k in range(w):
-                here = np.minimum(at + k, len(ids) - 1)
+                here = np.minimum(at + k, own[1:, None] - 1)
                 conv[k] = np.einsum("bfd,bf->df", embedded[here], g)
                 push = g[:, :, None] * self.weights[f"conv{w}"][k].T
                 live = g != 0

@@ -32,6 +32,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame, rows: int, per: int = 1 << 18) -> DataFrame:
+    """`df`, which has about `rows` rows at most, in so many partitions that each has about `per`; without a shuffle, and
+    never in more than before. Small tables behind wide shuffles are written to a few files this way."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most `rows` rows for what is run (not only planned) within: for wide rows."""

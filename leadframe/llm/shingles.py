@@ -10,8 +10,8 @@ Similar sets are those of which PART of WHOLE of the union is common. Candidates
 prefixes: put all shingles in one order, the same for every text. A set of n shingles shares at least 0.8 n of them with any
 partner, so the first n - ceil(0.8 n) + 1 shingles, its prefix, and that of the partner have one in common; more than one,
 in fact, and how many follows from the two sizes (`needed`). Pairs that share fewer keys are not similar and need no look at
-their sets. Any order is exact; the one used puts shingles last that are frequent in a sample of about SAMPLE documents, so
-that common passages seldom become keys.
+their sets. Any order is exact; the one used puts shingles last that recur among the documents, the more often the later, so that
+common passages seldom become keys.
 
 Under a key of up to three nodes all pairs are given out. Under a larger one nodes are paired with the first and the
 foregoing one, then with some pivots, which links most of a group of similar texts without all its pairs. Pairs that are then
@@ -31,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, durable, gather, slices, spans
+from .shared import arrow_rows, durable, gather, gathered, slices, spans
 from .xxh64 import SPARE, hash_ranges
 
 SEED = 42
 CHUNK = 1 << 19  # bytes of text at a time
 #: Two sets are similar if 5 x their common shingles is 4 x their union or more.
 PART, WHOLE = 4, 5
-SAMPLE = 4096
-HEAVY = 1 << 16
+LOT = 1 << 21
+HEAVY = 1 << 18
 BLOCK = 4096
 BITS = 1 << 23
 PIVOTS = 8
@@ -47,6 +47,8 @@ PIVOTS = 8
 PLACES = 1024
 #: Pairs of sets in one Arrow batch.
 PAIRS_AT_ONCE = 512
+#: Sets, or pairs of them, in one task at most, about.
+SETS_AT_ONCE = 2048
 #: Keys of up to this many nodes give all their pairs at once.
 FEW = 3
 MET = "key long, node long, n int, a long, b long, need int"
@@ -206,17 +208,32 @@ def _lists(size: np.ndarray, h: np.ndarray, valid: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)), mask=pa.array(~valid))
 
 
-def heavy_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ascending, and counts) of shingles in several documents of a bounded sample. They only set the order."""
+def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+    """(key, count) of the hashes that occur in several of the sets."""
+    h = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    count = np.diff(np.append(head, len(h)))
+    return pa.RecordBatch.from_arrays([pa.array(h[head[count > 1]].view(np.int64)), pa.array(count[count > 1])], names=["key", "count"])
+
+
+def heavy_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending, and counts) of the HEAVY shingles that recur most among all documents, roughly.
+
+    A task counts its sets in lots of about LOT shingles, and only what recurs within a lot goes on. So nothing that is
+    frequent is missed, and what is shuffled is small; the counts only set the order of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for _, _, h, counts in hashed(batch.column(0), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(sets_of(h, counts)[0].view(np.int64))], names=["key"])
-
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(text_col)
-    counted = chosen.mapInArrow(run, "key long").groupBy("key").count().where("count > 1")
+                held.append(sets_of(h, counts)[0])
+                size += len(held[-1])
+                if size >= LOT:
+                    yield _repeated(held)
+                    held, size = [], 0
+        yield _repeated(held)
+
+    counted = docs.select(text_col).mapInArrow(run, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
     top = counted.orderBy(F.desc("count"), "key").limit(HEAVY).toArrow()
     key = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
@@ -227,7 +244,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
     """(id, print, node, fp, n, bits, prefix) of every row: a hash of its text, that of its set, its fingerprint, the size of
     its set; `bits`, the set's bitmap, and `prefix` only with the first of a task's rows that has a node, else null."""
     kind = docs.schema[id_col].dataType.simpleString()
-    heavy, often = heavy_shingles(docs, id_col, text_col, shingle)
+    heavy, often = heavy_shingles(docs, text_col, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -302,11 +319,13 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judged(docs: DataFrame, text_col: str, shingle: int, pairs: DataFrame) -> DataFrame:
     """(a, b, ok): whether the sets of the nodes a and b are similar. `pairs` is durable."""
-    sets = durable(sets_for(docs, text_col, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), shingle))
+    many = pairs.count()
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = durable(gathered(sets_for(docs, text_col, nodes, shingle), 2 * many, SETS_AT_ONCE))
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     with arrow_rows(pairs.sparkSession, PAIRS_AT_ONCE):
-        return durable(both.select("a", "b", "left", "right").mapInArrow(_agreeing, "a long, b long, ok boolean"))
+        return durable(gathered(both.select("a", "b", "left", "right").mapInArrow(_agreeing, "a long, b long, ok boolean"), many, SETS_AT_ONCE))
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .components import components as connected
 from .components import spanning
-from .shared import durable
+from .shared import durable, gathered
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -216,7 +216,7 @@ def links(distinct: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFra
         .groupBy("key", "i", "j")
         .applyInArrow(pair, "a long, b long")
     )
-    return edges.unionByName(more)
+    return durable(edges.unionByName(more))
 
 
 # --- components ----------------------------------------------------------------------------------------------------
@@ -228,13 +228,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A fingerprint may be that of a third of all rows, and a component may hold a third of all fingerprints. Both sides of
     the joins on them are written down before, so that AQE can split such a key; sums by key are partial before shuffles."""
     rows = durable(fingerprints(docs, id_col, text_col, shingle))
-    distinct = durable(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
+    many = rows.count()
+    distinct = durable(gathered(rows.groupBy("fp").agg(F.min("id").alias("least_id")), many))
     tree = connected(links(distinct, max_bits, block))
+    few = 2 * tree.count()
     linked = tree.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(tree.select("v", "v").distinct())
-    linked = durable(linked.join(distinct, "fp"))
-    least = durable(linked.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    linked = durable(gathered(linked.join(distinct, "fp"), few))
+    least = durable(gathered(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), few))
     named = linked.join(least, "root").select("fp", "component_id")
-    named = durable(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
+    named = durable(gathered(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), many))
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "component_id")
 
 
@@ -242,9 +244,10 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
     """(u, v): every node u of `marks` that has near copies, with the smallest node v of its component, v itself left out.
 
     Components are those of all pairs of sets that share 0.8 of their union. `marks` is durable and from `shingles.marked`."""
-    nodes = durable(marks.where("n > 0 and prefix is not null").groupBy("node").agg(F.min("fp").alias("fp"), F.min("bits").alias("bits")))
+    many = marks.count()
+    nodes = durable(gathered(marks.where("n > 0 and prefix is not null").groupBy("node").agg(F.min("fp").alias("fp"), F.min("bits").alias("bits")), many, 1 << 16))
     fps = nodes.select("node", "fp")
-    first = durable(fps.groupBy("fp").agg(F.min("node").alias("node")))
+    first = durable(gathered(fps.groupBy("fp").agg(F.min("node").alias("node")), many))
     near = links(first)
     near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     alike = fps.withColumnRenamed("node", "x").join(first.withColumnRenamed("node", "y"), "fp").where("x <> y").select("x", "y")
@@ -278,17 +281,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     row = F.struct(F.col("id").isNull().alias("last"), "id", "print")
     rooted = marks.groupBy("node").agg(F.min(row).alias("least")).join(roots, "node", "left")
     least = rooted.groupBy(F.coalesce("root", "node").alias("_root")).agg(F.min("least").alias("_least"))
-    least = durable(least.select(F.col("_least.id").alias("_id"), F.col("_least.print").alias("_print")))
+    many = marks.count()
+    least = durable(gathered(least.select(F.col("_least.id").alias("_id"), F.col("_least.print").alias("_print")), many))
     own = lambda d, i, p: d[i].eqNullSafe(F.col("_id")) & (d[p] == F.col("_print"))
 
     # Rows that go, and rows that repeat id and text, mark a bitmap of 1 MB. Rows whose place in it is empty stay as they are;
     # the others, few more than those that go, are compared exactly.
     going = marks.select("id", "print").join(least, own(marks, "id", "print"), "left_anti")
-    repeated = durable(marks.groupBy("id", "print").count().where("count > 1").select("id", "print"))
+    repeated = durable(gathered(marks.groupBy("id", "print").count().where("count > 1").select("id", "print"), many))
     place = lambda i, p: F.pmod(F.xxhash64(i, p), F.lit(shingles.BITS))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))
     slots = going.union(repeated).select(place("id", "print").alias("slot"))
-    bitmap = durable(slots.groupBy(F.floor(F.col("slot") / 64).alias("_word")).agg(F.bit_or(bit(F.col("slot"))).alias("_bits")))
+    words = slots.groupBy(F.floor(F.col("slot") / 64).alias("_word")).agg(F.bit_or(bit(F.col("slot"))).alias("_bits"))
+    bitmap = durable(gathered(words, shingles.BITS // 64))
 
     names = {"print": "_print_of_text", "slot": "_slot_of_row"}
     for name in names:

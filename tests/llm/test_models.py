@@ -1,4 +1,7 @@
-"""Classifiers on held-out rows of the small tables, and on awkward rows."""
+"""Classifiers on held-out rows of the small tables, against plain forward passes, and on awkward rows."""
+
+import math
+import re
 
 import numpy as np
 import pytest
@@ -6,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadframe.llm import langid, quality, toxicity
 from leadframe.llm.queries import QUERIES
-from leadframe.llm.shared import gather, remainder, spans
+from leadframe.llm.shared import BASE, gather, remainder, spans
 
 DIR = "/root/testdata/sf0.01"
 AWKWARD = [(None, None), (1, ""), (2, "  \n"), (3, "123 !!"), (4, "the " * 60000), (4, "the"), (5, "日本語"), (6, "É")]
@@ -70,10 +73,9 @@ def test_tables_respond_like_the_network(tables):
 def test_toxicity(spark, tables, odd):
     docs, labels = tables
     got = QUERIES["op1_toxicity_convnet"](spark, DIR)
-    judged = got.join(labels, "doc_id").where("not held_out")
-    hit = judged.where("toxic = 1").agg(F.avg("predicted")).first()[0]
-    false = judged.where("toxic = 0").agg(F.avg("predicted")).first()[0]
-    assert hit > 0.6 and false < 0.1
+    judged = got.join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted")).collect()
+    rate = {r[0]: r[1] for r in judged}
+    assert rate[1] >= 0.5 and rate[0] < 0.1  # six toxic rows at this scale; the next test has enough of them
     model = toxicity.train(docs, labels, F.lit(True))
     rows = toxicity.score(odd, model).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
@@ -82,6 +84,127 @@ def test_toxicity(spark, tables, odd):
     assert {(r.score, r.predicted) for r in toxicity.score(odd, nothing).collect()} == {(0.0, 0)}
 
 
+def test_toxicity_on_held_out_rows_of_the_larger_table(spark):
+    big = "/root/testdata/sf0.1"
+    got = QUERIES["op1_toxicity_convnet"](spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out")
+    both, said, toxic = got.agg(F.sum(F.col("predicted") * F.col("toxic")), F.sum("predicted"), F.sum("toxic")).first()
+    assert toxic > 50 and both / said >= 0.85 and both / toxic >= 0.8
+
+
+def plain_fold(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or ("\u00c0" <= c <= "\u00de" and c != "\u00d7") else c for c in text or "")
+
+
+def plain_toxicity(model, text):
+    """Word by word and filter by filter, in plain Python but for the dot products."""
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", plain_fold(text).encode())
+
+    def bucket(word, salt):
+        h = sum((b + 1) * pow(int(BASE), i, 1 << 64) for i, b in enumerate(word)) % (1 << 64)
+        return ((((h ^ salt) * 0xBF58476D1CE4E5B9) % (1 << 64)) >> 40) % (toxicity.BUCKETS - 1) + 1
+
+    ids = [[bucket(w, 1)] + [bucket(w[:k], k) for k in toxicity.PREFIXES] for w in words]
+    w = model.net.weights
+    rows = [sum(w["embed"][i].astype(float) for i in three) for three in ids] + [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+    top = []
+    for width in toxicity.WIDTHS:
+        at = [sum(rows[p + k] @ w[f"conv{width}"][k] for k in range(width)) for p in range(len(ids))]
+        top.append(np.max(at, axis=0) if at else np.zeros(toxicity.FILTERS))
+    hidden = np.maximum(np.concatenate(top) + w["bias"], 0)
+    z = hidden @ w["out"].astype(float) + w["prior"]
+    evidence = sum(model.guess[three[0]].astype(float) for three in ids) if ids else np.zeros(model.guess.shape[1])
+    language = int(np.argmax(evidence)) if ids and np.any(evidence != 0) else -1
+    return 1 / (1 + math.exp(-model.slope * (z[1] - z[0] - model.thresholds[language])))
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass(spark, tables):
+    docs, labels = tables
+    model = toxicity.train(docs, labels, remainder("doc_id", 5) != 0)
+    texts = {r.doc_id: r.text for r in docs.where("doc_id % 40 = 0").collect()}
+    got = {r.doc_id: r.score for r in QUERIES["op1_toxicity_convnet"](spark, DIR).where("doc_id % 40 = 0").collect()}
+    assert len(got) == len(texts) > 20
+    assert all(abs(got[i] - plain_toxicity(model, texts[i])) < 1e-3 for i in texts)
+
+
+def plain_language(model, text):
+    data = plain_fold(text).encode()
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    w, total, weights = model.net.weights, np.zeros(len(model.languages)), 0.0
+    starts = [0]
+    while starts[-1] + langid.WINDOW < len(data):
+        starts.append(starts[-1] + langid.STRIDE)
+    for start in starts:
+        window = data[start : start + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+        rows = [w["embed"][b].astype(float) for b in window]
+        top = [np.max([sum(rows[p + k] @ w[f"conv{width}"][k] for k in range(width)) for p in range(langid.WINDOW - 3)], axis=0) for width in langid.WIDTHS]
+        z = np.maximum(np.concatenate(top) + w["bias"], 0) @ w["out"].astype(float) + w["prior"]
+        p = np.exp(z - z.max())
+        weight = sum(97 <= b <= 122 or b >= 128 for b in window) + 1e-6
+        total += weight * p / p.sum()
+        weights += weight
+    return model.languages[int(total.argmax())], float(total.max() / weights)
+
+
+def test_language_scores_equal_a_plain_forward_pass(spark, tables):
+    docs, _ = tables
+    model = langid.train(docs, remainder("doc_id", 4) != 2)
+    chosen = docs.where("doc_id % 100 = 0 and length(text) < 6000")
+    texts = {r.doc_id: r.text for r in chosen.collect()}
+    got = {r.doc_id: r for r in QUERIES["op4_langid_convnet"](spark, DIR).join(chosen.select("doc_id"), "doc_id").collect()}
+    assert len(got) == len(texts) > 5
+    for i, text in texts.items():
+        label, score = plain_language(model, text)
+        assert got[i].lang_pred == label and abs(got[i].score - score) < 1e-4
+
+
+def test_quality_scores_equal_a_loop_over_texts(spark, tables):
+    import zstandard
+
+    docs, labels = tables
+    model = quality.train(docs, labels, remainder("doc_id", 3) != 1)
+    made = []
+    for content in model.dictionaries:
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary.precompute_compress(level=quality.LEVEL)
+        made.append(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=dictionary, write_content_size=False))
+    texts = {r.doc_id: r.text for r in docs.where("doc_id % 10 = 0").collect()}
+    got = {r.doc_id: r.score for r in QUERIES["op6_quality_compression"](spark, DIR).where("doc_id % 10 = 0").collect()}
+    for i, text in texts.items():
+        raw = (text or "").encode()
+        good, bad = (len(c.compress(raw)) for c in made)
+        difference, length = (bad - good) / (len(raw) + 16), math.log(len(raw) + 16)
+        hats = [float(np.interp(length, model.knots, np.eye(len(model.knots))[k])) for k in range(len(model.knots))]
+        x = np.array([*hats[1:], *(h * difference for h in hats)])
+        z = model.weights[0] + ((x - model.mean) / model.scale) @ model.weights[1:]
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_length_alone_says_little_about_quality(spark):
+    """The ablation of the README: without the difference the bands of length are no better than the commoner label."""
+    big = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    got = QUERIES["op6_quality_compression"](spark, big).join(labels, "doc_id").where("held_out")
+    right, share = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")), F.avg("quality")).first()
+    assert right > 0.98
+    rows = docs.join(labels, "doc_id").where(F.col("quality").isin(0, 1)).select("doc_id", F.octet_length("text").alias("n"), "quality", (remainder("doc_id", 3) == 1).alias("hold")).toPandas()
+    length = np.log(rows.n.to_numpy() + 16.0)
+    knots = np.unique(np.quantile(length, np.linspace(0, 1, quality.KNOTS)))
+    x = quality.features(np.zeros(len(rows)), length, knots)[:, : len(knots) - 1]
+    y, hold = rows.quality.to_numpy(float), rows.hold.to_numpy(bool)
+    w = quality.logistic(x[~hold], y[~hold], np.ones((~hold).sum()))
+    alone = ((w[0] + x[hold] @ w[1:] > 0) == y[hold]).mean()
+    assert alone < max(share, 1 - share) + 0.02
+
+
+def test_classifiers_on_empty_tables(spark, tables):
+    docs, labels = tables
+    none, no_labels = docs.where("false"), labels.where("false")
+    for module in (toxicity, quality):
+        assert module.score(none, module.train(docs, labels, F.lit(True))).count() == 0
+        assert module.score(docs.limit(3), module.train(none, no_labels, F.lit(True))).count() == 3
+
+
 def test_toxicity_of_a_long_text_in_pieces(tables):
     docs, labels = tables
     model = toxicity.train(docs, labels, F.lit(True))
@@ -91,6 +214,8 @@ def test_toxicity_of_a_long_text_in_pieces(tables):
     whole = model.measure(data, edge, 1 << 30)
     pieces = model.measure(data, edge, 97)
     assert np.allclose(whole[0], pieces[0], atol=1e-4) and np.allclose(whole[1], pieces[1], rtol=1e-3, atol=1e-2)
+    for limit in (1, 50, 1000):
+        assert (toxicity.words_of_long(data, limit) == toxicity.words(data, np.array([0, len(data)]))[0]).all()
 
 
 def test_threshold_lies_in_the_widest_gap():
