@@ -71,6 +71,20 @@ def unfenced(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(out, r"^```", ""), r"```\z", ""))
 
 
+def unfenced_text(text: str) -> str:
+    """`unfenced` of a Python string."""
+    text = text.strip(BLANKS).removeprefix("```json").removeprefix("```")
+    return text.removesuffix("```").strip(BLANKS)
+
+
+def layout_text(response: Column) -> Column:
+    """What a layout model described: the text under `description` without fences, or the response as it is if it isn't
+    JSON with such a text; null for a failed call."""
+    described = F.try_variant_get(F.try_parse_json(response), "$.description", "variant")
+    text = F.when(F.schema_of_variant(described) == "STRING", F.try_variant_get(described, "$", "string"))
+    return F.coalesce(unfenced(text), response)
+
+
 def part_number(file_name: Column) -> Column:
     """The leading capitals, digits and hyphens of a file name without its extension, or null."""
     base = F.regexp_replace(file_name, r"(?<=[^.])\.[^.]*\z", "")

@@ -13,19 +13,26 @@ FENCED = r"(?s)```(?:json)?\s*\n?(\{.*?\})\n?```"
 OUTERMOST = r"(?s)\{.*\}"
 
 
+PIN_SYSTEM, PIN_ASK = "You read pin tables of component datasheets.", "List the component's name, its package and every pin as JSON.\n"
+PART_BEFORE, PART_AFTER = "Only the variant of part ", " counts.\n"
+VERIFY_SYSTEM, VERIFY_ASK = "You judge pages of component datasheets.", "Does this page list or draw a component's pins? Answer YES or NO first.\n\n"
+VISION_ASK, TARGET = "Read the pin diagram and return its pins as JSON.", "\n\nTarget component: "
+#: Layouts name no pin beyond this number; larger numbers and ranges up to them are left out and counted.
+MOST_PINS = 9999
+
+
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
 def pin_prompt(content: Column, part: Column | None = None) -> Column:
     """Two messages that ask for a component's pins as JSON."""
-    ask = F.concat(F.lit("List the component's name, its package and every pin as JSON.\n"), F.coalesce(F.concat(F.lit("Only the variant of part "), part, F.lit(" counts.\n")), F.lit("")) if part is not None else F.lit(""), F.lit("\n"), content)
-    return F.array(message("system", F.lit("You read pin tables of component datasheets.")), message("user", ask))
+    ask = F.concat(F.lit(PIN_ASK), F.coalesce(F.concat(F.lit(PART_BEFORE), part, F.lit(PART_AFTER)), F.lit("")) if part is not None else F.lit(""), F.lit("\n"), content)
+    return F.array(message("system", F.lit(PIN_SYSTEM)), message("user", ask))
 
 
 def verification_prompt(content: Column) -> Column:
-    ask = F.concat(F.lit("Does this page list or draw a component's pins? Answer YES or NO first.\n\n"), content)
-    return F.array(message("system", F.lit("You judge pages of component datasheets.")), message("user", ask))
+    return F.array(message("system", F.lit(VERIFY_SYSTEM)), message("user", F.concat(F.lit(VERIFY_ASK), content)))
 
 
 def sample_prompt(numbers: Column, contents: Column) -> Column:
@@ -41,8 +48,10 @@ def sample_analysis(answer: Column) -> Column:
     return F.struct(answer.alias("analysis"), F.lit("use_all_candidates").alias("recommendation"))
 
 
-def vision_prompt(part: Column) -> Column:
-    return F.concat(F.lit("Read the pin diagram and return its pins as JSON."), F.coalesce(F.concat(F.lit("\n\nTarget component: "), F.nullif(part, F.lit(""))), F.lit("")))
+def vision_prompt(part: Column, custom: Column | None = None) -> Column:
+    """The request beside an image; a caller's own wording, where it isn't null, takes the place of all of it."""
+    own = F.concat(F.lit(VISION_ASK), F.coalesce(F.concat(F.lit(TARGET), F.nullif(part, F.lit(""))), F.lit("")))
+    return own if custom is None else F.coalesce(custom, own)
 
 
 def says_yes(answer: Column) -> Column:
@@ -61,11 +70,22 @@ def _at(v: Column, path: str, as_: str = "variant") -> Column:
 
 
 def pin_number(v: Column) -> Column:
-    """A string's first digits, or 0 without any; numbers are cut to whole ones; anything else is null."""
+    """A string's first digits, or 0 without any; numbers are cut to whole ones. Null, which makes the record's pins
+    unusable, for anything else and for numbers that a bigint can't hold: none is replaced by another."""
     kind = _kind(v)
-    digits = F.regexp_extract(F.try_variant_get(v, "$", "string"), r"\d+", 0).try_cast("bigint")
-    number = F.floor(F.abs(F.try_variant_get(v, "$", "double"))) * F.signum(F.try_variant_get(v, "$", "double"))
-    return F.when(kind == "STRING", F.coalesce(digits, F.lit(0))).when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint")).when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL|BOOLEAN)"), F.coalesce(number.cast("bigint"), F.try_variant_get(v, "$", "boolean").cast("bigint")))
+    digits = F.regexp_extract(F.try_variant_get(v, "$", "string"), r"\d+", 0)
+    from_text = F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))
+    double = F.try_variant_get(v, "$", "double")
+    from_double = F.when(F.abs(double) < 2.0**63, (F.floor(F.abs(double)) * F.signum(double)).try_cast("bigint"))
+    decimal = F.try_variant_get(v, "$", "decimal(38,9)")
+    from_decimal = F.when(decimal < 0, -F.floor(-decimal)).otherwise(F.floor(decimal)).try_cast("bigint")
+    return (
+        F.when(kind == "STRING", from_text)
+        .when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+        .when(kind.rlike("^DECIMAL"), from_decimal)
+        .when(kind.isin("DOUBLE", "FLOAT"), from_double)
+        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
+    )
 
 
 def parsed_pins(responses: DataFrame, response: str = "response") -> DataFrame:
@@ -156,20 +176,33 @@ def layout_as_coded(text: Column) -> Column:
 
 
 def layout_intended(text: Column) -> Column:
-    """The same as it is meant: package words in any case, a colon before the count, sections "name: numbers" with ranges."""
+    """The same as it is meant: package words in any case, a colon before the count, sections "name: numbers" with ranges.
+
+    Numbers over MOST_PINS are no pins; they are left out, with the ranges they begin or end, and counted in `left_out`."""
     low = F.lower(text)
     package = F.coalesce(*(F.when(F.contains(low, F.lit(word.lower())), F.lit(kind)) for kind, words in rules.LAYOUT_PACKAGES for word in words), F.lit("Unknown"))
     count = F.nullif(F.regexp_extract(low, r"pin count\s*:?\s*(\d+)", 1), F.lit("")).try_cast("int")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*[A-Za-z][A-Za-z _-]*:.*\d") & ~F.lower(x).rlike(r"^\s*(package type|pin count)\s*:"))
 
-    def numbers(listed: Column) -> Column:
-        one = lambda piece: F.when(
-            piece.rlike(r"\d+\s*-\s*\d+"), F.sequence(F.regexp_extract(piece, r"(\d+)\s*-\s*(\d+)", 1).cast("int"), F.regexp_extract(piece, r"(\d+)\s*-\s*(\d+)", 2).cast("int"))
-        ).otherwise(F.transform(F.regexp_extract_all(piece, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("int")))
-        return F.array_distinct(F.flatten(F.transform(F.split(listed, ","), one)))
+    as_pin = lambda digits: F.when(F.length(digits) <= 9, digits.try_cast("int"))
+    sane = lambda n: n.isNotNull() & (n <= MOST_PINS)
+    ends = lambda piece: [as_pin(F.regexp_extract(piece, r"(\d+)\s*-\s*(\d+)", k)) for k in (1, 2)]
+    is_range = lambda piece: piece.rlike(r"\d+\s*-\s*\d+")
+    nothing = F.array().cast("array<int>")
 
-    section = F.transform(lines, lambda x: F.struct(T.strip(F.substring_index(x, ":", 1)).alias("section"), numbers(F.regexp_replace(x, r"^[^:]*:", "")).alias("pins")))
-    return F.struct(package.alias("package_type"), F.coalesce(count, F.lit(0)).alias("pin_count"), section.alias("sections"))
+    def numbers(listed: Column) -> Column:
+        span = lambda piece: F.when(sane(ends(piece)[0]) & sane(ends(piece)[1]), F.sequence(*ends(piece))).otherwise(nothing)
+        single = lambda piece: F.filter(F.transform(F.regexp_extract_all(piece, F.lit(r"\d+"), F.lit(0)), as_pin), sane)
+        return F.array_distinct(F.flatten(F.transform(F.split(listed, ","), lambda piece: F.when(is_range(piece), span(piece)).otherwise(single(piece)))))
+
+    def beyond(listed: Column) -> Column:
+        every = F.transform(F.regexp_extract_all(listed, F.lit(r"\d+"), F.lit(0)), as_pin)
+        return F.size(F.filter(every, lambda n: ~sane(n)))
+
+    rest = lambda line: F.regexp_replace(line, r"^[^:]*:", "")
+    section = F.transform(lines, lambda x: F.struct(T.strip(F.substring_index(x, ":", 1)).alias("section"), numbers(rest(x)).alias("pins")))
+    left_out = F.aggregate(F.transform(lines, lambda x: beyond(rest(x))), F.lit(0), lambda a, b: a + b)
+    return F.struct(package.alias("package_type"), F.coalesce(count, F.lit(0)).alias("pin_count"), section.alias("sections"), left_out.alias("left_out"))
 
 
 def known_pinouts(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ other way round. Rule tables are shared, as they are fixed values."""
 from __future__ import annotations
 
 from ..functions import rules
+from ..operators import responses
 from ..sources.virtual import ctes
 
 ORACLES: dict[str, str] = {}
@@ -98,6 +99,9 @@ IMAGES = f"""measured as (
 
 # --- scans, sources, sinks
 add("s2_rescan", "select doc, doc_id, page_number, cast(length(coalesce(text, '')) as int) as n_chars, md5(coalesce(text, '')) as text_md5 from v_pages", "v_pages")
+SHEETS = "sheets as (select s.url, u.t, u.k, len(s.parts) as n from (select url, string_split(html, chr(12)) as parts from pages where html is not null) s, lateral (select unnest(s.parts) as t, generate_subscripts(s.parts, 1) as k) u)"
+add("s1_page_scan", "select url as doc, cast(k as int) as page_number, cast(n as int) as total_pages, cast(length(t) as int) as n from sheets", more=SHEETS)
+add("s3_image_scan", "select url as doc, cast(k as int) as page_number, cast(0 as int) as image_index, cast(strlen(t) as int) as n from sheets", more=SHEETS)
 add("s4_page_numbers", "select doc, doc_id, page_number from v_pages", "v_pages")
 add("s5_text_ninth_null", "select doc_id, md5(case when doc_id % 9 <> 0 then text else '' end) as text_md5 from v_pages", "v_pages")
 add("s6_single_page", "select doc, page_number, md5(text) as text_md5 from v_pages where page_number = 3", "v_pages")
@@ -106,9 +110,13 @@ STORED = "stored as (select i.*, p.page_number, case when (i.doc_id + i.image_in
 add("s8_content_images", "select doc_id, image_index, base64(encode(data)) as data from stored where data is not null", "v_page_images", "v_pages", more=STORED)
 add("s9_detector_images", "select doc_id, image_index, base64(encode(data)) as data from stored", "v_page_images", "v_pages", more=STORED)
 add("s10_bulk_images", "select doc, page_number, image_index from stored where page_number in (2, 5, 100000) and data is not null", "v_page_images", "v_pages", more=STORED)
-add("s11_image_files", "select doc, doc_id, 'page_' || page_number || '_img_' || image_index || '.png' as file_name from stored where data is not null", "v_page_images", "v_pages", more=STORED)
+add("s11_image_files", "select regexp_replace(doc, '[^\\w.-]+', '_', 'g') || '/page_' || page_number || '_img_' || image_index || '.png' as name, md5(data) as content_md5 from stored where data is not null", "v_page_images", "v_pages", more=STORED)
+asked = lambda content, part="''": f"{lit(responses.PIN_ASK)} || {part} || chr(10) || {content}"
+REQUEST = f"""'[{{"role":"system","content":' || to_json({lit(responses.PIN_SYSTEM)}) || '}},{{"role":"user","content":' || to_json({asked("component_name")}) || '}}]'"""
+add("s12_chat_answers", f"""select comp_id, '{{"component_name": "stub", "package": {{"type": "DIP", "pin_count": ' || (length({REQUEST}) % 8) || '}}, "pins": []}}' as response from v_components""", "v_components")
+add("s13_vision_answers", """select doc_id, image_index, '{"status": 1}' as response from v_page_images""", "v_page_images")
 unfenced = lambda r: strip(f"regexp_replace(regexp_replace(regexp_replace({strip(r)}, '^```json', ''), '^```', ''), '```$', '')")
-add("s14_layout_fences", f"select comp_id, {unfenced('response')} as description from v_llm_responses", "v_llm_responses")
+add("s14_layout_text", f"select comp_id, case when comp_id % 5 = 0 then {unfenced('response')} when comp_id % 5 < 4 then response end as layout_text from v_llm_responses", "v_llm_responses")
 add("s17_valid_inputs", "select file_id, path from v_files where lower(right(path, 4)) = '.pdf'", "v_files")
 add("s18_listing", "select path from v_files where lower(right(path, 4)) = '.pdf' order by path", "v_files")
 add("s19_base64", "select doc_id, md5(base64(encode(text))) as encoded_md5 from v_pages", "v_pages")
@@ -227,8 +235,10 @@ contents(
 add("c14_candidate_tables", f"select doc_id, table_index, {any_of('head_none', rules.CANDIDATE_TABLE_WORDS)} as is_candidate from tabs", "v_page_tables", more=TABS)
 
 # --- model input and output
-add("d1_pin_prompt", "select doc_id, 2 as n_messages, 'system,user' as roles, true as has_content from v_pages", "v_pages")
-add("d7c_verification_prompt", "select doc_id, 2 as n_messages, 'system,user' as roles, true as has_content from v_pages", "v_pages")
+NAMED_PART = f"case when doc_id % 2 = 0 then {lit(responses.PART_BEFORE)} || doc || {lit(responses.PART_AFTER)} else '' end"
+add("d1_pin_prompt", f"select doc_id, 'system,user' as roles, {lit(responses.PIN_SYSTEM)} as system, md5({asked('text', NAMED_PART)}) as asked_md5 from v_pages", "v_pages")
+add("d7c_verification_prompt", f"select doc_id, 'system,user' as roles, {lit(responses.VERIFY_SYSTEM)} as system, md5({lit(responses.VERIFY_ASK)} || text) as asked_md5 from v_pages", "v_pages")
+contents("d2_extract_pins", "select doc, 'stub' as component_name, 'DIP' as type, cast(0 as int) as n_pins, cast(null as varchar) as error from content_text")
 PARSED = f"""raw as (
   select comp_id, case when json_valid({unfenced("response")}) then {unfenced("response")}::json end as j from v_llm_responses
 ), typed as (
@@ -267,7 +277,7 @@ VISION = f"""r as (select id, response::json as j from v_vision_raw), picked as
                   when json_type(j, '$.component_name') is not null or json_type(j, '$.package_type') is not null then j end as v from r
 ), results as (
   select id, coalesce(v->>'$.component_name', '') as component_name, coalesce(v->>'$.package_type', '') as package_type, coalesce(cast(v->>'$.pin_count' as int), 0) as pin_count,
-         cast(coalesce(json_array_length(v, '$.pins'), 0) as int) as n_pins, coalesce(cast(v->>'$.extraction_confidence' as double), 0) as confidence, v is null or coalesce(v->>'$.notes', '') <> '' as has_note from picked
+         coalesce('[' || (select string_agg('{{"name":' || cast(json_extract(x, '$.name') as varchar) || ',"number":' || cast(json_extract(x, '$.number') as varchar) || '}}', ',') from (select unnest(json_extract(v, '$.pins[*]')) as x) y) || ']', '[]') as pins, coalesce(cast(v->>'$.extraction_confidence' as double), 0) as confidence, v is null or coalesce(v->>'$.notes', '') <> '' as has_note from picked
 )"""
 add("d8_vision_parse", "select * from results", "v_vision_raw", more=VISION)
 best = lambda source: f"(select distinct doc from {source}) d left join (select *, row_number() over (partition by doc order by confidence desc, ord) as k from {source} where confidence > 0) b on b.doc = d.doc and b.k = 1"
@@ -448,7 +458,7 @@ JOINED = "joined as (select l.*, p.name from v_pins p join places l on l.comp_id
 add("b1_borders", BORDERS, "v_components", more=SIZED)
 add("b2_pin_primitives", PRIMITIVES, "v_components", "v_pins", more=LAID + ", " + JOINED)
 add("b3_labels", LABELS, "v_components", more=SIZED)
-add("b4_assembly", f"select comp_id, part, count(*) as n from ({BORDERS} union all {PRIMITIVES} union all {LABELS}) u group by comp_id, part", "v_components", "v_pins", more=LAID + ", " + JOINED)
+add("b4_assembly", f"select * from ({BORDERS} union all {PRIMITIVES} union all {LABELS}) u", "v_components", "v_pins", more=LAID + ", " + JOINED)
 FLOW = (
     PARSED
     + f""", components as (select comp_id, coalesce({normalized("case when json_type(j, '$.package.type') is null then 'Unknown' else j->>'$.package.type' end")}, 'UNKNOWN') as package_name, coalesce(cast(j->>'$.package.pin_count' as int), 0) as pin_count,
@@ -462,10 +472,10 @@ FLOW_JOIN = ", joined as (select l.*, p.name from flow_pins p join places l usin
 ASSEMBLY = f"({BORDERS} union all {PRIMITIVES} union all {LABELS})"
 FLOW_PLAIN = FLOW + placing() + ", " + FLOW_PINS + FLOW_JOIN
 add("b5_build", f"select comp_id, part, name, x, y, label from {ASSEMBLY} u", "v_llm_responses", more=FLOW_PLAIN)
-add("s15_draw_rows", f"select comp_id, count(*) as n_rows from {ASSEMBLY} u group by comp_id", "v_llm_responses", more=FLOW_PLAIN)
-add("flow_a_drawing", f"select comp_id, part, count(*) as n from {ASSEMBLY} u group by comp_id, part", "v_llm_responses", more=FLOW_PLAIN)
+add("s15_draw_rows", f"select comp_id, part, name, shape, width, height, depth, size, halign from {ASSEMBLY} u", "v_llm_responses", more=FLOW_PLAIN)
+add("flow_a_drawing", f"select * from {ASSEMBLY} u", "v_llm_responses", more=FLOW_PLAIN)
 FLOW_CUSTOM = FLOW + f"places as ({custom(SECTION_PINS)}), " + FLOW_PINS + FLOW_JOIN
-add("flow_b_custom", f"select comp_id, part, count(*) as n from {ASSEMBLY} u group by comp_id, part", "v_llm_responses", "v_custom_layout", more=FLOW_CUSTOM)
+add("flow_b_custom", f"select * from {ASSEMBLY} u", "v_llm_responses", "v_custom_layout", more=FLOW_CUSTOM)
 
 # --- aggregation, sort, limit, union
 add("a1_status_counts", "select status, count(*) as n from v_runs group by status", "v_runs")
@@ -482,13 +492,10 @@ scored("o2_sort_page", "select doc, page_number from scored where score >= 5")
 add("o3_first_lines", f"select doc_id, cast(len(string_split(text, {NL})[1:10]) as int) as n_lines, md5(left(text, 30)) as head_md5 from v_pages", "v_pages")
 scored("o4_best_page", "select doc, page_number, score from scored where score >= 5 and rank = 1")
 add("o5_first_ten", "select comp_id, string_agg(number || ':' || name, ',' order by number, name) as pins from (select *, row_number() over (partition by comp_id order by number, name) as k from v_pins) t where k <= 10 group by comp_id", "v_pins")
-add("u1_union", "select doc_id, kind, count(*) as n from (select doc_id, 'table' as kind from v_page_tables union all select doc_id, 'image' from v_page_images) u group by doc_id, kind", "v_page_tables", "v_page_images")
+add("u1_union", "select doc_id, 'table' as kind, table_index as at from v_page_tables union all select doc_id, 'image', image_index from v_page_images", "v_page_tables", "v_page_images")
 LINES = "(select string_agg('Pin ' || coalesce(number::varchar, 'None') || ': ' || (case when json_type(p, '$.name') is null then '' else p->>'$.name' end) || case when coalesce(p->>'$.function', '') <> '' then ' (' || (p->>'$.function') || ')' else '' end, chr(10) order by pos) from numbered n where n.comp_id = g.comp_id)"
-parsed(
-    "f7_report",
-    f"""select comp_id, md5(concat_ws({NL}, repeat('=', 70), 'Component: ' || ({field("$.component_name", "'Unknown'")}), 'Package: ' || ({field("$.package.type", "'Unknown'")}) || '-' || ({field("$.package.pin_count", "'0'")}),
-       'Dimensions: ' || coalesce(j->>'$.package.width', '0') || 'mm x ' || coalesce(j->>'$.package.height', '0') || 'mm', 'Pitch: ' || coalesce(j->>'$.package.pitch', 'None'), repeat('=', 70), '', 'Total Pins: ' || json_array_length(j, '$.pins'), '', {LINES})) as report_md5
-    from judged g where error is null""",
-)
-parsed("s16_console_report", "select comp_id, cast(9 + json_array_length(j, '$.pins') as int) as n_lines from judged where error is null")
+REPORT = f"""concat_ws({NL}, repeat('=', 70), 'Component: ' || ({field("$.component_name", "'Unknown'")}), 'Package: ' || ({field("$.package.type", "'Unknown'")}) || '-' || ({field("$.package.pin_count", "'0'")}),
+       'Dimensions: ' || coalesce(j->>'$.package.width', '0') || 'mm x ' || coalesce(j->>'$.package.height', '0') || 'mm', 'Pitch: ' || coalesce(j->>'$.package.pitch', 'None'), repeat('=', 70), '', 'Total Pins: ' || json_array_length(j, '$.pins'), '', {LINES})"""
+parsed("f7_report", f"select comp_id, md5({REPORT}) as report_md5 from judged g where error is null")
+parsed("s16_console_report", f"select comp_id, cast(u.k - 1 as int) as line_at, u.line from (select comp_id, string_split({REPORT}, {NL}) as l from judged g where error is null) r, lateral (select unnest(r.l) as line, generate_subscripts(r.l, 1) as k) u")
 contents("flow_a_text", "select c.doc, md5(case when f.text = '' and c.text <> '' then c.text else f.text end) as text_md5, 2 as n_messages from content_text c join filtered f using (doc)", FILTERED)

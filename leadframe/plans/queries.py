@@ -91,15 +91,17 @@ simple("s4_page_numbers", lambda d: d.v_page_numbers.select("doc", "doc_id", "pa
 simple("s5_text_ninth_null", lambda d: d.v_page_text.select("doc_id", md5(T.text_or_empty(F.when(F.col("doc_id") % 9 != 0, F.col("text")))).alias("text_md5")))
 simple("s6_single_page", lambda d: content.single_page(d.v_pages, 3).select("doc", "page_number", md5(F.col("text")).alias("text_md5")))
 simple("s7_tables", lambda d: content.kept_tables(d.tables).select("doc_id", "table_index", F.size("cells").alias("n_rows")))
+# Images come from the provider as stored bytes: a stand-in that has none for every seventh.
 stored = lambda d: d.v_page_images.join(d.v_page_numbers.select("doc_id", "page_number"), "doc_id").withColumn("data", F.when((F.col("doc_id") + F.col("image_index")) % 7 != 0, F.encode(F.concat_ws("-", "doc", "image_index"), "UTF-8")))
 simple("s8_content_images", lambda d: stored(d).where("data is not null").select("doc_id", "image_index", F.base64("data").alias("data")))
 simple("s9_detector_images", lambda d: stored(d).select("doc_id", "image_index", F.base64("data").alias("data")))
 simple("s10_bulk_images", lambda d: images.of_pages(stored(d), d.v_page_numbers.select("doc", F.explode(F.array(F.lit(2), F.lit(5), F.lit(100000))).alias("page_number")).distinct()).select("doc", "page_number", "image_index"))
-simple("s11_image_files", lambda d: stored(d).where("data is not null").select("doc", "doc_id", images.file_names().alias("file_name")))
+simple("s11_image_files", lambda d: providers.image_files(stored(d)).select("name", md5(F.col("content")).alias("content_md5")))
 simple("s12_chat_answers", lambda d: providers.answered(d.v_components.select("comp_id", F.to_json(responses.pin_prompt(F.col("component_name"))).alias("request")), providers.FixedAnswers()).select("comp_id", "response"))
 simple("s13_vision_answers", lambda d: providers.answered(stored(d).select("doc_id", "image_index", responses.vision_prompt(F.col("doc")).alias("request"), "data"), providers.FixedAnswers('{"status": 1}'), image="data").select("doc_id", "image_index", "response"))
-simple("s14_layout_fences", lambda d: d.v_llm_responses.select("comp_id", T.unfenced(F.col("response")).alias("description")))
-simple("s15_draw_rows", lambda d: pipelines.drawing_flow(d.v_llm_responses).groupBy("comp_id").agg(F.count("*").alias("n_rows")))
+described = lambda d: d.v_llm_responses.select("comp_id", F.when(F.col("comp_id") % 5 == 0, F.to_json(F.struct(F.col("response").alias("description")))).when(F.col("comp_id") % 5 < 4, F.col("response")).alias("raw"))
+simple("s14_layout_text", lambda d: described(d).select("comp_id", T.layout_text(F.col("raw")).alias("layout_text")))
+simple("s15_draw_rows", lambda d: pipelines.drawing_flow(d.v_llm_responses).select("comp_id", "part", "name", "shape", "width", "height", "depth", "size", "halign"))
 simple("s17_valid_inputs", lambda d: providers.valid_inputs(d.v_files).select("file_id", "path"))
 simple("s18_listing", lambda d: providers.valid_inputs(d.v_files).orderBy("path").select("path"))
 simple("s19_base64", lambda d: d.v_page_text.select("doc_id", md5(images.base64(F.encode("text", "UTF-8"))).alias("encoded_md5")))
@@ -147,8 +149,8 @@ simple("c13_prompt_short", lambda d: d.content.select("doc", md5(content.prompt_
 simple("c14_candidate_tables", lambda d: d.tables.select("doc_id", "table_index", content.is_candidate_table(F.col("cells")).alias("is_candidate")))
 
 # Model input and output
-shape = lambda m: (F.size(m).alias("n_messages"), joined(F.transform(m, lambda x: x["role"])).alias("roles"))
-simple("d1_pin_prompt", lambda d: d.v_pages.select("doc_id", *shape(responses.pin_prompt(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("doc")))), F.endswith(responses.pin_prompt(F.col("text"))[1]["content"], F.col("text")).alias("has_content")))
+shape = lambda m: (joined(F.transform(m, lambda x: x["role"])).alias("roles"), m[0]["content"].alias("system"))
+simple("d1_pin_prompt", lambda d: d.v_page_text.select("doc_id", *shape(responses.pin_prompt(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("doc")))), md5(responses.pin_prompt(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("doc")))[1]["content"]).alias("asked_md5")))
 simple("d2_extract_pins", lambda d: responses.parsed_pins(providers.answered(d.content.select("doc", F.to_json(responses.pin_prompt(F.col("text_content"))).alias("request")), providers.FixedAnswers())).select("doc", "component_name", F.col("package.type").alias("type"), F.size("pins").alias("n_pins"), "error"))
 simple("d3_parse_pins", lambda d: d.parsed.select("comp_id", "component_name", F.col("package.type").alias("type"), F.col("package.pin_count").alias("pin_count"), F.col("package.width").alias("width"), F.col("package.height").alias("height"), F.col("package.pitch").alias("pitch"), "extraction_method", F.size("pins").alias("n_pins"), F.col("error").isNotNull().alias("failed")))
 simple("d4_pin_numbers", lambda d: d.parsed.select("comp_id", F.posexplode("pins").alias("pos", "p")).select("comp_id", "pos", F.col("p.number").alias("number"), F.col("p.name").alias("name"), F.col("p.function").alias("function")))
@@ -157,10 +159,10 @@ page_answers = lambda d: d.v_page_numbers.select("doc_id", F.when(F.col("doc_id"
 simple("d6_verify_pages", lambda d: pages.verified(d.scored, page_answers(d)).select("doc_id", "score", F.size("reasons").alias("n_reasons")))
 simple("d7_says_yes", lambda d: d.v_verifications.select("conv_id", "turn", responses.says_yes(F.col("answer")).alias("yes")))
 simple("d7b_verify_one_page", lambda d: page_answers(d).select("doc_id", responses.says_yes(F.col("answer")).alias("yes")))
-simple("d7c_verification_prompt", lambda d: d.v_pages.select("doc_id", *shape(responses.verification_prompt(F.col("text"))), F.endswith(responses.verification_prompt(F.col("text"))[1]["content"], F.col("text")).alias("has_content")))
+simple("d7c_verification_prompt", lambda d: d.v_page_text.select("doc_id", *shape(responses.verification_prompt(F.col("text"))), md5(responses.verification_prompt(F.col("text"))[1]["content"]).alias("asked_md5")))
 samples = lambda d: d.v_pages.where("page_number <= 3").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p")).select("doc", F.slice(F.transform("p", lambda p: p["page_number"]), 1, 3).alias("numbers"), F.slice(F.transform("p", lambda p: p["text"]), 1, 2).alias("texts"))
 simple("d7d_sample_prompt", lambda d: samples(d).select("doc", md5(F.substring_index(responses.sample_prompt(F.col("numbers"), F.col("texts"))[1]["content"], "Sample pages:\n", -1)).alias("samples_md5"), responses.sample_analysis(F.lit("ok"))["recommendation"].alias("recommendation")))
-simple("d8_vision_parse", lambda d: responses.vision_results(d.v_vision_raw).select("id", "component_name", "package_type", "pin_count", F.json_array_length("pins").alias("n_pins"), "confidence", (F.col("notes") != "").alias("has_note")))
+simple("d8_vision_parse", lambda d: responses.vision_results(d.v_vision_raw).select("id", "component_name", "package_type", "pin_count", "pins", "confidence", (F.col("notes") != "").alias("has_note")))
 simple("d9_best_of_images", lambda d: responses.best_of(d.v_vision_results).select("doc", "ord", "confidence", "component_name"))
 simple("d10_vision_prompt", lambda d: d.v_components.select("comp_id", F.coalesce(F.nullif(F.regexp_extract(responses.vision_prompt(F.when(F.col("comp_id") % 3 > 0, F.when(F.col("comp_id") % 3 > 1, F.col("component_name")).otherwise(""))), r"\n\nTarget component: ([\s\S]*)", 1), F.lit("")), F.lit("none")).alias("target")))
 sections_text = lambda c: joined(F.transform(c["sections"], lambda s: F.concat(s["section"], F.lit("="), joined(F.transform(s["pins"], lambda p: p.cast("string"))))), ";")
@@ -203,7 +205,7 @@ simple("j1_unplaced_pins", lambda d: layout.unplaced_pins(d.v_pins, d.places))
 simple("b1_borders", lambda d: render.borders(d.sized))
 simple("b2_pin_primitives", lambda d: render.pin_primitives(layout.placed_pins(d.v_pins, d.places), d.sized))
 simple("b3_labels", lambda d: render.labels(d.sized))
-simple("b4_assembly", lambda d: render.assembly(d.sized, layout.placed_pins(d.v_pins, d.places)).groupBy("comp_id", "part").agg(F.count("*").alias("n")))
+simple("b4_assembly", lambda d: render.assembly(d.sized, layout.placed_pins(d.v_pins, d.places)))
 simple("b5_build", lambda d: pipelines.drawing_flow(d.v_llm_responses).select("comp_id", "part", "name", "x", "y", "label"))
 
 # Aggregation, sort, limit, union
@@ -222,14 +224,21 @@ simple("o2_sort_page", lambda d: d.scored.where("score >= 5").select("doc", "pag
 simple("o3_first_lines", lambda d: d.v_page_text.select("doc_id", F.size(F.slice(F.split("text", "\n"), 1, 10)).alias("n_lines"), md5(F.substring("text", 1, 30)).alias("head_md5")))
 simple("o4_best_page", lambda d: pages.relevant(d.scored).where("rank = 1").select("doc", "page_number", "score"))
 simple("o5_first_ten", lambda d: d.v_pins.groupBy("comp_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("number", "name"))), 1, 10).alias("p")).select("comp_id", joined(F.transform("p", lambda p: F.concat_ws(":", p["number"], p["name"]))).alias("pins")))
-simple("u1_union", lambda d: d.v_page_tables.select("doc_id", F.lit("table").alias("kind")).unionByName(d.v_page_images.select("doc_id", F.lit("image").alias("kind"))).groupBy("doc_id", "kind").agg(F.count("*").alias("n")))
-simple("f7_report", lambda d: d.parsed.where("error is null").select("comp_id", md5(render.report(F.col("component_name"), F.col("package").withField("width", F.col("package.width").cast("int")).withField("height", F.col("package.height").cast("int")), F.col("pins"))).alias("report_md5")))
-simple("s16_console_report", lambda d: d.parsed.where("error is null").select("comp_id", F.size(F.split(render.report(F.col("component_name"), F.col("package"), F.col("pins")), "\n")).alias("n_lines")))
+simple("u1_union", lambda d: d.v_page_tables.select("doc_id", F.lit("table").alias("kind"), F.col("table_index").alias("at")).unionByName(d.v_page_images.select("doc_id", F.lit("image").alias("kind"), F.col("image_index").alias("at"))))
+
+
+def reports(d: Data) -> DataFrame:
+    sizes = F.col("package").withField("width", F.col("package.width").cast("int")).withField("height", F.col("package.height").cast("int"))
+    return d.parsed.where("error is null").select("comp_id", render.report(F.col("component_name"), sizes, F.col("pins")).alias("report"))
+
+
+simple("f7_report", lambda d: reports(d).select("comp_id", md5(F.col("report")).alias("report_md5")))
+simple("s16_console_report", lambda d: reports(d).select("comp_id", F.posexplode(F.split("report", "\n")).alias("line_at", "line")))
 
 # Whole flows
 simple("flow_a_text", lambda d: pipelines.text_flow(d.v_page_text, d.tables, d.v_page_images, numbers=d.v_page_numbers).select("doc", md5(F.col("text_content")).alias("text_md5"), F.size("prompt").alias("n_messages")))
-simple("flow_a_drawing", lambda d: pipelines.drawing_flow(d.v_llm_responses).groupBy("comp_id", "part").agg(F.count("*").alias("n")))
-simple("flow_b_custom", lambda d: pipelines.drawing_flow(d.v_llm_responses, d.custom.select("comp_id", "sections")).groupBy("comp_id", "part").agg(F.count("*").alias("n")))
+simple("flow_a_drawing", lambda d: pipelines.drawing_flow(d.v_llm_responses))
+simple("flow_b_custom", lambda d: pipelines.drawing_flow(d.v_llm_responses, d.custom.select("comp_id", "sections")))
 simple("flow_c_vision", lambda d: pipelines.vision_flow(d.v_vision_raw.select((F.col("id") % 50).alias("doc"), F.col("id").alias("ord"), "response")).select("doc", "ord", "confidence", "component_name"))
 
 

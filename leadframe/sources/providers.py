@@ -6,6 +6,8 @@ down (a table or a checkpoint) before they use them twice."""
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -110,5 +112,69 @@ def export(rows: DataFrame, write) -> None:
     rows.foreachPartition(lambda part: write(part))
 
 
+class Exporter(Protocol):
+    """Writes one named file. Runs on the executors, so `folder` is one that they share."""
+
+    def write(self, name: str, content: bytes) -> None: ...
+
+
+class FolderExporter:
+    """Files in a folder; each appears whole or not at all."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, name: str, content: bytes) -> None:
+        path = os.path.join(self.folder, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as out:
+            out.write(content)
+        os.replace(part, path)
+
+
+def exported(files: DataFrame, exporter: Exporter) -> DataFrame:
+    """(name, written) for files (name, content): whether each was written. One that fails stops nobody."""
+
+    def run(batches):
+        for frame in batches:
+            done = []
+            for name, content in zip(frame["name"], frame["content"]):
+                try:
+                    exporter.write(name, bytes(content))
+                    done.append(True)
+                except Exception:  # noqa: BLE001
+                    done.append(False)
+            yield pd.DataFrame({"name": frame["name"], "written": done})
+
+    return files.select("name", "content").mapInPandas(run, "name string, written boolean")
+
+
+def image_files(images: DataFrame) -> DataFrame:
+    """(name, content) of images (doc, page_number, image_index, data) that have data: a folder for each document."""
+    name = F.concat(F.regexp_replace("doc", r"[^\w.-]+", "_"), F.lit("/page_"), F.col("page_number").cast("string"), F.lit("_img_"), F.col("image_index").cast("string"), F.lit(".png"))
+    return images.where("data is not null").select(name.alias("name"), F.col("data").alias("content"))
+
+
+def drawing_files(primitives: DataFrame) -> DataFrame:
+    """(name, content): one JSON file of primitives for each component, in a fixed order. A drawing is as large as its
+    component, a few rows for each pin."""
+    rest = [c for c in primitives.columns if c != "comp_id"]
+    rows = F.array_sort(F.collect_list(F.struct(*rest)))
+    whole = primitives.groupBy("comp_id").agg(rows.alias("primitives"))
+    text = F.to_json(F.struct("comp_id", "primitives"))
+    return whole.select(F.concat(F.col("comp_id").cast("string"), F.lit(".json")).alias("name"), F.encode(text, "UTF-8").alias("content"))
+
+
+def existing_input(path: str) -> str:
+    """The path of a document that exists and whose name ends as a document's does; else an error that says what is wrong."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no such file: {path}")
+    if not path.lower().endswith(".pdf"):
+        raise ValueError(f"not a PDF: {path}")
+    return path
+
+
 def valid_inputs(listing: DataFrame, path: str = "path") -> DataFrame:
+    """Rows of a listing, so of files that exist, whose names end in .pdf in any case."""
     return listing.where(F.endswith(F.lower(path), F.lit(".pdf")))

@@ -219,3 +219,32 @@ def test_report(spark):
     listed = F.array(F.struct(F.lit(1).alias("number"), F.lit("VCC").alias("name"), F.lit("power").alias("function")), F.struct(F.lit(2).alias("number"), F.lit("NC").alias("name"), F.lit("").alias("function")))
     got = one(spark, render.report(F.lit("X"), package, listed)).split("\n")
     assert got[:6] == ["=" * 70, "Component: X", "Package: DIP-2", "Dimensions: 7.5mm x Nonemm", "Pitch: 2.54", "=" * 70] and got[7:] == ["Total Pins: 2", "", "Pin 1: VCC (power)", "Pin 2: NC"]
+
+
+def test_pin_numbers_are_never_replaced_by_others(spark):
+    """Whole numbers that a bigint can't hold make the record's pins unusable; they don't become the largest bigint."""
+    numbers = {"12": 12, "-3": -3, "7.9": 7, "-7.9": -7, "1e2": 100, '"A17b3"': 17, '"none"': 0, "true": 1, "12345678901234567.5": 12345678901234567, "9223372036854775807": 2**63 - 1}
+    lost = ["1e300", "99999999999999999999", '"99999999999999999999"', "null", "[1]", "{}"]
+    rows = [(i, '{"pins": [{"number": %s}]}' % n) for i, n in enumerate([*numbers, *lost])]
+    got = {r.i: r for r in responses.parsed_pins(spark.createDataFrame(rows, "i int, response string")).collect()}
+    assert [got[i].pins[0].number for i in range(len(numbers))] == list(numbers.values())
+    assert [got[len(numbers) + k].error for k in range(len(lost))] == ["pins"] * len(lost)
+
+
+def test_layouts_with_absurd_numbers_stop_nobody(spark):
+    texts = ["Left: 99999999999, 3", "Top: 1-2000000000, 5-7, 9", "Right: 3-1", "Bottom: 10000, 9999", "x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [r.l for r in frame.select("i", responses.layout_intended(F.col("text")).alias("l")).orderBy("i").collect()]
+    assert [[list(s.pins) for s in l.sections] for l in got] == [[[3]], [[5, 6, 7, 9]], [[3, 2, 1]], [[9999]], []]
+    assert [l.left_out for l in got] == [1, 1, 0, 1, 0]
+
+
+def test_rules_of_the_caller(spark):
+    page = [(1, "d", 1, 2, 612.0, 792.0, "Anschlussbelegung\nStift eins Stift zwei")]
+    frame = spark.createDataFrame(page, "doc_id int, doc string, page_number int, total_pages int, width double, height double, text string")
+    tables = spark.createDataFrame([(1, 0, [["Stift", "Zweck"], ["1", "x"]])], "doc_id int, table_index int, cells array<array<string>>")
+    none = spark.createDataFrame([], "doc_id int, image_index int, width double, height double")
+    own = rules.PageRules(headings=["anschlussbelegung"], tables=["stift", "zweck"], keywords=["stift"])
+    row = pages.score(frame, tables, none, rule_set=own).first()
+    assert (row.heading_score, row.table_score, row.keyword_score) == (3, 4, 2)
+    assert pages.score(frame, tables, none).first().score == 1

@@ -1,10 +1,12 @@
 """Files, providers, sinks and streams."""
 
+import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from leadframe.sources import providers
+from leadframe.sources import models, providers
 from leadframe.streaming import arrivals
 
 
@@ -55,3 +57,80 @@ def test_arriving_files_are_scored(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.page_number: r.score for r in spark.read.parquet(str(out)).collect()}
     assert got == {1: 6, 2: 1, 3: 0}
+
+
+def test_credentials_in_their_order():
+    names = {"LEADFRAME_API_KEY": "one", "CHAT_API_KEY": "two"}
+    assert models.credential("own", names) == "own" and models.credential(None, names) == "one"
+    assert models.credential(None, {"CHAT_API_KEY": "two", "LEADFRAME_API_KEY": ""}) == "two"
+    with pytest.raises(models.MissingCredential):
+        models.credential(None, {})
+
+
+def test_chat_takes_the_first_choice_and_failures_are_null(spark):
+    def transport(url, headers, body, timeout):
+        asked = json.loads(body)
+        if asked["messages"][0]["content"] == "fail":
+            raise OSError(url)
+        return json.dumps({"choices": [{"message": {"content": f"{asked['model']}:{asked['max_tokens']}:{headers['Authorization']}:{timeout}"}}, {}]}).encode()
+
+    chat = models.Chat(models.Options(url="http://x", api_key="k").changed(model="m"), transport)
+    requests = spark.createDataFrame([(json.dumps([{"role": "user", "content": c}]),) for c in ("a", "fail")], "request string")
+    assert sorted((r.response or "") for r in providers.answered(requests, chat).collect()) == ["", "m:8192:Bearer k:120.0"]
+
+
+def test_vision_sends_a_form_and_layouts_fall_back():
+    sent = []
+
+    def transport(url, headers, body, timeout):
+        sent.append((headers["Content-Type"], body))
+        return sent[0][1] and replies.pop(0)
+
+    replies = [b'{"description": "```json\\n{}\\n```"}', b"not json", b'{"other": 1}', b"whole"]
+    layout = models.LayoutVision(models.Options(url="http://x"), transport)
+    assert [layout.answer("read", b"PNG") for _ in range(3)] == ["{}", "not json", '{"other": 1}']
+    assert models.Vision(models.Options(), transport).answer("p", b"PNG") == "whole" and layout.answer("p") is None
+    mark = sent[0][0].split("boundary=")[1].encode()
+    assert sent[0][1].count(mark) == 4 and b'name="prompt"\r\n\r\nread\r\n' in sent[0][1] and b"PNG\r\n--" + mark + b"--" in sent[0][1]
+
+
+def test_exporters_tell_what_was_written(spark, tmp_path):
+    images = spark.createDataFrame([("a b", 1, 0, bytearray(b"1")), ("a b", 1, 1, None), ("c", 2, 0, bytearray(b"3"))], "doc string, page_number int, image_index int, data binary")
+    done = providers.exported(providers.image_files(images), providers.FolderExporter(str(tmp_path))).collect()
+    assert {r.name: r.written for r in done} == {"a_b/page_1_img_0.png": True, "c/page_2_img_0.png": True}
+    assert (tmp_path / "c" / "page_2_img_0.png").read_bytes() == b"3"
+    rows = spark.createDataFrame([(7, "Legs", 1.5), (7, "BodyLine", None)], "comp_id int, part string, x double")
+    assert all(r.written for r in providers.exported(providers.drawing_files(rows), providers.FolderExporter(str(tmp_path))).collect())
+    assert json.loads((tmp_path / "7.json").read_text()) == {"comp_id": 7, "primitives": [{"part": "BodyLine"}, {"part": "Legs", "x": 1.5}]}
+    (tmp_path / "file").write_text("")
+    assert [r.written for r in providers.exported(providers.drawing_files(rows), providers.FolderExporter(str(tmp_path / "file"))).collect()] == [False]
+
+
+def test_inputs_that_are_not_there_or_no_documents(tmp_path):
+    (tmp_path / "a.Pdf").write_text("x")
+    (tmp_path / "b.txt").write_text("x")
+    assert providers.existing_input(str(tmp_path / "a.Pdf"))
+    with pytest.raises(FileNotFoundError):
+        providers.existing_input(str(tmp_path / "c.pdf"))
+    with pytest.raises(ValueError):
+        providers.existing_input(str(tmp_path / "b.txt"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from leadframe.__main__ import main
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    page = "Pin Configuration\nvcc gnd reset pin input output vcc gnd"
+    (folder / "PART-1.PDF").write_text("\f".join(["cover", "more", page, "other", "last"]))
+    (folder / "notes.txt").write_text(page)
+    answer = '{"component_name": "PART-1", "package": {"type": "DIP", "pin_count": 2}, "pins": [{"number": 1, "name": "VCC"}, {"number": 2, "name": "GND"}]}'
+    (tmp_path / "answer.json").write_text(answer)
+    assert main([str(folder), "--output", str(out), "--answer", str(tmp_path / "answer.json"), "--draw", "--verbose"], spark) == 0
+    shown = capsys.readouterr().out
+    assert "page 3" in shown and "Component: PART-1" in shown and "Pin 2: GND" in shown
+    assert json.loads((out / "PART-1.json").read_text())["pins"][1] == {"number": 2, "name": "GND"}
+    assert (out / "drawings").is_dir() and len(os.listdir(out / "drawings")) == 1
+    assert main([str(folder), "--list"], spark) == 0 and "PART-1.PDF" in capsys.readouterr().out
+    assert main([str(tmp_path / "nowhere")], spark) == 2
+    assert main([str(folder), "--url", "http://x"], spark, environment={}) == 2
