@@ -276,6 +276,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows are told apart by id and text, so repeated ids and null ids are rows like any other. Rows that repeat both are
     exact copies, of which any one stays."""
+    named = [{id_col: "_row_id", text_col: "_row_text"}.get(c, f"_carried_{i}") for i, c in enumerate(docs.columns)]
+    return _chosen(docs.toDF(*named), "_row_id", "_row_text", shingle).toDF(*docs.columns)
+
+
+def _chosen(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     marks = durable(shingles.marked(docs, id_col, text_col, shingle))
     roots = near_copies(docs, marks, text_col, shingle).select(F.col("u").alias("node"), F.col("v").alias("root"))
     row = F.struct(F.col("id").isNull().alias("last"), "id", "print")
@@ -295,16 +300,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     words = slots.groupBy(F.floor(F.col("slot") / 64).alias("_word")).agg(F.bit_or(bit(F.col("slot"))).alias("_bits"))
     bitmap = durable(gathered(words, shingles.BITS // 64))
 
-    names = {"print": "_print_of_text", "slot": "_slot_of_row"}
-    for name in names:
-        while names[name] in docs.columns:
-            names[name] += "_"
-    seen = docs.withColumn(names["print"], F.xxhash64(text_col)).withColumn(names["slot"], place(id_col, names["print"]))
-    seen = seen.join(F.broadcast(bitmap), F.floor(seen[names["slot"]] / 64) == F.col("_word"), "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col(names["slot"]))) != 0, F.lit(False))
-    columns = [f"`{c}`" for c in docs.columns]
-    open_ = seen.where(hit).select(*columns, names["print"])
-    open_ = open_.join(least.hint("shuffle_hash"), own(open_, id_col, names["print"]), "left_semi")
+    seen = docs.withColumn("_print_of_text", F.xxhash64(text_col)).withColumn("_slot", place(id_col, "_print_of_text"))
+    seen = seen.join(F.broadcast(bitmap), F.floor(seen["_slot"] / 64) == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_slot"))) != 0, F.lit(False))
+    open_ = seen.where(hit).select(*docs.columns, "_print_of_text")
+    open_ = open_.join(least.hint("shuffle_hash"), own(open_, id_col, "_print_of_text"), "left_semi")
     if not repeated.isEmpty():
-        open_ = open_.dropDuplicates([id_col, names["print"]])
-    return seen.where(~hit).select(*columns).union(open_.select(*columns))
+        open_ = open_.dropDuplicates([id_col, "_print_of_text"])
+    return seen.where(~hit).select(*docs.columns).union(open_.select(*docs.columns))
