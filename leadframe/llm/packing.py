@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import CHUNK, Lexicon, pieces
-from .shared import gather, spans
+from .shared import gather, spans, tidy
 
 CAPACITY, SEGMENTS, WINDOW, WORDS = 1024, 128, 1024, 8192
 
@@ -150,7 +150,7 @@ def pack_examples(
             packer.finish()
             yield out()
 
-    return rows.mapInArrow(run, f"id {kind}, tokens long, sequence_id long, offset long, oversize boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, tokens long, sequence_id long, offset long, oversize boolean").withColumnRenamed("id", id_col)
 
 
 class Encoder:
@@ -251,4 +251,4 @@ def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield out(at)
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

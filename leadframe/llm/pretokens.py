@@ -22,6 +22,8 @@ CHUNK = 1 << 21
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: Words beyond this many characters are told apart by a cryptographic digest, shorter ones by a polynomial.
 POLYNOMIAL_UPTO = 64
+#: Bytes of remembered words, at most, but for a single block that has more.
+MOST_TEXT = 1 << 26
 
 
 @lru_cache(1)
@@ -113,14 +115,14 @@ class Lexicon:
     The bytes of remembered words are kept, and all of a block's text is compared with them. A block in which two words
     share a key, by accident or made so on purpose, is looked up by the words themselves."""
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], capacity: int = 2_000_000):
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], capacity: int = 1 << 20):
         self.encode, self.capacity = encode, capacity
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
-        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def lookup(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, row boundaries in them) for rows data[edge[i]:edge[i+1]] of UTF-8."""
@@ -146,7 +148,7 @@ class Lexicon:
         else:
             self.forget()
             at, size, found = self._word_by_word(data, byte[begin], byte[end])
-        stop = np.cumsum(size)
+        stop = np.cumsum(size, dtype=np.int64)
         ids = found[np.repeat(at - stop + size, size) + np.arange(stop[-1])]
         bounds = np.append(0, stop)[np.searchsorted(begin, row)]
         return ids, bounds
@@ -186,7 +188,8 @@ class Lexicon:
         known = self.keys[np.minimum(at, max(0, len(self.keys) - 1))] == words if len(self.keys) else np.zeros(len(words), bool)
         if known.all():
             return at
-        if len(self.keys) + int((~known).sum()) > self.capacity and len(self.keys):
+        full = len(self.keys) + int((~known).sum()) > self.capacity or len(self.text) + len(data) > MOST_TEXT
+        if full and len(self.keys):
             self.forget()
             return self._slots(words, first, data, starts, ends)
         new = first[~known]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import label_counts, labelled_sample
+from .shared import label_counts, labelled_sample, tidy
 
 ROWS, TEXT_BYTES, DICTIONARY, LEVEL, KNOTS = 3000, 1 << 16, 1 << 21, 9, 5
 
@@ -113,5 +113,5 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 p = model.probability(*made.difference(texts)) if made else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], names=["id", "score"])
 
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, durable, gather, gathered, slices, spans
+from .shared import arrow_rows, durable, gather, gathered, slices, spans, tidy
 from .xxh64 import SPARE, hash_ranges
 
 SEED = 42
@@ -45,8 +45,8 @@ BITS = 1 << 23
 PIVOTS = 8
 #: Places in the bitmap of a set.
 PLACES = 1024
-#: Pairs of sets in one Arrow batch.
-PAIRS_AT_ONCE = 512
+#: Texts, and pairs of sets, in one Arrow batch.
+TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2048, 512
 #: Sets, or pairs of them, in one task at most, about.
 SETS_AT_ONCE = 2048
 #: Keys of up to this many nodes give all their pairs at once.
@@ -186,7 +186,7 @@ def bitmaps(h: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Seen:
     """The nodes that a task has met lately: a bounded memory that saves repetitions and never changes a result."""
 
-    def __init__(self, capacity: int = 1 << 18):
+    def __init__(self, capacity: int = 1 << 16):
         self.known: set[int] = set()
         self.capacity = capacity
 
@@ -233,8 +233,9 @@ def heavy_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.nda
                     held, size = [], 0
         yield _repeated(held)
 
-    counted = docs.select(text_col).mapInArrow(run, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
-    top = counted.orderBy(F.desc("count"), "key").limit(HEAVY).toArrow()
+    counted = docs.select(text_col).mapInArrow(tidy(run), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+    with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
+        top = counted.orderBy(F.desc("count"), "key").limit(HEAVY).toArrow()
     key = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     return key[order], top.column("count").to_numpy()[order]
@@ -269,7 +270,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "print", "node", "fp", "n", "bits", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, print long, node long, fp long, n int, bits binary, prefix array<long>")
+    return rows.mapInArrow(tidy(run), f"id {kind}, print long, node long, fp long, n int, bits binary, prefix array<long>")
 
 
 def sets_for(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -291,7 +292,7 @@ def sets_for(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) ->
                 h = h[np.repeat(wanted, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(node[wanted]), _lists(size[wanted], h, wanted[wanted])], names=["node", "shingles"])
 
-    found = docs.select(text_col).mapInArrow(run, "node long, shingles array<long>")
+    found = docs.select(text_col).mapInArrow(tidy(run), "node long, shingles array<long>")
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -321,11 +322,12 @@ def judged(docs: DataFrame, text_col: str, shingle: int, pairs: DataFrame) -> Da
     """(a, b, ok): whether the sets of the nodes a and b are similar. `pairs` is durable."""
     many = pairs.count()
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = durable(gathered(sets_for(docs, text_col, nodes, shingle), 2 * many, SETS_AT_ONCE))
+    with arrow_rows(pairs.sparkSession, TEXTS_AT_ONCE):
+        sets = durable(gathered(sets_for(docs, text_col, nodes, shingle), 2 * many, SETS_AT_ONCE))
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     with arrow_rows(pairs.sparkSession, PAIRS_AT_ONCE):
-        return durable(gathered(both.select("a", "b", "left", "right").mapInArrow(_agreeing, "a long, b long, ok boolean"), many, SETS_AT_ONCE))
+        return durable(gathered(both.select("a", "b", "left", "right").mapInArrow(tidy(_agreeing), "a long, b long, ok boolean"), many, SETS_AT_ONCE))
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -389,7 +391,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def met(marks: DataFrame) -> DataFrame:
     """What the nodes that share a prefix shingle have to do with each other, as MET: nodes of large keys, and pairs."""
     rows = marks.where("n > 0 and prefix is not null").select(F.explode("prefix").alias("key"), "node", "n")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meetings, MET)
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(_meetings), MET)
 
 
 def neighbours(meeting: DataFrame) -> DataFrame:
@@ -464,4 +466,4 @@ def apart(meeting: DataFrame, nodes: DataFrame, tree: DataFrame, block: int, piv
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_group(batches, pivots)
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(run), "a long, b long").distinct()

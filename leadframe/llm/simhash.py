@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .components import components as connected
 from .components import spanning
-from .shared import durable, gathered
+from .shared import arrow_rows, durable, gathered, tidy
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [np.zeros(0, np.uint64)] + [shingles.fingerprint_bits(h, counts) for _, _, h, counts in shingles.hashed(batch.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, fp long")
 
 
 # --- Golay keys --------------------------------------------------------------------------------------------------
@@ -120,7 +120,7 @@ def keyed(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[owner])], names=["key", "fp"])
 
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.select("fp").repartition(tasks, "fp").mapInArrow(run, "key int, fp long")
+    return distinct.select("fp").repartition(tasks, "fp").mapInArrow(tidy(run), "key int, fp long")
 
 
 # --- links --------------------------------------------------------------------------------------------------------
@@ -196,7 +196,7 @@ def links(distinct: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFra
         yield _edges(a, b, np.zeros(len(a)))
 
     rows = keyed(distinct)
-    found = durable(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, kind byte"))
+    found = durable(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(run), "a long, b long, kind byte"))
     edges = found.where("kind = 0").select("a", "b")
     if found.where("kind = 1").isEmpty():
         return edges
@@ -227,7 +227,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A fingerprint may be that of a third of all rows, and a component may hold a third of all fingerprints. Both sides of
     the joins on them are written down before, so that AQE can split such a key; sums by key are partial before shuffles."""
-    rows = durable(fingerprints(docs, id_col, text_col, shingle))
+    with arrow_rows(docs.sparkSession, shingles.TEXTS_AT_ONCE):
+        rows = durable(fingerprints(docs, id_col, text_col, shingle))
     many = rows.count()
     distinct = durable(gathered(rows.groupBy("fp").agg(F.min("id").alias("least_id")), many))
     tree = connected(links(distinct, max_bits, block))
@@ -281,7 +282,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    marks = durable(shingles.marked(docs, id_col, text_col, shingle))
+    with arrow_rows(docs.sparkSession, shingles.TEXTS_AT_ONCE):
+        marks = durable(shingles.marked(docs, id_col, text_col, shingle))
     roots = near_copies(docs, marks, text_col, shingle).select(F.col("u").alias("node"), F.col("v").alias("root"))
     row = F.struct(F.col("id").isNull().alias("last"), "id", "print")
     rooted = marks.groupBy("node").agg(F.min(row).alias("least")).join(roots, "node", "left")
