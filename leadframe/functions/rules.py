@@ -31,8 +31,10 @@ DENSITY_KEYWORDS = [
     "nc", r"no\s*connect", "vss", "vee",
 ]
 
+# Captions of diagrams, first match wins.
 CAPTION_PATTERNS = [r"pinout", r"pin\s*configuration", r"pin\s*diagram", r"package\s*drawing", r"mechanical\s*drawing"]
 
+# Words that an image page's text is searched for, in the order of the report.
 IMAGE_KEYWORDS = ["pinout", "pin configuration", "pin diagram", "package drawing", "mechanical drawing", "package information"]
 FIGURE_PATTERN = r"figure\s+\d+[\-\.]?\d*"
 
@@ -44,13 +46,16 @@ TABLE_KEYWORDS = [
 ]
 CANDIDATE_TABLE_WORDS = ["pin", "no.", "name", "function", "description"]
 
+# Fixed values. The list has each word once: it is asked whether any of them occurs, so repeats wouldn't change a result.
 SECTION_KEYWORDS = [
     "pinout", "pin configuration", "pin description", "pin mapping", "pin names", "pin functions", "pin assignments",
     "pin details", "package pinout", "component pinout", "device pinout", "pin diagram", "package drawing",
     "mechanical drawing", "pindescription", "pindefinitions", "pin definition", "pin table", "pin list", "pinout table",
 ]
+# Phrases that alone make a text one about pins.
 STRONG_PHRASES = ["pinout -", "figure 1-1. pinout", "figure 1-2. pinout", "figure 1-3. pinout", "pin configurations", "pin mapping"]
 STRONG_HEADINGS = ["pinout -", "figure 1-1. pinout", "figure 1-2. pinout", "figure 1-3. pinout", "pin configurations"]
+# Phrases that speak against it, between spaces or at the end.
 EXCLUSIONS = [
     "absolute maximum", "absolute minimum", "electrical characteristics", "recommended operating conditions",
     "thermal information", "ordering information", "packaging information",
@@ -67,10 +72,12 @@ PACKAGE_PATTERNS = [
     ("LGA", [r"lga", r"land\s*grid\s*array"]),
     ("TQFP", [r"tqfp", r"thin\s*quad\s*flat\s*pack"]),
 ]
+# Names as they occur in package texts and their common form, first contained wins, so the order counts.
 NAME_ALIASES = [
     ("DIL", "DIP"), ("DUAL INLINE", "DIP"), ("PDIP", "DIP"), ("VQFN", "QFN"), ("UQFN", "QFN"), ("DFN", "QFN"),
     ("SOP", "SOIC"), ("SSOP", "SOIC"), ("MSOP", "SOIC"), ("TQFP", "QFP"), ("LFBGA", "BGA"),
 ]
+# Names of the types that have a geometry; whole names first, then prefixes in this order.
 TYPE_ALIASES = [
     ("DIP", "DIP"), ("PDIP", "DIP"), ("CDIP", "DIP"), ("SOIC", "SOIC"), ("SOP", "SOIC"), ("SSOP", "SOIC"),
     ("TSOP", "SOIC"), ("TQFP", "TQFP"), ("LQFP", "LQFP"), ("QFP", "TQFP"), ("QFN", "QFN"), ("DFN", "QFN"),
@@ -91,12 +98,13 @@ DIMENSIONS = [
     ("TSSOP", -MANY, 20, 3.0, 5.0, 4.0, 8.0),
     ("TSSOP", 21, MANY, 4.0, 6.5, 6.0, 12.0),
 ]
+# Pin counts that occur with a package type.
 QFN_PINS = [8, 16, 20, 24, 32, 48, 64]
 DIP_PINS = [4, 6, 8, 14, 16, 18, 20, 24, 28, 40, 64]
 SOIC_PINS = [8, 14, 16, 20, 24, 28]
 TSSOP_PINS = [8, 14, 16, 20, 24, 28, 32, 48]
 
-# Geometry that depends on the package type alone:
+# Fixed values, as drawings have to agree to the digit. Geometry that depends on the package type alone:
 # (type, pitch, top margin, name offset, number offset, leg length, leg width, leg thickness, number size, name size,
 #  name height, number height, border thickness, border height, designator size, designator offset, value size, value offset)
 GEOMETRY = [
@@ -126,7 +134,7 @@ LAYOUT_PACKAGES = [
     ("Grid", ["Grid", "Column", "Layout"]),
 ]
 
-# Known parts: (name, pins, names that have to occur).
+# Fixed values, as results are compared with them. Known parts: (name, pins, names that have to occur).
 KNOWN_PINOUTS = [
     ("ATmega164A", 40, ["VCC", "GND", "RESET", "XTAL1", "XTAL2"]),
     ("NE555", 8, ["VCC", "GND", "TRIGGER", "OUTPUT", "RESET", "CONTROL VOLTAGE", "THRESHOLD", "DISCHARGE"]),
