@@ -201,11 +201,12 @@ def test_link_graph(spark):
     assert linkgraph.judge(pages.where("false"), RULES).count() == 0
 
 
-def test_propagation_equals_power_iteration(spark):
+@pytest.mark.parametrize("hub", [linkgraph.HUB, 1])
+def test_propagation_equals_power_iteration(spark, hub):
     links = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 3)]
     frame = spark.createDataFrame(links, "src string, dst string, n long")
     seeds = spark.createDataFrame([("trust", "a", 1.0), ("distrust", "c", 0.5)], "kind string, host string, score double")
-    got = {(r.kind, r.host): r.score for r in linkgraph.propagate(frame, seeds).collect()}
+    got = {(r.kind, r.host): r.score for r in linkgraph.propagate(frame, seeds, hub=hub).collect()}
     for kind, edges, start in (("trust", links, {"a": 1.0}), ("distrust", [(b, a, n) for a, b, n in links], {"c": 0.5})):
         out = {s: sum(n for a, _, n in edges if a == s) for s, _, _ in edges}
         now = dict(start)
