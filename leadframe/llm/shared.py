@@ -63,10 +63,12 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
-def gathered(df: DataFrame, rows: int, per: int = 1 << 18) -> DataFrame:
+def gathered(df: DataFrame, rows: int, per: int = 1 << 18, busy: bool = False) -> DataFrame:
     """`df`, which has about `rows` rows at most, in so many partitions that each has about `per`; without a shuffle, and
-    never in more than before. Small tables behind wide shuffles are written to a few files this way."""
-    return df.coalesce(max(1, -(-rows // per)))
+    never in more than before. Small tables behind wide shuffles are written to a few files this way. Where the work is
+    dear, `busy` keeps twice as many partitions as there are cores, if there were as many."""
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism if busy else 1
+    return df.coalesce(max(least, -(-rows // per)))
 
 
 @contextmanager

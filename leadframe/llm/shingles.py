@@ -459,7 +459,8 @@ def apart(meeting: DataFrame, nodes: DataFrame, tree: DataFrame, block: int, piv
     rooted = meeting.where("key is not null").select("key", "node", "n").join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    dealt = rooted.join(durable(mixed.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))), "key").join(nodes.select("node", "bits"), "node")
+    mixed = durable(gathered(mixed.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), nodes.count()))
+    dealt = rooted.join(mixed, "key").join(nodes.select("node", "bits"), "node")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "root", "mine", "bits")
 

@@ -45,6 +45,8 @@ from .shared import arrow_rows, durable, gathered, tidy
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 1 << 16
+#: Texts, or what they give, in one task at most, about.
+TEXTS = 1 << 14
 #: Fixed value: the generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the binary Golay code.
 GENERATOR = 0b110001110101
 
@@ -196,7 +198,8 @@ def links(distinct: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFra
         yield _edges(a, b, np.zeros(len(a)))
 
     rows = keyed(distinct)
-    found = durable(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(run), "a long, b long, kind byte"))
+    found = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(run), "a long, b long, kind byte")
+    found = durable(gathered(found, distinct.count(), TEXTS, True))
     edges = found.where("kind = 0").select("a", "b")
     if found.where("kind = 1").isEmpty():
         return edges
@@ -228,8 +231,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A fingerprint may be that of a third of all rows, and a component may hold a third of all fingerprints. Both sides of
     the joins on them are written down before, so that AQE can split such a key; sums by key are partial before shuffles."""
     with arrow_rows(docs.sparkSession, shingles.TEXTS_AT_ONCE):
-        rows = durable(fingerprints(docs, id_col, text_col, shingle))
-    many = rows.count()
+        many = docs.count()
+        rows = durable(gathered(fingerprints(docs, id_col, text_col, shingle), many, TEXTS, True))
     distinct = durable(gathered(rows.groupBy("fp").agg(F.min("id").alias("least_id")), many))
     tree = connected(links(distinct, max_bits, block))
     few = 2 * tree.count()
@@ -252,9 +255,9 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
     near = links(first)
     near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     alike = fps.withColumnRenamed("node", "x").join(first.withColumnRenamed("node", "y"), "fp").where("x <> y").select("x", "y")
-    candidates = durable(near.union(alike).select(*shingles.ordered("x", "y")).distinct())
+    candidates = durable(gathered(near.union(alike).select(*shingles.ordered("x", "y")).distinct(), many))
 
-    meeting = durable(shingles.met(marks))
+    meeting = durable(gathered(shingles.met(marks), many, TEXTS, True))
     judged, tree = None, None
     steps = (
         lambda: candidates.union(shingles.neighbours(meeting)).distinct(),
@@ -263,7 +266,7 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
     )
     for step in steps:
         pairs = step() if judged is None else step().join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = durable(pairs)
+        pairs = durable(gathered(pairs, many, TEXTS, True))
         if judged is None or not pairs.isEmpty():
             now = shingles.judged(docs, text_col, shingle, pairs)
             judged = now if judged is None else judged.union(now)
@@ -283,7 +286,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     with arrow_rows(docs.sparkSession, shingles.TEXTS_AT_ONCE):
-        marks = durable(shingles.marked(docs, id_col, text_col, shingle))
+        marks = durable(gathered(shingles.marked(docs, id_col, text_col, shingle), docs.count(), TEXTS, True))
     roots = near_copies(docs, marks, text_col, shingle).select(F.col("u").alias("node"), F.col("v").alias("root"))
     row = F.struct(F.col("id").isNull().alias("last"), "id", "print")
     rooted = marks.groupBy("node").agg(F.min(row).alias("least")).join(roots, "node", "left")
@@ -307,6 +310,7 @@ def _chosen(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
     hit = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col("_slot"))) != 0, F.lit(False))
     open_ = seen.where(hit).select(*docs.columns, "_print_of_text")
     open_ = open_.join(least.hint("shuffle_hash"), own(open_, id_col, "_print_of_text"), "left_semi")
+    open_ = gathered(open_, many, TEXTS, True)
     if not repeated.isEmpty():
         open_ = open_.dropDuplicates([id_col, "_print_of_text"])
     return seen.where(~hit).select(*docs.columns).union(open_.select(*docs.columns))
