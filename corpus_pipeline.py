@@ -17,6 +17,15 @@ from leadframe.llm.shared import durable, table
 MARGIN = 0.1
 
 
+#: Rows in an Arrow batch. Documents are wide; both sides of the pipe to Python hold a batch or two for each task.
+ARROW_ROWS = 2048
+
+
+def _session(spark: SparkSession) -> None:
+    """The pipeline is an application of its own, so it may set what its session needs; all else is left to the cluster."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def _carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """`docs` with names that clash with nothing for all but doc_id and text, and those names."""
     names = [c if c in ("doc_id", "text") else f"_carried_{i}" for i, c in enumerate(docs.columns)]
@@ -30,6 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are learned from. Texts of any length are judged whole; repeated rows are judged each. Other columns are carried, whatever
     their names. No row with a language, as in an empty table, means that nothing is kept; with one language only, every text
     with a letter stays."""
+    _session(spark)
     model = langid.train(docs, F.lit(True))
     plain, others = _carried(docs)
     judged = langid.identify(plain, model, carry=others, keep_text=True)
@@ -42,6 +52,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without words, are scored by the network's bias, like any other. Rows without id are
     judged and never learned from; repeated rows are judged each. Texts of any length are judged whole. Without labels of
     both kinds everything stays; an empty table gives an empty one. Other columns are carried, whatever their names."""
+    _session(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
     plain, others = _carried(docs)
     return toxicity.score(plain, model, carry=others, keep_text=True).where("predicted = 0").select(*plain.columns).toDF(*docs.columns)
@@ -53,6 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null, empty and white-space texts are copies of each other. Null ids come after all others; of rows with equal ids and
     different texts each counts by itself, and of rows with equal ids and texts any one stays. Texts of any length are
     compared whole. An empty table gives an empty one. Other columns are carried, whatever their names."""
+    _session(spark)
     return simhash.keep_one(docs)
 
 
@@ -61,6 +73,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is one token, the closing one. Repeated rows are packed each; null ids stay null. Texts of any
     length are cut. An empty table gives no pieces. Other columns are left behind."""
+    _session(spark)
     return packing.pack_texts(docs, tokenizer("byte_bpe_50k.json"))
 
 
