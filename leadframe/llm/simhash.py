@@ -249,7 +249,7 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
 
     Components are those of all pairs of sets that share 0.8 of their union. `marks` is durable and from `shingles.marked`."""
     many = marks.count()
-    nodes = durable(gathered(marks.where("n > 0 and prefix is not null").groupBy("node").agg(F.min("fp").alias("fp"), F.min("bits").alias("bits")), many, 1 << 16))
+    nodes = durable(gathered(marks.where("n > 0 and prefix is not null").groupBy("node").agg(F.min("fp").alias("fp"), F.min("bits").alias("bits")), many, TEXTS, True))
     fps = nodes.select("node", "fp")
     first = durable(gathered(fps.groupBy("fp").agg(F.min("node").alias("node")), many))
     near = links(first)
