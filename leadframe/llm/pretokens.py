@@ -18,7 +18,7 @@ import numpy as np
 
 from .shared import prefix_sums
 
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: Words beyond this many characters are told apart by a cryptographic digest, shorter ones by a polynomial.
 POLYNOMIAL_UPTO = 64
@@ -115,7 +115,7 @@ class Lexicon:
     The bytes of remembered words are kept, and all of a block's text is compared with them. A block in which two words
     share a key, by accident or made so on purpose, is looked up by the words themselves."""
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], capacity: int = 1 << 19):
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], capacity: int = 1 << 20):
         self.encode, self.capacity = encode, capacity
         self.forget()
 
