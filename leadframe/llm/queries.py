@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, linkgraph, packing, quality, simhash, toolcalls, topk, toxicity
+from . import ann, audit, bpe, decontaminate, langid, linkgraph, packing, quality, simhash, stamps, toolcalls, topk, toxicity
 from .shared import remainder, table
 
 
@@ -73,6 +73,19 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents")).withColumnRenamed("fp", "fingerprint")
 
 
+def op11_stamp_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stamps.normalise(table(spark, sf_dir, "stamps")).select("stamp_id", "utc_us", "rule", "ambiguous")
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_filter_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,12 +99,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_tool_calls,
         op10_simhash_golay,
+        op11_stamp_automaton,
+        op12_winnowing,
+        op13_filter_lattice,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op5_link_graph": linkgraph.oracle(URL_RULES),
     "op9_tool_calls": toolcalls.ORACLE,
+    "op11_stamp_automaton": stamps.ORACLE,
+    "op12_winnowing": decontaminate.ORACLE,
+    "op13_filter_lattice": audit.ORACLE,
     "op7_exact_topk": """
 with v as (
     select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as w

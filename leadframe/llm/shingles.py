@@ -96,7 +96,7 @@ def hashes(data: np.ndarray, edge: np.ndarray, shingle: int) -> tuple[np.ndarray
     return h, counts
 
 
-def _blank_from(data: np.ndarray, at: int) -> int:
+def blank_from(data: np.ndarray, at: int) -> int:
     """The first white space at or after this place, or the end."""
     for begin in range(at, len(data), 1 << 16):
         part = data[begin : begin + (1 << 16)]
@@ -110,7 +110,7 @@ def hashes_of_long(data: np.ndarray, shingle: int, limit: int = CHUNK) -> np.nda
     """The hashes of one long row's shingles, from pieces of about `limit` bytes that end at white space."""
     found, held, at = [np.zeros(0, np.uint64)], np.zeros(0, np.uint8), 0
     while at < len(data):
-        cut = _blank_from(data, min(len(data), at + limit))
+        cut = blank_from(data, min(len(data), at + limit))
         piece = np.concatenate([held, data[at:cut]])
         text, starts, ends, words = word_stream(piece, np.array([0, len(piece)]))
         n = len(starts)
