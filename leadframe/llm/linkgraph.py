@@ -14,7 +14,7 @@ enclosing host that occurs (www.a.org with a.org). A host without links passes n
 
 Defined cases: host and path are empty where the url is null or has no "://"; such pages count as the host "", which has no
 links. Null html has no links. Repeated rows are judged each and weigh each in the seeds. An empty table gives an empty
-result. Of rules of equal length, block wins, then the smaller text. Other columns are ignored.
+result. Pages and urls of any length are read whole, in linear time. Of rules of equal length, block wins, then the smaller text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from .shared import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s<>]+)"
+#: Possessive, so that no page takes more than linear time; nothing that follows a repetition can begin with what it repeats.
+LINK = r"(?i)href\s*+=\s*+[\"']?+\s*+(?:[a-z][a-z0-9+.\-]*+:)?//([^/?#\"'\s<>]++)"
+#: Fixed value: the most bytes of a host name in the DNS. A longer one encloses no host and is enclosed by none.
+LONGEST_NAME = 253
 DAMPING, RESIDUAL, DIGITS, SALTS = 0.85, 0.01, 12, 32
 #: The links of a host with more than this many are dealt over several tasks in every round.
 HUB = 100_000
@@ -61,7 +64,7 @@ def host_links(pages: DataFrame, html_col: str) -> DataFrame:
     hosts = pages.select("host").where(F.col("host") != "").distinct()
     label = F.split("host", r"\.")
     outer = F.explode(F.transform(F.sequence(F.lit(2), F.size(label)), lambda i: F.array_join(F.slice(label, i, F.size(label)), ".")))
-    enclosed = hosts.where(F.size(label) > 1).select(F.col("host").alias("inner"), outer.alias("host")).join(hosts, "host")
+    enclosed = hosts.where((F.octet_length("host") <= LONGEST_NAME) & (F.size(label) > 1)).select(F.col("host").alias("inner"), outer.alias("host")).join(hosts, "host")
     nearest = enclosed.groupBy("inner").agg(F.max_by("host", F.length("host")).alias("outer"))
     both = F.explode(F.array(F.struct(F.col("inner").alias("src"), F.col("outer").alias("dst")), F.struct(F.col("outer").alias("src"), F.col("inner").alias("dst"))))
     related = nearest.select(both.alias("e")).select("e.src", "e.dst", F.lit(1).cast("long").alias("n"))
@@ -135,7 +138,7 @@ def oracle(rules: list[Rule], damping: float = DAMPING, residual: float = RESIDU
     step = lambda now: f"""(select kind, host, sum(score) as score from (
         select s.kind, s."to" as host, n.score * s.share as score from {now} n join steps s on s.kind = n.kind and s.host = n.host
         union all select kind, host, {1 - damping!r}::double * score from seeds) u group by kind, host)"""
-    link = LINK.replace("'", "''")
+    link = LINK.replace("*+", "*").replace("?+", "?").replace("++", "+").replace("'", "''")  # this engine never backtracks
     ctes = [
         "split as (select page_id, html, case when url is null or instr(url, '://') = 0 then '' else substr(url, instr(url, '://') + 3) end as rest from pages)",
         f"placed as (select page_id, html, {lower("regexp_extract(rest, '^[^/?#]*', 0)")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from split)",
@@ -145,7 +148,7 @@ def oracle(rules: list[Rule], damping: float = DAMPING, residual: float = RESIDU
         f"targets as (select host as src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) as dst from placed where host <> '')",
         f"found as (select src, dst, count(*) as n from (select src, {lower('dst')} as dst from targets) t where src <> dst group by src, dst)",
         "hosts as (select distinct host from placed where host <> '')",
-        "enclosed as (select i.host as inner_host, o.host as outer_host, row_number() over (partition by i.host order by length(o.host) desc) as k from hosts i join hosts o on ends_with(i.host, '.' || o.host))",
+        f"enclosed as (select i.host as inner_host, o.host as outer_host, row_number() over (partition by i.host order by length(o.host) desc) as k from hosts i join hosts o on ends_with(i.host, '.' || o.host) where strlen(i.host) <= {LONGEST_NAME})",
         "links as (select src, dst, sum(n) as n from (select * from found union all select inner_host, outer_host, 1 from enclosed where k = 1 union all select outer_host, inner_host, 1 from enclosed where k = 1) l group by src, dst)",
         "ways as (select 'trust' as kind, src as host, dst as \"to\", n from links union all select 'distrust', dst, src, n from links)",
         f'steps as (select kind, host, "to", {damping!r}::double * n / sum(n) over (partition by kind, host) as share from ways)',

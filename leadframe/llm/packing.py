@@ -13,7 +13,7 @@ that runs again on the same rows gives the same ids.
 whose every token bears loss, so there the limit on loss is that on tokens, and tokens and segments are what binds.
 
 Defined cases: null and empty texts are one token, the closing id 0. Texts of any length are encoded whole, in chunks, and
-cut; their ids (4 bytes each) are held until they are placed. An empty table gives an empty result. An example that can't be cut and exceeds a limit by
+cut; their ids (4 bytes each) are held until the text ends, and of what then waits to be placed, fewer than a sequence's. An empty table gives an empty result. An example that can't be cut and exceeds a limit by
 itself gets a sequence of its own, marked oversize. Repeated rows are packed each. Other columns are ignored.
 """
 
@@ -51,8 +51,8 @@ class Packer:
         self.waiting = 0
         self.placed: list[tuple] = []
 
-    def add(self, handle, tokens: int, loss: int) -> None:
-        start = 0
+    def add(self, handle, tokens: int, loss: int, start: int = 0) -> None:
+        """Take an example, or what of it begins at token `start` and has `tokens` more."""
         if self.cut:
             while tokens >= self.capacity:
                 self._place(handle, start, self.capacity, 0, False)
@@ -200,6 +200,16 @@ class Encoder:
         return 1 << 62 if any(b" " in token for token in self.added) else CHUNK
 
 
+def full_and_rest(name, ids: np.ndarray, capacity: int) -> Iterator[tuple[tuple, int, int]]:
+    """(handle, tokens, start) of what fills sequences by itself, and of the rest that waits. A handle is the document's id, some
+    of its token ids, where they begin, and how many it has. The rest is a copy, so that the document can go."""
+    full = len(ids) // capacity * capacity
+    if full:
+        yield (name, ids[:full], 0, len(ids)), full, 0
+    if full < len(ids):
+        yield (name, ids[full:].copy() if full else ids, full, len(ids)), len(ids) - full, full
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -219,8 +229,8 @@ def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         def out(kind) -> pa.RecordBatch:
             done, packer.placed = packer.placed, []
-            sums = [crc32(h[1][start : start + n]) for h, start, n, *_ in done]
-            columns = ([d[1] for d in done], [d[2] for d in done], sums, [len(d[0][1]) for d in done], [d[3] for d in done], [d[4] for d in done])
+            sums = [crc32(ids[start - base : start - base + n]) for (_, ids, base, _), start, n, *_ in done]
+            columns = ([d[1] for d in done], [d[2] for d in done], sums, [d[0][3] for d in done], [d[3] for d in done], [d[4] for d in done])
             return pa.RecordBatch.from_arrays([pa.array([d[0][0] for d in done], kind), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
         at = None
@@ -232,7 +242,9 @@ def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             last = None
 
             def add() -> None:
-                packer.add((handles[last], np.concatenate([*parts, np.array([closing], "<u4")], dtype="<u4")), sum(map(len, parts)) + 1, 0)
+                ids = np.concatenate([*parts, np.array([closing], "<u4")], dtype="<u4")
+                for handle, tokens, start in full_and_rest(handles[last], ids, capacity):
+                    packer.add(handle, tokens, 0, start)
 
             for rows, a, b in pieces(data, starts, ends, known.limit):
                 ids, bounds = known.ids(*gather(data, a, b))

@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = ROWS, t
     x = features(difference, length, knots)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     # The sample holds both kinds in other shares than the labels do.
-    occur, here = label_counts(labels, "quality", learn), np.bincount(y.astype(int), minlength=2)
+    occur, here = label_counts(labels, "quality", learn, docs), np.bincount(y.astype(int), minlength=2)
     weight = (occur / occur.sum() / (here / len(y)))[y.astype(int)]
     return QualityModel(content, knots, mean, scale, logistic((x - mean) / scale, y, weight))
 

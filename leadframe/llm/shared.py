@@ -161,25 +161,27 @@ def map_texts(
     return out.withColumnsRenamed({inner[0]: id_col} | ({inner[1]: text_col} if keep_text else {}))
 
 
-def clean_labels(labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """(doc_id, label): one row for each id that may be learned from and has a label 0 or 1; of contradicting ones the larger."""
+def clean_labels(labels: DataFrame, label: str, learn: Column, docs: DataFrame) -> DataFrame:
+    """(doc_id, label): one row for each id that may be learned from, has a label 0 or 1 and occurs in `docs`; of contradicting
+    labels the larger. Ids alone are compared, so the labels may be many more than the documents are."""
     fine = F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)
-    return labels.where(fine).where(learn).groupBy("doc_id").agg(F.max(label).alias(label))
+    clean = labels.where(fine).where(learn).groupBy("doc_id").agg(F.max(label).alias(label))
+    return clean.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def label_counts(labels: DataFrame, label: str, learn: Column) -> np.ndarray:
-    """How many ids have the label 0 and the label 1."""
-    found = {int(r[0]): int(r[1]) for r in clean_labels(labels, label, learn).groupBy(label).count().collect()}
+def label_counts(labels: DataFrame, label: str, learn: Column, docs: DataFrame) -> np.ndarray:
+    """How many ids of documents have the label 0 and the label 1."""
+    found = {int(r[0]): int(r[1]) for r in clean_labels(labels, label, learn, docs).groupBy(label).count().collect()}
     return np.array([found.get(0, 0), found.get(1, 0)], float)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, text_bytes: int, seed: int) -> pa.Table:
     """Bounded sample for fitting on the driver: (doc_id, text, lang, label), at most `rows` ids for each label 0 and 1.
 
-    `learn` tells which ids may be learned from. Ids are taken in hash order; texts over `text_bytes` and null texts
+    `learn` tells which ids may be learned from. Ids of documents are taken in hash order; texts over `text_bytes` and null texts
     are left to the scoring. The sample of ids is bounded, so it
     can be broadcast and the documents are not shuffled."""
-    clean = clean_labels(labels, label, learn)
+    clean = clean_labels(labels, label, learn, docs)
     chosen = bounded_labels(clean, label, 0, rows, seed).unionByName(bounded_labels(clean, label, 1, rows, seed))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.where(F.octet_length("text") <= text_bytes).select("doc_id", "text", lang.alias("lang"))

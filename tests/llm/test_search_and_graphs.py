@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -201,6 +202,26 @@ def test_link_graph(spark):
     assert linkgraph.judge(pages.where("false"), RULES).count() == 0
 
 
+def test_hostile_pages_take_linear_time(spark):
+    dots, labels = "a" + "." * 100_000 + "org", ".".join("x" * 1 for _ in range(50_000)) + ".org"
+    rows = [
+        (1, "http://good.org/", "href=" + " " * 1_000_000 + "//bad.com"),
+        (2, "http://org/", "href=" + " " * 1_000_000),
+        (3, f"http://{dots}/a", "href= " * 100_000 + "href='" + "a" * 500_000),
+        (4, f"http://{labels}/b", f"<a href='//{dots}'>"),
+        (5, "http://www.good.org/" + "?" * 1_000_000, "href=//bad.com" * 100_000),
+        (6, "http://" + "h" * 1_000_000, "href" * 250_000 + "=" * 250_000),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    began = time.time()
+    links = linkgraph.host_links(pages.withColumn("host", linkgraph.located(F.col("url"))[0]), "html").collect()
+    found = {(r.src, r.dst): r.n for r in links if len(r.src) < 300 and len(r.dst) < 300}
+    assert found == {("good.org", "bad.com"): 1, ("good.org", "www.good.org"): 1, ("www.good.org", "good.org"): 1, ("good.org", "org"): 1, ("org", "good.org"): 1, ("www.good.org", "bad.comhref="): 1}
+    assert {(r.src, r.dst) for r in links if len(r.src) > 300 or len(r.dst) > 300} == {(labels, dots)}
+    assert len(linkgraph.judge(pages, RULES).select("page_id", "verdict").collect()) == len(rows)
+    assert time.time() - began < 90
+
+
 @pytest.mark.parametrize("hub", [linkgraph.HUB, 1])
 def test_propagation_equals_power_iteration(spark, hub):
     links = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 3)]

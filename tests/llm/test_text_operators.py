@@ -194,6 +194,17 @@ def test_packer_of_whole_examples_keeps_all_three_limits(examples):
             assert len(pieces) <= 3 and sum(p[0] for p in pieces) <= 40 and sum(p[1] for p in pieces) <= 20
 
 
+@pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 2048, 30_001])
+def test_what_waits_holds_no_more_than_its_own_tokens(n):
+    ids = np.arange(n, dtype=np.uint32)
+    parts = list(packing.full_and_rest("doc", ids, 1024))
+    assert [(tokens, start) for _, tokens, start in parts] == [x for x in ((n // 1024 * 1024, 0), (n % 1024, n // 1024 * 1024)) if x[0]]
+    for (name, own, base, total), tokens, start in parts:
+        assert (name, base, total, own.tolist()) == ("doc", start, n, ids[start : start + tokens].tolist())
+    (_, waiting, _, _), tokens, _ = parts[-1]
+    assert n < 1024 or n % 1024 == 0 or (waiting.base is None and waiting.nbytes == 4 * tokens)
+
+
 def test_pack_examples_frame(spark):
     rows = spark.createDataFrame([(1, 5, 2), (2, None, None), (3, 2000, 10), (3, 7, 7)], "id long, tokens int, loss int")
     got = packing.pack_examples(rows, "id", "tokens", "loss").collect()
