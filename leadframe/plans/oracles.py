@@ -114,6 +114,13 @@ add("s11_image_files", "select regexp_replace(doc, '[^\\w.-]+', '_', 'g') || '/p
 asked = lambda content, part="''": f"{lit(responses.PIN_ASK)} || {part} || chr(10) || {content}"
 REQUEST = f"""'[{{"role":"system","content":' || to_json({lit(responses.PIN_SYSTEM)}) || '}},{{"role":"user","content":' || to_json({asked("component_name")}) || '}}]'"""
 add("s12_chat_answers", f"""select comp_id, '{{"component_name": "stub", "package": {{"type": "DIP", "pin_count": ' || (length({REQUEST}) % 8) || '}}, "pins": []}}' as response from v_components""", "v_components")
+LEDGER = """asked as (select p_partkey, p_brand || ' ' || p_size as request from part
+), wanted as (select distinct request, sha256('Unsteady' || chr(31) || chr(31) || request) as digest, strpos('0123456789abcdef', sha256(request)[1]) - 1 as h from asked
+), tries as (select *, n as attempt, h = 15 or (h + n) % 3 = 0 as fails, '{"component_name": "stub", "package": {"type": "DIP", "pin_count": ' || (length(request) % 8) || '}, "pins": []}' as answer from wanted, (select unnest([1, 2]) as n) t
+), calls as (select digest, request, cast(attempt as int) as attempt, case when fails then 'failed' else 'answered' end as outcome, case when not fails then answer end as response,
+       case when fails then 'ConnectionError: attempt ' || attempt end as error from tries t where attempt = 1 or exists (select 1 from tries f where f.digest = t.digest and f.attempt = 1 and f.fails))"""
+add("s12_ledger_calls", "select digest, attempt, outcome, response, error from calls", more=LEDGER)
+add("s12_ledger_answers", "select p_partkey, c.response, c.attempt as attempts, c.error as call_error from asked a join calls c using (request) where c.attempt = (select max(attempt) from calls m where m.request = a.request)", more=LEDGER)
 add("s13_vision_answers", """select doc_id, image_index, '{"status": 1}' as response from v_page_images""", "v_page_images")
 unfenced = lambda r: strip(f"regexp_replace(regexp_replace(regexp_replace({strip(r)}, '^```json', ''), '^```', ''), '```$', '')")
 add("s14_layout_text", f"select comp_id, case when comp_id % 5 = 0 then {unfenced('response')} when comp_id % 5 < 4 then response end as layout_text from v_llm_responses", "v_llm_responses")

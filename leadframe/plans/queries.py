@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import content, images, layout, packages, pages, render, responses
-from ..sources import providers
+from ..session import shared_folder
+from ..sources import ledger, providers
 from ..sources.virtual import frame
 from . import pipelines
 
@@ -98,6 +100,25 @@ simple("s9_detector_images", lambda d: stored(d).select("doc_id", "image_index",
 simple("s10_bulk_images", lambda d: images.of_pages(stored(d), d.v_page_numbers.select("doc", F.explode(F.array(F.lit(2), F.lit(5), F.lit(100000))).alias("page_number")).distinct()).select("doc", "page_number", "image_index"))
 simple("s11_image_files", lambda d: providers.image_files(stored(d)).select("name", md5(F.col("content")).alias("content_md5")))
 simple("s12_chat_answers", lambda d: providers.answered(d.v_components.select("comp_id", F.to_json(responses.pin_prompt(F.col("component_name"))).alias("request")), providers.FixedAnswers()).select("comp_id", "response"))
+def ledger_of(d: Data) -> tuple[ledger.Ledger, DataFrame, providers.Unsteady]:
+    """Requests of which many are equal, put to a service with failures through a ledger of its own."""
+    requests = d.part.select("p_partkey", F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("request"))
+    return ledger.Ledger(d.spark, f"{shared_folder(d.spark)}/ledger-{uuid.uuid4().hex}", attempts=2, pause=0.0), requests, providers.Unsteady(providers.FixedAnswers())
+
+
+def ledger_calls(d: Data) -> DataFrame:
+    book, requests, provider = ledger_of(d)
+    book.ask(requests, provider)
+    return book.calls()
+
+
+def ledger_answers(d: Data) -> DataFrame:
+    book, requests, provider = ledger_of(d)
+    return book.answered(requests, provider).select("p_partkey", "response", "attempts", "call_error")
+
+
+simple("s12_ledger_calls", ledger_calls)
+simple("s12_ledger_answers", ledger_answers)
 simple("s13_vision_answers", lambda d: providers.answered(stored(d).select("doc_id", "image_index", responses.vision_prompt(F.col("doc")).alias("request"), "data"), providers.FixedAnswers('{"status": 1}'), image="data").select("doc_id", "image_index", "response"))
 described = lambda d: d.v_llm_responses.select("comp_id", F.when(F.col("comp_id") % 5 == 0, F.to_json(F.struct(F.col("response").alias("description")))).when(F.col("comp_id") % 5 < 4, F.col("response")).alias("raw"))
 simple("s14_layout_text", lambda d: described(d).select("comp_id", T.layout_text(F.col("raw")).alias("layout_text")))

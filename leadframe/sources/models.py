@@ -53,6 +53,11 @@ class Options:
     def changed(self, **values) -> Options:
         return Options(**{**self.__dict__, **values})
 
+    @property
+    def identity(self) -> str:
+        """What answers depend on: no key, no timeout."""
+        return json.dumps([self.url, self.model, self.temperature, self.max_tokens])
+
 
 @dataclass
 class Chat:
@@ -61,6 +66,14 @@ class Chat:
     options: Options
     transport: Transport = http
 
+    @property
+    def identity(self) -> str:
+        return f"chat {self.options.identity}"
+
+    def prepared(self) -> Chat:
+        """With the credential that this process finds, so that executors need none of their own; raises if there is none."""
+        return Chat(self.options.changed(api_key=credential(self.options.api_key)), self.transport)
+
     def answer(self, request: str, image: bytes | None = None) -> str | None:
         o = self.options
         body = {"model": o.model, "messages": json.loads(request), "temperature": o.temperature, "max_tokens": o.max_tokens}
@@ -84,6 +97,10 @@ class Vision:
     options: Options
     transport: Transport = http
 
+    @property
+    def identity(self) -> str:
+        return f"{type(self).__name__} {self.options.identity}"
+
     def answer(self, request: str, image: bytes | None = None) -> str | None:
         if image is None:
             return None

@@ -9,6 +9,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from hashlib import sha256
 from typing import Protocol
 
 import pandas as pd
@@ -50,6 +51,20 @@ class FixedAnswers:
         return self.text if self.text is not None else json.dumps({"component_name": "stub", "package": {"type": "DIP", "pin_count": len(request) % 8}, "pins": []})
 
 
+class Unsteady:
+    """Stand-in for a service with failures: by the request and the number of the attempt, every third attempt fails, and one
+    request in sixteen always does."""
+
+    def __init__(self, inner: Answerer):
+        self.inner = inner
+
+    def attempt(self, request: str, image: bytes | None, number: int) -> str | None:
+        first = int(sha256(request.encode()).hexdigest()[0], 16)
+        if first == 15 or (first + number) % 3 == 0:
+            raise ConnectionError(f"attempt {number}")
+        return self.inner.answer(request, image)
+
+
 def files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
     """(path, content) of the folder's files with this suffix in any case."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -90,19 +105,27 @@ def page_images(documents: DataFrame, source: PageSource) -> DataFrame:
 
 
 def answered(requests: DataFrame, provider: Answerer, request: str = "request", image: str | None = None) -> DataFrame:
-    """Requests with their `response`; null where the call failed."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", response string"
+    """Requests with their `response`; where the call failed, that is null and `call_error` tells why.
+
+    Calls are made again whenever the result is computed again; `ledger.Ledger` makes each once. What a provider needs of its
+    surroundings, such as a credential, is looked for here and not on the executors."""
+    provider = provider.prepared() if hasattr(provider, "prepared") else provider
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", response string, call_error string"
 
     def run(batches):
         for frame in batches:
             pictures = frame[image] if image else [None] * len(frame)
-            out = []
+            out, wrong = [], []
             for text, picture in zip(frame[request], pictures):
+                response, error = None, None
                 try:
-                    out.append(provider.answer(text, picture))
-                except Exception:  # noqa: BLE001
-                    out.append(None)
-            yield frame.assign(response=pd.Series(out, dtype="object", index=frame.index))
+                    response = provider.answer(text, picture)
+                    error = "no answer" if response is None else None
+                except Exception as failure:  # noqa: BLE001
+                    error = f"{type(failure).__name__}: {failure}"
+                out.append(response)
+                wrong.append(error)
+            yield frame.assign(response=pd.Series(out, dtype="object", index=frame.index), call_error=pd.Series(wrong, dtype="object", index=frame.index))
 
     return requests.mapInPandas(run, schema)
 
