@@ -106,6 +106,26 @@ add("s4_page_numbers", "select doc, doc_id, page_number from v_pages", "v_pages"
 add("s5_text_ninth_null", "select doc_id, md5(case when doc_id % 9 <> 0 then text else '' end) as text_md5 from v_pages", "v_pages")
 add("s6_single_page", "select doc, page_number, md5(text) as text_md5 from v_pages where page_number = 3", "v_pages")
 add("s7_tables", "select doc_id, table_index, n_rows from v_page_tables where n_rows >= 2", "v_page_tables")
+# What the words and lines were made from: nothing is rebuilt here.
+MERGED = "t.doc_id % 3 = 0 and n_rows > 1 and len(hc) > 1"
+add(
+    "s7_ruled_tables",
+    f"""select doc_id, 0 as table_index, array_to_string(list_transform(range(0, n_rows), lambda i: array_to_string(list_transform(range(0, len(hc)), lambda j:
+         case when {MERGED} and i = 1 and j = 1 then '~' when (i + j) % 7 = 6 then '' when i = 0 then replace(coalesce(hc[j + 1], ''), ' ', chr(10)) else 'r' || i || 'c' || j end), '|')), '/') as cells
+from (select *, list_transform(string_split(header, '|'), lambda c: nullif(c, '')) as hc from v_page_tables) t
+union all select doc_id, 1, 'beside' from v_page_tables where doc_id % 4 = 0""",
+    "v_page_tables",
+)
+add(
+    "s5_positioned_text",
+    """select doc_id, cast(length(said) as int) as n_chars, md5(said) as text_md5 from (
+    select doc_id, string_agg(said, chr(10) order by line) as said from (
+        select doc_id, line, string_agg(word, ' ' order by i) as said from (
+            select doc_id, word, i, i // 5 as line from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from (
+                select doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents) d) e) f
+        group by doc_id, line) g
+    group by doc_id) h""",
+)
 STORED = "stored as (select i.*, p.page_number, case when (i.doc_id + i.image_index) % 7 <> 0 then i.doc || '-' || i.image_index end as data from v_page_images i join v_pages p using (doc_id))"
 add("s8_content_images", "select doc_id, image_index, base64(encode(data)) as data from stored where data is not null", "v_page_images", "v_pages", more=STORED)
 add("s9_detector_images", "select doc_id, image_index, base64(encode(data)) as data from stored", "v_page_images", "v_pages", more=STORED)

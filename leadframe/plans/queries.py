@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import content, images, layout, packages, pages, render, responses
+from ..operators import content, grids, images, layout, packages, pages, reading, render, responses
 from ..session import shared_folder
 from ..sources import ledger, providers
 from ..sources.virtual import frame
-from . import pipelines
+from . import overlays, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,11 +28,16 @@ class Data:
         return frame(self.spark, self.sf_dir, name)
 
     @property
-    def tables(self) -> DataFrame:
+    def cells(self):
+        """The cells of v_page_tables."""
         head = F.transform(F.split("header", r"\|"), lambda c: F.nullif(c, F.lit("")))
         row = lambda i: F.transform(head, lambda c, j: F.concat(F.lit("r"), i.cast("string"), F.lit("c"), j.cast("string")))
         rows = F.when(F.col("n_rows") > 1, F.transform(F.sequence(F.lit(1), F.col("n_rows") - 1), row)).otherwise(F.array().cast("array<array<string>>"))
-        return self.v_page_tables.withColumn("cells", F.concat(F.array(head), rows))
+        return F.concat(F.array(head), rows)
+
+    @property
+    def tables(self) -> DataFrame:
+        return self.v_page_tables.withColumn("cells", self.cells)
 
     @property
     def scored(self) -> DataFrame:
@@ -93,6 +98,10 @@ simple("s4_page_numbers", lambda d: d.v_page_numbers.select("doc", "doc_id", "pa
 simple("s5_text_ninth_null", lambda d: d.v_page_text.select("doc_id", md5(T.text_or_empty(F.when(F.col("doc_id") % 9 != 0, F.col("text")))).alias("text_md5")))
 simple("s6_single_page", lambda d: content.single_page(d.v_pages, 3).select("doc", "page_number", md5(F.col("text")).alias("text_md5")))
 simple("s7_tables", lambda d: content.kept_tables(d.tables).select("doc_id", "table_index", F.size("cells").alias("n_rows")))
+cells_text = lambda cells: F.array_join(F.transform(cells, lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit("~"))), "|")), "/")
+ruled = lambda d: grids.tables(overlays.table_lines(d.v_page_tables), overlays.table_words(d.v_page_tables, d.cells))
+simple("s7_ruled_tables", lambda d: ruled(d).select("doc_id", "table_index", cells_text(F.col("cells")).alias("cells")))
+simple("s5_positioned_text", lambda d: reading.page_text(overlays.page_words(d.documents)).select("doc_id", F.length("text").alias("n_chars"), md5(F.col("text")).alias("text_md5")))
 # Images come from the provider as stored bytes: a stand-in that has none for every seventh.
 stored = lambda d: d.v_page_images.join(d.v_page_numbers.select("doc_id", "page_number"), "doc_id").withColumn("data", F.when((F.col("doc_id") + F.col("image_index")) % 7 != 0, F.encode(F.concat_ws("-", "doc", "image_index"), "UTF-8")))
 simple("s8_content_images", lambda d: stored(d).where("data is not null").select("doc_id", "image_index", F.base64("data").alias("data")))
