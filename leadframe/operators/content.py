@@ -34,13 +34,18 @@ def kept_tables(tables: DataFrame) -> DataFrame:
     return tables.where(F.size("cells") >= 2)
 
 
-def extracted(candidates: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
-    """Raw content of candidates (doc, doc_id, page_number, score, text, has_table, has_diagram).
+def _page_order(candidates: DataFrame) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "page_number"))), lambda p: p["page_number"])
 
-    Tables and images are taken of pages with those flags only, and are grouped apart from the text."""
+
+def extracted(candidates: DataFrame, texts: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """Raw content of candidates (doc, doc_id, page_number, score, has_table, has_diagram) from the pages' texts (doc_id, text).
+
+    Candidates are used several times, so they are best written down. Tables and images are taken of pages with those flags
+    only, and are grouped apart from the text."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: F.concat(marked(p["page_number"], p["text"]), F.lit("\n\n"))), "")
-    pages = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "page_number"))), lambda p: p["page_number"])
-    content = candidates.groupBy("doc").agg(pages.alias("pages"), text.alias("text_content"))
+    said = candidates.select("doc", "doc_id", "page_number", "score").join(texts.select("doc_id", "text"), "doc_id")
+    content = said.groupBy("doc").agg(_page_order(said).alias("pages"), text.alias("text_content"))
 
     own_tables, own_images = _gated(candidates, tables, images)
     return _complete(content.join(own_tables, "doc", "left").join(own_images, "doc", "left"))
@@ -73,16 +78,18 @@ def is_candidate_table(cells: Column) -> Column:
 
 
 def is_pin_section(text: Column) -> Column:
-    low = F.lower(text)
+    return F.coalesce((text != "") & T.let(F.lower(text), _about_pins), F.lit(False))
+
+
+def _about_pins(low: Column) -> Column:
     excluded = F.lit(False)
     for phrase in rules.EXCLUSIONS:
         excluded = excluded | F.contains(low, F.lit(f" {phrase} ")) | F.endswith(low, F.lit(phrase))
-    hit = T.any_contained(low, rules.STRONG_PHRASES) | (T.any_contained(low, rules.SECTION_KEYWORDS) & ~excluded) | low.rlike(rules.DIAGRAM_LINE)
-    return F.coalesce((text != "") & hit, F.lit(False))
+    return T.any_contained(low, rules.STRONG_PHRASES) | (T.any_contained(low, rules.SECTION_KEYWORDS) & ~excluded) | low.rlike(rules.DIAGRAM_LINE)
 
 
 def has_strong_heading(text: Column) -> Column:
-    return F.coalesce(T.any_contained(F.lower(text), rules.STRONG_HEADINGS), F.lit(False))
+    return F.coalesce(T.let(F.lower(text), lambda low: T.any_contained(low, rules.STRONG_HEADINGS)), F.lit(False))
 
 
 def pin_tables(tables: Column) -> Column:
@@ -92,17 +99,22 @@ def pin_tables(tables: Column) -> Column:
 def blocks(text: Column) -> Column:
     """Array of (page, text) between page markers. Text before the first marker, blocks without a line and blocks whose
     marker has no number are left out. The whole text is in one row, so no shuffle is needed."""
-    lines = F.split(text, "\n")
     is_marker = lambda line: F.startswith(T.strip(line), F.lit("--- Page"))
-    numbered = F.transform(lines, lambda line, i: F.struct(line.alias("line"), (i + 1).alias("at")))
-    markers = F.filter(numbered, lambda x: is_marker(x["line"]))
-    ends = F.concat(F.slice(F.transform(markers, lambda x: x["at"]), 2, F.greatest(F.size(markers), F.lit(1))), F.array(F.size(lines) + 1))
     number = lambda line: T.strip(F.replace(F.replace(T.strip(line), F.lit("--- Page"), F.lit("")), F.lit("---"), F.lit("")))
-    spans = F.zip_with(markers, F.when(F.size(markers) > 0, ends).otherwise(F.array().cast("array<int>")), lambda m, e: F.struct(number(m["line"]).try_cast("int").alias("page"), m["at"].alias("from_"), e.alias("to_")))
-    cut = F.transform(
-        F.filter(spans, lambda s: s["page"].isNotNull() & (s["to_"] - s["from_"] > 1)),
-        lambda s: F.struct(s["page"].alias("page"), F.array_join(F.slice(lines, s["from_"] + 1, s["to_"] - s["from_"] - 1), "\n").alias("text")),
-    )
+
+    def between(lines: Column, markers: Column) -> Column:
+        ends = F.concat(F.slice(F.transform(markers, lambda x: x["at"]), 2, F.greatest(F.size(markers), F.lit(1))), F.array(F.size(lines) + 1))
+        spans = F.zip_with(markers, F.when(F.size(markers) > 0, ends).otherwise(F.array().cast("array<int>")), lambda m, e: F.struct(number(m["line"]).try_cast("int").alias("page"), m["at"].alias("from_"), e.alias("to_")))
+        return F.transform(
+            F.filter(spans, lambda s: s["page"].isNotNull() & (s["to_"] - s["from_"] > 1)),
+            lambda s: F.struct(s["page"].alias("page"), F.array_join(F.slice(lines, s["from_"] + 1, s["to_"] - s["from_"] - 1), "\n").alias("text")),
+        )
+
+    def marks(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda line, i: F.struct(line.alias("line"), (i + 1).alias("at")))
+        return F.filter(numbered, lambda x: is_marker(x["line"]))
+
+    cut = T.let(F.split(text, "\n"), lambda lines: T.let(marks(lines), lambda markers: between(lines, markers)))
     return F.coalesce(cut, F.array().cast("array<struct<page:int,text:string>>"))
 
 
@@ -127,22 +139,22 @@ def page_blocks(candidates: DataFrame) -> DataFrame:
 
     A block is the same as if the pages' texts were joined before; only the very last line break of a document is missing
     from its last page's last block, which `filtered_pages` adds."""
-    cut = F.posexplode(blocks(F.concat(marked(F.col("page_number"), F.col("text")), F.lit("\n")))).alias("pos", "b")
-    lines = candidates.select("doc", "doc_id", "page_number", F.size(blocks(F.concat(marked(F.col("page_number"), F.col("text")), F.lit("\n")))).alias("n"), cut)
+    cut = candidates.select("doc", "doc_id", "page_number", blocks(F.concat(marked(F.col("page_number"), F.col("text")), F.lit("\n"))).alias("cut"))
+    lines = cut.select("doc", "page_number", F.size("cut").alias("n"), F.posexplode("cut").alias("pos", "b"))
     return lines.select("doc", "page_number", "pos", F.col("b.page").alias("page"), F.col("b.text").alias("text"), (F.col("pos") == F.col("n") - 1).alias("last"))
 
 
-def filtered_pages(candidates: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+def filtered_pages(candidates: DataFrame, texts: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
     """`filtered(extracted(...))`, but blocks are judged page by page, and only those that are kept are gathered.
 
     What a document's row holds is then what its result holds: text without pins never leaves its page."""
-    pages = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "page_number"))), lambda p: p["page_number"])
-    heads = candidates.groupBy("doc").agg(pages.alias("pages"), F.max("page_number").alias("last_page"))
+    heads = candidates.groupBy("doc").agg(_page_order(candidates).alias("pages"), F.max("page_number").alias("last_page"))
     own_tables, own_images = _gated(candidates, tables.where(is_pin_table(F.col("cells"))), images)
 
     table_pages = own_tables.select("doc", F.explode(F.array_distinct(F.transform("tables", lambda t: t["page"]))).alias("page"), F.lit(True).alias("has_pins"))
-    cut = page_blocks(candidates)
-    judged = cut.withColumn("keep", is_pin_section(F.col("text")) | has_strong_heading(F.col("text"))).join(table_pages, ["doc", "page"], "left")
+    cut = page_blocks(candidates.select("doc", "doc_id", "page_number").join(texts.select("doc_id", "text"), "doc_id"))
+    about = T.let(F.lower("text"), lambda low: ((low != "") & _about_pins(low)) | T.any_contained(low, rules.STRONG_HEADINGS))
+    judged = cut.withColumn("keep", F.coalesce(about, F.lit(False))).join(table_pages, ["doc", "page"], "left")
     kept = judged.where(F.col("keep") | F.coalesce("has_pins", F.lit(False))).join(heads.select("doc", "last_page"), "doc")
     text = F.when(F.col("last") & (F.col("page_number") == F.col("last_page")), F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
     parts = kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_number", "pos", "page", text.alias("text")))).alias("kept"))

@@ -18,15 +18,15 @@ def measured(images: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def found_keywords(text: Column, keywords: list[str] = rules.IMAGE_KEYWORDS) -> Column:
-    return F.array_join(T.contained(F.lower(text), keywords), ", ")
+    return T.let(F.lower(text), lambda low: F.array_join(T.contained(low, keywords), ", "))
 
 
 def analyzed(images: DataFrame, pages: DataFrame, numbers: DataFrame | None = None, keywords: list[str] = rules.IMAGE_KEYWORDS) -> DataFrame:
     """Pages with images, their images in order, confidence and reasons. Points are added in one fixed order, as doubles.
 
     Text is read where it lies; `numbers` (doc_id, page_number, width, height) are those of pages that come without them."""
-    low = F.lower(T.text_or_empty(F.col("text")))
-    worded = pages.withColumns({"keywords": found_keywords(T.text_or_empty(F.col("text")), keywords), "figure": low.rlike(rules.FIGURE_PATTERN)}).drop("text")
+    low = pages.withColumn("_low", F.lower(T.text_or_empty(F.col("text"))))
+    worded = low.withColumns({"keywords": F.array_join(T.contained(F.col("_low"), keywords), ", "), "figure": F.col("_low").rlike(rules.FIGURE_PATTERN)}).drop("text", "_low")
     if numbers is not None:
         worded = worded.join(numbers.select("doc_id", "page_number", "width", "height"), "doc_id")
     per_page = measured(images, numbers if numbers is not None else pages).groupBy("doc_id").agg(

@@ -18,7 +18,7 @@ LOW, HIGH = 0.2, 0.7
 
 def heading_pattern(text: Column, patterns: list[str] = rules.HEADING_PATTERNS) -> Column:
     """The first heading pattern found in one of the first ten lines, or null."""
-    return T.first_match(T.first_lines(F.lower(text), 10), patterns)
+    return T.let(T.first_lines(F.lower(text), 10), lambda head: T.first_match(head, patterns))
 
 
 def header_text(cells: Column) -> Column:
@@ -37,7 +37,10 @@ def image_areas(images: DataFrame) -> DataFrame:
 
 
 def keyword_count(text: Column, keywords: list[str] = rules.DENSITY_KEYWORDS) -> Column:
-    low = F.lower(text)
+    return count_in(F.lower(text), keywords)
+
+
+def count_in(low: Column, keywords: list[str]) -> Column:
     return sum((T.occurrences(low, k) for k in keywords), F.lit(0))
 
 
@@ -47,15 +50,18 @@ def in_position(page: Column, total: Column) -> Column:
 
 def features(pages: DataFrame, rule_set: rules.PageRules = rules.PAGE_RULES) -> DataFrame:
     """Pages without their text, with what the scores need of it. This is a projection: the text is read where it lies."""
-    text = T.text_or_empty(F.col("text"))
+    rest = [c for c in pages.columns if c != "text"]
+    # In steps, so that what many expressions share is a column of its own and is computed once.
+    text = pages.select(*rest, T.text_or_empty(F.col("text")).alias("_text"))
+    low = text.withColumn("_low", F.lower("_text")).withColumn("_head", T.first_lines(F.col("_low"), 10))
     found = {
-        "heading": heading_pattern(text, rule_set.headings),
-        "caption": T.first_match(F.lower(text), rule_set.captions),
-        "keywords": keyword_count(text, rule_set.keywords),
-        "words": T.word_count(text),
-        "short": F.length(T.strip(text)) < 100,
+        "heading": T.first_match(F.col("_head"), rule_set.headings),
+        "caption": T.first_match(F.col("_low"), rule_set.captions),
+        "keywords": count_in(F.col("_low"), rule_set.keywords),
+        "words": T.word_count(F.col("_text")),
+        "short": F.length(T.strip(F.col("_text"))) < 100,
     }
-    return pages.select(*(c for c in pages.columns if c != "text"), *(c.alias(k) for k, c in found.items()))
+    return low.select(*rest, *(c.alias(k) for k, c in found.items()))
 
 
 def score(pages: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, verify_from: int = 3, numbers: DataFrame | None = None, rule_set: rules.PageRules = rules.PAGE_RULES) -> DataFrame:

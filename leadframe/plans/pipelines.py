@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import content, layout, pages, packages, render, responses
+from ..session import durable
+
+
+CANDIDATE = ["doc", "doc_id", "page_number", "score", "has_table", "has_diagram"]
 
 
 def candidate_pages(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, numbers: DataFrame | None = None) -> DataFrame:
-    """The pages that score enough, with their text, which is fetched once it is known which those are."""
-    scored = pages.score(page_rows, tables, images, numbers=numbers).where(F.col("score") >= min_score)
-    return scored.join(page_rows.select("doc_id", "text"), "doc_id")
+    """The pages that score enough, without their text. They are few and narrow, and all that follows begins with them, so
+    they are written down; pages are scored once."""
+    return durable(pages.score(page_rows, tables, images, numbers=numbers).where(F.col("score") >= min_score).select(*CANDIDATE))
 
 
 def text_flow(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, numbers: DataFrame | None = None) -> DataFrame:
     """Content of each document's relevant pages, filtered, with the prompt for a model."""
     candidates = candidate_pages(page_rows, tables, images, min_score, numbers)
-    kept = content.filtered_or_all(content.extracted(candidates, tables, images))
+    kept = content.filtered_or_all(content.extracted(candidates, page_rows, tables, images))
     return kept.withColumn("prompt", responses.pin_prompt(F.col("text_content")))
 
 

@@ -53,11 +53,11 @@ class Data:
 
     @property
     def content(self) -> DataFrame:
-        return content.extracted(self.candidates, self.tables, self.v_page_images)
+        return content.extracted(self.candidates, self.v_page_text, self.tables, self.v_page_images)
 
     @property
     def filtered_pages(self) -> DataFrame:
-        return content.filtered_pages(self.candidates, self.tables, self.v_page_images)
+        return content.filtered_pages(self.candidates, self.v_page_text, self.tables, self.v_page_images)
 
     @property
     def analysis(self) -> DataFrame:

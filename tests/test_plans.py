@@ -30,3 +30,16 @@ def test_the_flagship_reads_what_it_needs(spark):
     schemas = re.findall(r"ReadSchema: struct<(.*)>", plan)
     assert schemas and all(set(re.findall(r"(\w+):", s)) <= {"doc_id", "source", "text"} for s in schemas), schemas
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("name", ["c1_gated_extract", "c3_filter_fallback", "c10_pages_kept", "c11_filter_content", "c12_prompt_full", "flow_a_text"])
+def test_pages_are_scored_once(spark, name):
+    """What is left to do once the candidates are written down: a text, its tables twice and its images once are read."""
+    plan = QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") <= 4 and plan.count("lower(") < 80, (plan.count("parquet"), plan.count("lower("))
+    assert "heading_score" not in plan
+
+
+def test_shared_parts_of_scores_are_columns_of_their_own(spark):
+    plan = QUERIES["p8_page_score"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\(_text", plan)) == 1 and len(re.findall(r"split\(_low", plan)) == 1
