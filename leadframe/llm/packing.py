@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import CHUNK, Lexicon, pieces
-from .shared import gather, spans, tidy
+from .shared import gather, keeps, spans, tidy
 
 CAPACITY, SEGMENTS, WINDOW, WORDS = 1024, 128, 1024, 8192
 
@@ -212,6 +212,7 @@ def full_and_rest(name, ids: np.ndarray, capacity: int) -> Iterator[tuple[tuple,
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
+    keeps("packing", encoder.cache_clear)
     return Encoder(path)
 
 
@@ -263,4 +264,4 @@ def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield out(at)
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, "packing"), schema).withColumnRenamed("id", id_col)

@@ -50,10 +50,24 @@ def trim() -> None:
         give_back(0)
 
 
-def tidy(run: Callable) -> Callable:
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Workers live on from one operator to the next: what `owner` remembers between its tasks is forgotten by `forget` as
+    soon as a task of another begins in the same worker."""
+    _kept[owner] = forget
+
+
+def tidy(run: Callable, owner: str = "") -> Callable:
     """A function for mapInArrow that gives free memory back now and then, and at the end of its task."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [name for name in _kept if name != owner]
+        for name in others:
+            _kept.pop(name)()
+        if others:
+            trim()
         for n, out in enumerate(run(batches)):
             yield out
             if n % 64 == 63:
@@ -205,9 +219,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 _powers[k] = np.full(size, x)
                 _powers[k][0] = 1
                 np.cumprod(_powers[k], out=_powers[k])
+        if size > 1 << 20:
+            keeps("powers", _few_powers)
     return _powers[0][:n], _powers[1][:n]
 
 
+def _few_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sums, scale): (sums[end] - sums[start]) * scale[start] is a range's polynomial, wherever the range lies."""
     up, down = powers(len(values))

@@ -45,10 +45,14 @@ BITS = 1 << 23
 PIVOTS = 8
 #: Places in the bitmap of a set.
 PLACES = 1024
+#: Places for each shingle in the bitmap by which a pair is looked at before its sets are.
+SPREAD = 8
 #: Texts, and pairs of sets, in one Arrow batch.
 TEXTS_AT_ONCE, PAIRS_AT_ONCE = 2048, 512
 #: Sets, or pairs of them, in one task at most, about.
 SETS_AT_ONCE = 2048
+#: A list of up to this many nodes is broadcast, 4 MB; a longer one is joined by a shuffle.
+FEW_ENDS = 1 << 18
 #: Keys of up to this many nodes give all their pairs at once.
 FEW = 3
 MET = "key long, node long, n int, a long, b long, need int"
@@ -183,6 +187,18 @@ def bitmaps(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def wide_bitmaps(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A bitmap of each set of hashes with SPREAD places for each of them, or up to twice as many: a power of two, PLACES at
+    least. Two such bitmaps can be compared after the larger one is folded."""
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        places = max(PLACES, 1 << (SPREAD * (b - a) - 1).bit_length())
+        bits = np.zeros(places, bool)
+        bits[(h[a:b] & np.uint64(places - 1)).astype(np.int64)] = True
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
 class Seen:
     """The nodes that a task has met lately: a bounded memory that saves repetitions and never changes a result."""
 
@@ -242,8 +258,8 @@ def heavy_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.nda
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, print, node, fp, n, bits, prefix) of every row: a hash of its text, that of its set, its fingerprint, the size of
-    its set; `bits`, the set's bitmap, and `prefix` only with the first of a task's rows that has a node, else null."""
+    """(id, print, node, fp, n, bits, wide, prefix) of every row: a hash of its text, that of its set, its fingerprint, the size of
+    its set; `bits` and `wide`, the set's bitmaps, and `prefix` only with the first of a task's rows that has a node, else null."""
     kind = docs.schema[id_col].dataType.simpleString()
     heavy, often = heavy_shingles(docs, text_col, shingle)
 
@@ -264,13 +280,16 @@ def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
                 order = np.lexsort((h, rank, row))
                 order = order[np.arange(len(h)) - bounds[row] < length[row]]
                 own = batch.slice(a, b - a)
-                bits = iter(bitmaps(h[fresh[row]], np.where(fresh, size, 0)[fresh]))
+                new = h[fresh[row]]
+                bits = iter(bitmaps(new, np.where(fresh, size, 0)[fresh]))
                 bits = pa.array([next(bits).tobytes() if f else None for f in fresh], pa.binary())
-                columns = [own.column(0), own.column(1), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), bits, _lists(length, h[order], fresh)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "print", "node", "fp", "n", "bits", "prefix"])
+                wide = iter(wide_bitmaps(new, np.append(0, np.cumsum(size[fresh]))))
+                wide = pa.array([next(wide) if f else None for f in fresh], pa.binary())
+                columns = [own.column(0), own.column(1), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), bits, wide, _lists(length, h[order], fresh)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "print", "node", "fp", "n", "bits", "wide", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(run), f"id {kind}, print long, node long, fp long, n int, bits binary, prefix array<long>")
+    return rows.mapInArrow(tidy(run), f"id {kind}, print long, node long, fp long, n int, bits binary, wide binary, prefix array<long>")
 
 
 def sets_for(docs: DataFrame, text_col: str, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -318,16 +337,48 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
 
-def judged(docs: DataFrame, text_col: str, shingle: int, pairs: DataFrame) -> DataFrame:
-    """(a, b, ok): whether the sets of the nodes a and b are similar. `pairs` is durable."""
+def _may_agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+        ok = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"))):
+            x, y = (np.frombuffer(b.as_py(), np.uint8) for b in (x, y))
+            while len(x) > len(y):
+                x = x[: len(x) // 2] | x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] | y[len(y) // 2 :]
+            hidden = min(int(k) - int(np.bitwise_count(b).sum()) for k, b in ((n[i], x), (m[i], y)))
+            common = int(np.bitwise_count(x & y).sum()) + hidden
+            ok[i] = (PART + WHOLE) * common >= PART * (n[i] + m[i])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, many: int) -> DataFrame:
+    """(a, b, ok): whether the sets of the nodes a and b may be similar by their wide bitmaps, an eighth of the sets' bytes."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = nodes.select("node", "n", "wide").join(F.broadcast(ends) if 2 * many <= FEW_ENDS else ends, "node", "left_semi")
+    both = pairs.select("a", "b").join(own.select(F.col("node").alias("a"), "n", F.col("wide").alias("left")), "a")
+    both = both.join(own.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("wide").alias("right")), "b")
+    with arrow_rows(pairs.sparkSession, PAIRS_AT_ONCE):
+        return durable(gathered(both.select("a", "b", "n", "m", "left", "right").mapInArrow(tidy(_may_agree), "a long, b long, ok boolean"), many, SETS_AT_ONCE))
+
+
+def judged(docs: DataFrame, text_col: str, shingle: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, ok): whether the sets of the nodes a and b are similar. `pairs` and `nodes` (node, n, wide) are durable.
+
+    Long texts share passages and are cut out by bitmaps as long as they; only what may be similar is compared as sets."""
+    first = plausible(pairs, nodes, pairs.count())
+    apart, pairs = first.where("not ok"), first.where("ok").select("a", "b")
     many = pairs.count()
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if not many:
+        return apart
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     with arrow_rows(pairs.sparkSession, TEXTS_AT_ONCE):
-        sets = durable(gathered(sets_for(docs, text_col, nodes, shingle), 2 * many, SETS_AT_ONCE))
-    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+        sets = durable(gathered(sets_for(docs, text_col, ends, shingle), 2 * many, SETS_AT_ONCE))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     with arrow_rows(pairs.sparkSession, PAIRS_AT_ONCE):
-        return durable(gathered(both.select("a", "b", "left", "right").mapInArrow(tidy(_agreeing), "a long, b long, ok boolean"), many, SETS_AT_ONCE))
+        return apart.union(durable(gathered(both.select("a", "b", "left", "right").mapInArrow(tidy(_agreeing), "a long, b long, ok boolean"), many, SETS_AT_ONCE)))
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:

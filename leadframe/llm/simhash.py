@@ -249,7 +249,7 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
 
     Components are those of all pairs of sets that share 0.8 of their union. `marks` is durable and from `shingles.marked`."""
     many = marks.count()
-    nodes = durable(gathered(marks.where("n > 0 and prefix is not null").groupBy("node").agg(F.min("fp").alias("fp"), F.min("bits").alias("bits")), many, TEXTS, True))
+    nodes = durable(gathered(marks.where("n > 0 and prefix is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "bits", "wide"))), many, TEXTS, True))
     fps = nodes.select("node", "fp")
     first = durable(gathered(fps.groupBy("fp").agg(F.min("node").alias("node")), many))
     near = links(first)
@@ -268,7 +268,7 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
         pairs = step() if judged is None else step().join(judged.select("a", "b"), ["a", "b"], "left_anti")
         pairs = durable(gathered(pairs, many, TEXTS, True))
         if judged is None or not pairs.isEmpty():
-            now = shingles.judged(docs, text_col, shingle, pairs)
+            now = shingles.judged(docs, text_col, shingle, pairs, nodes)
             judged = now if judged is None else judged.union(now)
             tree = connected(judged.where("ok").select("a", "b"))
     return tree
