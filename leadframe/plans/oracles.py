@@ -526,3 +526,33 @@ REPORT = f"""concat_ws({NL}, repeat('=', 70), 'Component: ' || ({field("$.compon
 parsed("f7_report", f"select comp_id, md5({REPORT}) as report_md5 from judged g where error is null")
 parsed("s16_console_report", f"select comp_id, cast(u.k - 1 as int) as line_at, u.line from (select comp_id, string_split({REPORT}, {NL}) as l from judged g where error is null) r, lateral (select unnest(r.l) as line, generate_subscripts(r.l, 1) as k) u")
 contents("flow_a_text", "select c.doc, md5(case when f.text = '' and c.text <> '' then c.text else f.text end) as text_md5, 2 as n_messages from content_text c join filtered f using (doc)", FILTERED)
+
+# --- batches
+BATCH = f"""v_pages as (select * from v_batch_pages), {SCORED}, {PARSED}, outcome as (
+  select b.doc, case when j.comp_id is null or j.error is not null then 'llm_error' else 'success' end as status,
+         case when j.comp_id is null then 'not JSON' else j.error end as error, j.comp_id
+  from (select distinct doc from scored where score >= 5) b left join judged j on 'd' || j.comp_id = b.doc
+  union all select doc, 'no_pages', null, null from (select distinct doc from v_batch_pages) a where doc not in (select doc from scored where score >= 5)
+  union all select doc, 'error', error, null from v_undecoded)"""
+BATCH_VIEWS = ("v_batch_pages", "v_page_tables", "v_page_images", "v_llm_responses", "v_undecoded")
+add(
+    "flow_e_batch_totals",
+    f"select count(*) as total, count(*) filter (status = 'success') as successes, count(*) filter (status = 'no_pages') as no_pages, count(*) filter (status in ({', '.join(map(lit, rules.ERROR_STATUSES))})) as errors from outcome",
+    *BATCH_VIEWS,
+    more=BATCH,
+)
+fine = lambda column: f"case when o.status = 'success' then {column} end"
+add(
+    "flow_e_batch",
+    f"""select o.doc, o.status, o.error, {fine(field("$.component_name", "'Unknown'"))} as component_name, {fine(field("$.package.type", "'Unknown'"))} as package_type,
+       cast({fine(field("$.package.pin_count", "'0'"))} as int) as pin_count, cast({fine("json_array_length(j, '$.pins')")} as int) as n_pins
+from outcome o left join judged using (comp_id)""",
+    *BATCH_VIEWS,
+    more=BATCH,
+)
+add(
+    "s1_page_ranges",
+    """select doc_id, cast(k as int) as page_number, cast(len(p) as int) as total_pages, cast(strlen(p[k]) as bigint) as n_bytes, md5(p[k]) as text_md5
+from (select doc_id, p, unnest(range(1, len(p) + 1)) as k from (select doc_id, string_split(text, chr(10)) as p from documents where text is not null) x) y""",
+)
+add("s11_committed_files", "select regexp_replace(source, '[^\\w.-]+', '_', 'g') || '/' || doc_id || '.txt' as name, cast(strlen(text) as bigint) as n_bytes, sha256(text) as sha256 from documents where text is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,34 @@ def text_flow(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_sc
     return kept.withColumn("prompt", responses.pin_prompt(F.col("text_content")))
 
 
+def batch_flow(page_rows: DataFrame, tables: DataFrame, images: DataFrame, undecoded: DataFrame, ask: Callable[[DataFrame], DataFrame], min_score: int = 5, numbers: DataFrame | None = None) -> DataFrame:
+    """(doc, status, error, component_name, package_type, pin_count, n_pins): what became of each document of a batch, by its own
+    path through the flow.
+
+    `undecoded` (doc, error) are those that gave no pages. `ask` answers content (doc, pages, text_content, tables, images,
+    prompt) with (doc, response) and, if it likes, call_error; it is asked about documents with relevant pages only. A document
+    is `error` if it wasn't decoded, `no_pages` if no page is relevant, `extraction_error` if its relevant pages have neither
+    text nor tables, `llm_error` if its call failed or its answer can't be used, else `success`."""
+    candidates = candidate_pages(page_rows, tables, images, min_score, numbers)
+    found = content.extracted(candidates, page_rows, tables, images).withColumn("prompt", responses.pin_prompt(F.col("text_content")))
+    bare = F.regexp_replace("text_content", r"--- Page \d+ ---", "")
+    full = durable(found.withColumn("empty", (F.trim(F.regexp_replace(bare, r"\s", "")) == "") & (F.size("tables") == 0)))
+    answers = ask(full.where("not empty").drop("empty"))
+    failed = F.col("call_error") if "call_error" in answers.columns else F.lit(None).cast("string")
+    parsed = responses.parsed_pins(answers.select("doc", "response", failed.alias("call_error")))
+    parsed = parsed.select("doc", "call_error", F.col("error").alias("wrong"), "component_name", F.col("package.type").alias("package_type"), F.col("package.pin_count").alias("pin_count"), F.size("pins").alias("n_pins"))
+
+    named = page_rows if numbers is None else numbers
+    every = named.select("doc", F.lit(None).cast("string").alias("broken")).distinct().unionByName(undecoded.select("doc", F.col("error").alias("broken")))
+    joined = every.join(full.select("doc", "empty"), "doc", "left").join(parsed, "doc", "left")
+    wrong = F.coalesce("call_error", "wrong")
+    status = (
+        F.when(F.col("broken").isNotNull(), "error").when(F.col("empty").isNull(), "no_pages").when(F.col("empty"), "extraction_error").when(wrong.isNotNull() | F.col("n_pins").isNull(), "llm_error").otherwise("success")
+    )
+    ok = lambda c: F.when(F.col("status") == "success", F.col(c)).alias(c)
+    return joined.withColumn("status", status).select("doc", "status", F.coalesce("broken", F.when(F.col("status") == "llm_error", F.coalesce(wrong, F.lit("no answer")))).alias("error"), *map(ok, ("component_name", "package_type", "pin_count", "n_pins")))
+
+
 def answer_flow(answers: DataFrame) -> DataFrame:
     """Parsed answers (comp_id, response) with the package name brought to its common form."""
     parsed = responses.parsed_pins(answers).where("error is null")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import content, grids, images, layout, packages, pages, reading, render, responses
 from ..session import shared_folder
-from ..sources import ledger, providers
+from ..sources import formats, ledger, providers
 from ..sources.virtual import frame
 from . import overlays, pipelines
 
@@ -272,6 +272,34 @@ simple("flow_b_custom", lambda d: pipelines.drawing_flow(d.v_llm_responses, d.cu
 simple("flow_c_vision", lambda d: pipelines.vision_flow(d.v_vision_raw.select((F.col("id") % 50).alias("doc"), F.col("id").alias("ord"), "response")).select("doc", "ord", "confidence", "component_name"))
 
 
+def batch(d: Data) -> DataFrame:
+    ask = lambda content: content.select("doc").join(d.v_batch_answers, "doc", "left")
+    return pipelines.batch_flow(d.v_batch_pages, d.tables, d.v_page_images, d.v_undecoded, ask)
+
+
+simple("flow_e_batch", batch)
+simple("flow_e_batch_totals", lambda d: pipelines.run_summary(batch(d)))
+
+
+def page_files(d: Data, lines: bool) -> str:
+    """The documents as files in a folder of its own: one page, or a page for each line."""
+    formats.register(d.spark)
+    folder = f"{shared_folder(d.spark)}/files-{uuid.uuid4().hex}"
+    text = F.translate("text", "\n", "\f") if lines else F.col("text")
+    name = F.concat_ws("/", F.regexp_replace("source", r"[^\w.-]+", "_"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    d.documents.where("text is not null").select(name.alias("name"), F.encode(text, "UTF-8").alias("content")).write.format("leadframe_files").mode("append").save(folder)
+    return folder
+
+
+def read_pages(d: Data) -> DataFrame:
+    pages_ = d.spark.read.format("leadframe_pages").option("bytesPerTask", 1 << 20).load(page_files(d, True))
+    return pages_.select(F.regexp_extract("doc", r"([^/]+)\.txt$", 1).cast("bigint").alias("doc_id"), "page_number", "total_pages", "n_bytes", md5(F.col("text")).alias("text_md5"))
+
+
+simple("s1_page_ranges", read_pages)
+simple("s11_committed_files", lambda d: formats.manifest(d.spark, page_files(d, False)).select("name", F.col("bytes").alias("n_bytes"), "sha256"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant pages with their scores and reasons, best first within each document."""
     found = pages.relevant(Data(spark, sf_dir).scored)

@@ -22,6 +22,13 @@ VIEWS: dict[str, str] = {
          when 7 then concat(text, chr(10), 'ordering information')
          else text end as text
 from {documents}""",
+    # Pages of a batch of many documents, eight pages each, which carry their numbers; some documents can't be decoded.
+    "v_batch_pages": """select concat('d', cast(cast(floor(doc_id / 8) as bigint) as varchar(20))) as doc, doc_id, cast(doc_id % 8 + 1 as int) as page_number, cast(8 as bigint) as total_pages,
+       cast(612 as double) as width, cast(792 as double) as height, text
+from {v_page_text} where cast(floor(doc_id / 8) as bigint) % 13 <> 5""",
+    "v_undecoded": """select distinct concat('d', cast(cast(floor(doc_id / 8) as bigint) as varchar(20))) as doc, 'no pages in it' as error
+from {documents} where cast(floor(doc_id / 8) as bigint) % 13 = 5""",
+    "v_batch_answers": """select concat('d', cast(comp_id as varchar(20))) as doc, response from {v_llm_responses}""",
     "v_page_numbers": """select source as doc, doc_id,
        cast(row_number() over (partition by source order by doc_id) as int) as page_number,
        count(*) over (partition by source) as total_pages,
