@@ -1,25 +1,26 @@
 """python -m leadframe INPUT [options]: pins of the documents in a folder, or of one document.
 
-Each document gets a JSON file of what was found; reports go to the console. Answers come from a model behind --url, or from
-the file given as --answer, which stands in for one."""
+Each document gets a JSON file of what was found, at the same place below the output folder as it has below the input; reports go
+to the console. Answers come from a model behind --url, or from the file given as --answer, which stands in for one. They are kept
+in a ledger, in the output folder unless --ledger names another, so a run that is repeated, or goes on after it was stopped, asks
+for what is missing only."""
 
 from __future__ import annotations
 
 import argparse
 import os
 import sys
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import pages, render, responses
 from .plans import pipelines
-from .sources import models, providers
-
-EMPTY_TABLES = "doc_id string, table_index int, cells array<array<string>>"
-EMPTY_IMAGES = "doc_id string, image_index int, width double, height double"
+from .session import durable, shared_folder
+from .sources import formats, ledger, models, providers
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -33,21 +34,29 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--model", default="llama-3")
     parser.add_argument("--api-key", help=f"else one of {', '.join(models.CREDENTIALS)}")
     parser.add_argument("--answer", help="file with an answer that stands in for the model's")
+    parser.add_argument("--ledger", help="folder of the calls that were made; all machines share it")
+    parser.add_argument("--attempts", type=int, default=3, help="calls for an answer, at most")
     parser.add_argument("--draw", action="store_true", help="write drawings too")
     parser.add_argument("-v", "--verbose", action="store_true", help="show the relevant pages")
     return parser
 
 
-def page_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded pages with an id of their own. They carry their numbers, so nothing is numbered here."""
-    rows = providers.decoded(providers.files(spark, folder), providers.PlainTextSource())
-    return rows.withColumn("doc_id", F.concat_ws("#", "doc", "page_number"))
+def page_id() -> Column:
+    return F.concat_ws("#", "doc", "page_number").alias("doc_id")
+
+
+def place_below(path: Column, folder: str) -> Column:
+    """A document's path below the input folder, without its extension; its name if the input is the document itself."""
+    below = F.when(F.contains(path, F.lit(f"{folder.rstrip('/')}/")), F.substring_index(path, f"{folder.rstrip('/')}/", -1)).otherwise(F.regexp_extract(path, r"([^/]+)$", 1))
+    return F.regexp_replace(below, r"(?<=[^/.])\.[^./]*$", "")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, environment: Mapping[str, str] | None = None) -> int:
     given = arguments().parse_args(argv)
     try:
         folder = given.input if os.path.isdir(given.input) else providers.existing_input(given.input)
+        if given.output and os.path.isfile(given.output):
+            raise ValueError(f"not a folder: {given.output}")
         provider = None
         if given.answer:
             with open(given.answer, encoding="utf-8") as f:
@@ -66,8 +75,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, envir
             print(row.path)
         return 0
 
-    found = page_rows(spark, folder)
-    tables, images = spark.createDataFrame([], EMPTY_TABLES), spark.createDataFrame([], EMPTY_IMAGES)
+    whole = durable(providers.contents(providers.files(spark, folder), providers.PlainTextSource(), tables=True, images=True))  # decoded once
+    fine = whole.where("error is null")
+    found = fine.select("doc", page_id(), "page_number", "total_pages", "width", "height", "text")
+    tables, images = (rows.select("*", page_id()) for rows in (providers.tables_in(whole), providers.images_in(whole).drop("data")))
+    for row in whole.where("error is not null").select("doc", "error").orderBy("doc").toLocalIterator():
+        print(f"{row.doc}: not read: {row.error}", file=sys.stderr)
     if given.verbose:
         for row in pages.relevant(pages.score(found, tables, images, given.min_confidence), given.min_confidence).orderBy("doc", "rank").toLocalIterator():
             print(f"{row.doc}: page {row.page_number}, score {row.score}: {'; '.join(row.reasons)}")
@@ -78,24 +91,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, envir
     name = F.regexp_extract("doc", r"([^/]+)$", 1)
     part = F.lit(given.part_number) if given.part_number else T.part_number(name)
     asked = content.select("doc", F.to_json(responses.pin_prompt(F.col("text_content"), part)).alias("request"))
-    # Answers aren't repeatable, so they are fetched once; there is one for each document.
-    answers = providers.answered(asked, provider).select(F.col("doc").alias("comp_id"), "response").persist()
-    parsed = responses.parsed_pins(answers)
-    whole = F.struct("component_name", "package", "pins", "extraction_method", "error")
-    stem = F.regexp_replace(F.regexp_extract("comp_id", r"([^/]+)$", 1), r"\.[^.]*$", "")
+    book = ledger.Ledger(spark, given.ledger or (f"{given.output.rstrip('/')}/_ledger" if given.output else f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"), given.attempts)
+    answers = book.answered(asked, provider).select(F.col("doc").alias("comp_id"), "response", "call_error")
+    parsed = durable(responses.parsed_pins(answers).withColumn("error", F.coalesce("call_error", "error")))
+    result = F.struct("component_name", "package", "pins", "extraction_method", "error")
+    for row in fine.select("doc").distinct().join(parsed.select(F.col("comp_id").alias("doc")), "doc", "left_anti").orderBy("doc").toLocalIterator():
+        print(f"{row.doc}: no relevant pages", file=sys.stderr)
     for row in parsed.where("error is null").select("comp_id", render.report(F.col("component_name"), F.col("package"), F.col("pins")).alias("report")).orderBy("comp_id").toLocalIterator():
         print(row.report)
     for row in parsed.where("error is not null").select("comp_id", "error").orderBy("comp_id").toLocalIterator():
         print(f"{row.comp_id}: {row.error}", file=sys.stderr)
-    wrote = True
     if given.output:
-        files = parsed.select(F.concat(stem, F.lit(".json")).alias("name"), F.encode(F.to_json(whole), "UTF-8").alias("content"))
-        wrote = providers.exported(files, providers.FolderExporter(given.output)).where("not written").isEmpty()
+        formats.register(spark)
+        place = place_below(F.col("comp_id"), os.path.abspath(folder))
+        files = parsed.select(F.concat(place, F.lit(".json")).alias("name"), F.encode(F.to_json(result), "UTF-8").alias("content"))
         if given.draw:
-            drawn = pipelines.drawing_flow(answers).withColumn("comp_id", stem)
-            wrote &= providers.exported(providers.drawing_files(drawn), providers.FolderExporter(os.path.join(given.output, "drawings"))).where("not written").isEmpty()
-    answers.unpersist()
-    return 0 if wrote else 1
+            drawn = providers.drawing_files(pipelines.drawing_flow(answers.select("comp_id", "response")).withColumn("comp_id", place))
+            files = files.unionByName(drawn.withColumn("name", F.concat(F.lit("drawings/"), "name")))
+        try:
+            files.write.format("leadframe_files").option("replace", "true").mode("append").save(given.output)
+        except Exception as wrong:  # noqa: BLE001, whatever the file system says
+            print(f"nothing was written: {wrong}", file=sys.stderr)
+            return 1
+    return 0
 
 
 if __name__ == "__main__":

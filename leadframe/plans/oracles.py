@@ -556,3 +556,25 @@ add(
 from (select doc_id, p, unnest(range(1, len(p) + 1)) as k from (select doc_id, string_split(text, chr(10)) as p from documents where text is not null) x) y""",
 )
 add("s11_committed_files", "select regexp_replace(source, '[^\\w.-]+', '_', 'g') || '/' || doc_id || '.txt' as name, cast(strlen(text) as bigint) as n_bytes, sha256(text) as sha256 from documents where text is not null")
+
+# --- joins with tables of any size
+add(
+    "k5_part_ranges",
+    """select c.comp_id, p.p_partkey as range_id from v_components c join part p on floor(p.p_partkey / 50) = floor(c.comp_id / 50)
+     and c.pin_count between p.p_size - 5 and case when p.p_partkey % 17 <> 0 then p.p_size + p.p_partkey % 40 else 1000000 end""",
+    "v_components",
+)
+add(
+    "d12_known_parts",
+    """select p_partkey, p_name, known, known_id from (
+    select p.p_partkey, p.p_name, k.known, k.known_id, row_number() over (partition by p.p_partkey order by length(k.known) desc, k.known_id) as r
+    from part p left join (select substr(p_name, 1, cast(3 + p_partkey % 9 as int)) as known, p_partkey as known_id from part) k on starts_with(p.p_name, k.known)) x where r = 1""",
+)
+add(
+    "p6_many_keywords",
+    """select doc_id, count(*) as n_keywords, cast(sum(n) as bigint) as n_hits from (
+    select doc_id, (length(low) - length(replace(low, keyword, ''))) // length(keyword) as n from (select doc_id, lower(text) as low from documents) d,
+        (select distinct w[i] || case when i % 4 = 0 then ' ' || w[i + 1] else '' end as keyword from (
+            select w, unnest(range(2, len(w), 2)) as i from (select regexp_split_to_array(lower(text), '[^a-z]+') as w from benchmark) b where len(w) >= 3) s) k where keyword <> '') x
+where n > 0 group by doc_id""",
+)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import content, grids, images, layout, packages, pages, reading, render, responses
+from ..operators import content, grids, images, layout, lookup, packages, pages, reading, render, responses
 from ..session import shared_folder
 from ..sources import formats, ledger, providers
 from ..sources.virtual import frame
@@ -281,6 +281,32 @@ simple("flow_e_batch", batch)
 simple("flow_e_batch_totals", lambda d: pipelines.run_summary(batch(d)))
 
 
+# Joins with tables of any size
+def part_ranges(d: Data) -> DataFrame:
+    ends = F.col("p_size") - 5, F.when(F.col("p_partkey") % 17 != 0, F.col("p_size") + F.col("p_partkey") % 40)
+    ranges = d.part.select(F.floor(F.col("p_partkey") / 50).alias("grp"), F.col("p_partkey").alias("range_id"), *(e.alias(n) for e, n in zip(ends, ("low", "high"))))
+    rows = d.v_components.select("comp_id", "pin_count", F.floor(F.col("comp_id") / 50).alias("grp"))
+    return lookup.in_ranges(rows, "pin_count", ranges, "low", "high", ["grp"])
+
+
+def known_parts(d: Data) -> DataFrame:
+    names = d.part.select(F.expr("substring(p_name, 1, cast(3 + p_partkey % 9 as int))").alias("known"), F.col("p_partkey").alias("known_id"))
+    return lookup.longest_prefix(d.part.select("p_partkey", "p_name"), "p_name", names, "known", ["p_partkey"])
+
+
+def many_keywords(d: Data) -> DataFrame:
+    words = d.benchmark.select(F.split(F.lower("text"), "[^a-z]+").alias("w"))
+    pair = F.transform(F.sequence(F.lit(2), F.size("w") - 1, F.lit(2)), lambda i: F.concat(F.element_at("w", i), F.when(i % 4 == 0, F.concat(F.lit(" "), F.element_at("w", i + 1))).otherwise("")))
+    keywords = words.where("size(w) >= 3").select(F.explode(pair).alias("keyword"))
+    found = lookup.keyword_counts(d.documents, "doc_id", "text", keywords)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_keywords"), F.sum("n").alias("n_hits"))
+
+
+simple("k5_part_ranges", lambda d: part_ranges(d).select("comp_id", "range_id"))
+simple("d12_known_parts", known_parts)
+simple("p6_many_keywords", many_keywords)
+
+
 def page_files(d: Data, lines: bool) -> str:
     """The documents as files in a folder of its own: one page, or a page for each line."""
     formats.register(d.spark)

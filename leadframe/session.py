@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def session(master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName("leadframe").config("spark.sql.session.timeZone", "UTC")
     builder = builder.config("spark.sql.ansi.enabled", "true").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.sql.execution.arrow.maxBytesPerBatch", "67108864")  # documents may be large
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

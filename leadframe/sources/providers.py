@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_SCHEMA = "doc string, page_number int, total_pages int, width double, height double, text string"
-IMAGE_SCHEMA = "doc string, page_number int, image_index int, width double, height double, data binary"
 
 
 class PageSource(Protocol):
-    """Decodes a document's bytes to dicts of page_number, total_pages, width, height, text and images."""
+    """Decodes a document's bytes to dicts of page_number, total_pages, width, height, text, and perhaps images (width, height,
+    data) and tables (rows of cells)."""
 
     def decode(self, path: str, content: bytes) -> Iterator[dict]: ...
 
@@ -33,12 +33,24 @@ class Answerer(Protocol):
 
 
 class PlainTextSource:
-    """Stand-in decoder: UTF-8 text whose pages are parted by form feeds; one image, the page's bytes, for each page."""
+    """Stand-in decoder: UTF-8 text whose pages are parted by form feeds; one image, the page's bytes, for each page. Lines with
+    bars in a row are a table, of which an empty cell is null."""
+
+    @staticmethod
+    def tables(text: str) -> list[list[list[str | None]]]:
+        found, row = [], -2
+        for at, line in enumerate(text.split("\n")):
+            if "|" in line:
+                if at != row + 1:
+                    found.append([])
+                found[-1].append([c.strip() or None for c in line.strip().strip("|").split("|")])
+                row = at
+        return found
 
     def decode(self, path: str, content: bytes) -> Iterator[dict]:
         pages = content.decode("utf-8", "replace").split("\f")
         for number, text in enumerate(pages, 1):
-            yield {"page_number": number, "total_pages": len(pages), "width": 612.0, "height": 792.0, "text": text, "images": [(100.0, 100.0, text.encode())]}
+            yield {"page_number": number, "total_pages": len(pages), "width": 612.0, "height": 792.0, "text": text, "images": [(100.0, 100.0, text.encode())], "tables": self.tables(text)}
 
 
 class FixedAnswers:
@@ -47,6 +59,10 @@ class FixedAnswers:
     def __init__(self, text: str | None = None):
         self.text = text
 
+    @property
+    def identity(self) -> str:
+        return type(self).__name__ if self.text is None else f"{type(self).__name__} {sha256(self.text.encode()).hexdigest()}"
+
     def answer(self, request: str, image: bytes | None = None) -> str | None:
         return self.text if self.text is not None else json.dumps({"component_name": "stub", "package": {"type": "DIP", "pin_count": len(request) % 8}, "pins": []})
 
@@ -71,37 +87,68 @@ def files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
     return found.where(F.endswith(F.lower("path"), F.lit(suffix))).select("path", "content")
 
 
-def decoded(documents: DataFrame, source: PageSource) -> DataFrame:
-    """Pages of documents (path, content). A document that can't be decoded has none."""
+TABLES_TYPE = "array<array<array<string>>>"
+IMAGES_TYPE = "array<struct<width:double,height:double,data:binary>>"
+#: Pages, and characters of text, in a frame of decoded pages, about.
+FRAME_PAGES, FRAME_CHARS = 1000, 1 << 22
 
-    def run(batches):
-        for frame in batches:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"]):
-                try:
-                    rows += [{"doc": path, **{k: p[k] for k in ("page_number", "total_pages", "width", "height", "text")}} for p in source.decode(path, bytes(content))]
-                except Exception:  # noqa: BLE001, a bad file must not stop the others
-                    continue
-            yield pd.DataFrame(rows, columns=["doc", "page_number", "total_pages", "width", "height", "text"])
 
-    return documents.select("path", "content").mapInPandas(run, PAGE_SCHEMA)
+def contents(documents: DataFrame, source: PageSource, tables: bool = False, images: bool = False) -> DataFrame:
+    """Pages of documents (path, content) with `error`, and their `tables` and `images` if asked for.
 
+    A document that can't be decoded, wherever the fault lies, is one row without a page that tells the error. Pages are given
+    out document by document, so a task holds those of one document and of what came with it in a batch of bytes."""
+    extra = {"tables": TABLES_TYPE} if tables else {}
+    extra |= {"images": IMAGES_TYPE} if images else {}
+    names = ["doc", "page_number", "total_pages", "width", "height", "text", "error", *extra]
+    schema = PAGE_SCHEMA + ", error string" + "".join(f", {n} {k}" for n, k in extra.items())
 
-def page_images(documents: DataFrame, source: PageSource) -> DataFrame:
-    """Images of documents (path, content), apart from the text, so that nobody reads them who doesn't ask."""
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        try:
+            pages = list(source.decode(path, content))
+        except Exception as wrong:  # noqa: BLE001, a bad file must not stop the others
+            return [(path, None, None, None, None, None, f"{type(wrong).__name__}: {wrong}", *([] for _ in extra))]
+        more = {"tables": lambda p: p.get("tables", []), "images": lambda p: [{"width": w, "height": h, "data": d} for w, h, d in p.get("images", [])]}
+        return [(path, *(p[k] for k in ("page_number", "total_pages", "width", "height", "text")), None, *(more[n](p) for n in extra)) for p in pages]
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=names)
+        return frame.astype({"page_number": "Int32", "total_pages": "Int32"})
 
     def run(batches):
         for frame in batches:
-            rows = []
+            rows, chars = [], 0
             for path, content in zip(frame["path"], frame["content"]):
-                try:
-                    for page in source.decode(path, bytes(content)):
-                        rows += [(path, page["page_number"], i, w, h, data) for i, (w, h, data) in enumerate(page["images"])]
-                except Exception:  # noqa: BLE001
-                    continue
-            yield pd.DataFrame(rows, columns=["doc", "page_number", "image_index", "width", "height", "data"])
+                new = rows_of(path, bytes(content))
+                rows += new
+                chars += sum(len(r[5] or "") for r in new)
+                if len(rows) >= FRAME_PAGES or chars >= FRAME_CHARS:
+                    yield framed(rows)
+                    rows, chars = [], 0
+            yield framed(rows)
 
-    return documents.select("path", "content").mapInPandas(run, IMAGE_SCHEMA)
+    return documents.select("path", "content").mapInPandas(run, schema)
+
+
+def decoded(documents: DataFrame, source: PageSource) -> DataFrame:
+    """Pages of documents (path, content). A document that can't be decoded has none."""
+    return contents(documents, source).where("error is null").drop("error")
+
+
+def images_in(found: DataFrame) -> DataFrame:
+    """Images of `contents`, one a row."""
+    return found.where("error is null").select("doc", "page_number", F.posexplode("images").alias("image_index", "i")).select("doc", "page_number", "image_index", "i.*")
+
+
+def tables_in(found: DataFrame) -> DataFrame:
+    """Tables of `contents`, one a row."""
+    return found.where("error is null").select("doc", "page_number", F.posexplode("tables").alias("table_index", "cells"))
+
+
+def page_images(documents: DataFrame, source: PageSource) -> DataFrame:
+    """Images of documents (path, content), apart from the text, so that nobody reads them who doesn't ask. A document that can't
+    be decoded has none."""
+    return images_in(contents(documents, source, images=True))
 
 
 def answered(requests: DataFrame, provider: Answerer, request: str = "request", image: str | None = None) -> DataFrame:

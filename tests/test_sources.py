@@ -134,3 +134,43 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(folder), "--list"], spark) == 0 and "PART-1.PDF" in capsys.readouterr().out
     assert main([str(tmp_path / "nowhere")], spark) == 2
     assert main([str(folder), "--url", "http://x"], spark, environment={}) == 2
+
+
+class Broken(providers.PlainTextSource):
+    """Fails on the second page of documents that say so."""
+
+    def decode(self, path, content):
+        for page in super().decode(path, content):
+            if page["text"] == "broken":
+                raise ValueError("torn page")
+            yield page
+
+
+def test_a_document_is_decoded_whole_or_not_at_all(spark):
+    rows = [("a", b"1\fbroken\f3"), ("b", b"x|y|\n1||2\nno\nz|"), ("c", b"")]
+    frame = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+    whole = providers.contents(frame, Broken(), tables=True, images=True).collect()
+    assert [(r.doc, r.page_number, r.error) for r in whole] == [("a", None, "ValueError: torn page"), ("b", 1, None), ("c", 1, None)]
+    assert whole[1].tables == [[["x", "y"], ["1", None, "2"]], [["z"]]]
+    assert [r.doc for r in providers.decoded(frame, Broken()).collect()] == ["b", "c"] == [r.doc for r in providers.page_images(frame, Broken()).collect()]
+
+
+def test_command_line_over_folders(spark, tmp_path, capsys):
+    from leadframe.__main__ import main
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    page = "Pin Configuration\nvcc gnd reset pin input output vcc gnd"
+    table = "x\nPin No. | Symbol | Function\n1 | VCC | power"  # no heading: the table's columns make it relevant
+    for name, text in (("a/X.PDF", "cover\fmore\f" + page), ("b/X.pdf", "\f".join(["c", "d", table, "e", "f"])), ("c.pdf", "nothing")):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+    answer = '{"component_name": "N", "package": {"type": "DIP", "pin_count": 2}, "pins": [{"number": 1, "name": "VCC"}]}'
+    (tmp_path / "answer.json").write_text(answer)
+    asked = ["--output", str(out), "--answer", str(tmp_path / "answer.json"), "--draw", "-v"]
+    assert main([str(folder), *asked], spark) == 0
+    shown = capsys.readouterr()
+    assert "b/X.pdf: page 3" in shown.out and "table columns: 3" in shown.out and "c.pdf: no relevant pages" in shown.err
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*.json") if not str(p.relative_to(out)).startswith("_")) == ["a/X.json", "b/X.json", "drawings/a/X.json", "drawings/b/X.json"]
+    assert spark.read.parquet(f"{out}/_ledger/calls").count() == 2
+    assert main([str(folder), *asked], spark) == 0 and spark.read.parquet(f"{out}/_ledger/calls").count() == 2  # nobody is asked again
+    assert main([str(folder), *asked[2:], "--output", str(tmp_path / "answer.json")], spark) == 2
