@@ -73,8 +73,13 @@ def score(pages: DataFrame, tables: DataFrame, images: DataFrame, min_score: int
     parts = features(pages, rule_set)
     if numbers is not None:
         parts = parts.join(numbers.select(KEY, "page_number", "total_pages", "width", "height"), KEY)
+    return scored_with(parts, table_scores(tables, rule_set.tables), image_areas(images), min_score, verify_from)
+
+
+def scored_with(parts: DataFrame, table_matches: DataFrame, areas: DataFrame, min_score: int = 5, verify_from: int = 3) -> DataFrame:
+    """`score` of features with numbers, from `table_scores` and `image_areas`. The features may be a stream."""
     parts = parts.withColumn("positioned", in_position(F.col("page_number"), F.col("total_pages")))
-    joined = parts.join(table_scores(tables, rule_set.tables), KEY, "left").join(image_areas(images), KEY, "left")
+    joined = parts.join(table_matches, KEY, "left").join(areas, KEY, "left")
     covered = F.coalesce(F.try_divide(F.col("image_area"), F.col("width") * F.col("height")), F.lit(0.0))
     flags = joined.withColumns(
         {

@@ -578,3 +578,11 @@ add(
             select w, unnest(range(2, len(w), 2)) as i from (select regexp_split_to_array(lower(text), '[^a-z]+') as w from benchmark) b where len(w) >= 3) s) k where keyword <> '') x
 where n > 0 group by doc_id""",
 )
+
+# --- streams: what the last revisions are
+add(
+    "p10_streamed_ranks",
+    """select doc, page_number, cast(score as int) as score, cast(r as int) as rank from (select *, row_number() over (partition by doc order by score desc, page_number) as r from scored where score >= 5) x where r <= 3""",
+    *BATCH_VIEWS,
+    more=f"v_pages as (select * from v_batch_pages), {SCORED}",
+)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import content, grids, images, layout, lookup, packages, pages, reading, render, responses
-from ..session import shared_folder
+from ..session import durable, shared_folder
 from ..sources import formats, ledger, providers
 from ..sources.virtual import frame
+from ..streaming import ranking
 from . import overlays, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,6 +282,22 @@ simple("flow_e_batch", batch)
 simple("flow_e_batch_totals", lambda d: pipelines.run_summary(batch(d)))
 
 
+def streamed_ranks(d: Data) -> DataFrame:
+    """The batch's pages, in four files by a hash, so that documents come in pieces and out of order; ranked as they arrive."""
+    folder = f"{shared_folder(d.spark)}/arriving-{uuid.uuid4().hex}"
+    arrived = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") % 3600).alias("arrived_at")
+    page_rows = d.v_batch_pages.select("*", arrived)
+    page_rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(4))).repartition(4, "part").drop("part").write.parquet(f"{folder}/pages")
+    stream = d.spark.readStream.schema(page_rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
+    tables, images_ = durable(pages.table_scores(d.tables)), durable(pages.image_areas(d.v_page_images))
+    ranked = ranking.ranked(pages.scored_with(pages.features(stream), tables, images_), keep=3, delay="2 hours", idle_ms=60_000)
+    ranking.into(ranked, f"{folder}/ranks", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return ranking.newest(d.spark.read.schema(ranking.RANKED).parquet(f"{folder}/ranks"))
+
+
+simple("p10_streamed_ranks", streamed_ranks)
+
+
 # Joins with tables of any size
 def part_ranges(d: Data) -> DataFrame:
     ends = F.col("p_size") - 5, F.when(F.col("p_partkey") % 17 != 0, F.col("p_size") + F.col("p_partkey") % 40)
