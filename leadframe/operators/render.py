@@ -20,11 +20,15 @@ def _rows(df: DataFrame, entries: Column) -> DataFrame:
     return df.select("comp_id", F.explode(entries).alias("e")).select("comp_id", "e.*")
 
 
-def borders(components: DataFrame) -> DataFrame:
+def _borders() -> Column:
     w, h, thick, depth = (F.col(c) for c in ("body_width", "body_height", "border_thickness", "border_height"))
     side = lambda name, x, y, dx, dy: _entry("BodyLine", f"BodyLine_{name}", "box", x, y, dx, dy, depth)
     zero = F.lit(0.0)
-    return _rows(components, F.array(side("Top", zero, h / 2, w, thick), side("Bottom", zero, -h / 2, w, thick), side("Left", -w / 2, zero, thick, h), side("Right", w / 2, zero, thick, h)))
+    return F.array(side("Top", zero, h / 2, w, thick), side("Bottom", zero, -h / 2, w, thick), side("Left", -w / 2, zero, thick, h), side("Right", w / 2, zero, thick, h))
+
+
+def borders(components: DataFrame) -> DataFrame:
+    return _rows(components, _borders())
 
 
 def pin_primitives(placed: DataFrame, components: DataFrame) -> DataFrame:
@@ -37,16 +41,20 @@ def pin_primitives(placed: DataFrame, components: DataFrame) -> DataFrame:
     return _rows(placed.join(sizes, "comp_id"), F.filter(F.array(leg, text, num), lambda e: e.isNotNull()))
 
 
-def labels(components: DataFrame, name: str = "component_name") -> DataFrame:
+def _labels(name: str) -> Column:
     above = lambda offset: F.col("body_height") / 2 + F.col(offset)
     designator = _entry("DesignatorName", "DesignatorName", "text", F.lit(0.0), above("designator_offset"), depth=F.lit(0.5), label="U", size=F.col("designator_size"))
     value = _entry("PackageValue", "PackageValue", "text", F.lit(0.0), above("value_offset"), depth=F.lit(0.5), label=F.substring(name, 1, NAME_LENGTH), size=F.col("value_size"))
-    return _rows(components, F.array(designator, value))
+    return F.array(designator, value)
+
+
+def labels(components: DataFrame, name: str = "component_name") -> DataFrame:
+    return _rows(components, _labels(name))
 
 
 def assembly(components: DataFrame, placed: DataFrame) -> DataFrame:
-    """All primitives of each component."""
-    return borders(components).unionByName(pin_primitives(placed, components)).unionByName(labels(components))
+    """All primitives of each component: those of its own, and those of its pins."""
+    return _rows(components, F.concat(_borders(), _labels("component_name"))).unionByName(pin_primitives(placed, components))
 
 
 def report(component: Column, package: Column, pins: Column) -> Column:

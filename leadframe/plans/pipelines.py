@@ -64,7 +64,7 @@ def answer_flow(answers: DataFrame) -> DataFrame:
 
 def drawing_flow(answers: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """Drawing primitives from answers; with `sections` (comp_id, sections) custom layouts take the place of the package's."""
-    parsed = answer_flow(answers)
+    parsed = durable(answer_flow(answers).select("comp_id", "component_name", "package_name", "pin_count", "pins"))  # parsed once
     sized = layout.parameters(parsed, "package_name", "pin_count")
     places = layout.positions(sized) if sections is None else layout.laid_out(sized.join(sections, "comp_id", "left"))
     pins = parsed.select("comp_id", F.explode("pins").alias("p")).select("comp_id", "p.*")
