@@ -17,6 +17,12 @@ PIN_SYSTEM, PIN_ASK = "You read pin tables of component datasheets.", "List the
 PART_BEFORE, PART_AFTER = "Only the variant of part ", " counts.\n"
 VERIFY_SYSTEM, VERIFY_ASK = "You judge pages of component datasheets.", "Does this page list or draw a component's pins? Answer YES or NO first.\n\n"
 VISION_ASK, TARGET = "Read the pin diagram and return its pins as JSON.", "\n\nTarget component: "
+LAYOUT_ASK = (
+    "Describe how the pins lie in this drawing.\nBegin with two lines, `Package Type: <type>` and `Pin Count: <number>`. "
+    "Then write a line for each side, in the order in which its pins follow each other: `Left Side: 1, 2, 3`, `Bottom Edge: 4-6`, and so on. "
+    "Write nothing else, and leave out sides without pins."
+)
+
 #: Layouts name no pin beyond this number; larger numbers and ranges up to them are left out and counted.
 MOST_PINS = 9999
 
@@ -54,6 +60,13 @@ def vision_prompt(part: Column, custom: Column | None = None) -> Column:
     return own if custom is None else F.coalesce(custom, own)
 
 
+def layout_prompt(custom: Column | None = None) -> Column:
+    """The request beside a picture of a page, whose answer `layout_intended` can read; a caller's own wording, where it isn't
+    null, takes its place."""
+    own = F.lit(LAYOUT_ASK)
+    return own if custom is None else F.coalesce(custom, own)
+
+
 def says_yes(answer: Column) -> Column:
     """Yes unless the answer begins with NO; a failed call (null) counts as yes."""
     up = T.strip(F.upper(answer))

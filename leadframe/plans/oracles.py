@@ -550,6 +550,38 @@ from outcome o left join judged using (comp_id)""",
     *BATCH_VIEWS,
     more=BATCH,
 )
+CHOSEN = """doubtful as (select *, unusual or (score >= 3 and score < 5) as mark from scored
+), confirmed as (select doc, doc_id, page_number, case when mark then 5 else score end as score from doubtful where not mark or doc_id % 3 <> 1
+), chosen as (select * from confirmed c where score >= 5 or (score >= 3 and not exists (select 1 from confirmed o where o.doc = c.doc and o.score >= 5)))"""
+CHOOSING = f"v_pages as (select * from v_batch_pages), {SCORED}, {CHOSEN}"
+add("flow_d_chosen_pages", "select doc, page_number, score from chosen", "v_batch_pages", "v_page_tables", "v_page_images", more=CHOOSING)
+# What the picture of a document shows: its sections' numbers, in their order, by side; a later mention of a pin counts.
+PICTURED = LAYOUT.replace("from v_layout_text)", "from pictures)").replace("joined as (", "section_texts as (") + f""", pictured as (
+  select id as comp_id, number as pin, {SIDE} as side, row_number() over (partition by id, pos order by ord) - 1 as i, row_number() over (partition by id order by pos, ord) - 1 as pin_index from firsts
+)"""
+LAID_BY_PICTURE = (
+    FLOW
+    + "pictures as (select id, text from v_layout_text where id % 4 <> 2), "
+    + PICTURED
+    + ", drawn as ("
+    + custom("select * from pictured")
+    + "), "
+    + placing().replace("places as (", "standard as (")
+    + """, places as (select * from drawn qualify row_number() over (partition by comp_id, pin_number order by pin_index desc) = 1
+  union all select * from standard where comp_id not in (select comp_id from pictured)), """
+    + FLOW_PINS
+    + FLOW_JOIN
+)
+add(
+    "flow_d_layout",
+    f"select 'd' || comp_id as comp_id, u.* exclude (comp_id) from {ASSEMBLY} u where 'd' || comp_id in (select doc from chosen)",
+    "v_batch_pages",
+    "v_page_tables",
+    "v_page_images",
+    "v_llm_responses",
+    "v_layout_text",
+    more=f"{CHOOSING.replace('parts as (', 'page_parts as (').replace('from parts', 'from page_parts')}, {LAID_BY_PICTURE}",
+)
 add(
     "s1_page_ranges",
     """select doc_id, cast(k as int) as page_number, cast(len(p) as int) as total_pages, cast(strlen(p[k]) as bigint) as n_bytes, md5(p[k]) as text_md5

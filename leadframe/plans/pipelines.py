@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import content, layout, pages, packages, render, responses
 from ..session import durable
 
@@ -20,6 +21,22 @@ def candidate_pages(page_rows: DataFrame, tables: DataFrame, images: DataFrame,
     return durable(pages.score(page_rows, tables, images, numbers=numbers).where(F.col("score") >= min_score).select(*CANDIDATE))
 
 
+def chosen_pages(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, numbers: DataFrame | None = None, ask: Callable[[DataFrame], DataFrame] | None = None, fallback: int | None = None) -> DataFrame:
+    """`candidate_pages` after a model has looked at doubtful pages, and with lower pages where a document would have none.
+
+    `ask` answers the pages that are marked for verification (doc, doc_id, page_number) with (doc_id, answer), a row for each;
+    a page without an answer counts as confirmed, as a failed call does. Those confirmed score 5, the others go. Then a document none of
+    whose pages scores `min_score` takes those from `fallback` on, if that is given. Pages are scored once."""
+    least = min_score if fallback is None else min(min_score, fallback)
+    scored = pages.score(page_rows, tables, images, min_score, numbers=numbers)
+    of_use = (F.col("score") >= least) if ask is None else (F.col("score") >= least) | F.col("needs_verification")
+    found = durable(scored.where(of_use).select(*CANDIDATE, "needs_verification", "reasons"))
+    if ask is not None:
+        found = pages.verified(found, ask(found.where("needs_verification").select("doc", "doc_id", "page_number")))
+    found = found.where(F.col("score") >= min_score) if fallback is None else pages.relevant_or_lower(found, min_score, fallback)
+    return durable(found.select(*CANDIDATE))
+
+
 def text_flow(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, numbers: DataFrame | None = None) -> DataFrame:
     """Content of each document's relevant pages, filtered, with the prompt for a model."""
     candidates = candidate_pages(page_rows, tables, images, min_score, numbers)
@@ -71,6 +88,23 @@ def drawing_flow(answers: DataFrame, sections: DataFrame | None = None) -> DataF
     return render.assembly(sized, layout.placed_pins(pins, places, repeated=sections is not None))
 
 
+def layout_flow(candidates: DataFrame, page_rows: DataFrame, tables: DataFrame, images: DataFrame, ask_pins: Callable[[DataFrame], DataFrame], ask_layout: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Drawing primitives (comp_id is the document) of pins from the text of a document's relevant pages, placed as the picture of
+    its best page shows them.
+
+    `candidates` come from `candidate_pages` or `chosen_pages`. `ask_pins` answers content as in `batch_flow`. `ask_layout` answers
+    best pages (doc, doc_id, page_number), one of each document whose pins could be read, with (doc, response); see
+    `responses.layout_prompt`. A layout counts if its answer names a section with numbers; without one, as for null answers and
+    documents without an answer, pins lie as their package has them. Sections that name a pin again move it."""
+    found = content.extracted(candidates, page_rows, tables, images)
+    kept = content.filtered_or_all(found).withColumn("prompt", responses.pin_prompt(F.col("text_content")))
+    answers = durable(ask_pins(kept).select(F.col("doc").alias("comp_id"), "response"))
+    readable = responses.parsed_pins(answers).where("error is null").select(F.col("comp_id").alias("doc"))
+    best = pages.relevant(candidates, min_score=0).where("rank = 1").select("doc", "doc_id", "page_number").join(readable, "doc", "left_semi")
+    layouts = ask_layout(best).select(F.col("doc").alias("comp_id"), responses.layout_intended(T.layout_text(F.col("response")))["sections"].alias("sections"))
+    return drawing_flow(answers, durable(layouts.where(F.size("sections") > 0)))
+
+
 def vision_flow(answers: DataFrame, by: str = "doc", order: str = "ord") -> DataFrame:
     """The best image answer of each document (doc, ord, response)."""
     return responses.best_of(responses.vision_results(answers).drop("response"), by, order)

@@ -282,6 +282,21 @@ simple("flow_e_batch", batch)
 simple("flow_e_batch_totals", lambda d: pipelines.run_summary(batch(d)))
 
 
+def chosen(d: Data) -> DataFrame:
+    confirm = lambda doubtful: doubtful.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "yes").when(F.col("doc_id") % 3 == 1, "No, none").alias("answer"))
+    return pipelines.chosen_pages(d.v_batch_pages, d.tables, d.v_page_images, ask=confirm, fallback=3)
+
+
+def laid_by_picture(d: Data) -> DataFrame:
+    pins = lambda content: content.select("doc").join(d.v_batch_answers, "doc")
+    picture = lambda best: best.join(d.v_batch_layouts, "doc")
+    return pipelines.layout_flow(chosen(d), d.v_batch_pages, d.tables, d.v_page_images, pins, picture)
+
+
+simple("flow_d_chosen_pages", lambda d: chosen(d).select("doc", "page_number", "score"))
+simple("flow_d_layout", laid_by_picture)
+
+
 def streamed_ranks(d: Data) -> DataFrame:
     """The batch's pages, in four files by a hash, so that documents come in pieces and out of order; ranked as they arrive."""
     folder = f"{shared_folder(d.spark)}/arriving-{uuid.uuid4().hex}"

@@ -29,6 +29,12 @@ from {v_page_text} where cast(floor(doc_id / 8) as bigint) % 13 <> 5""",
     "v_undecoded": """select distinct concat('d', cast(cast(floor(doc_id / 8) as bigint) as varchar(20))) as doc, 'no pages in it' as error
 from {documents} where cast(floor(doc_id / 8) as bigint) % 13 = 5""",
     "v_batch_answers": """select concat('d', cast(comp_id as varchar(20))) as doc, response from {v_llm_responses}""",
+    # Layout answers: JSON whose description is fenced or isn't, plain text, and failed calls.
+    "v_batch_layouts": """select concat('d', cast(id as varchar(20))) as doc,
+       case id % 4 when 0 then concat('{{"description": "```', chr(92), 'n', replace(text, chr(10), concat(chr(92), 'n')), '```"}}')
+            when 1 then text when 2 then cast(null as varchar(10))
+            else concat('{{"description": "', replace(text, chr(10), concat(chr(92), 'n')), '"}}') end as response
+from {v_layout_text}""",
     "v_page_numbers": """select source as doc, doc_id,
        cast(row_number() over (partition by source order by doc_id) as int) as page_number,
        count(*) over (partition by source) as total_pages,
