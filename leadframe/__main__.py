@@ -13,7 +13,7 @@ import sys
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -29,6 +29,10 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("-o", "--output", help="folder for a JSON file of each document, and for drawings")
     parser.add_argument("--list", action="store_true", help="only list the documents")
     parser.add_argument("--min-confidence", type=int, default=5, help="least score of relevant pages")
+    parser.add_argument("--fallback", type=int, help="least score of pages of a document that has no relevant ones")
+    parser.add_argument("--verify", action="store_true", help="ask the chat model about doubtful pages")
+    parser.add_argument("--layout-url", help="address of the model that describes how pins lie in the picture of the best page")
+    parser.add_argument("--layout-answer", help="file with an answer that stands in for that model's")
     parser.add_argument("--part-number", help="the only variant that counts; else it is taken from the file name")
     parser.add_argument("--url", help="address of the chat model")
     parser.add_argument("--model", default="llama-3")
@@ -53,16 +57,23 @@ def place_below(path: Column, folder: str) -> Column:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, environment: Mapping[str, str] | None = None) -> int:
     given = arguments().parse_args(argv)
+    provider = painter = None
     try:
         folder = given.input if os.path.isdir(given.input) else providers.existing_input(given.input)
         if given.output and os.path.isfile(given.output):
             raise ValueError(f"not a folder: {given.output}")
-        provider = None
         if given.answer:
             with open(given.answer, encoding="utf-8") as f:
                 provider = providers.FixedAnswers(f.read())
         elif given.url and not given.list:
             provider = models.Chat(models.Options(url=given.url, model=given.model, api_key=models.credential(given.api_key, environment)))
+        if given.layout_answer:
+            with open(given.layout_answer, encoding="utf-8") as f:
+                painter = providers.FixedAnswers(f.read())
+        elif given.layout_url:
+            painter = models.LayoutVision(models.Options(url=given.layout_url))
+        if given.verify and provider is None and not given.list:
+            raise ValueError("to verify pages, a model's address is needed")
     except (OSError, ValueError) as wrong:
         print(wrong, file=sys.stderr)
         return 2
@@ -78,20 +89,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, envir
     whole = durable(providers.contents(providers.files(spark, folder), providers.PlainTextSource(), tables=True, images=True))  # decoded once
     fine = whole.where("error is null")
     found = fine.select("doc", page_id(), "page_number", "total_pages", "width", "height", "text")
-    tables, images = (rows.select("*", page_id()) for rows in (providers.tables_in(whole), providers.images_in(whole).drop("data")))
+    pictures = providers.images_in(whole).select("*", page_id())
+    tables, images = providers.tables_in(whole).select("*", page_id()), pictures.drop("data")
     for row in whole.where("error is not null").select("doc", "error").orderBy("doc").toLocalIterator():
         print(f"{row.doc}: not read: {row.error}", file=sys.stderr)
     if given.verbose:
         for row in pages.relevant(pages.score(found, tables, images, given.min_confidence), given.min_confidence).orderBy("doc", "rank").toLocalIterator():
             print(f"{row.doc}: page {row.page_number}, score {row.score}: {'; '.join(row.reasons)}")
-    content = pipelines.text_flow(found, tables, images, given.min_confidence)
     if provider is None:
         print("neither a model's address nor an answer was given; stopping after the pages", file=sys.stderr)
         return 0
+    book = ledger.Ledger(spark, given.ledger or (f"{given.output.rstrip('/')}/_ledger" if given.output else f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"), given.attempts)
+
+    def confirmed(doubtful: DataFrame) -> DataFrame:
+        asked = doubtful.join(found.select("doc_id", "text"), "doc_id").select("doc_id", F.to_json(responses.verification_prompt(F.col("text"))).alias("request"))
+        return book.answered(asked, provider).select("doc_id", F.col("response").alias("answer"))
+
+    def described(best: DataFrame) -> DataFrame:
+        """By the largest picture of the page, the first of equals; pages without one aren't asked about."""
+        largest = pictures.where("data is not null").groupBy("doc_id").agg(F.max_by("data", F.struct(F.col("width") * F.col("height"), -F.col("image_index"))).alias("image"))
+        return book.answered(best.join(largest, "doc_id").withColumn("request", responses.layout_prompt()), painter, image="image")
+
+    candidates = pipelines.chosen_pages(found, tables, images, given.min_confidence, ask=confirmed if given.verify else None, fallback=given.fallback)
+    content = pipelines.text_flow(found, tables, images, candidates=candidates)
     name = F.regexp_extract("doc", r"([^/]+)$", 1)
     part = F.lit(given.part_number) if given.part_number else T.part_number(name)
     asked = content.select("doc", F.to_json(responses.pin_prompt(F.col("text_content"), part)).alias("request"))
-    book = ledger.Ledger(spark, given.ledger or (f"{given.output.rstrip('/')}/_ledger" if given.output else f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"), given.attempts)
     answers = book.answered(asked, provider).select(F.col("doc").alias("comp_id"), "response", "call_error")
     parsed = durable(responses.parsed_pins(answers).withColumn("error", F.coalesce("call_error", "error")))
     result = F.struct("component_name", "package", "pins", "extraction_method", "error")
@@ -106,7 +129,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, envir
         place = place_below(F.col("comp_id"), os.path.abspath(folder))
         files = parsed.select(F.concat(place, F.lit(".json")).alias("name"), F.encode(F.to_json(result), "UTF-8").alias("content"))
         if given.draw:
-            drawn = providers.drawing_files(pipelines.drawing_flow(answers.select("comp_id", "response")).withColumn("comp_id", place))
+            plain = durable(answers.select("comp_id", "response"))
+            sections = pipelines.layout_sections(candidates, plain, described) if painter else None
+            drawn = providers.drawing_files(pipelines.drawing_flow(plain, sections).withColumn("comp_id", place))
             files = files.unionByName(drawn.withColumn("name", F.concat(F.lit("drawings/"), "name")))
         try:
             files.write.format("leadframe_files").option("replace", "true").mode("append").save(given.output)

@@ -37,9 +37,10 @@ def chosen_pages(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min
     return durable(found.select(*CANDIDATE))
 
 
-def text_flow(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, numbers: DataFrame | None = None) -> DataFrame:
-    """Content of each document's relevant pages, filtered, with the prompt for a model."""
-    candidates = candidate_pages(page_rows, tables, images, min_score, numbers)
+def text_flow(page_rows: DataFrame, tables: DataFrame, images: DataFrame, min_score: int = 5, numbers: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Content of each document's relevant pages, filtered, with the prompt for a model. `candidates` may have been chosen before."""
+    if candidates is None:
+        candidates = candidate_pages(page_rows, tables, images, min_score, numbers)
     kept = content.filtered_or_all(content.extracted(candidates, page_rows, tables, images))
     return kept.withColumn("prompt", responses.pin_prompt(F.col("text_content")))
 
@@ -96,13 +97,18 @@ def layout_flow(candidates: DataFrame, page_rows: DataFrame, tables: DataFrame,
     best pages (doc, doc_id, page_number), one of each document whose pins could be read, with (doc, response); see
     `responses.layout_prompt`. A layout counts if its answer names a section with numbers; without one, as for null answers and
     documents without an answer, pins lie as their package has them. Sections that name a pin again move it."""
-    found = content.extracted(candidates, page_rows, tables, images)
-    kept = content.filtered_or_all(found).withColumn("prompt", responses.pin_prompt(F.col("text_content")))
+    kept = text_flow(page_rows, tables, images, candidates=candidates)
     answers = durable(ask_pins(kept).select(F.col("doc").alias("comp_id"), "response"))
+    return drawing_flow(answers, layout_sections(candidates, answers, ask_layout))
+
+
+def layout_sections(candidates: DataFrame, answers: DataFrame, ask_layout: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(comp_id, sections) of the documents whose pins could be read from `answers` (comp_id, response) and whose layout answer
+    names a section with numbers; see `layout_flow`."""
     readable = responses.parsed_pins(answers).where("error is null").select(F.col("comp_id").alias("doc"))
     best = pages.relevant(candidates, min_score=0).where("rank = 1").select("doc", "doc_id", "page_number").join(readable, "doc", "left_semi")
     layouts = ask_layout(best).select(F.col("doc").alias("comp_id"), responses.layout_intended(T.layout_text(F.col("response")))["sections"].alias("sections"))
-    return drawing_flow(answers, durable(layouts.where(F.size("sections") > 0)))
+    return durable(layouts.where(F.size("sections") > 0))
 
 
 def vision_flow(answers: DataFrame, by: str = "doc", order: str = "ord") -> DataFrame:
