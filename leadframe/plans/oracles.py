@@ -507,6 +507,7 @@ add("flow_b_custom", f"select * from {ASSEMBLY} u", "v_llm_responses", "v_custom
 # --- aggregation, sort, limit, union
 add("a1_status_counts", "select status, count(*) as n from v_runs group by status", "v_runs")
 add("a2_run_summary", f"select count(*) as total, count(*) filter (status = 'success') as successes, count(*) filter (status = 'no_pages') as no_pages, count(*) filter (status in ({', '.join(map(lit, rules.ERROR_STATUSES))})) as errors from v_runs", "v_runs")
+add("a2_merged_runs", "select status, count(distinct run) as n_runs, count(*) as n, min(cost) as low, max(cost) as high, count(distinct item) as n_items from v_costed_runs group by status", "v_costed_runs")
 add("a3_image_area_sum", "select doc_id, sum(width * height) as image_area from v_page_images group by doc_id", "v_page_images")
 add("a4_predicate_hits", f"select doc_id, {matches('head_empty', rules.TABLE_PATTERNS)} as hits from tabs", "v_page_tables", more=TABS)
 image("a5_any_large", "select doc_id, bool_or(is_large) as any_large from measured group by doc_id")

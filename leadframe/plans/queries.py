@@ -14,7 +14,7 @@ from ..session import durable, shared_folder
 from ..sources import formats, ledger, providers
 from ..sources.virtual import frame
 from ..streaming import ranking
-from . import overlays, pipelines
+from . import overlays, pipelines, summaries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -313,6 +313,17 @@ def streamed_ranks(d: Data) -> DataFrame:
 simple("p10_streamed_ranks", streamed_ranks)
 
 
+def merged_runs(d: Data) -> DataFrame:
+    """Runs in two batches, the first of which is summarised again by the second in part; then all of them together."""
+    kept = summaries.Summaries(d.spark, f"{shared_folder(d.spark)}/summaries-{uuid.uuid4().hex}")
+    kept.add(d.v_costed_runs.where("run < 6"))
+    kept.add(d.v_costed_runs.where("run >= 4"))
+    return kept.totals().select("status", "n_runs", "n", "low", "high", "n_items")
+
+
+simple("a2_merged_runs", merged_runs)
+
+
 # Joins with tables of any size
 def part_ranges(d: Data) -> DataFrame:
     ends = F.col("p_size") - 5, F.when(F.col("p_partkey") % 17 != 0, F.col("p_size") + F.col("p_partkey") % 40)

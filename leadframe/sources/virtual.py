@@ -105,6 +105,7 @@ from {events}""",
        case event_type when 'click' then 'success' when 'view' then 'no_pages' when 'error' then 'error'
             when 'signup' then 'extraction_error' else 'llm_error' end as status
 from {events}""",
+    "v_costed_runs": """select event_id % 10 as run, event_type as status, user_id as item, value as cost from {events}""",
     "v_layout_text": """select p_partkey as id,
        case p_partkey % 5
          when 0 then concat('Package Type: QFN', chr(10), 'Pin Count: ', cast(p_size as varchar(10)), chr(10), 'Left Side: 1,2,3', chr(10), 'Bottom Edge: 4-6', chr(10), 'Right Side: 9, 8, 9, 7', chr(10))
