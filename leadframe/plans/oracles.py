@@ -619,3 +619,7 @@ add(
     *BATCH_VIEWS,
     more=f"v_pages as (select * from v_batch_pages), {SCORED}",
 )
+
+# --- through SQL functions
+for _name in ("p8_page_score", "k2_normalize", "c7_segments"):
+    ORACLES[f"{_name}_sql"] = ORACLES[_name]

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import surface
 from ..functions import text as T
 from ..operators import content, grids, images, layout, lookup, packages, pages, reading, render, responses
 from ..session import durable, shared_folder
@@ -324,6 +325,26 @@ def merged_runs(d: Data) -> DataFrame:
 simple("a2_merged_runs", merged_runs)
 
 
+# The same through SQL functions
+def in_sql(statement: str, *inputs: str) -> Callable[[Data], DataFrame]:
+    def run(d: Data) -> DataFrame:
+        surface.register(d.spark)
+        return d.spark.sql(statement, **{name: getattr(d, name) for name in inputs})
+
+    return run
+
+
+SQL_SCORES = """WITH features AS (SELECT doc_id, lf_page_features(text) AS found FROM {v_page_text}),
+  headers AS (SELECT doc_id, min_by(matches, table_index) AS table_matches FROM (SELECT doc_id, table_index, lf_table_matches(cells[0]) AS matches FROM {tables} WHERE size(cells) >= 2) WHERE matches >= 2 GROUP BY doc_id),
+  areas AS (SELECT doc_id, sum(coalesce(width, 0D) * coalesce(height, 0D)) AS area FROM {v_page_images} GROUP BY doc_id)
+SELECT n.doc, n.page_number, s.score, array_join(s.reasons, '; ') AS reasons
+FROM features f JOIN {v_page_numbers} n USING (doc_id) LEFT JOIN headers h USING (doc_id) LEFT JOIN areas a USING (doc_id),
+  LATERAL lf_page_score(f.found, h.table_matches, try_divide(a.area, n.width * n.height), n.page_number, n.total_pages, 5, 3) s"""
+simple("p8_page_score_sql", in_sql(SQL_SCORES, "v_page_text", "tables", "v_page_images", "v_page_numbers"))
+simple("k2_normalize_sql", in_sql("SELECT comp_id, lf_package_name(pkg_raw) AS name FROM {v_components}", "v_components"))
+simple("c7_segments_sql", in_sql("SELECT id, pos, b.page, md5(b.text) AS text_md5 FROM (SELECT id, lf_blocks(text) AS blocks FROM {v_marked_text}) v LATERAL VIEW posexplode(v.blocks) x AS pos, b", "v_marked_text"))
+
+
 # Joins with tables of any size
 def part_ranges(d: Data) -> DataFrame:
     ends = F.col("p_size") - 5, F.when(F.col("p_partkey") % 17 != 0, F.col("p_size") + F.col("p_partkey") % 40)
