@@ -43,3 +43,9 @@ def test_pages_are_scored_once(spark, name):
 def test_shared_parts_of_scores_are_columns_of_their_own(spark):
     plan = QUERIES["p8_page_score"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"lower\(_text", plan)) == 1 and len(re.findall(r"split\(_low", plan)) == 1
+
+
+@pytest.mark.parametrize("name", ["k5_part_ranges", "d12_known_parts"])
+def test_what_was_cut_into_many_rows_is_never_broadcast_by_a_guess(spark, name):
+    plan = QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
