@@ -49,3 +49,11 @@ def test_shared_parts_of_scores_are_columns_of_their_own(spark):
 def test_what_was_cut_into_many_rows_is_never_broadcast_by_a_guess(spark, name):
     plan = QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize(("name", "joins"), [("b2_pin_primitives", 1), ("b4_assembly", 1), ("j1_pin_join", 1), ("b5_build", 0), ("s15_draw_rows", 0), ("flow_a_drawing", 0)])
+def test_pins_are_shuffled_once_at_most(spark, name, joins):
+    """Pins of answers lie beside their component; others meet it in one hash join, behind which places are reckoned."""
+    plan = QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == joins and "SortMergeJoin" not in plan and "rotation" not in " ".join(shuffled(plan))
+    assert len(re.findall(r"explode\(sequence\(0", plan)) == 0

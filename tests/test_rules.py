@@ -248,3 +248,20 @@ def test_rules_of_the_caller(spark):
     row = pages.score(frame, tables, none, rule_set=own).first()
     assert (row.heading_score, row.table_score, row.keyword_score) == (3, 4, 2)
     assert pages.score(frame, tables, none).first().score == 1
+
+
+def test_pins_in_place_are_those_of_the_join(spark):
+    """Places reckoned from numbers are those that a join with all positions finds, sections that repeat pins among them."""
+    kinds = ["DIP", "SOIC-16", "LQFP64", "QFN", "BGA", "odd"]
+    parts = spark.createDataFrame([(i, kinds[i % 6], n, i % 4) for i, n in enumerate([0, 1, 2, 7, 8, 9, 16, 38, 40, 64, 100, 3] * 2)], "comp_id int, pkg string, count int, k int")
+    section = lambda name, *pins: F.struct(F.lit(name).alias("section"), F.array(*map(F.lit, pins)).cast("array<int>").alias("pins"))
+    some = F.when(F.col("k") == 1, F.array(section("left", 1, 2, 2), section("Top", 2, 9), section("right"), section("bottom", 5, 2, 7))).when(F.col("k") == 2, F.array().cast("array<struct<section:string,pins:array<int>>>"))
+    sized = layout.parameters(parts, "pkg", "count").withColumn("sections", some)
+    numbers = spark.createDataFrame([(n,) for n in [*range(-1, 70), 101, 2**63 - 1, -(2**63), 1, 2]], "number long")
+    pins_ = parts.select("comp_id").crossJoin(numbers).withColumn("name", F.concat(F.lit("P"), "number"))
+    columns = ["comp_id", "pin_number", "name", "pin_index", "kind", "x", "y", "side", "rotation", "text_x", "text_y", "text_halign", "num_x", "num_y", "num_halign"]
+    key = lambda frame: sorted(map(tuple, frame.select(*columns).collect()))
+    got = key(layout.pins_of(pins_, sized.drop("sections")))
+    assert got and got == key(layout.placed_pins(pins_, layout.positions(sized)))
+    beside = layout.in_place(pins_.join(sized, "comp_id"), "sections")
+    assert key(beside) == key(layout.placed_pins(pins_, layout.laid_out(sized), repeated=True))
