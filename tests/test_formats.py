@@ -132,3 +132,29 @@ def test_a_job_that_stopped_while_moving_is_ended_by_the_next(known, tmp_path, m
     assert sorted(f for f in found(tmp_path) if not f.startswith("_")) == ["d/one", "three", "two"]
     names = sorted(x["name"] for f in os.listdir(tmp_path / "_manifest") for x in json.loads((tmp_path / "_manifest" / f).read_text())["files"])
     assert names == ["d/one", "three", "two"] and not [f for f in found(tmp_path) if f.startswith("_staging")]
+
+
+def test_a_folder_is_made_once_for_all_its_files(tmp_path, monkeypatch):
+    """The commit asks for folders, not for each file; files that were moved before are left, and a failed move is an error."""
+    made, listed = [], []
+    system, _ = formats.opened(str(tmp_path))
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(system, name)
+
+        def create_dir(self, path, recursive=True):
+            made.append(path)
+            system.create_dir(path, recursive=recursive)
+
+    for i in range(40):
+        name, origin = f"{'ab'[i % 2]}/{i}.txt", tmp_path / "_staging" / "j" / f"{i}"
+        origin.parent.mkdir(parents=True, exist_ok=True)
+        if i:
+            origin.write_text(str(i))
+        listed.append({"name": name, "bytes": 1, "sha256": "", "from": str(origin)})
+    (tmp_path / "_pending").mkdir()
+    (tmp_path / "_pending" / "j.json").write_text(json.dumps({"job": "j", "files": listed}))
+    monkeypatch.setattr(formats, "opened", lambda path: (Counting(), path))
+    formats.finish(str(tmp_path))
+    assert len(made) == 3 and sorted(p.name for p in tmp_path.glob("[ab]/*.txt")) == sorted(f"{i}.txt" for i in range(1, 40))
