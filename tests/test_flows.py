@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from leadframe.__main__ import main
-from leadframe.operators import layout
+from leadframe.operators import content, layout
 from leadframe.plans import pipelines
 
 PAGES = "doc string, doc_id string, page_number int, total_pages int, width double, height double, text string"
@@ -104,3 +104,19 @@ def test_command_line_draws_by_the_picture(spark, tmp_path):
     assert len(legs) == 2 and len({p["y"] for p in legs}) == 1  # side by side at the bottom; a DIP has them left and right
     assert legs[0]["y"] < 0
     assert main([str(folder), "--verify"], spark) == 2
+
+
+def test_content_by_page_is_content_by_document(spark):
+    odd = ["x\n--- Page 2 ---\nPinout\n--- Page x ---\ntail", "Pin Configuration\n--- Page 7 ---", "plain\n", None, "", "--- Page 1 ---\n\nof another page", "Pin Description\n--- Page y ---\nz"]
+    docs = {f"d{k}": odd[k:] + odd[:k] for k in range(len(odd))} | {"plain": ["nothing", "here", None], "one": [""], "src1": ["Pinout", "b"]}
+    candidates = spark.createDataFrame([(d, f"{d}{k}", k, 5 + k % 3, k % 2 == 1, k % 3 == 1) for d, texts in docs.items() for k in range(1, len(texts) + 1)], "doc string, doc_id string, page_number int, score int, has_table boolean, has_diagram boolean")
+    heads = [["Pin No.", "Pin Name"], ["a", "b"], ["Function"]]
+    tables = spark.createDataFrame([(d, f"{d}{k}", k % 2, [heads[k % 3], ["1"]][: 1 + (k > 1)]) for d, texts in docs.items() for k in range(1, len(texts) + 1)], TABLES)
+    images = spark.createDataFrame([(d, f"{d}1", 0, 1.0, 1.0) for d in docs], IMAGES)
+    instead = F.when(F.col("doc") == "src1", F.lit("no marker here")).when(F.col("doc") == "d1", F.lit("--- Page 9 ---\nPinout\n\n--- Page 2 ---\nx"))
+    full = content.extracted(candidates, pages_of(spark, docs), tables, images)
+    rows = lambda frame: sorted((r.asDict(recursive=True) for r in frame.collect()), key=lambda r: r["doc"])
+    assert rows(content.filtered_pages_or_all(candidates, pages_of(spark, docs), tables, images)) == rows(content.filtered_or_all(full))
+    assert rows(content.filtered_pages(candidates, pages_of(spark, docs), tables, images).select(*full.columns)) == rows(content.filtered(full))
+    replaced = full.withColumn("text_content", F.coalesce(instead, "text_content"))
+    assert rows(content.filtered_pages_or_all(candidates, pages_of(spark, docs), tables, images, instead)) == rows(content.filtered_or_all(replaced))

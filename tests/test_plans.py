@@ -57,3 +57,10 @@ def test_pins_are_shuffled_once_at_most(spark, name, joins):
     plan = QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == joins and "SortMergeJoin" not in plan and "rotation" not in " ".join(shuffled(plan))
     assert len(re.findall(r"explode\(sequence\(0", plan)) == 0
+
+
+@pytest.mark.parametrize("name", ["c3_filter_fallback", "flow_a_text"])
+def test_blocks_are_judged_one_by_one(spark, name):
+    """A document's blocks meet its pages with pin tables in a join, and no row holds all of both."""
+    plan = QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "split(" not in plan
