@@ -19,6 +19,10 @@ still in different components are compared where they lie, in blocks of bounded
 have no more in common than their bitmaps, and what places in them are shared by several shingles of a set. Only pairs that
 may be similar by that are given out. This last part is what makes the search whole; its work, not its output, grows with
 the square of the number of such nodes under a key.
+
+Texts that have one prefix shingle in common often have dozens, and so the same pairs under each. Large keys therefore meet at
+the home of a key, its smallest node, which is the same for keys of mostly the same nodes: there a node and its bitmap lie once
+for all keys, and a pair is given out once for all of them.
 """
 
 from __future__ import annotations
@@ -55,7 +59,9 @@ SETS_AT_ONCE = 2048
 FEW_ENDS = 1 << 18
 #: Keys of up to this many nodes give all their pairs at once.
 FEW = 3
-MET = "key long, node long, n int, a long, b long, need int"
+MET = "home long, key long, node long, n int, a long, b long, need int"
+#: Rows of keys that one block of a home has at most, about, and pairs that a task remembers.
+KEYS_AT_ONCE, PAIRS_SEEN = 1 << 18, 1 << 18
 
 
 # --- words and hashes ---------------------------------------------------------------------------------------------
@@ -395,12 +401,12 @@ def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return WHOLE * np.minimum(n, m) >= PART * np.maximum(n, m)
 
 
-def _met_batch(key=None, node=None, n=None, a=None, b=None, need=None) -> pa.RecordBatch:
-    """Rows of large keys (key, node, n), or pairs of nodes (a, b, need)."""
+def _met_batch(home=None, key=None, node=None, n=None, a=None, b=None, need=None) -> pa.RecordBatch:
+    """Rows of large keys (home, key, node, n), or pairs of nodes (a, b, need)."""
     rows = len(node) if node is not None else len(a)
     null = lambda x, kind: pa.nulls(rows, kind) if x is None else pa.array(x, kind)
-    columns = [null(key, pa.int64()), null(node, pa.int64()), null(n, pa.int32()), null(a, pa.int64()), null(b, pa.int64()), null(need, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "a", "b", "need"])
+    columns = [null(home, pa.int64()), null(key, pa.int64()), null(node, pa.int64()), null(n, pa.int32()), null(a, pa.int64()), null(b, pa.int64()), null(need, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["home", "key", "node", "n", "a", "b", "need"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +436,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = np.arange(len(key))
         first, of_many = np.repeat(head, size), np.repeat(many, size)
         rows = np.flatnonzero(of_many & (here >= done) & (here < cut))
-        yield _met_batch(key=key[rows], node=node[rows], n=n[rows])
+        yield _met_batch(home=node[first[rows]], key=key[rows], node=node[rows], n=n[rows])
         second = np.flatnonzero((here > first) & (here >= done) & (here < cut))
         far = second[second - 1 != first[second]]
         x, y = np.concatenate([second, far]), np.concatenate([first[second], far - 1])
@@ -452,70 +458,120 @@ def neighbours(meeting: DataFrame) -> DataFrame:
     return counted.where("c >= need").select("a", "b")
 
 
-def _rest_pairs(rows: dict[str, np.ndarray], pivots: int | None) -> pa.RecordBatch:
-    """The pairs of rows of one group (key, i, j) in different components that may be similar by their sizes and bitmaps;
-    only those with one of some `pivots` rows of the group, or all if that is None. Where a group is of two blocks, only
-    pairs of both."""
-    order = np.lexsort((rows["n"], rows["j"], rows["i"], rows["key"]))
-    key, i, j, node, n, root, mine, bits = (rows[c][order] for c in ("key", "i", "j", "node", "n", "root", "mine", "bits"))
+def _rest_pairs(rows: dict[str, np.ndarray], keys: np.ndarray, own: np.ndarray, pivots: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of one group (home, i, j) and one key in different components that may be similar by their sizes and
+    bitmaps; only those with one of some `pivots` rows under the key, or all if that is None. Where a group is of two blocks,
+    only pairs of both. `keys` are those of the rows, one after another; `own` is the row of each."""
+    home, i, j, node, n, root, mine, bits = (rows[c] for c in ("home", "i", "j", "node", "n", "root", "mine", "bits"))
+    group = np.cumsum((np.diff(home, prepend=home[:1]) != 0) | (np.diff(i, prepend=i[:1]) != 0) | (np.diff(j, prepend=j[:1]) != 0))
+    order = np.lexsort((n[own], keys, group[own]))
+    key, at = keys[order], own[order]
     here = np.arange(len(key))
-    head = np.flatnonzero((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0))
+    head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[at[1:]] != group[at[:-1]]))[: len(key)])
     size = np.diff(np.append(head, len(key)))
     stop = np.repeat(head + size, size)
     pivot = np.ones(len(key), bool)
     if pivots is not None:
-        group = np.repeat(np.arange(len(head)), size)
-        by_node = np.lexsort((node, group))  # nodes are hashes, so the first ones are a choice at random
-        pivot[by_node] = here - head[group] < pivots
+        run = np.repeat(np.arange(len(head)), size)
+        by_node = np.lexsort((node[at], run))  # nodes are hashes, so the first ones are a choice at random
+        pivot[by_node] = here - head[run] < pivots
     hidden = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)  # shingles that share a place with another
-    left, right = [here[:0]], [here[:0]]
+
+    def similar(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = _once(x, y)  # a pair under many keys is looked at once
+        fit = np.zeros(len(x), bool)
+        for k in range(0, len(x), 1 << 16):
+            a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[a], hidden[b])
+            fit[k : k + (1 << 16)] = (PART + WHOLE) * common >= PART * (n[a] + n[b])
+        return x[fit], y[fit]
+
+    found, open_, waiting = [(at[:0], at[:0])], [(at[:0], at[:0])], 0
     live, lag = here, 1
     while len(live):
         live = live[live + lag < stop[live]]
-        live = live[_sizes_fit(n[live], n[live + lag])]  # sizes ascend, so what is too large now stays so
-        a, b = live, live + lag
-        hit = (pivot[a] | pivot[b]) & (root[a] != root[b]) & ((i[a] == j[a]) | (mine[a] != mine[b]))
-        a, b = a[hit], b[hit]
-        common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[a], hidden[b])
-        fit = (PART + WHOLE) * common >= PART * (n[a] + n[b])
-        left.append(a[fit])
-        right.append(b[fit])
+        live = live[_sizes_fit(n[at[live]], n[at[live + lag]])]  # sizes ascend, so what is too large now stays so
+        a, b = at[live], at[live + lag]
+        hit = (pivot[live] | pivot[live + lag]) & (root[a] != root[b]) & ((i[a] == j[a]) | (mine[a] != mine[b]))
+        open_.append((np.minimum(a[hit], b[hit]), np.maximum(a[hit], b[hit])))
+        waiting += int(hit.sum())
+        if waiting >= PAIRS_SEEN:
+            found.append(similar(*map(np.concatenate, zip(*open_))))
+            open_, waiting = [(at[:0], at[:0])], 0
         lag += 1
-    x, y = np.concatenate(left), np.concatenate(right)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+    found.append(similar(*map(np.concatenate, zip(*open_))))
+    x, y = _once(*map(np.concatenate, zip(*found)))
+    return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b), each once."""
+    order = np.lexsort((b, a))
+    new = np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0))[: len(order)]
+    return a[order[new]], b[order[new]]
+
+
+class SeenPairs:
+    """The pairs that a task has given out lately: a bounded memory that saves repetitions and never changes a result."""
+
+    def __init__(self, capacity: int = PAIRS_SEEN):
+        self.a, self.b, self.capacity = np.zeros(0, np.int64), np.zeros(0, np.int64), capacity
+
+    def fresh(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """(a, b): those of the pairs that weren't given out."""
+        known = len(self.a)
+        a, b = np.concatenate([self.a, a]), np.concatenate([self.b, b])
+        order = np.lexsort((b, a))  # stable, so a known pair comes before its repetitions
+        first = order[np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]))[: len(order)]]
+        new = first[first >= known]
+        self.a, self.b = (a[first], b[first]) if len(first) <= self.capacity else (a[:0], b[:0])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], pivots: int | None) -> Iterator[pa.RecordBatch]:
     """`_rest_pairs` of rows sorted by group; the last group of a batch waits for the next one."""
-    held = None
+    seen, held = SeenPairs(), None
+
+    def found(rows: dict[str, np.ndarray], keys: np.ndarray) -> pa.RecordBatch:
+        return seen.fresh(*_rest_pairs(rows, keys, np.repeat(np.arange(len(rows["node"])), rows["many"]), pivots))
+
     for batch in batches:
-        rows = {c: batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names if c != "bits"}
+        rows = {c: batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names if c not in ("bits", "keys")}
         data, starts, ends = spans(batch.column("bits"))
         rows["bits"] = gather(data, starts, ends)[0].reshape(-1, PLACES // 8).copy().view(np.uint64)
+        rows["many"] = batch.column("keys").value_lengths().to_numpy().astype(np.int64)
+        keys = batch.column("keys").flatten().to_numpy()
         if held is not None:
-            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
-        if not len(rows["key"]):
+            rows, keys = {c: np.concatenate([held[0][c], rows[c]]) for c in rows}, np.concatenate([held[1], keys])
+        if not len(rows["node"]):
             continue
-        other = np.flatnonzero((rows["key"] != rows["key"][-1]) | (rows["i"] != rows["i"][-1]) | (rows["j"] != rows["j"][-1]))
+        other = np.flatnonzero((rows["home"] != rows["home"][-1]) | (rows["i"] != rows["i"][-1]) | (rows["j"] != rows["j"][-1]))
         cut = int(other[-1]) + 1 if len(other) else 0
-        held = {c: x[cut:] for c, x in rows.items()}
-        yield _rest_pairs({c: x[:cut] for c, x in rows.items()}, pivots)
+        edge = int(rows["many"][:cut].sum())
+        held = ({c: x[cut:] for c, x in rows.items()}, keys[edge:])
+        if cut:
+            yield found({c: x[:cut] for c, x in rows.items()}, keys[:edge])
     if held is not None:
-        yield _rest_pairs(held, pivots)
+        yield found(*held)
+
+
+def housed(meeting: DataFrame) -> DataFrame:
+    """(home, node, n, keys): the large keys of each node, by their homes."""
+    return meeting.where("key is not null").groupBy("home", "node").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
 
 
-def apart(meeting: DataFrame, nodes: DataFrame, tree: DataFrame, block: int, pivots: int | None) -> DataFrame:
+def apart(homes: DataFrame, nodes: DataFrame, tree: DataFrame, block: int, pivots: int | None) -> DataFrame:
     """(a, b): pairs of nodes in different components that share a large key and may be similar, all or those with pivots.
-    `nodes` (node, bits) is durable."""
-    rooted = meeting.where("key is not null").select("key", "node", "n").join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    mixed = durable(gathered(mixed.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), nodes.count()))
-    dealt = rooted.join(mixed, "key").join(nodes.select("node", "bits"), "node")
+    `homes`, from `housed`, and `nodes` (node, bits) are durable."""
+    rooted = homes.join(tree.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("home").agg(F.count("*").alias("rows"), F.sum(F.size("keys")).alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    blocks = F.ceil(F.greatest(F.col("rows") / block, F.col("held") / KEYS_AT_ONCE)).cast("int")
+    mixed = durable(gathered(mixed.select("home", blocks.alias("blocks")), nodes.count()))
+    dealt = rooted.join(mixed, "home").join(nodes.select("node", "bits"), "node")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "root", "mine", "bits")
+    dealt = dealt.select("home", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "n", "root", "mine", "bits", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_group(batches, pivots)
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(run), "a long, b long").distinct()
+    return dealt.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j").mapInArrow(tidy(run), "a long, b long").distinct()

@@ -258,11 +258,12 @@ def near_copies(docs: DataFrame, marks: DataFrame, text_col: str = "text", shing
     candidates = durable(gathered(near.union(alike).select(*shingles.ordered("x", "y")).distinct(), many))
 
     meeting = durable(gathered(shingles.met(marks), many, TEXTS, True))
+    homes = durable(gathered(shingles.housed(meeting), many, TEXTS, True))
     judged, tree = None, None
     steps = (
         lambda: candidates.union(shingles.neighbours(meeting)).distinct(),
-        lambda: shingles.apart(meeting, nodes, tree, block, shingles.PIVOTS),
-        lambda: shingles.apart(meeting, nodes, tree, block, None),
+        lambda: shingles.apart(homes, nodes, tree, block, shingles.PIVOTS),
+        lambda: shingles.apart(homes, nodes, tree, block, None),
     )
     for step in steps:
         pairs = step() if judged is None else step().join(judged.select("a", "b"), ["a", "b"], "left_anti")

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,20 @@ def test_stage_tells_rows_apart_by_id_and_text(spark):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     want = [(3, a), (7, b), (5, c), (5, d), (None, "only without an id at all"), (None, None)]
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
+def test_pairs_under_many_large_keys_are_given_out_once(spark):
+    """The texts share forty keys; each pair is met under all of them, in one batch or several."""
+    nodes, keys = list(range(1, 11)), list(range(40))
+    bits = np.full(shingles.PLACES // 8, 255, np.uint8).tobytes()
+    rows = [{"home": home, "i": 0, "j": 0, "node": x, "n": 1000 + x, "root": x, "mine": 0, "bits": bits, "keys": keys} for home in (1, 2) for x in nodes]
+    schema = pa.schema([(c, pa.int64()) for c in ("home", "i", "j", "node", "n", "root", "mine")] + [("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    batches = [pa.RecordBatch.from_pylist(rows[at : at + 7], schema) for at in range(0, len(rows), 7)]
+    got = [(a, b) for out in shingles._by_group(iter(batches), None) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert sorted(got) == [(a, b) for a in nodes for b in nodes if a < b]
+
+
+def test_keys_of_the_same_nodes_meet_at_one_home(spark):
+    marks = spark.createDataFrame([(x, 100, [1, 2, 3, 10 + x]) for x in (7, 3, 5, 9)], "node long, n int, prefix array<long>")
+    homes = shingles.housed(shingles.met(marks)).collect()
+    assert sorted((r.home, r.node, r.n, sorted(r["keys"])) for r in homes) == [(3, x, 100, [1, 2, 3]) for x in (3, 5, 7, 9)]
