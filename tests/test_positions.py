@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadframe.operators import content, grids, pages, reading
+from leadframe.plans import overlays
 
 WORDS = "doc_id long, word_id int, x0 double, y0 double, x1 double, y1 double, text string"
 LINES = "doc_id long, x0 double, y0 double, x1 double, y1 double"
@@ -111,3 +112,13 @@ def test_rebuilt_tables_score_pages(spark):
     frame = spark.createDataFrame([(r[0], *map(float, r[1:])) for r in grid(7, [0, 30, 60, 90], [0, 15, 30])], LINES)
     found = grids.tables(frame, words(spark, rows))
     assert pages.table_scores(found).count() == 1 and found.where(content.is_pin_table(F.col("cells"))).count() == 1
+
+
+def test_page_words_shuffles_texts_and_no_words(spark):
+    """One exchange for the whole query, below the generator that cuts texts into words; a line needs no group of its own."""
+    documents = spark.createDataFrame([(1, "a b c d e f g"), (1, "x"), (2, ""), (3, " a  b c\td e\nf "), (None, "p q"), (4, None)], "doc_id long, text string")
+    read = reading.page_text(overlays.page_words(documents))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.rindex("Generate posexplode")
+    assert plan.count("ObjectHashAggregate") + plan.count("SortAggregate") == 2
+    assert {r.doc_id: r.text for r in read.collect() if r.doc_id != 1} == {3: "a b c d e\nf", None: "p q"}
