@@ -260,3 +260,52 @@ def test_the_sample_is_of_ids_that_have_documents(spark, tables):
     got = labelled_sample(docs, labels, "toxic", F.lit(True), 50, 1 << 30, 0)
     assert got.num_rows == 100 and sum(got.column("label").to_pylist()) == 50
     assert label_counts(labels, "toxic", F.lit(True), docs).sum() == ids
+
+
+def test_toxicity_learns_from_rows_of_any_number_and_length(spark):
+    from leadframe.llm.shared import labelled_rows
+
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('word', id % 7, ' other') as text", "if(id % 2 = 0, 'en', null) as lang")
+    docs = docs.unionByName(spark.sql("select -1L as doc_id, repeat('long ', 200000) as text, 'en' as lang union all select 12000L, null, 'en'"))
+    labels = spark.range(-1, 12_001).selectExpr("cast(id as int) as doc_id", "cast(id % 3 = 0 as int) as toxic")
+    rows = labelled_rows(docs, labels, "toxic", F.col("doc_id") != 5, 3000, 0)
+    assert rows.rdd.getNumPartitions() == 5 and rows.agg(F.count("*"), F.countDistinct("doc_id")).first() == (12_001, 12_001)
+    assert rows.where("label = cast(doc_id % 3 = 0 as int)").count() == 12_001 and 2_000 < rows.where("hold").count() < 2_800
+    counts = toxicity.word_counts(rows, ["en"])
+    assert counts.sum(0).tolist() == [12_000 + 200_000, 11_998]  # (6,000 even ids, two words each) and (5,999 odd ones but 5)
+    # Only long texts are toxic here, and one word of each gives them away.
+    clean = spark.range(60).selectExpr("id as doc_id", "'all is well here' as text", "'en' as lang")
+    toxic = spark.range(60, 90).selectExpr("id as doc_id", "concat(repeat('all is well here ', 5000), ' vile') as text", "'en' as lang")
+    both = clean.unionByName(toxic)
+    model = toxicity.train(both, both.selectExpr("doc_id", "cast(doc_id >= 60 as int) as toxic"), F.lit(True))
+    assert {(r.doc_id >= 60, r.predicted) for r in toxicity.score(both, model).collect()} == {(False, 0), (True, 1)}
+
+
+def test_shards_move_the_network_by_their_mean(spark):
+    nets = []
+    for shards in (1, 2):  # the second shard learns the same as the first
+        rows = spark.range(0, 90 * shards, 1, shards).selectExpr("concat(if(id % 3 = 0, 'vile ', 'mild '), 'w', id % 90) as text", "cast(id % 3 = 0 as int) as label")
+        assert rows.rdd.getNumPartitions() == shards
+        net = toxicity.ConvNet(toxicity.BUCKETS, toxicity.DIM, toxicity.WIDTHS, toxicity.FILTERS, 2, 0)
+        before = net.copy()
+        toxicity.learn_round(net, rows, np.ones(2), 0.01, 2, 0)
+        nets.append(net)
+    assert all(np.allclose(nets[0].weights[k], nets[1].weights[k], atol=1e-6) and not np.allclose(nets[0].weights[k], before.weights[k]) for k in before.weights)
+
+
+def test_learning_from_a_long_segment_in_pieces():
+    rng = np.random.default_rng(1)
+    net = toxicity.ConvNet(50, 8, (1, 2, 3), 4, 2)
+    ids, own = toxicity.segments(rng.integers(1, 50, (400, 3)), np.array([0, 0, 300, 310, 400]), net.padding)
+    whole = net.winners(ids, own)
+    for limit in (7, 64):
+        top, made_of = net.winners(ids, own, limit)
+        assert np.allclose(top, whole[0], atol=1e-6)
+        for j, w in enumerate(net.widths):
+            mine = slice(j * net.filters, (j + 1) * net.filters)
+            assert (made_of[:, mine, :w] == whole[1][:, mine, :w]).all()
+
+
+def test_threshold_counts_rows_at_equal_places():
+    z, y = np.array([0.0, 0.0, 0.0, 1.0, 5.0, 5.0, 6.0]), np.array([0, 0, 0, 1, 1, 0, 1])
+    assert toxicity.threshold(*toxicity.summed(z, y, np.ones(7))) == 0.5
