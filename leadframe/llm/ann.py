@@ -41,6 +41,10 @@ SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 128, 0.94
 SELECTIVE = 0.05
 #: Rows of a table in one slot on average, and rows or queries of a slot in one part at most, about.
 PER_SLOT, PER_PART = 2048, 8192
+#: Bits of a code that tell whether a block has any row with them.
+LOW = (1 << 16) - 1
+#: Where queries look at more than this share of a block, all products of unit vectors are taken at once.
+DENSE = 1 / 16
 PROBES = (1, 2, 4, 8, 16, 32, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 
 
@@ -116,19 +120,23 @@ class Block:
     """Some rows with their codes in every table, sorted."""
 
     def __init__(self, tables: Tables, rows: np.ndarray):
-        self.tables, self.size, self.codes = tables, len(rows), []
+        self.tables, self.rows, self.size, self.codes = tables, rows, len(rows), []
         for t in range(TABLES):
             code = tables.code(tables.place(rows, t)[0], t)
             order = np.argsort(code)
-            self.codes.append((code[order], order))
+            some = np.zeros(LOW + 1, bool)
+            some[code & LOW] = True
+            self.codes.append((code[order], order, some))
 
     def candidates(self, queries: np.ndarray, probes: int | None) -> np.ndarray:
         """(queries x rows) which rows some probe of some table finds; all if `probes` is None."""
         seen = np.full((len(queries), self.size), probes is None)
         for t in range(TABLES if probes else 0):
-            code, order = self.codes[t]
-            row, place = _found(code, self.tables.probes(queries, t, probes))
-            seen[row, order[place]] = True
+            code, order, some = self.codes[t]
+            wanted = self.tables.probes(queries, t, probes)
+            maybe = np.flatnonzero(some[wanted & LOW])  # most buckets that are asked for are empty in a block
+            which, place = _found(code, wanted.ravel()[maybe, None])
+            seen[maybe[which] // wanted.shape[1], order[place]] = True
         return seen
 
 
@@ -150,14 +158,15 @@ def cosine(query: np.ndarray, vecs: np.ndarray) -> np.ndarray:
     return (v * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(1)))
 
 
-def nearest_of(query: np.ndarray, query_unit: np.ndarray, near: np.ndarray, vecs: np.ndarray, units: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest_of(query: np.ndarray, query_unit: np.ndarray, near: np.ndarray, vecs: np.ndarray, units: np.ndarray, ids: np.ndarray, k: int, products: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, scores) of the k of the rows `near` with the largest cosine, ties to the smaller id, best first.
 
-    A product of unit vectors sets aside what is clearly farther; what is left is scored exactly."""
+    A product of unit vectors, taken here unless those of all rows are given, sets aside what is clearly farther; what is left
+    is scored exactly."""
     if not len(near):
         return near, np.zeros(0)
     if len(near) > 4 * k:
-        rough = units[near] @ query_unit
+        rough = units[near] @ query_unit if products is None else products[near]
         near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
     score = cosine(query, vecs[near])
     keep = blocks.k_largest(score, ids[near], k)
@@ -165,17 +174,22 @@ def nearest_of(query: np.ndarray, query_unit: np.ndarray, near: np.ndarray, vecs
 
 
 def best(k: int, probes: int | None) -> blocks.Best:
+    last = [None, None]  # a block and its rows: it meets one block of queries after another
+
     def select(q_ids, q_vecs, c_ids, c_vecs):
-        block = Block(Tables(c_vecs.shape[1]), c_unit := unit(c_vecs))
-        q_unit = unit(q_vecs)
+        if last[0] is None or not np.array_equal(last[0], c_vecs):
+            last[:] = c_vecs.copy(), Block(Tables(c_vecs.shape[1]), unit(c_vecs))
+        block, c_unit, q_unit = last[1], last[1].rows, unit(q_vecs)
         queries, found, values = [], [], []
         for at in range(0, len(q_ids), 64):
-            seen = block.candidates(q_unit[at : at + 64], probes)
+            some = q_unit[at : at + 64]
+            seen, other = block.candidates(some, probes), c_ids != q_ids[at : at + 64, None]
+            seen &= other
+            few = seen.sum(1) < k
+            seen[few] = other[few]
+            products = some @ c_unit.T if seen.mean() > DENSE else None
             for i, row in enumerate(seen):
-                row &= c_ids != q_ids[at + i]
-                if row.sum() < k:
-                    row = c_ids != q_ids[at + i]
-                keep, score = nearest_of(q_vecs[at + i], q_unit[at + i], np.flatnonzero(row), c_vecs, c_unit, c_ids, k)
+                keep, score = nearest_of(q_vecs[at + i], some[i], np.flatnonzero(row), c_vecs, c_unit, c_ids, k, None if products is None else products[i])
                 queries.append(np.full(len(keep), at + i))
                 found.append(keep)
                 values.append(score)
@@ -290,9 +304,12 @@ def fitted(rows: DataFrame, k: int) -> tuple[int | None, float, int]:
     common = int(np.bincount(dims).argmax())
     sample = drawn.filter(pa.array(dims == common))
     ids = sample.column("id").to_pylist()[:SAMPLE_QUERIES]
-    near = blocks.search(rows.where(F.col("dim") == common), F.col("id").isin(ids), best(k, None), k, "double").select("query_id", F.col("vec_id").alias("id"), "rank")
-    near = near.join(rows.select("id", "vec"), "id").dropDuplicates(["query_id", "rank"]).orderBy("query_id", "rank").select("query_id", "vec").toArrow()
-    vecs = unit(_matrix(near.column("vec"))) if near.num_rows else np.zeros((0, common))
+    alike = rows.where(F.col("dim") == common)
+    near = blocks.search(alike, F.col("id").isin(ids), best(k, None), k, "double").orderBy("query_id", "rank").select("query_id", "vec_id").toArrow()
+    # At most SAMPLE_QUERIES * k ids, so no join is needed, of which one side would have to be shuffled.
+    held = alike.where(F.col("id").isin(near.column("vec_id").unique().to_pylist())).dropDuplicates(["id"]).select("id", "vec").toArrow()
+    at = {x: i for i, x in enumerate(held.column("id").to_pylist())}
+    vecs = unit(_matrix(held.column("vec")))[[at[x] for x in near.column("vec_id").to_pylist()]] if near.num_rows else np.zeros((0, common))
     queries, first, many = np.unique(near.column("query_id").to_numpy(), return_index=True, return_counts=True)
     full = many == k
     if not full.any():

@@ -2,8 +2,10 @@
 
 Candidates are gathered, within their partitions, into blocks of bounded size; queries are dealt into blocks by a hash.
 Every query block meets every candidate block in an equi-join on a salt: candidate blocks are dealt over the salts, query
-blocks are copied to each. A pair of blocks gives each query's best few, and those are merged by a window whose first step
-runs before the shuffle. No row is tied to a key of the data, so a vector that many rows share makes no task longer.
+blocks are copied to each, and there are no more salts than blocks or tasks to fill. Copies are shuffled and merged, never
+broadcast: Spark guesses their size from that of the queries, and all of them would go through the driver. A pair of blocks
+gives each query's best few, and those are merged by a window whose first step runs before the shuffle. No row is tied to a
+key of the data, so a vector that many rows share makes no task longer.
 
 Vectors of another dimension than the query's are no candidates for it. Null vectors, vectors with null or non-finite
 components, and rows without id take no part. An empty table, or no query, gives an empty result.
@@ -83,6 +85,13 @@ def query_blocks(rows: DataFrame, salts: int) -> DataFrame:
     return gathered.select("dim", copies, F.col("q.id").alias("q_ids"), F.col("q.vec").alias("q_vecs"))
 
 
+def salts_for(rows: DataFrame) -> int:
+    """As many as there are full blocks of candidates, but enough to keep all cores busy, and no more than shuffles have parts."""
+    spark = rows.sparkSession
+    full = rows.groupBy("dim").count().agg(F.sum(F.ceil(F.col("count") * F.col("dim") * 8 / CANDIDATE_BYTES))).first()[0]
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(int(full or 0), 2 * spark.sparkContext.defaultParallelism)))
+
+
 Best = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -91,8 +100,9 @@ def search(rows: DataFrame, is_query: Column, best: Best, k: int, score_type: st
 
     `best(query ids, query vectors, candidate ids, candidate vectors)` gives (query position, candidate position, score)
     of the k best of each query in a pair of blocks, without the query itself."""
-    salts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = candidate_blocks(rows, salts).join(query_blocks(rows.where(is_query), salts), ["dim", "salt"])
+    salts = salts_for(rows)
+    candidates, queries = (side.repartition(salts, "dim", "salt") for side in (candidate_blocks(rows, salts), query_blocks(rows.where(is_query), salts)))
+    pairs = candidates.join(queries.hint("merge"), ["dim", "salt"])
     score_arrow = pa.int64() if score_type == "long" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

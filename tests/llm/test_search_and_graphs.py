@@ -54,6 +54,29 @@ def test_exact_top_k_with_many_ties(spark, rows, monkeypatch):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(vectors, range(0, 60, 5), 4, inner)
 
 
+def test_copies_of_queries_are_never_broadcast(spark):
+    """They look as small as the queries are, and would all go through the driver."""
+    rows = blocks.usable(spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], VECTORS), "vec_id", "embedding", False)
+    found = blocks.search(rows, F.col("id") % 10 == 0, topk.best(3), 3, "long")
+    assert len(found.collect()) == 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_no_more_copies_of_queries_than_blocks_or_cores(spark, monkeypatch):
+    rows = blocks.usable(spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)] + [(200, [1.0])], VECTORS), "vec_id", "embedding", False)
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 200)
+        assert blocks.salts_for(rows) == 2 * cores and blocks.salts_for(rows.where("false")) == 2 * cores
+        monkeypatch.setattr(blocks, "CANDIDATE_BYTES", 32)  # two rows
+        assert blocks.salts_for(rows) == 101
+        spark.conf.set("spark.sql.shuffle.partitions", 6)
+        assert blocks.salts_for(rows) == 6
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def cosine(a, b):
     return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(y * y for y in b))
 
