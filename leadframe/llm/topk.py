@@ -2,10 +2,11 @@
 
 Vectors are integers: floor(1024 * x) of each component. In a pair of blocks every dimension is a term with its postings,
 the candidates whose weight there isn't zero. The queries' non-zero weights are taken term by term; each scatters its
-products with the postings into dense score arrays, one per query. Then the k best are selected, and blocks are merged.
+products with the postings into dense score arrays, one per query; where hardly a weight is zero, the term's whole column is
+taken. Arrays are tiles that fit a core's cache. Then the k best are selected, and blocks are merged.
 
-Scores are exact in 64 bits; where weights are so large that 64 bits might not hold, sums are taken in Python integers and
-what lies outside is set to the nearest 64-bit number. Other defined cases are those of blocks.py; a zero vector takes part.
+Scores are exact, in 32 bits where no sum can be larger, else in 64; where weights are so large that 64 bits might not hold,
+sums are taken in Python integers and what lies outside is set to the nearest 64-bit number. Other defined cases are those of blocks.py; a zero vector takes part.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from . import blocks
 
 SCALE = 1024
+#: Queries and candidates of a tile.
+TILE = 32, 4096
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -29,22 +32,30 @@ def weights(vecs: np.ndarray) -> np.ndarray:
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """(queries x candidates) inner products, term at a time."""
     top = [int(np.abs(x).max(initial=0)) for x in (queries, candidates)]
-    exact = np.int64 if top[0] * top[1] * queries.shape[1] < MOST else object
-    queries, candidates = queries.astype(exact), candidates.astype(exact)
+    most = top[0] * top[1] * queries.shape[1]
+    exact = np.int32 if most < 1 << 31 else np.int64 if most < MOST else object
+    by_term = [np.ascontiguousarray(x.T, exact) for x in (queries, candidates)]
     scores = np.zeros((len(queries), len(candidates)), exact)
-    for term in range(queries.shape[1]):
-        asking = np.flatnonzero(queries[:, term])
-        posting = np.flatnonzero(candidates[:, term])
-        if not len(asking) or not len(posting):
-            continue
-        q, c = queries[asking, term], candidates[posting, term]
-        if len(asking) == len(queries) and len(posting) == len(candidates):
-            scores += q[:, None] * c
-        else:
-            scores[np.ix_(asking, posting)] += q[:, None] * c
+    for a in range(0, len(queries), TILE[0]):
+        for b in range(0, len(candidates), TILE[1]):
+            _add(*(x[:, at : at + size] for x, at, size in zip(by_term, (a, b), TILE)), scores[a : a + TILE[0], b : b + TILE[1]])
     return scores
 
 
+def _add(queries: np.ndarray, candidates: np.ndarray, scores: np.ndarray) -> None:
+    """Adds the products of all terms, which are rows here, to `scores`."""
+    asks, posts = np.count_nonzero(queries, axis=1).tolist(), np.count_nonzero(candidates, axis=1).tolist()
+    total, product = np.zeros(scores.shape, scores.dtype), np.empty(scores.shape, scores.dtype)
+    for q, c, asking, posting in zip(queries, candidates, asks, posts):
+        if 2 * asking > len(q) and 2 * posting > len(c):
+            np.multiply(q[:, None], c, out=product)
+            np.add(total, product, out=total)
+        elif asking and posting:
+            asking, posting = np.flatnonzero(q), np.flatnonzero(c)
+            total[np.ix_(asking, posting)] += q[asking, None] * c[posting]
+    scores[...] = total
+
+
 def best(k: int) -> blocks.Best:
     def select(q_ids, q_vecs, c_ids, c_vecs):
         q_weights, c_weights = weights(q_vecs), weights(c_vecs)

@@ -54,6 +54,15 @@ def test_exact_top_k_with_many_ties(spark, rows, monkeypatch):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(vectors, range(0, 60, 5), 4, inner)
 
 
+def test_tiles_of_few_and_of_many_zeros(monkeypatch):
+    monkeypatch.setattr(topk, "TILE", (3, 7))
+    rng = np.random.default_rng(2)
+    for zeros, large in ((0.0, 1 << 10), (0.03, 1 << 10), (0.7, 1 << 10), (0.03, 1 << 25)):  # the last in 64 bits
+        q, c = (rng.integers(-large, large, (n, 5)) * (rng.random((n, 5)) >= zeros) for n in (10, 23))
+        found = topk.accumulate(q, c)
+        assert found.dtype == (np.int32 if large == 1 << 10 else np.int64) and (found == q @ c.T).all()
+
+
 def test_copies_of_queries_are_never_broadcast(spark):
     """They look as small as the queries are, and would all go through the driver."""
     rows = blocks.usable(spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], VECTORS), "vec_id", "embedding", False)
