@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from leadframe.functions import rules
-from leadframe.operators import lookup, pages
+from leadframe.operators import lookup, occurrences, pages
 
 
 def nested(frame) -> bool:
@@ -55,6 +56,43 @@ def counts(texts, keywords):
     return sorted((i, k, (t or "").lower().count(k)) for i, t in texts for k in set(keywords) if k and (t or "").lower().count(k))
 
 
+@pytest.mark.parametrize("window", [1, 7, 1 << 18])
+def test_occurrences_against_count(window, monkeypatch):
+    """Keywords of all lengths that overlap each other and themselves, over the edges of windows and of texts."""
+    monkeypatch.setattr(occurrences, "WINDOW", window)
+    rng = random.Random(window)
+    for held, dense, letters in [(3, 0, b"ab"), (1 << 22, 1 << 22, b"ab\0"), (5, 1 << 22, "aüz ".encode())]:
+        monkeypatch.setattr(occurrences, "HELD", held)
+        monkeypatch.setattr(occurrences, "DENSE", dense)
+        keywords = sorted({bytes(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 4, 7, 8, 9, 16, 17, 24, 25, 90]))) for _ in range(50)} | {b"a" * k for k in (2, 3, 9, 17)})
+        texts = [b"", b"a" * 60, *(bytes(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 60]))) + rng.choice(keywords) for _ in range(12)), b""]
+        edges = np.cumsum([0, *map(len, texts)])
+        found = occurrences.Finder(keywords).counts(np.frombuffer(b"".join(texts), np.uint8), edges)
+        assert sorted(zip(*(x.tolist() for x in found))) == [(i, k, t.count(w)) for i, t in enumerate(texts) for k, w in enumerate(keywords) if w in t]
+
+
+def test_keywords_that_tasks_hold_shuffle_no_text(spark):
+    texts = spark.createDataFrame([(1, "Pin pinout"), (1, "pin"), (None, "PINS x"), (2, None), (3, "")], "id long, t string")
+    got = lookup.keyword_counts(texts, "id", "t", spark.createDataFrame([("pin",), ("x",), ("pin",), ("",), (None,)], "keyword string"))
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "pin", 1), (1, "pin", 2), (None, "pin", 1), (None, "x", 1)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert lookup.keyword_counts(texts, "id", "t", spark.createDataFrame([], "keyword string")).count() == 0
+
+
+@pytest.mark.parametrize("held", [0, lookup.HELD])
+def test_keywords_against_count_whether_held_or_joined(spark, held, monkeypatch):
+    monkeypatch.setattr(lookup, "HELD", held)
+    monkeypatch.setattr(lookup, "CHUNK", 100)
+    monkeypatch.setattr(lookup, "ROWS", 3)
+    rng = random.Random(9)
+    alphabet = ["pin", "Rx", "no", "connect", "ü", "--", "aa"]
+    texts = [(i, rng.choice(["", " "]).join(rng.choice(alphabet) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(30)))) for i in range(40)] + [(40, None), (41, "")]
+    keywords = ["pin", "no connect", " no ", "-", "--", "rx", "aa", "t r", "ü", "x\nno ", "nowhere at all", "", None]
+    frame = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    got = lookup.keyword_counts(frame, "id", "t", spark.createDataFrame([(k,) for k in keywords], "keyword string"))
+    assert sorted(map(tuple, got.collect())) == counts(texts, keywords) and not nested(got)
+
+
 def test_keywords_against_count(spark):
     rng = random.Random(4)
     alphabet = ["pin", "spin", "pinout", "rx", "r", "no", "connect", "a1", "ü", "pin-out", "--", "…", "aa", "aaa"]
